@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import uniform
+from ..functions.columns import present, uniform
 
 #: Pairs of a run up to which its codes are sent to tasks, each of which makes some draws.
 PACKED_PAIRS = 5_000_000
@@ -87,20 +88,30 @@ def grouped_packed(pairs: DataFrame, value: str, roles: Sequence[str], groups: S
 
 def audit_intervals(pairs: DataFrame, expected: Sequence[tuple[int, int]] | None, draws: int, seed: int = 42, run_keys: Sequence[str] = ("source_split",)) -> DataFrame:
     """BST-3: global intervals of both metrics, over all pairs and in common support; unavailable
-    where the directed pairs are not the expected ones. Both metrics share their draws."""
+    where the directed pairs are not the expected ones. Draws are made once: both metrics and both
+    populations are sums over the same weights."""
     roles = [c for c in ("source_physical_id", "within_physical_id", "cross_physical_id") if c in pairs.columns] or ["source_id"]
-    out = None
-    for kind in ("pair_weighted", "common_support"):
-        df = pairs.where("common_support") if kind == "common_support" and "common_support" in pairs.columns else pairs
-        seen = df.groupBy(*run_keys).agg(F.array_sort(F.collect_set(F.concat_ws(">", "source_hospital", "target_hospital"))).alias("seen"))
-        want = F.array(*[F.lit(x) for x in sorted(f"{s}>{t}" for s, t in expected or ())]).cast("array<string>")
-        good = seen if expected is None else seen.where(F.col("seen") == want)
-        for metric in ("hcs", "hce"):
-            rows = grouped(df.join(good.select(*run_keys), list(run_keys), "left_semi"), f"{metric}_pair", roles, ["source_hospital", "target_hospital"], run_keys, draws, seed)
-            all_runs = pairs.select(*run_keys).distinct().join(rows, list(run_keys), "left").withColumns({
-                "status": F.coalesce("status", F.lit("unavailable")), "summary_type": F.lit(kind), "metric": F.lit(metric)})
-            out = all_runs if out is None else out.unionByName(all_runs)
-    return out
+    groups, kinds, values = ["source_hospital", "target_hospital"], ("pair_weighted", "common_support"), ("hcs", "hce")
+    inside = {"pair_weighted": F.lit(True), "common_support": F.col("common_support") if "common_support" in pairs.columns else F.lit(True)}
+    pairs = pairs.select(*run_keys, *groups, *dict.fromkeys(roles), *[f"{m}_pair" for m in values], *present(pairs, ["common_support"]))
+    weight = reduce(lambda a, b: a * b, [-F.log(uniform(seed, F.col("draw"), F.col(r))) for r in roles])
+    spread = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", weight)
+    part = lambda k, x: F.sum(F.when(inside[k], x))
+    sums = spread.groupBy(*run_keys, *groups, "draw").agg(
+        *[part(k, F.col("_w")).alias(f"w_{k}") for k in kinds], *[part(k, F.col("_w") * F.col(f"{m}_pair")).alias(f"{m}_{k}") for k in kinds for m in values])
+    item = F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric"), (F.col(f"{m}_{k}") / F.col(f"w_{k}")).alias("e")) for k in kinds for m in values])).alias("i")
+    by = [*run_keys, "summary_type", "metric"]
+    each = sums.select(*run_keys, *groups, "draw", item).select(*run_keys, *groups, "draw", "i.*")
+    ci = _interval(each.groupBy(*by, "draw").agg(F.avg("e").alias("estimate")), by, 0.95)
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric"), inside[k].alias("ok"), F.col(f"{m}_pair").alias("v")) for k in kinds for m in values])).alias("i")
+    means = pairs.select(*run_keys, *groups, told).select(*run_keys, *groups, "i.*").where("ok").groupBy(*by, *groups).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
+    want = F.array(*[F.lit(x) for x in sorted(f"{s}>{t}" for s, t in expected or ())]).cast("array<string>")
+    points = means.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.avg("m").alias("estimate"), F.array_sort(F.collect_set(F.concat_ws(">", *groups))).alias("_seen"))  # few pairs
+    fits = F.lit(True) if expected is None else F.col("_seen") == want
+    all_runs = pairs.select(*run_keys).distinct().select(*run_keys, F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric")) for k in kinds for m in values])).alias("i"))
+    good = points.where(fits).drop("_seen").join(ci, by)
+    return all_runs.select(*run_keys, "i.*").join(good, by, "left").withColumn("status", F.when(F.col("estimate").isNull(), "unavailable").otherwise("available"))
 
 
 def seed_estimates(points: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

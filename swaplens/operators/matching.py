@@ -146,32 +146,55 @@ def pair_candidates(sources: DataFrame, pools: DataFrame, features: Sequence[str
         *[f"{p}_z_{c}" for p in "wc" for c in features])
 
 
-def greedy_pairs(pairs: DataFrame, k: int) -> DataFrame:
+def _field(rows: Column, name: str) -> Column:
+    return F.transform(rows, lambda r: r[name])
+
+
+def greedy_pairs(pairs: DataFrame, k: int, min_slides: int = 1) -> DataFrame:
     """GRD-1 without caps: per source and target k times the cheapest pair whose donors are both
-    new, ordered by (cost, within, cross) with ids as text; donor_index from 0. Sources with
-    fewer than k pairs keep what they have."""
-    w = Window.partitionBy("source_id", "target_hospital").orderBy("matching_cost", F.col("within_donor").cast("string"), F.col("cross_donor").cast("string"))
-    left, chosen = pairs, []
-    for index in range(k):
-        ranked = left.withColumn("_r", F.row_number().over(w))
-        best = ranked.where("_r = 1").drop("_r").withColumn("donor_index", F.lit(index))
-        chosen.append(best)
-        used = best.select("source_id", "target_hospital", F.col("within_donor").alias("_w"), F.col("cross_donor").alias("_c"))
-        left = left.join(used, ["source_id", "target_hospital"]).where((F.col("within_donor") != F.col("_w")) & (F.col("cross_donor") != F.col("_c"))).drop("_w", "_c")
-    return reduce(lambda a, b: a.unionByName(b), chosen)
+    new, ordered by (cost, within, cross) with ids as text; donor_index from 0. While fewer than
+    ``min_slides`` slides are used on a side, a pair must bring a new one. Sources with fewer than
+    k pairs keep what they have.
+
+    The pairs of a source and target, at most the product of its two pools, are sorted in one
+    array and folded once; only chosen pairs leave the row.
+    """
+    keys = ["source_id", "target_hospital"]
+    rest = [c for c in pairs.columns if c not in keys]
+    order = F.struct(
+        F.col("matching_cost").alias("o1"), F.col("within_donor").cast("string").alias("o2"), F.col("cross_donor").cast("string").alias("o3"),
+        F.struct(*rest).alias("pair"),
+    )
+    grouped = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("sorted"))
+    kind = dict(pairs.select(F.array(F.struct(*rest)).alias("p")).dtypes)["p"]
+
+    def step(chosen: Column, item: Column) -> Column:
+        p = item["pair"]
+        free = ~F.exists(chosen, lambda c: (c["within_donor"] == p["within_donor"]) | (c["cross_donor"] == p["cross_donor"]))
+        if min_slides > 1:
+            for side in ("within_slide", "cross_slide"):
+                used = _field(chosen, side)
+                free = free & ((F.size(F.array_distinct(used)) >= min_slides) | ~F.array_contains(used, p[side]))
+        return F.when((F.size(chosen) < k) & free, F.concat(chosen, F.array(p))).otherwise(chosen)
+
+    chosen = F.aggregate("sorted", F.array().cast(kind), step)
+    return grouped.select(*keys, F.posexplode(chosen).alias("donor_index", "pair")).select(*keys, "pair.*", "donor_index")
 
 
 def ledger(sources: DataFrame, pools: DataFrame, chosen: DataFrame, rules: Rules, targets: Sequence[int]) -> DataFrame:
     """One row per source and target: accepted, or excluded for the first reason that applies."""
+    near = F.col("distance") <= rules.tau_distance
     counted = pools.groupBy("source_id", "role", "d_hospital").agg(
-        F.count("*").alias("n"), F.count_if(F.col("distance") <= rules.tau_distance).alias("near"))
-    within = counted.where("role = 'within'").select("source_id", F.col("n").alias("n_w"), F.col("near").alias("near_w"))
-    cross = counted.where("role = 'cross'").select("source_id", F.col("d_hospital").alias("target_hospital"), F.col("n").alias("n_c"), F.col("near").alias("near_c"))
+        F.count("*").alias("n"), F.count_if(near).alias("near"), F.count_distinct(F.when(near, F.col("d_slide"))).alias("slides"))
+    columns = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("n", "near", "slides")]
+    within = counted.where("role = 'within'").select("source_id", *columns("w"))
+    cross = counted.where("role = 'cross'").select("source_id", F.col("d_hospital").alias("target_hospital"), *columns("c"))
     got = chosen.groupBy("source_id", "target_hospital").agg(F.count("*").alias("pairs"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     reason = (
         F.when(none("n_w"), "no_within_candidate").when(none("n_c"), "no_cross_candidate")
         .when(none("near_w") | none("near_c"), "distance_threshold")
+        .when(F.least("slides_w", "slides_c") < rules.min_slides, "insufficient_donor_slide_diversity")
         .when(F.coalesce(F.col("pairs"), F.lit(0)) < rules.k, "insufficient_balanced_pairs")
     )
     rows = with_targets(sources, targets).join(within, "source_id", "left").join(cross, ["source_id", "target_hospital"], "left").join(got, ["source_id", "target_hospital"], "left")
@@ -184,7 +207,7 @@ def match(sources: DataFrame, bank: DataFrame, features: Sequence[str], rules: R
     """Balanced matching without caps -> (triplets, ledger); with caps see ``allocator``."""
     require_columns(bank, ["source_id", "hospital_id", "label", "split", "physical_id", "slide_id"], "donor bank")
     pools = nearest(requests(sources, targets), bank, features, rules.pool, ranges=ranges)
-    chosen = greedy_pairs(pair_candidates(sources, pools, features, rules, targets), rules.k)
+    chosen = greedy_pairs(pair_candidates(sources, pools, features, rules, targets), rules.k, rules.min_slides)
     full = Window.partitionBy("source_id", "target_hospital")
     whole = chosen.withColumn("_n", F.count("*").over(full)).where(F.col("_n") == rules.k).drop("_n")
     return finish(whole, sources), ledger(sources, pools, chosen, rules, targets)

@@ -96,6 +96,10 @@ def pair_weighted(directed_table: DataFrame, metric: str, expected: Sequence[tup
                     F.size("_seen").alias("n_pairs"), text("missing_pairs").alias("missing_pairs"), text("unexpected_pairs").alias("unexpected_pairs"))
 
 
+def _targets_of(pairs: str, hospital: int):
+    return F.array_sort(F.transform(F.filter(pairs, lambda p: p["s"] == hospital), lambda p: p["t"]))
+
+
 def common_support(sources: DataFrame, metric: str, expected: dict[int, set[int]] | None) -> DataFrame:
     """HCS-3, HCE-3: sources in common support only; mean of pair means, unavailable unless each
     expected hospital has exactly its targets. Without run columns an empty table gives one
@@ -109,7 +113,7 @@ def common_support(sources: DataFrame, metric: str, expected: dict[int, set[int]
         F.array_sort(F.collect_set(F.struct(F.col("source_hospital").cast("int").alias("s"), F.col("target_hospital").cast("int").alias("t")))).alias("_seen"))
     ok = F.col("_n") > 0
     for hospital, targets in (expected or {}).items():
-        have = F.array_sort(F.transform(F.filter("_seen", lambda p, h=hospital: p["s"] == h), lambda p: p["t"]))
+        have = _targets_of("_seen", hospital)
         ok = ok & (have == F.array(*[F.lit(t).cast("int") for t in sorted(targets)]))
     n = df.groupBy(*by).agg(F.count_distinct("source_id").alias("n_unique_sources"))
     j = g.join(n, by) if by else g.crossJoin(n)
