@@ -34,8 +34,10 @@ def near_duplicate_classes(
 
 
 def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
-    """The documents with one row of each near-duplicate class: that of its smallest doc_id."""
+    """The documents with one row of each near-duplicate class: that of its smallest doc_id, once
+    where rows repeat it. Rows without a doc_id can't be told apart, and all stay."""
     classes = near_duplicate_classes(docs, **kwargs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    one = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    key = kwargs.get("id_col", "doc_id")
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    one = docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    return one.unionByName(docs.where(F.col(key).isNull()))

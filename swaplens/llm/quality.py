@@ -65,6 +65,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     of_byte = np.repeat(np.arange(total), np.diff(cut, append=len(data)))
     classes = CLASS_OF[data]
     pairs = of_byte[:-1] * (N_CLASSES * N_CLASSES) + classes[:-1] * N_CLASSES + classes[1:]
+    pairs = np.delete(pairs, begins[1:-1] - 1)  # of a text's end and the next one's start
     counts = np.bincount(pairs, minlength=total * N_CLASSES * N_CLASSES).reshape(total, -1)
     out = np.zeros((total, N_FEATURES), np.float32)
     out[:, : N_CLASSES * N_CLASSES] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
@@ -163,7 +164,8 @@ def _score(batches, model: dict | None):
         scores = []
         for run in runs_of((t or "" for t in batch.column(1).to_pylist()), 1 << 20):
             x, sizes = encode([t.encode() for t in run])
-            scores.append(np.full(len(run), 0.5) if model is None else _forward(model, x, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)[-1])
+            # the last bits of sums depend on what is scored together
+            scores.append(np.full(len(run), 0.5) if model is None else np.round(_forward(model, x, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)[-1], 9))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["doc_id", "score"])
 
 

@@ -76,5 +76,32 @@ def queries() -> dict:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in url_filter.RULES)
+
+#: By comparing every url with every rule.
+_URL_SQL = f"""
+WITH rules(verdict, host, path) AS (VALUES {_RULES}),
+rest AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT k, page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, p.host, p.path, u.host || u.path AS rule, coalesce(u.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN rules u ON (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path)
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(u.host || u.path) DESC, length(u.host) DESC, u.verdict DESC) = 1
+"""
+
+_CHAT_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')),
+escaped AS (SELECT *, replace(replace(t, '\\', '\\\\'), '<|', '<\\|') AS e, replace(replace(replace(r, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n') AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  coalesce(CAST(sum(length(t)) FILTER (r = 'assistant') AS BIGINT), 0) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || n || chr(10) || e || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have learned models, tokenizers, random draws or fingerprints that SQL lacks; tests
+    hold them against brute force."""
+    return {"op7_url_filter": _URL_SQL, "op9_chat_format": _CHAT_SQL}
