@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import tokenizing
+from . import word_encoding
 from .shared import range_bounds, range_index, ranges_wanted, shared_dir
 
 END = 0
@@ -20,10 +20,6 @@ END = 0
 #: metadata of all are read without the rest.
 ROW_GROUP, PAGE = 32 << 20, 1 << 20
 CHUNK, OVERLAP = 1 << 15, 256
-#: Distinct words whose ids a worker keeps.
-KEPT = 600_000
-
-_FAST: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -32,103 +28,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _WordEncoder:
-    """Encodes by the tokenizer, each distinct word once. A place before a single space or around a
-    single line break is a token boundary whatever stands beyond (see ``tokenizing``), so ids of a
-    text are the joined ids of its words, each with the space before it; so is a place between a
-    letter and a full stop or comma that ends a word. Used only for byte-level BPE with its standard pattern, and only for texts whose white space is single spaces and line
-    breaks and that hold no special string; all others are encoded whole by the tokenizer."""
-
-    #: Other white space; white space that isn't single or stands at an end; special strings; nothing.
-    ODD = (
-        r"[\t\x{0b}-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-        r"|  | \n|\n |\n\n|<\||^[ \n]|[ \n]\z|^\z"
-    )
-    #: A full stop or comma that becomes a word of its own, marked in front.
-    STOP = (r"(\pL)([.,])( |\n|\z)", r"\1 " "\v" r"\2\3")
-
-    def __init__(self, path: str):
-        import json
-
-        self.tokenizer = tokenizing.load(path)
-        with open(path) as f:
-            told = json.load(f)
-        pre = told.get("pre_tokenizer") or {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.simple = (
-            told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True
-            and pre.get("add_prefix_space") is False and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
-            and all(x["content"].startswith("<|") for x in told.get("added_tokens", ())) and len(line) == 1
-        )
-        self.line = line[0] if line else 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words, a few hundred a call, one on each line. Words are marked in front:
-        line break, carriage return at the start of a text, vertical tab for a sign that follows a word,
-        nothing for a space before."""
-        told = [("\n" if w[0] == "\n" else "", w[1:]) if w[:1] in ("\n", "\r", "\v") else (" ", w) for w in words]
-        pieces = [w if before != " " else " " + w for before, w in told]
-        runs = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
-        ids = [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False)]
-        # a line break stays in front of each word, and goes where the word has none
-        flat = np.concatenate([np.concatenate([[self.line], x]) for x in ids]).astype("<u4")
-        starts = np.flatnonzero(flat == self.line)
-        if len(starts) != len(words):
-            raise ValueError("words must not hold line breaks")
-        keep = np.ones(len(flat), bool)
-        keep[starts[[before != "\n" for before, _ in told]]] = False
-        lengths = np.add.reduceat(keep, starts)
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, flat[keep]])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-
-    def whole(self, text: str, chunk: int, overlap: int) -> np.ndarray:
-        if len(text) <= chunk:
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return tokenizing.encode_spliced(self.tokenizer, text, chunk, overlap).astype("<u4")
-
-    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        stops = pc.replace_substring_regex(texts, *self.STOP)
-        marked = pc.binary_join_element_wise("\r", pc.replace_substring(stops, "\n", " \n"), "")
-        lists = pc.split_pattern(marked, " ")
-        words = lists.flatten().dictionary_encode()
-        if len(self.place) > KEPT:
-            self.clear()
-        distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        before = np.cumsum(lengths) - lengths
-        ids = self.flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
-        return ids, np.add.reduceat(lengths, lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py())
-
-    def encode(self, texts: pa.Array, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and the number of ids of each."""
-        texts = texts.fill_null("")
-        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False) if self.simple else np.ones(len(texts), bool)
-        ids, n = self.plain(texts.filter(pa.array(~odd))) if not odd.all() else (np.empty(0, "<u4"), np.empty(0, np.int64))
-        if not odd.any():
-            return ids, n
-        cut, parts, k = np.concatenate([[0], np.cumsum(n)]), [], 0
-        for is_odd, t in zip(odd.tolist(), texts, strict=True):
-            parts.append(self.whole(t.as_py(), chunk, overlap) if is_odd else ids[cut[k] : cut[k + 1]])
-            k += not is_odd
-        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-
-
-def _encoder(path: str) -> _WordEncoder:
-    if path not in _FAST:
-        _FAST[path] = _WordEncoder(path)
-    return _FAST[path]
-
-
 def _slices(texts: pa.Array, most_bytes: int):
     """(offset, length) of runs of about ``most_bytes`` in total."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -140,7 +39,7 @@ def _slices(texts: pa.Array, most_bytes: int):
 
 
 def _encode(batches, path: str, chunk: int, overlap: int):
-    encoder = _encoder(path)
+    encoder = word_encoding.load(path)
     for batch in batches:
         for a, length in _slices(batch.column(2), 8 << 20):
             part = batch.slice(a, length)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from swaplens.llm import token_counts, token_output, tokenizing
+from swaplens.llm import token_counts, token_output, tokenizing, word_encoding
 
 from .helpers import awkward, empty, table
 
@@ -90,7 +90,7 @@ def test_encoding_by_words_is_the_whole_encoding(path, plain):
     import pyarrow as pa
 
     rng = random.Random(2)
-    encoder = token_output._WordEncoder(path)
+    encoder = word_encoding.WordEncoder(path)
     for _ in range(60):
         texts = ["".join(rng.choices(ODD, k=rng.randrange(0, 60))) for _ in range(20)]
         texts += [" ".join("".join(rng.choices(["a", "Bc", "é", "漢", "1", ",", ".", "'s", "-", "!"], k=rng.randrange(1, 6))) for _ in range(30)) for _ in range(20)]
