@@ -37,6 +37,8 @@ class Rules:
 
 #: Donors of one range of the projection, about, when groups are searched in ranges.
 RANGE = 4096
+#: Donors up to which a group is paired whole with its requests.
+WHOLE = 4 * RANGE
 HELD_OUT = ("val", "test")
 
 
@@ -58,7 +60,7 @@ def requests(sources: DataFrame, targets: Sequence[int]) -> DataFrame:
 
 
 def nearest(
-    asked: DataFrame, bank: DataFrame, features: Sequence[str], k: int, by_string: bool = True, ranges: bool = False
+    asked: DataFrame, bank: DataFrame, features: Sequence[str], k: int, by_string: bool = True, ranges: bool | None = None
 ) -> DataFrame:
     """KNN-1/2/5, JOIN-6, FLT-3: the k nearest eligible donors of each request, with rank.
 
@@ -66,9 +68,12 @@ def nearest(
     The rank filter is pushed below the shuffle. With ``ranges`` large groups aren't paired whole:
     donors are cut into ranges of a projection of length one (which never exceeds the distance), a
     source first searches its own range, and then only ranges that its k-th distance reaches; the
-    result is the same.
+    result is the same. None: only if a group is larger than ``WHOLE`` donors.
     """
     keys = ["d_hospital", "label", "d_split"]
+    if ranges is None:
+        largest = bank.groupBy("hospital_id", "label", "split").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        ranges = (largest or 0) > WHOLE
     s = asked.select("source_id", "physical_id", "role", *keys, *[F.col(f"z_{c}").alias(f"s_z_{c}") for c in features])
     d = bank.select(
         F.col("hospital_id").alias("d_hospital"), "label", F.col("split").alias("d_split"), F.col("source_id").alias("donor_id"),
@@ -106,17 +111,20 @@ def nearest(
 
 
 def radius_join(asked: DataFrame, bank: DataFrame, features: Sequence[str], radius: float) -> DataFrame:
-    """JOIN-7: all eligible donors of the group within the radius."""
+    """JOIN-7: all eligible donors of the group within the radius. Donors lie in cells of one radius
+    along the first feature; a source meets its own cell and the two beside it."""
+    if radius <= 0:
+        raise ValueError("radius must be positive")
     keys = ["d_hospital", "label", "d_split"]
     s = asked.select("source_id", "physical_id", "role", *keys, *[F.col(f"z_{c}").alias(f"s_z_{c}") for c in features])
     d = bank.select(
         F.col("hospital_id").alias("d_hospital"), "label", F.col("split").alias("d_split"), F.col("source_id").alias("donor_id"),
         F.col("physical_id").alias("d_physical"), *[F.col(f"z_{c}").alias(f"d_z_{c}") for c in features],
     )
-    first = features[0]
-    # distances never fall below the difference in one feature, which prunes before the sum
-    close = F.abs(F.col(f"s_z_{first}") - F.col(f"d_z_{first}")) <= radius + 1e-6
-    pairs = s.join(d, keys).where(close & (F.col("d_physical") != F.col("physical_id")) & (F.col("donor_id") != F.col("source_id")))
+    cell = lambda p: F.floor(F.col(f"{p}_z_{features[0]}") / (radius + 1e-6))
+    s = s.withColumn("cell", F.explode(F.array(*[cell("s") + i for i in (-1, 0, 1)])))
+    d = d.withColumn("cell", cell("d"))
+    pairs = s.join(d, [*keys, "cell"]).where((F.col("d_physical") != F.col("physical_id")) & (F.col("donor_id") != F.col("source_id")))
     return pairs.withColumn("distance", euclidean(z_columns(features, "s_"), z_columns(features, "d_"))).where(F.col("distance") <= radius).select(
         "source_id", "role", "d_hospital", "donor_id", "distance")
 
@@ -203,7 +211,7 @@ def ledger(sources: DataFrame, pools: DataFrame, chosen: DataFrame, rules: Rules
         F.when(reason.isNull(), "accepted").otherwise("excluded").alias("coverage_status"), reason.alias("exclusion_reason"))
 
 
-def match(sources: DataFrame, bank: DataFrame, features: Sequence[str], rules: Rules, targets: Sequence[int], ranges: bool = False) -> tuple[DataFrame, DataFrame]:
+def match(sources: DataFrame, bank: DataFrame, features: Sequence[str], rules: Rules, targets: Sequence[int], ranges: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Balanced matching without caps -> (triplets, ledger); with caps see ``allocator``."""
     require_columns(bank, ["source_id", "hospital_id", "label", "split", "physical_id", "slide_id"], "donor bank")
     pools = nearest(requests(sources, targets), bank, features, rules.pool, ranges=ranges)

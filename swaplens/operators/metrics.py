@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import present, require_columns
+from ..functions.ordering import before, value_bucket
 
 KEYS = ["source_id", "source_split", "source_hospital", "target_hospital"]
 RUN = ["source_split", "seed", "backbone"]
@@ -135,11 +136,10 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "id", by: Sequenc
 def performance(df: DataFrame, label: str = "label", logit: str = "logit", by: Sequence[str] = ()) -> DataFrame:
     """PRF-1: n, accuracy at probability 0.5, and AUROC by mid-ranks; null with one class.
 
-    Ties are aggregated first and ranks accumulate over distinct scores, so rows that share a
-    score never meet in one window."""
+    Ties are aggregated first; totals below each distinct score accumulate within buckets of scores, so
+    no task sees all rows."""
     scores = df.groupBy(*by, F.col(logit).alias("x")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    before = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    below = scores.withColumn("b", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    below = before(scores, ["x"], F.col("n"), value_bucket(scores, "x"), "b", by)
     right = F.when(1 / (1 + F.exp(-F.col("x"))) >= 0.5, F.col("p")).otherwise(F.col("n"))
     return below.groupBy(*by).agg(
         (F.sum("p") + F.sum("n")).alias("n"), (F.sum(right) / (F.sum("p") + F.sum("n"))).alias("accuracy"),

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import hash_order, present, require_columns, uniform
+from ..functions.ordering import hash_bucket, ranked, value_bucket
 
 ELIGIBLE = ["source_id", "source_split", "source_hospital", "source_slide", "source_physical_id", "label"]
 
@@ -70,18 +69,10 @@ def permuted(df: DataFrame, value: str, seed: int, key: str = "source_id", strat
 
 
 def permuted_wide(df: DataFrame, value: str, seed: int, key: str = "source_id") -> DataFrame:
-    """PRM-1 without strata for tables of any size: both orders are range-partitioned sorts, ranks are
-    offsets of partitions plus positions in them, and rows meet by rank."""
-    def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
-        sorted_rows = rows.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id())
-        part = F.shiftright("_pos", 33)
-        placed = sorted_rows.withColumn("_part", part).withColumn("_at", F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))).drop("_pos")
-        sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
-        base = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-        return placed.join(F.broadcast(base), "_part").withColumn("_r", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
-
-    a = ranked(df, [F.col(key)])
-    b = ranked(df.select(F.col(value).alias(f"permuted_{value}"), hash_order(seed, F.col(key)).alias("_h"), F.col(key).alias("_k")), [F.col("_h"), F.col("_k")])
+    """PRM-1 without strata for tables of any size: rows meet by their ranks in both orders."""
+    a = ranked(df, [key], value_bucket(df, key))
+    other = df.select(F.col(value).alias(f"permuted_{value}"), hash_order(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
+    b = ranked(other, ["_h", "_k"], hash_bucket(F.col("_h")))
     return a.join(b.drop("_h", "_k"), "_r").drop("_r")
 
 
@@ -119,9 +110,9 @@ def independent_assignments(sources: DataFrame, bank: DataFrame, seed: int, cap:
     allowed = (F.col("donor_source_id") != F.col("source_id")) & (F.col("donor_physical_id") != F.col("source_physical_id"))
     done = None
     for round_ in range(rounds):
-        s = _ranked(asked, hash_order(seed, round_, "source", F.col("source_id")))
-        p = _ranked(places, hash_order(seed, round_, "place", F.col("donor_source_id"), F.col("copy")))
-        met = s.join(p, "_r", "left").withColumn("_ok", F.coalesce(allowed, F.lit(False))).checkpoint() if _can_checkpoint(sources) else s.join(p, "_r", "left").withColumn("_ok", F.coalesce(allowed, F.lit(False))).persist()
+        s = _hash_ranked(asked, hash_order(seed, round_, "source", F.col("source_id")), ["source_id"])
+        p = _hash_ranked(places, hash_order(seed, round_, "place", F.col("donor_source_id"), F.col("copy")), ["donor_source_id", "copy"])
+        met = s.join(p, "_r", "left").withColumn("_ok", F.coalesce(allowed, F.lit(False))).persist()  # read by this round and those after
         good = met.where("_ok").drop("_ok", "_r")
         done = good if done is None else done.unionByName(good)
         asked = met.where("NOT _ok").select(*asked.columns)
@@ -131,17 +122,8 @@ def independent_assignments(sources: DataFrame, bank: DataFrame, seed: int, cap:
     raise ValueError("no independent context donor remained for some sources")
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return bool(df.sparkSession.sparkContext.getCheckpointDir())
-
-
-def _ranked(df: DataFrame, order: Column) -> DataFrame:
-    """_r: rank in the order, by a range-partitioned sort rather than one window over all."""
-    placed = df.withColumn("_o", order).orderBy("_o").withColumn("_pos", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_pos", 33)).withColumn("_at", F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))).drop("_pos", "_o")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # one row a partition
-    return placed.join(F.broadcast(base), "_part").withColumn("_r", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+def _hash_ranked(df: DataFrame, order: Column, ties: Sequence[str]) -> DataFrame:
+    return ranked(df.withColumn("_o", order), ["_o", *ties], hash_bucket(F.col("_o"))).drop("_o")
 
 
 def assignment_diagnostics(assignments: DataFrame) -> DataFrame:
@@ -164,8 +146,3 @@ def control_status(spark, kind: str, assignments_prepared: bool = False) -> Data
         raise ValueError(f"unknown control: {kind}")
     rows += [("control_training", "unavailable", "training is outside this engine"), ("control_audit", "implemented", "uses the audit of the primary runs")]
     return spark.createDataFrame(rows, "stage string, status string, reason string")
-
-
-def numpy_permutation(values: np.ndarray, seed: int) -> np.ndarray:
-    """The draws of a seeded generator, for runs small enough to hold (tests, single tables)."""
-    return np.random.default_rng(seed).permutation(pd.Series(values).to_numpy())

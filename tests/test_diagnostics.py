@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from swaplens.functions import columns
+from swaplens.functions import columns, ordering
 from swaplens.operators import aggregation, diagnostics, metadata, sampling
 
 DESC = "source_id long, hospital_id int, slide_id string, label int, f1 double, f2 double"
@@ -104,6 +104,17 @@ def test_permutations_keep_counts(spark):
         assert sorted(r.v for r in inside) == sorted(r.permuted_v for r in inside)
 
 
+def test_ranks_and_running_totals_over_a_whole_table(spark):
+    rows = [(i * 37 % 100, i * 37 % 100 % 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, g int").repartition(7)
+    assert all(r._r == r.k for r in ordering.ranked(df, ["k"], ordering.value_bucket(df, "k")).collect())
+    sums = ordering.before(df, ["k"], F.col("k"), ordering.value_bucket(df, "k"), "s", ["g"]).collect()
+    assert all(r.s == sum(k for k, g in rows if g == r.g and k < r.k) for r in sums)
+    hashed = df.withColumn("h", columns.hash_order(1, F.col("k")))
+    got = sorted(ordering.ranked(hashed, ["h", "k"], ordering.hash_bucket(F.col("h"))).collect(), key=lambda r: r._r)
+    assert [r.h for r in got] == sorted(r.h for r in got) and [r._r for r in got] == list(range(100))
+
+
 BANK = "source_id long, label int, hospital_id int, physical_id string, slide_id string"
 
 
