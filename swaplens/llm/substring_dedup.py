@@ -1,169 +1,271 @@
 """Repeated passages across documents, by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; it depends on the last 16 only. At the ends of words it is
-sampled, and a cut is made at each word end whose hash is the least in some window of ``WINDOW``
-consecutive word ends. Cuts depend on nearby bytes alone, so inserted text shifts no later chunk; and
-every run of ``WINDOW`` words has a cut, so a passage of 50 words that repeats holds whole chunks,
-whatever surrounds it. Chunks are deduplicated by a 128-bit digest.
+A gear hash rolls over the words of a text, h = (h << 8) + entry, where a word's entry is drawn from
+its bytes; of 24 bits, it depends on the last ``REACH`` words only. A chunk ends at each word whose hash
+is the least in some window of ``WINDOW`` consecutive words. Cuts depend on nearby words alone, so
+inserted text shifts no later chunk, nor does other white space; and a passage of
+``2 * WINDOW + REACH - 1`` words that repeats holds at least one whole chunk, the same in both places,
+whatever surrounds it.
+
+Chunks are deduplicated by digest. Of a text only the runs of shared chunks go on, and only those
+that could, with the words beside them, reach the wanted length. Chains of consecutive
+chunks that are long enough are deduplicated by digest in turn; what chains leave open is compared
+word for word, by the digests of all windows around the open chunks.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import materialize
+from .tokenizing import slices
 
-WINDOW, MIN_WORDS = 15, 50
-#: Documents with open runs up to which they are found by broadcast.
+WINDOW, REACH, MIN_WORDS = 24, 3, 50
+#: Documents with open chunks up to which they are found by broadcast.
 BROADCAST_IDS = 1_000_000
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Bytes of text that a task works on at once, about, and bytes that it hashes at once.
+SLICE, BLOCK = 4 << 20, 1 << 19
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_ONE = np.uint64(1)
+#: Odd multiplier of polynomial digests, and its inverse modulo 2^64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_FAR = 1 << 40
+
+
+def gear(doc: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """h = (h << 8) + entry, modulo 2^24, after each word; each text begins anew."""
+    entry = (codes & np.uint64(0xFFFFFF)).astype(np.int64)
+    h = entry.copy()
+    for k in range(1, REACH):
+        h[k:] += (entry[:-k] << 8 * k) * (doc[k:] == doc[:-k])
+    return h & 0xFFFFFF
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTES = scramble(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_PLACES = scramble(np.arange(1, 257, dtype=np.uint64) * _INVERSE) | _ONE
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[_ONE], np.full(max(n - 1, 0), base)]))[:n]
+
+
+def ranges_digest(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Digests of codes[first:last] for each pair: the same wherever the codes stand."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * _powers(_BASE, len(codes)), dtype=np.uint64)])
+    back = _powers(_INVERSE, len(codes) + 1)
+    return scramble((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+
 
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, code) of every word of the texts, in order. Bytes are hashed in blocks that end
+    between words."""
+    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    begins = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    space = _SPACE[data]
+    edge = np.diff(space.astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
+    codes, a = [np.empty(0, np.uint64)], 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK)))
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        s = starts[a:b] - lo
+        place = np.arange(hi - lo) - np.repeat(s, np.diff(s, append=hi - lo))
+        # longer words repeat the multipliers, with the number of the round
+        mixed = _BYTES[data[lo:hi]] * (_PLACES[place & 255] + (place >> 8 << 1).astype(np.uint64))
+        mixed[space[lo:hi]] = 0
+        codes.append(scramble(np.add.reduceat(mixed, s)))
+        a = b
+    return np.searchsorted(begins, starts, "right") - 1, np.concatenate(codes)
 
-def gear_table() -> np.ndarray:
-    """256 numbers of 32 bits, by rule."""
-    return np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
+def cuts(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a chunk ends after each word: least of a window within the text, or the text's last."""
+    n = len(doc)
+    cut = np.zeros(n, bool)
+    if n >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(hashes << 38 | np.arange(n), WINDOW).min(1) & ((1 << 38) - 1)
+        cut[least[doc[: n - WINDOW + 1] == doc[WINDOW - 1 :]]] = True
+    if n:
+        cut[np.flatnonzero(np.diff(doc, append=doc[-1] + 1))] = True
+    return cut
 
-def gear(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The upper half of h = (h << 1) + table[byte] over the last 16 bytes, at every byte. The sum
-    over the last 2 k bytes is that over k plus that of k bytes before, shifted by k."""
-    h = table[data] & np.uint32(0xFFFF)
-    for k in (1, 2, 4, 8):
-        older = np.zeros_like(h)
-        older[k:] = h[:-k] if len(h) > k else h[:0]
-        h = h + (older << np.uint32(k))
-    # 16 bytes back is out of reach of these bits
-    return h & np.uint32(0xFFFF)
 
+def _room(doc: np.ndarray, hashes: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Up to ``WINDOW - 1``: words of the text beside each cut before a hash that would have been cut
+    instead, had the window reached it: a lower one after, one as low before."""
+    room, alive = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for k in range(1, WINDOW):
+        to = np.clip(at + step * k, 0, len(doc) - 1)
+        higher = hashes[to] >= hashes[at] if step > 0 else hashes[to] > hashes[at]
+        alive &= higher & (doc[to] == doc[at]) & (to == at + step * k)
+        room += alive
+    return room
 
-def word_cuts(text: bytes, table: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Word spans, and the ascending word numbers after which a chunk ends (the last included)."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    n = len(words)
-    if not n:
-        return words, np.empty(0, np.int64)
-    h = gear(np.frombuffer(text, np.uint8), table)[[b - 1 for _, b in words]]
-    if n < WINDOW:
-        return words, np.array([n])
-    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1) + np.arange(n - WINDOW + 1)
-    cuts = np.unique(least) + 1
-    return words, cuts if cuts[-1] == n else np.append(cuts, n)
 
+def chunk_table(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text number, first word, words, words that a passage can hold before it and after it without
+    another whole shared chunk, digest) of every chunk."""
+    doc, codes = words_of(texts)
+    hashes = gear(doc, codes)
+    last = np.flatnonzero(cuts(doc, hashes))
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    own, n = doc[first], last - first + 1
+    start = first - np.searchsorted(doc, np.arange(len(texts)))[own]
+    before, after = np.zeros_like(n), _room(doc, hashes, last, 1)
+    if len(last):
+        before[1:] = _room(doc, hashes, last[:-1], -1) + REACH
+    return own, start, n, np.minimum(before, start), after, ranges_digest(codes, first, last + 1)
 
-CHUNKS = "row long, doc_id long, start int, n_words int, h1 long, h2 long"
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in pc.cast(texts, pa.binary()).to_pylist()]
+
+
+CHUNKS = "doc_id long, part int, at long, h long"
 
 
 def _chunk(batches):
-    table = gear_table()
     for batch in batches:
-        rows: list[list] = [[], [], [], []]
-        h1, h2 = [], []
-        for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            data = (text or "").encode()
-            words, cuts = word_cuts(data, table)
-            a = 0
-            for b in cuts.tolist():
-                chunk = b" ".join(data[s:e] for s, e in words[a:b])
-                d = xxhash.xxh3_128_intdigest(chunk)
-                h1.append(d >> 64)
-                h2.append(d & 0xFFFFFFFFFFFFFFFF)
-                rows[0].append(row)
-                rows[1].append(doc)
-                rows[2].append(a)
-                rows[3].append(b - a)
-                a = b
+        for a, n in slices(batch.column(2), SLICE):
+            rows = batch.slice(a, n)
+            own, start, words, before, after, digest = chunk_table(_bytes(rows.column(2)))
+            at = start << 24 | words << 16 | before << 8 | after
+            own = pa.array(own)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(own), rows.column(1).take(own), pa.array(at, pa.int64()), pa.array(digest.view(np.int64))], ["doc_id", "part", "at", "h"])
+
+
+CANDIDATES = "doc_id long, part int, start int, n_words int, lo int, hi int, h long, chain_words int, chain long"
+
+
+def _chains(batches, size: int):
+    """(doc_id, part, its shared chunks) -> the chunks whose run could reach ``size`` words: the run's
+    bounds with what could belong to a passage beside its chunks, and the words and digest of the shortest chain
+    of the run that starts there and is long enough (none: 0 words and the chunk's digest, which keeps
+    such rows apart when they are dealt by it)."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        doc = np.repeat(np.arange(batch.num_rows), counts)
+        at, h = flat.field("at").to_numpy(), flat.field("h").to_numpy().view(np.uint64)
+        order = np.lexsort((at, doc))
+        doc, at, h = doc[order], at[order], h[order]
+        # rows that repeat a document bring the same chunks again
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+        doc, at, h = doc[fresh], at[fresh], h[fresh]
+        start, n, before, after = at >> 24, at >> 16 & 255, at >> 8 & 255, at & 255
+        end = start + n
+        new = np.ones(len(at), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != end[:-1])
+        run = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        final = np.append(first[1:], len(at)) - 1 if len(at) else first
+        lo = np.minimum.reduceat(start - before, first)[run] if len(at) else start
+        hi = np.maximum.reduceat(end + after, first)[run] if len(at) else end
+        upto = np.searchsorted(end + doc * _FAR, start + doc * _FAR + size)
+        whole = upto <= final[run] if len(at) else new
+        upto = np.where(whole, upto, np.arange(len(at)))
+        chain = np.where(whole, ranges_digest(h, np.arange(len(at)), upto + 1), h) if len(at) else h
+        keep = hi - lo >= size
+        at_doc = pa.array(doc[keep])
+        chain_words = np.where(whole, end[upto] - start, 0) if len(at) else start
+        ints = [pa.array(x[keep].astype(np.int32)) for x in (start, n, lo, hi, chain_words)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32()),
-             pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64))],
-            ["row", "doc_id", "start", "n_words", "h1", "h2"])
+            [batch.column(0).take(at_doc), batch.column(1).take(at_doc), *ints[:4], pa.array(h[keep].view(np.int64)), ints[4], pa.array(chain[keep].view(np.int64))],
+            ["doc_id", "part", "start", "n_words", "lo", "hi", "h", "chain_words", "chain"])
 
 
 def _windows(batches, size: int):
-    """(row, doc_id, chunks, text) -> the digests of all windows of ``size`` words that hold one of
-    the chunks: row, doc_id, start, d."""
+    """(doc_id, part, ranges, text) -> doc_id, part, start and digest of the windows of ``size`` words."""
     for batch in batches:
-        ids, docs, starts, digests = [], [], [], []
-        for row, doc, chunks, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            words = _WORD.findall((text or "").encode())
-            wanted = set()
-            for c in chunks:
-                a, b = c["start"], c["start"] + c["n_words"]
-                wanted.update(range(max(0, b - size), min(a, len(words) - size) + 1))
-            for s in sorted(wanted):
-                ids.append(row)
-                docs.append(doc)
-                starts.append(s)
-                digests.append(xxhash.xxh3_64_intdigest(b" ".join(words[s : s + size])))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(digests, np.uint64).view(np.int64))],
-            ["row", "doc_id", "start", "d"])
+        for a, n in slices(batch.column(3), SLICE):
+            rows = batch.slice(a, n)
+            doc, codes = words_of(_bytes(rows.column(3)))
+            begin = np.searchsorted(doc, np.arange(n + 1))
+            lists = rows.column(2)
+            flat, own = lists.flatten(), np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            x, y = flat.field("a").to_numpy().astype(np.int64), flat.field("b").to_numpy().astype(np.int64)
+            y = np.minimum(y, (begin[1:] - begin[:-1])[own] - size)
+            counts = np.maximum(y - x + 1, 0)
+            first = np.repeat(begin[own] + x, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            first = np.unique(first)  # ranges overlap
+            own = np.searchsorted(begin, first, "right") - 1
+            digest = ranges_digest(codes, first, first + size)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(pa.array(own)), rows.column(1).take(pa.array(own)), pa.array((first - begin[own]).astype(np.int32)), pa.array(digest.view(np.int64))],
+                ["doc_id", "part", "start", "d"])
 
 
-def _islands(df: DataFrame, same: list[str], joined: Column) -> DataFrame:
-    """Number the runs of rows by start within (row, doc_id): ``joined`` tells from the row before
-    whether a row continues it, and the columns of ``same`` must not change."""
-    w = Window.partitionBy("row", "doc_id").orderBy("start")
-    goes_on = joined
-    for c in same:
-        goes_on = goes_on & (F.col(c) == F.lag(c).over(w))
-    fresh = F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
-    return df.withColumn("_new", fresh).withColumn("run", F.sum("_new").over(w)).drop("_new")
+def _shared(df: DataFrame, key: str) -> DataFrame:
+    """key, least and largest doc_id of the keys that more than one document has."""
+    return df.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+
+
+def _other():
+    return F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other_doc_id")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per passage of at least ``min_words`` words that another document has too: doc_id,
-    start_word, n_words, other_doc_id (one that has it, or its start).
-
-    Whole chunks that follow each other in both documents confirm a passage. What chunks leave
-    open, shorter runs and their surroundings, is settled word for word: all windows of
-    ``min_words`` words around chunks of such runs are compared by digest. ``min_words`` must be at
-    least 3 * WINDOW, so that each such passage holds a whole chunk. Words are runs other than
-    white space; white space itself isn't compared. Null, empty and shorter texts have no
-    passage; rows that repeat a doc_id count as one document; null doc_ids are ignored; other
-    columns are not read.
+    """One row per stretch of a document that lies in passages of at least ``min_words`` words which
+    other documents have too: doc_id, start_word, n_words, other_doc_id (one that has its start).
+
+    Every such passage is found; where chains of chunks confirm it, its ends are those of whole
+    chunks, fewer than ``WINDOW + REACH`` words inside. ``min_words`` must be at least
+    2 * WINDOW + REACH - 1, so that each passage holds a whole chunk. Words are runs other than white space, which itself isn't
+    compared. Digests of 64 bits stand for chunks and words. Null, empty and shorter texts have no
+    passage; rows that repeat a doc_id count as one document; null doc_ids are ignored; other columns
+    are not read. A document's own chunks, and no more, meet in one task.
     """
-    rows = docs.select(F.xxhash64(text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    if min_words < 2 * WINDOW + REACH - 1:
+        raise ValueError(f"min_words must be at least {2 * WINDOW + REACH - 1}")
+    # part tells apart unlike texts under one doc_id
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text")).where("doc_id is not null")
     chunks = materialize(rows.mapInArrow(_chunk, CHUNKS), "chunks")
-    place = F.struct("doc_id", "start")
-    shared = (
-        chunks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first.doc_id < last.doc_id")
-    )
     # one row a digest meets its occurrences: a digest that very many share stays splittable
-    found = chunks.join(shared, ["h1", "h2"]).withColumn("with", F.when(F.col("doc_id") == F.col("first.doc_id"), F.col("last")).otherwise(F.col("first")))
-    found = found.select("row", "doc_id", "start", "n_words", "h1", "h2", F.col("with.doc_id").alias("other_doc_id"), (F.col("start") - F.col("with.start")).alias("shift"))
-    found = found.dropDuplicates(["row", "doc_id", "start"])
-    before = Window.partitionBy("row", "doc_id").orderBy("start")
-    numbered = materialize(_islands(found, ["other_doc_id", "shift"], F.col("start") == F.lag(F.col("start") + F.col("n_words")).over(before)), "found")
-    runs = numbered.groupBy("row", "doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("n_words").cast("int").alias("n_words"), F.min("other_doc_id").alias("other_doc_id"))
-    confirmed = runs.where(F.col("n_words") >= min_words)
-    left_open = runs.where(F.col("n_words") < min_words).select("row", "doc_id", "run")
-    digests = numbered.join(left_open, ["row", "doc_id", "run"]).select("h1", "h2").distinct()
-    around = numbered.join(digests, ["h1", "h2"]).groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("chunks"))
-    around = materialize(around, "around")
-    ids = around.select("doc_id").distinct()
+    found = chunks.join(_shared(chunks, "h").select("h"), "h")
+    per_text = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "h")).alias("chunks"))
+    candidates = materialize(per_text.mapInArrow(lambda it: _chains(it, min_words), CANDIDATES), "candidates")
+    chains = _shared(candidates.where("chain_words > 0"), "chain").select("chain", "least", "most", F.lit(True).alias("known"))
+    in_text = Window.partitionBy("doc_id", "part").orderBy("start")
+    flagged = candidates.join(chains, "chain", "left").withColumn("known", F.coalesce(F.col("known") & (F.col("chain_words") > 0), F.lit(False)))
+    reach = F.max(F.when(F.col("known"), F.col("start") + F.col("chain_words"))).over(in_text.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.col("start") + F.col("n_words")
+    flagged = materialize(
+        flagged.select(
+            "doc_id", "part", "start", "chain_words", "known", "least", "most", "h", (F.coalesce(reach, F.lit(0)) < end).alias("open"),
+            F.greatest(F.col("lo"), end - min_words, F.lit(0)).alias("a"), F.least(F.col("start"), F.col("hi") - min_words).alias("b")),
+        "flagged")
+    confirmed = flagged.where("known").select("doc_id", "part", "start", "chain_words", _other())
+    # a chunk that is open in one document is compared in all that have it
+    around = flagged.where("a <= b")
+    wanted = around.join(around.where("open").select("h").distinct(), "h").groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    wanted = materialize(wanted, "wanted")
+    ids = wanted.select("doc_id").distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("row", "doc_id", "text")
+    texts = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     windows = materialize(
-        around.join(texts, ["row", "doc_id"]).select("row", "doc_id", "chunks", "text")
-        .mapInArrow(lambda it: _windows(it, min_words), "row long, doc_id long, start int, d long"), "windows")
-    windows = windows.dropDuplicates(["row", "doc_id", "start"])
-    agreed = windows.groupBy("d").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    same = windows.join(agreed, "d").select("row", "doc_id", "start", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other_doc_id"))
-    settled = (
-        _islands(same, [], F.col("start") == F.lag("start").over(before) + 1).groupBy("row", "doc_id", "run")
-        .agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + min_words).cast("int").alias("n_words"), F.min_by("other_doc_id", "start").alias("other_doc_id"))
-    )
-    both = confirmed.unionByName(settled).select("row", "doc_id", "start", "n_words", "other_doc_id")
-    # of passages that lie within one another the longest stays
-    reach = F.max(F.col("start") + F.col("n_words")).over(Window.partitionBy("row", "doc_id").orderBy("start", F.desc("n_words")).rowsBetween(Window.unboundedPreceding, -1))
-    outer = both.withColumn("reach", reach).where(F.coalesce(F.col("start") + F.col("n_words") > F.col("reach"), F.lit(True)))
-    return outer.select("doc_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "other_doc_id").distinct()
+        wanted.join(texts, ["doc_id", "part"]).select("doc_id", "part", "ranges", "text")
+        .mapInArrow(lambda it: _windows(it, min_words), "doc_id long, part int, start int, d long"), "windows")
+    settled = windows.join(_shared(windows, "d"), "d").select("doc_id", "part", "start", F.lit(min_words).alias("chain_words"), _other())
+    # rows that repeat a document give the same stretches
+    by_start = Window.partitionBy("doc_id", "part").orderBy("start", F.desc("chain_words"))
+    end = F.col("start") + F.col("chain_words")
+    fresh = F.when(F.col("start") <= F.max(end).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    stretches = confirmed.unionByName(settled).withColumn("new", fresh).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    return stretches.groupBy("doc_id", "part", "run").agg(
+        F.min("start").cast("long").alias("start_word"), (F.max(end) - F.min("start")).cast("long").alias("n_words"), F.min_by("other_doc_id", "start").alias("other_doc_id")
+    ).select("doc_id", "start_word", "n_words", "other_doc_id")
