@@ -7,12 +7,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import word_encoding
+from . import tokenizing, word_encoding
 from .shared import range_bounds, range_index, ranges_wanted, shared_dir
 
 END = 0
@@ -28,20 +27,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _slices(texts: pa.Array, most_bytes: int):
-    """(offset, length) of runs of about ``most_bytes`` in total."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most_bytes, "right")))
-        yield a, b - a
-        a = b
-
-
 def _encode(batches, path: str, chunk: int, overlap: int):
     encoder = word_encoding.load(path)
     for batch in batches:
-        for a, length in _slices(batch.column(2), 8 << 20):
+        for a, length in tokenizing.slices(batch.column(2)):
             part = batch.slice(a, length)
             ids, n = encoder.encode(part.column(2), chunk, overlap)
             ids = np.insert(ids, np.cumsum(n), END).astype("<u4")

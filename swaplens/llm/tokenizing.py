@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import worker_env
 
@@ -22,6 +24,16 @@ def load(path: str):
     return _loaded[path]
 
 
+def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of runs of texts of about ``most_bytes`` in total: a run is worked on at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most_bytes, "right")))
+        yield a, b - a
+        a = b
+
+
 def batches(texts: Iterable[str], most_chars: int = 1 << 19):
     """Runs of texts of about ``most_chars`` in total: encodings of a run are held at once."""
     run, n = [], 0
