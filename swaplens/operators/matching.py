@@ -168,6 +168,10 @@ def greedy_pairs(pairs: DataFrame, k: int, min_slides: int = 1) -> DataFrame:
     array and folded once; only chosen pairs leave the row.
     """
     keys = ["source_id", "target_hospital"]
+    if min_slides == 1:
+        # k - 1 cross donors can be taken at most, so one of a within donor's k cheapest pairs is free
+        own = Window.partitionBy(*keys, "within_donor").orderBy("matching_cost", F.col("cross_donor").cast("string"))
+        pairs = pairs.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= k).drop("_r")
     rest = [c for c in pairs.columns if c not in keys]
     order = F.struct(
         F.col("matching_cost").alias("o1"), F.col("within_donor").cast("string").alias("o2"), F.col("cross_donor").cast("string").alias("o3"),

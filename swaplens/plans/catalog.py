@@ -911,15 +911,3 @@ def content_manifest(spark, sf_dir):
     m = tables.manifest(p.select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content")))
     sizes = p.select(F.col("page_id").cast("string").alias("path"), "page_id", host.alias("host"), F.length("html").cast("long").alias("chars"))
     return m.join(sizes, "path").select("page_id", "host", F.col("chars").alias("bytes"), "sha256")
-
-
-def streamed_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed means over a stream of predictions, as far as it has come: runs the stream once over what
-    is in ``sf_dir/predictions`` (not one of the test tables; see the tests)."""
-    from ..streaming.metrics import stream_directed, stream_pair_metrics
-
-    z = b.bank(spark, sf_dir)
-    normal = metrics.fit_normalizer(b.id_logits(z, [42]))
-    static = spark.read.parquet(f"{sf_dir}/predictions")
-    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/predictions")
-    return stream_directed(stream_pair_metrics(stream, normal))
