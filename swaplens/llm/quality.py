@@ -182,8 +182,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """The documents that the classifier accepts; rows and columns as they are. Of rows that share
-    an id all stay if one is accepted."""
-    good = score_quality(docs, labels, id_col, **kwargs).where("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(F.col("_good")), "left_semi")
+def _accept(batches, model: dict | None, text: int, threshold: float):
+    for batch in batches:
+        scores = next(_score([pa.RecordBatch.from_arrays([batch.column(text), batch.column(text)], ["doc_id", "text"])], model)).column(1)
+        yield batch.filter(pa.array(scores.to_numpy() >= threshold))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **kwargs) -> DataFrame:
+    """The rows that the classifier accepts, each by its own text; columns as they are. One pass
+    without a shuffle."""
+    model = train(docs, labels, id_col, text_col, **kwargs)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: _accept(it, model, at, threshold), docs.schema)
