@@ -38,6 +38,8 @@ def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
     where rows repeat it. Rows without a doc_id can't be told apart, and all stay."""
     classes = near_duplicate_classes(docs, **kwargs)
     key = kwargs.get("id_col", "doc_id")
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return one.unionByName(docs.where(F.col(key).isNull()))
+    kept = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    one = docs.join(kept, F.col(key) == F.col("_kept"))
+    # only ids that rows repeat take another exchange
+    one = one.where("_rows = 1").unionByName(one.where("_rows > 1").dropDuplicates([key]))
+    return one.drop("_kept", "_rows").unionByName(docs.where(F.col(key).isNull()))
