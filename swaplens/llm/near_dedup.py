@@ -30,6 +30,8 @@ def near_duplicate_classes(
     of_fp = nodes.join(
         linked.join(least, "root").select("fp", "component_id"), "fp", "left"
     ).select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written out, so that what joins it is dealt anew: a fingerprint that very many rows share is split
+    of_fp = materialize(of_fp, "classes")
     return prints.join(of_fp, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
