@@ -130,9 +130,11 @@ def contaminated(
         .where(F.col("similarity") >= similarity)
         .select("size", "m", "win", F.xxhash64("win").alias("content"), "item_id", "n_bits", "similarity")
     )
+    # written out, so that what joins it is dealt anew: a window that very many documents share is split
+    verified = materialize(verified.drop("win"), "verified")
     best = F.struct((-F.col("similarity")).alias("less"), F.col("start"), F.col("m"), F.col("size"), F.col("n_bits"))
     return (
-        windows.join(verified.drop("win"), ["content", "size", "m"])
+        windows.join(verified, ["content", "size", "m"])
         .groupBy("doc_id", "item_id").agg(F.min(best).alias("b"))
         .select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"),
                 (F.col("b.m") + F.col("b.size") - 1).cast("long").alias("n_words"),
