@@ -14,12 +14,20 @@ KEPT = 600_000
 _loaded: dict = {}
 
 
+def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces flat[ends[i]:ends[i + 1]] for each i of ``at``, joined, and their lengths."""
+    starts, lengths = ends[at], ends[at + 1] - ends[at]
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))], lengths
+
+
 class WordEncoder:
     """Encodes by the tokenizer, each distinct word once. A place before a single space or around a
     single line break is a token boundary whatever stands beyond (see ``tokenizing``), so ids of a
     text are the joined ids of its words, each with the space before it; so is a place between a
-    letter and a full stop or comma that ends a word. Used only for byte-level BPE with its standard pattern, and only for texts whose white space is single spaces and line
-    breaks and that hold no special string; all others are encoded whole by the tokenizer."""
+    letter and a full stop or comma that ends a word. Used only for byte-level BPE with its standard
+    pattern, and only for texts whose white space is single spaces and line breaks and that hold no
+    special string; all others are encoded whole by the tokenizer."""
 
     #: Other white space; white space that isn't single or stands at an end; special strings; nothing.
     ODD = (
@@ -47,7 +55,19 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+        self.flat, self.ends, self.met = np.empty(0, "<u4"), np.zeros(1, np.int64), np.empty(0, np.uint8)
+
+    def forget(self) -> None:
+        """Keep the words that more than one run of texts had, if those are few enough; else none."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > KEPT // 2:
+            return self.clear()
+        words, known = list(self.place), (self.flat, self.ends)
+        self.clear()
+        self.place = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.met = np.ones(len(kept), np.uint8)
+        self.flat, lengths = _gather(*known, kept)
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
 
     def learn(self, words: list[str]) -> None:
         """Encode new words, a few hundred a call, one on each line. Words are marked in front:
@@ -68,6 +88,7 @@ class WordEncoder:
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, flat[keep]])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.uint8)])
 
     def whole(self, text: str, chunk: int, overlap: int) -> np.ndarray:
         if len(text) <= chunk:
@@ -80,15 +101,14 @@ class WordEncoder:
         lists = pc.split_pattern(marked, " ")
         words = lists.flatten().dictionary_encode()
         if len(self.place) > KEPT:
-            self.clear()
+            self.forget()
         distinct = words.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.place]
         if new:
             self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        before = np.cumsum(lengths) - lengths
-        ids = self.flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        self.met[places] = np.minimum(self.met[places] + 1, 2)
+        ids, lengths = _gather(self.flat, self.ends, places[words.indices.to_numpy()])
         return ids, np.add.reduceat(lengths, lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py())
 
     def encode(self, texts: pa.Array, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
