@@ -84,6 +84,8 @@ def fingerprint_table(
         search(index.select("fp"), wanted).join(index, "fp").groupBy("query").agg(F.sum("n").alias("n_near"))
         .select(F.col("query").alias("fp"), F.lit(True).alias("asked"), "n_near")
     )
+    # written out, so that what joins it is dealt anew: a fingerprint that very many rows share is split
+    found = materialize(found, "found")
     return (
         with_next(prints, "doc_id", "tie", ["fp"], n)
         .withColumn("asked", F.when(is_query, F.lit(True)))
