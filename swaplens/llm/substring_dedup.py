@@ -211,8 +211,9 @@ def _windows(batches, size: int):
 
 
 def _shared(df: DataFrame, key: str) -> DataFrame:
-    """key, least and largest doc_id of the keys that more than one document has."""
-    return df.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    """key, least and largest doc_id of the keys that more than one document has. Written out, so that
+    what joins it is dealt anew: a key that very many rows share is then split."""
+    return materialize(df.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "shared")
 
 
 def _other():
@@ -235,7 +236,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # part tells apart unlike texts under one doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text")).where("doc_id is not null")
     chunks = materialize(rows.mapInArrow(_chunk, CHUNKS), "chunks")
-    # one row a digest meets its occurrences: a digest that very many share stays splittable
     found = chunks.join(_shared(chunks, "h").select("h"), "h")
     per_text = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "h")).alias("chunks"))
     candidates = materialize(per_text.mapInArrow(lambda it: _chains(it, min_words), CANDIDATES), "candidates")
@@ -252,7 +252,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     confirmed = flagged.where("known").select("doc_id", "part", "start", "chain_words", _other())
     # a chunk that is open in one document is compared in all that have it
     around = flagged.where("a <= b")
-    wanted = around.join(around.where("open").select("h").distinct(), "h").groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    opened = materialize(around.where("open").select("h").distinct(), "open")
+    wanted = around.join(opened, "h").groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("doc_id").distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
