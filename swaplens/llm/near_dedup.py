@@ -1,7 +1,14 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing, and exact near duplicates by prefix filtering.
+
+Two sets of n and m shingles have Jaccard similarity t or more only if they share t (n + m) / (1 + t)
+of them, which is t n at least. So in any one order of all shingles, the first n - ceil(t n) + 1 of
+each set have one in common: those prefixes propose the pairs, and whole sets decide. No pair is lost.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +16,16 @@ from .hamming import components, links
 from .shared import materialize
 from .simhash import as_hex, ascii_words, fingerprints
 
+#: Five-word similarity from which documents are near duplicates for a stage of a pipeline.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Which shingles go last in the order: those that ``COMMON`` of one in ``ONE_IN`` texts have, at most
+#: ``LISTED``. Any order gives the same result; this one proposes fewer pairs.
+ONE_IN, COMMON, LISTED = 16, 8, 100_000
+#: Candidates up to which their table is broadcast; beyond, it is joined by shuffling.
+BROADCAST = 500_000
+#: Shingles that a worker sorts at once, about.
+AT_ONCE = 1 << 18
+
 
 def near_duplicate_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, segments: int = 2
@@ -35,11 +52,111 @@ def near_duplicate_classes(
     return prints.join(of_fp, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _prefixes(batches, last: np.ndarray, similarity: float):
+    """Rows of (sig, ascending hashes) -> the prefix: h, sig, n, place; the hashes ``last`` sort last."""
+    for whole in batches:
+        ends = np.cumsum(np.diff(whole.column(1).offsets.to_numpy()))
+        cuts = np.flatnonzero(np.diff(ends // AT_ONCE, prepend=0)) if len(ends) else []
+        edges = sorted({0, *(int(c) for c in cuts), whole.num_rows})
+        for begin, end in zip(edges, edges[1:], strict=False):
+            batch = whole.slice(begin, end - begin)
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            n = np.diff(offsets).astype(np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], n)
+            order = np.argsort(2 * of + np.isin(values, last), kind="stable")
+            keep = place < (n - np.ceil(np.round(similarity * n, 9)).astype(np.int64) + 1)[of]
+            sig = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[order][keep]), pa.array(sig[of[keep]]), pa.array(n[of[keep]]), pa.array(place[keep])], ["h", "sig", "n", "place"])
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of which the sets reach the similarity; only sets of a pair are moved."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    sets = materialize(texts.select("sig", "hs").join(wanted, "sig").dropDuplicates(["sig"]), "sets")
+    both = F.size(F.array_intersect("a", "b"))
+    return (
+        pairs.join(sets.select(F.col("sig").alias("u"), F.col("hs").alias("a")), "u")
+        .join(sets.select(F.col("sig").alias("v"), F.col("hs").alias("b")), "v")
+        .where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+    )
+
+
+def similar_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row per input row: doc_id, component_id.
+
+    Texts link if the Jaccard similarity of their sets of ``shingle``-word runs is ``similarity`` or
+    more, all pairs considered; component_id is the smallest doc_id that links reach. A text of fewer
+    words is one run; null, empty and blank texts link to one another only. Null ids and repeated rows
+    count as in ``near_duplicate_classes``.
+
+    Sets that agree are one node. Each node is first compared with one that is the least of many of its
+    prefix shingles, which joins most of a large group; then all pairs that share one and lie in different
+    components are. So a group of near copies isn't compared pair by pair.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_words(F.col(text_col)).alias("w"))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("w") - shingle, F.lit(0))),
+        lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(shingle)]),
+    )
+    hs = F.when(F.size("w") > 0, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
+    texts = materialize(rows.select("doc_id", hs.alias("hs")).select("doc_id", F.xxhash64("hs").alias("sig"), "hs"), "texts")
+    common = (
+        texts.where(F.pmod("sig", F.lit(ONE_IN)) == 0).select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(LISTED).collect()
+    )
+    last = np.array([r["h"] for r in common], np.int64)
+    postings = texts.select("sig", "hs").mapInArrow(lambda it: _prefixes(it, last, similarity), "h long, sig long, n long, place long")
+    # written out, so that what joins it is dealt anew: a shingle that very many texts share is split
+    shared = materialize(postings.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("h", "lo"), "shared")
+    near = materialize(postings.join(shared, "h").distinct(), "near")
+    # leaving out a star costs nothing but comparisons: only likely ones, the likeliest of each node
+    likely = near.where("sig <> lo").groupBy("sig", "n", "lo").agg(F.count("*").alias("c")).where("20 * c >= n")
+    likely = likely.groupBy("sig").agg(F.max_by("lo", F.struct("c", "lo")).alias("lo"))
+    stars = materialize(_alike(likely.select(F.col("lo").alias("u"), F.col("sig").alias("v")), texts, similarity), "stars")
+    roots = components(stars).withColumnRenamed("node", "sig")
+    rooted = near.drop("lo").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    open_ = materialize(rooted.join(mixed, "h", "left_semi"), "open")
+    a = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "place", "root")])
+    b = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "place", "root")])
+    # two sets can share what their prefixes do, up to the last of it, and what comes after in both
+    after = F.least(F.col("n_a") - F.max("place_a") - 1, F.col("n_b") - F.max("place_b") - 1)
+    pairs = a.join(b, "h").where(
+        (F.col("sig_a") < F.col("sig_b")) & (F.col("root_a") != F.col("root_b"))
+        & (F.least("n_a", "n_b") + 1e-6 >= similarity * F.greatest("n_a", "n_b"))
+    ).groupBy("sig_a", "sig_b", "n_a", "n_b").agg((F.count("*") + after).alias("most")).where(
+        F.col("most") + 1e-6 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+    ).select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v"))
+    more = _alike(pairs, texts, similarity)
+    joined = components(stars.unionByName(more)).withColumnRenamed("node", "sig")
+    nodes = texts.groupBy("sig").agg(F.min("doc_id").alias("least")).join(joined, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    nodes = materialize(nodes, "nodes")
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = materialize(nodes.join(least, "root").select("sig", "component_id"), "classes")
+    return texts.select("doc_id", "sig").join(classes, "sig").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
     """The documents with one row of each near-duplicate class: that of its smallest doc_id, once
     where rows repeat it. Rows without a doc_id can't be told apart, and all stay."""
-    classes = near_duplicate_classes(docs, **kwargs)
-    key = kwargs.get("id_col", "doc_id")
+    return _one_of_each(docs, near_duplicate_classes(docs, **kwargs), kwargs.get("id_col", "doc_id"))
+
+
+def keep_one_similar(docs: DataFrame, **kwargs) -> DataFrame:
+    """As ``keep_one``, for the classes of ``similar_classes``."""
+    return _one_of_each(docs, similar_classes(docs, **kwargs), kwargs.get("id_col", "doc_id"))
+
+
+def _one_of_each(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     kept = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     one = docs.join(kept, F.col(key) == F.col("_kept"))
     # only ids that rows repeat take another exchange

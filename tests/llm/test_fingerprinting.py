@@ -118,3 +118,46 @@ def test_block_tables_find_every_fingerprint_within_the_radius(spark):
     got = {tuple(r) for r in fingerprints.search(df(index), df(base)).collect()}
     want = {(simhash.signed(q), simhash.signed(x)) for q in base for x in index if (q ^ x).bit_count() <= 3}
     assert got == want
+
+
+def plain_similar(texts, at_least=0.8):
+    """doc -> least doc that pairs of five-word similarity reach, all pairs tried."""
+    grams = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for d, t in texts.items()}
+
+    def linked(a, b):
+        x, y = sorted((grams[a], grams[b]), key=len)
+        return x == y or (len(x) >= at_least * len(y) and len(x & y) / len(x | y) >= at_least)
+
+    return components(sorted(texts), linked)
+
+
+def test_the_stage_links_all_pairs_of_the_similarity(spark, small):
+    import corpus_pipeline
+
+    docs = table(spark, small, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = plain_similar(texts)
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_classes(docs).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, small).collect()} == set(want.values())
+
+
+def test_similar_texts_at_the_threshold_with_common_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ONE_IN", 2)
+    monkeypatch.setattr(near_dedup, "BROADCAST", 5)
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 700)
+    rng = random.Random(8)
+    line, texts = [f"l{i}" for i in range(12)], {}
+    for d in range(240):
+        base = [f"v{d // 12}x{i}" for i in range(60)] if d % 12 == 0 else base
+        w = list(base[rng.randrange(4) : 60 - rng.randrange(4)])
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(999)}"
+        texts[d] = " ".join(line + w if d % 2 else w[: rng.choice([3, 4, 5, 60])] + line)
+    texts |= {900: None, 901: " ", 902: "a b", 903: "A  b", 904: "a c"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_classes(docs).collect()} == plain_similar(texts)
+    odd = awkward(spark)
+    kept = near_dedup.keep_one_similar(odd).collect()
+    want = plain_similar({r.doc_id: r.text for r in odd.collect() if r.doc_id is not None})
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want.values())) and sum(r.doc_id is None for r in kept) == 1
+    assert near_dedup.keep_one_similar(empty(spark)).count() == 0
