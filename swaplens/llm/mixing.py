@@ -100,6 +100,11 @@ def mix(
     as often as the fraction says, with 0 words; null is a source, last in order; repeated rows
     are units of their own that differ by their count within (id, source, text).
     """
+    return _copies(docs, id_col, text_col, source_col, seed).drop("text_hash")
+
+
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """The rows of ``mix`` with the text's hash, which tells rows of one id and source apart."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.size(ascii_words(F.col(text_col))).cast("long").alias("size"), F.xxhash64(text_col).alias("text_hash"),
@@ -116,7 +121,7 @@ def mix(
         sized.withColumn("unit", F.xxhash64("doc_id", "source", "text_hash", repeat))
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("rate", F.round(rate, 12))
-        .select("doc_id", "source", "size", "source_size", "target", "n", "unit",
+        .select("doc_id", "source", "size", "source_size", "target", "n", "unit", "text_hash",
                 F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p")),
         "units",
     )
@@ -148,14 +153,33 @@ def mix(
         extra = extra.unionByName(more)
     copies = F.col("whole") + F.coalesce(F.col("extra"), F.when(F.col("size") == 0, (_draw(seed, -1) < F.col("p")).cast("double")).otherwise(0.0)).cast("long")
     return units.join(extra, "unit", "left").select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source"
+        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "text_hash"
     )
 
 
-def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
-    """The documents as the mix takes them: each as many times as its copies, columns unchanged.
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20
+) -> DataFrame:
+    """The documents as the mix takes them: each row as many times as its copies, columns unchanged.
 
-    doc_id must be unique in ``docs``."""
-    copies = mix(docs, **kwargs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, docs[kwargs.get("id_col", "doc_id")].eqNullSafe(F.col("_id"))).drop("_id")
-    return taken.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copies")
+    Rows find their copies by (id, source, text hash), so rows that share an id, or have none, keep
+    their own. Units that agree in all three differ by one copy at most: the first of them, in any
+    order, take the one more.
+    """
+    key = ["_id", "_source", "_hash"]
+    copies = _copies(docs, id_col, text_col, source_col, seed).groupBy(
+        F.col("doc_id").alias("_of_id"), F.col("source").alias("_of_source"), F.col("text_hash").alias("_of_hash")
+    ).agg(F.min("copies").alias("_copies"), F.sum("copies").alias("_all"), F.count("*").alias("_n"))
+    copies = copies.withColumn("_more", F.col("_all") - F.col("_n") * F.col("_copies")).where("_all > 0").drop("_all", "_n")
+    # written out, so that what joins it is dealt anew: a key that very many rows share is split
+    copies = materialize(copies, "copies")
+    rows = docs.withColumns({
+        "_id": F.col(id_col).cast("long"), "_source": F.col(source_col).cast("string"), "_hash": F.xxhash64(text_col),
+    })
+    same = [F.col(k).eqNullSafe(F.col("_of" + k)) for k in key]
+    taken = rows.join(copies, same[0] & same[1] & same[2]).drop("_of_id", "_of_source", "_of_hash")
+    # only rows that agree in the key and are taken unequally often take another exchange
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    unequal = taken.where("_more > 0").withColumn("_copies", F.col("_copies") + (place <= F.col("_more")).cast("long"))
+    taken = taken.where("_more = 0").unionByName(unequal).where("_copies > 0").drop(*key, "_more")
+    return taken.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies")

@@ -139,3 +139,25 @@ def test_mix_of_awkward_rows(spark):
     copies = {r.doc_id: r.copies for r in mixing.mix(unique).collect()}
     out = mixing.mixed_documents(unique)
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({d: c for d, c in copies.items() if c})
+
+
+def test_rows_that_share_an_id_or_have_none_keep_their_own_copies(spark):
+    rows = [(i % 7 or None, "w " * (3 + i % 40), "s" if i % 3 else "t", i) for i in range(300)]
+    rows += [(500, "same text", "u", i) for i in range(40)] + [(None, "no id", None, i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, number long")
+    want = Counter()
+    for r in mixing._copies(docs, "doc_id", "text", "source", 20).collect():
+        want[r.doc_id, r.source, r["size"]] += r.copies
+    out = mixing.mixed_documents(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and {tuple(r) for r in got} <= set(rows)
+    assert Counter((r.doc_id, r.source, len(words(r.text))) for r in got) == +want
+    assert max(Counter(r.number + 1000 * (r.doc_id == 500) + 2000 * (r.text == "no id") for r in got).values()) <= 2
+    sizes, taken, most = Counter(), Counter(), Counter()
+    for _, text, source, _ in rows:
+        sizes[source] += len(words(text))
+        most[source] = max(most[source], len(words(text)))
+    for r in got:
+        taken[r.source] += len(words(r.text))
+    target = plain_targets(dict(sizes))
+    assert all(abs(taken[s] - target[s]) <= most[s] + 1 for s in target)
