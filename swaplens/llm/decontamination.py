@@ -4,7 +4,8 @@ Only DataFrame functions. A window and an item of m shingles each have weighted
 of at least t only if they share s = ceil(2 t m / (1 + t)) shingles, repeats counted. So such a
 window holds at least one of any m - s + 1 of the item's shingles; those that fewest items have are
 its seeds. Windows without a seed can't qualify and are not fingerprinted; every window around a
-seed is. What is broadcast is the seed table, behind a check of its row count.
+seed is. A document of n < m shingles is one window; it reaches t only if n >= t m and t m shingles are
+shared, so it holds one of the rarest m - ceil(t m) + 1, its seeds. What is broadcast is the seed table, behind a check of its row count.
 """
 
 from __future__ import annotations
@@ -49,12 +50,19 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def _seeds(items: DataFrame, similarity: float) -> DataFrame:
-    """size, m, h: for each item its rarest m - s + 1 shingles; items of one size share rows."""
+    """size, m, h, whole: for each item the seeds of shorter documents, whole where they are also its
+    rarest m - s + 1 shingles; items of one size share rows."""
     flat = items.select("item_id", "size", "m", F.posexplode("hashes").alias("q", "h"))
     common = flat.groupBy("h").agg(F.count_distinct("item_id").alias("df"))
     need = F.ceil(F.round(F.lit(2 * similarity / (1 + similarity)) * F.col("m"), 9))
     rank = F.row_number().over(Window.partitionBy("item_id", "m").orderBy("df", "h", "q"))
-    return flat.join(common, "h").withColumn("k", rank).where(F.col("k") <= F.col("m") - need + 1).select("size", "m", "h").distinct()
+    ranked = flat.join(common, "h").withColumn("k", rank).where(F.col("k") <= F.col("m") - _least(similarity) + 1)
+    return ranked.groupBy("size", "m", "h").agg(F.max(F.col("k") <= F.col("m") - need + 1).alias("whole"))
+
+
+def _least(similarity: float) -> Column:
+    """Shingles that a text has at least if it is similar to an item of m."""
+    return F.ceil(F.round(F.lit(similarity) * F.col("m"), 9))
 
 
 def _weighted_jaccard(a: Column, b: Column) -> Column:
@@ -77,13 +85,12 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     similarity: float = SIMILARITY, radius: int = RADIUS,
 ) -> DataFrame:
-    """One row for each (doc_id, item_id) of which some window as long as the item reaches the
-    similarity over five-word shingles: doc_id, item_id, start_word, n_words, similarity (of the
+    """One row for each (doc_id, item_id) of which some window as long as the item, or the whole of a
+    shorter document, reaches the similarity over five-word shingles: doc_id, item_id, start_word, n_words, similarity (of the
     best window, the first of equals), n_bits (its Hamming distance).
 
     An item of fewer than five words counts as one shingle. Null and empty texts, items without
-    words, empty tables and documents shorter than an item give no row; rows that repeat a doc_id
-    count as one document; a null doc_id is reported as null. Other columns are ignored.
+    words and empty tables give no row; rows that repeat a doc_id count as one document; a null doc_id is reported as null. Other columns are ignored.
     """
     items = materialize(_items(benchmark, item_col, "text"), "items")
     seeds = materialize(_seeds(items, similarity), "seeds")
@@ -98,7 +105,7 @@ def contaminated(
             base.withColumn("all", shingle_hashes("w", size))
             .select("row", "doc_id", "all", F.posexplode("all").alias("p", "h"))
             .join(own, "h")
-            .where(F.size("all") >= F.col("m"))
+            .where(F.when(F.size("all") >= F.col("m"), F.col("whole")).otherwise(F.size("all") >= _least(similarity)))
             # only the shingles around the hit go on, not the document
             .select("row", "doc_id", "size", "m", "p", F.greatest(F.col("p") - F.col("m") + 1, F.lit(0)).alias("lo"),
                     F.slice("all", F.greatest(F.col("p") - F.col("m") + 2, F.lit(1)), F.col("m") * 2 - 1).alias("near"),
@@ -107,11 +114,12 @@ def contaminated(
         hits = found if hits is None else hits.unionByName(found)
     # each window belongs to the first seed that it holds
     before = F.lag("p").over(Window.partitionBy("row", "doc_id", "size", "m").orderBy("p"))
-    starts = F.sequence(F.greatest(F.col("lo"), F.coalesce(F.col("before") + 1, F.lit(0))), F.least(F.col("p"), F.col("n") - F.col("m")))
+    first = F.greatest(F.col("lo"), F.coalesce(F.col("before") + 1, F.lit(0)))
+    final = F.least(F.col("p"), F.greatest(F.col("n") - F.col("m"), F.lit(0)))
     windows = materialize(
         hits.withColumn("before", before)
-        .where(F.greatest(F.col("lo"), F.coalesce(F.col("before") + 1, F.lit(0))) <= F.least(F.col("p"), F.col("n") - F.col("m")))
-        .select("doc_id", "size", "m", "lo", "near", F.explode(starts).alias("start"))
+        .where(first <= final)
+        .select("doc_id", "size", "m", "lo", "near", F.explode(F.sequence(first, final)).alias("start"))
         .select("doc_id", "size", "m", "start", F.slice("near", F.col("start") - F.col("lo") + 1, F.col("m")).alias("win")),
         "windows",
     ).withColumn("content", F.xxhash64("win"))
@@ -132,12 +140,12 @@ def contaminated(
     )
     # written out, so that what joins it is dealt anew: a window that very many documents share is split
     verified = materialize(verified.drop("win"), "verified")
-    best = F.struct((-F.col("similarity")).alias("less"), F.col("start"), F.col("m"), F.col("size"), F.col("n_bits"))
+    best = F.struct((-F.col("similarity")).alias("less"), F.col("start"), F.col("m"), F.col("size"), F.col("n_bits"), F.size("win").alias("n"))
     return (
         windows.join(verified, ["content", "size", "m"])
         .groupBy("doc_id", "item_id").agg(F.min(best).alias("b"))
         .select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"),
-                (F.col("b.m") + F.col("b.size") - 1).cast("long").alias("n_words"),
+                (F.col("b.n") + F.col("b.size") - 1).cast("long").alias("n_words"),
                 (-F.col("b.less")).alias("similarity"), F.col("b.n_bits").alias("n_bits"))
     )
 

@@ -150,3 +150,28 @@ def test_contamination_of_awkward_rows(spark):
 def test_main_path_has_no_python(spark, tiny):
     df = decontamination.contaminated(table(spark, tiny, "documents"), table(spark, tiny, "benchmark"))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_documents_shorter_than_an_item(spark):
+    """The whole of a shorter document is its only window, here and in the brute force."""
+    rng = random.Random(9)
+    items = [(i, [f"q{rng.randrange(40) if i % 2 else (i, k)}" for k in range(n)]) for i, n in enumerate((5, 6, 9, 14, 29, 60, 60, 104))]
+    docs = []
+    for _, w in items * 12:
+        cut = w[rng.randrange(3) :]
+        cut = cut[: len(cut) - rng.randrange(1 + len(w) // 6)]
+        if cut and rng.random() < 0.3:
+            cut[rng.randrange(len(cut))] = "changed"
+        docs.append((len(docs), " ".join(cut)))
+    docs.append((1000, " ".join(items[5][1][:-5])))
+    items = [(i, " ".join(w)) for i, w in items]
+    want = all_windows(docs, items)
+    grams = lambda t: [tuple(tokens(t)[k : k + 5]) for k in range(len(tokens(t)) - 4)]
+    whole = {(d, i): likeness(grams(t), grams(v)) for d, t in docs for i, v in items if 0 < len(grams(t)) < len(grams(v))}
+    want |= {k: s for k, s in whole.items() if s >= 0.8}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = decontamination.contaminated(df, spark.createDataFrame(items, ITEMS)).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in rows}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    assert math.isclose(got[1000, 5], 51 / 56) and all(r.n_words == len(tokens(docs[-1][1])) for r in rows if r.doc_id == 1000)
+    assert 1000 not in {r.doc_id for r in decontamination.without_contaminated(df, spark.createDataFrame(items, ITEMS)).collect()}
