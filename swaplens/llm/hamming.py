@@ -7,7 +7,7 @@ up in its own table together with its small Hamming ball, and full distances are
 Components need no pair list. Segment values, not fingerprints, are probed; the fingerprints of a
 value are held in chunks of bounded size, each pair of chunks is verified in one vectorised step,
 and only a spanning forest of its links is passed on. A segment value that very many fingerprints
-share becomes many chunk pairs, spread over tasks; no task holds more than two chunks at a time.
+share becomes many chunk pairs, each a join key of its own; no task holds more than two chunks at a time.
 """
 
 from __future__ import annotations
@@ -77,26 +77,27 @@ def links(fps: DataFrame, radius: int, segments: int) -> DataFrame:
     chunk = F.pmod(F.xxhash64("fp"), F.coalesce(F.col("parts"), F.lit(1))).cast("int")
     buckets = materialize(
         table.join(large, "key", "left")
-        .groupBy("key", chunk.alias("c"))
+        .groupBy("key", F.coalesce(F.col("parts"), F.lit(1)).alias("parts"), chunk.alias("c"))
         .agg(F.collect_list("fp").alias("fps")),
         "buckets",
     )
     patterns = [p for p in ball(width, radius // segments) if p]
-    values = buckets.select("key").distinct()
+    values = buckets.select("key", "parts").distinct()
     inside = (1 << width) - 1
-    # of each unordered pair of values only the smaller one probes
-    probes = values.select("key", F.explode(F.array(*[F.lit(p).cast("long") for p in patterns])).alias("p")).where(
-        (F.col("key").bitwiseXOR(F.col("p"))).bitwiseAND(F.lit(inside)) > F.col("key").bitwiseAND(F.lit(inside))
-    ).select(F.col("key").alias("from"), F.col("key").bitwiseXOR(F.col("p")).alias("key")) if patterns else None
-    a = buckets.select(F.col("key").alias("from"), F.col("c").alias("ca"), F.col("fps").alias("a"))
     b = buckets.select("key", F.col("c").alias("cb"), F.col("fps").alias("b"))
-    same = a.where((F.size("a") > 1) | (F.col("ca") > 0)).join(
-        b.withColumnRenamed("key", "from"), "from"
-    ).where((F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.size("a") > 1))).select("a", "b")
-    pairs = same
-    if probes is not None:
-        hits = probes.join(values, "key", "left_semi")
-        pairs = same.unionByName(hits.join(a, "from").join(b, "key").select("a", "b"))
+    # each pair of chunks is a join key of its own, so those of a value that very many share are spread
+    later = F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("cb")
+    own = buckets.where((F.size("fps") > 1) | (F.col("parts") > 1)).select("key", F.col("fps").alias("a"), later)
+    pairs = own.join(b, ["key", "cb"]).select("a", "b")
+    if patterns:
+        # of each unordered pair of values only the smaller one probes
+        probes = values.select("key", "parts", F.explode(F.array(*[F.lit(p).cast("long") for p in patterns])).alias("p")).where(
+            (F.col("key").bitwiseXOR(F.col("p"))).bitwiseAND(F.lit(inside)) > F.col("key").bitwiseAND(F.lit(inside))
+        ).select(F.col("key").alias("from"), F.col("parts").alias("from_parts"), F.col("key").bitwiseXOR(F.col("p")).alias("key"))
+        each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        hits = probes.join(values, "key").withColumn("ca", each("from_parts")).withColumn("cb", each("parts"))
+        a = buckets.select(F.col("key").alias("from"), F.col("c").alias("ca"), F.col("fps").alias("a"))
+        pairs = pairs.unionByName(hits.join(a, ["from", "ca"]).join(b, ["key", "cb"]).select("a", "b"))
     single = (F.size("a") == 1) & (F.size("b") == 1)
     near = distance(F.get(F.col("a"), 0), F.get(F.col("b"), 0)) <= radius
     pairs = pairs.where(~single | near)

@@ -1,34 +1,49 @@
-"""SimHash near-duplicates by multi-index hashing, and exact near duplicates by prefix filtering.
-
-Two sets of n and m shingles have Jaccard similarity t or more only if they share t (n + m) / (1 + t)
-of them, which is t n at least. So in any one order of all shingles, the first n - ceil(t n) + 1 of
-each set have one in common: those prefixes propose the pairs, and whole sets decide. No pair is lost.
+"""SimHash near-duplicates by multi-index hashing; near duplicates of a similarity on top of it.
+
+A Hamming radius alone can't decide a similarity: sets of Jaccard similarity 0.8 differ in 9.7 of 64 bits
+on average. So ``similar_classes`` lets the multi-index search propose links first and verifies them on
+whole sets, which settles copies and closer ones; what lies beyond the radius is completed exactly. Two
+sets of n and m shingles reach similarity t only if they share t (n + m) / (1 + t) of them, which is t n at
+least. So in any one order of all shingles, the first n - ceil(t n) + 1 of each set have one in common: those
+prefixes propose the rest of the pairs, and whole sets decide. No pair is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .hamming import components, links
-from .shared import materialize
+from .shared import content_key, fresh, materialize
 from .simhash import as_hex, ascii_words, fingerprints
 
 #: Five-word similarity from which documents are near duplicates for a stage of a pipeline.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
+RADIUS, SEGMENTS = 3, 2
 #: Which shingles go last in the order: those that ``COMMON`` of one in ``ONE_IN`` texts have, at most
 #: ``LISTED``. Any order gives the same result; this one proposes fewer pairs.
 ONE_IN, COMMON, LISTED = 16, 8, 100_000
-#: Candidates up to which their table is broadcast; beyond, it is joined by shuffling.
-BROADCAST = 500_000
-#: Shingles that a worker sorts at once, about.
-AT_ONCE = 1 << 18
+#: Rows of two or three longs up to which a table is broadcast; beyond, it is joined by shuffling.
+BROADCAST = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it has at most ``BROADCAST`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
+def _prints(rows: DataFrame, keys: list[str], shingle: int, radius: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of (keys, words w) -> (keys, fp) of every row, and (fp, root) of every fingerprint."""
+    prints = materialize(fingerprints(rows, keys, "w", shingle).select(*keys, "fp"), "prints")
+    nodes = materialize(prints.select("fp").distinct(), "nodes")
+    joined = components(links(nodes, radius, segments)).withColumnRenamed("node", "fp")
+    return prints, materialize(nodes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, segments: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, segments: int = SEGMENTS
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id.
 
@@ -39,126 +54,139 @@ def near_duplicate_classes(
     repeated rows stay; an empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_words(F.col(text_col)).alias("w"))
-    prints = materialize(fingerprints(rows, ["doc_id"], "w", shingle).select("doc_id", "fp"), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = materialize(components(links(nodes.select("fp"), radius, segments)), "roots").withColumnRenamed("node", "fp")
-    linked = nodes.join(joined, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = nodes.join(
-        linked.join(least, "root").select("fp", "component_id"), "fp", "left"
-    ).select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    prints, roots = _prints(rows, ["doc_id"], shingle, radius, segments)
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    nodes = materialize(nodes, "least")
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     # written out, so that what joins it is dealt anew: a fingerprint that very many rows share is split
-    of_fp = materialize(of_fp, "classes")
+    of_fp = materialize(nodes.join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(of_fp, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _prefixes(batches, last: np.ndarray, similarity: float):
-    """Rows of (sig, ascending hashes) -> the prefix: h, sig, n, place; the hashes ``last`` sort last."""
-    for whole in batches:
-        ends = np.cumsum(np.diff(whole.column(1).offsets.to_numpy()))
-        cuts = np.flatnonzero(np.diff(ends // AT_ONCE, prepend=0)) if len(ends) else []
-        edges = sorted({0, *(int(c) for c in cuts), whole.num_rows})
-        for begin, end in zip(edges, edges[1:], strict=False):
-            batch = whole.slice(begin, end - begin)
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            n = np.diff(offsets).astype(np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], n)
-            order = np.argsort(2 * of + np.isin(values, last), kind="stable")
-            keep = place < (n - np.ceil(np.round(similarity * n, 9)).astype(np.int64) + 1)[of]
-            sig = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[order][keep]), pa.array(sig[of[keep]]), pa.array(n[of[keep]]), pa.array(place[keep])], ["h", "sig", "n", "place"])
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of which the sets reach the similarity; only sets of a pair are moved."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
-        wanted = F.broadcast(wanted)
-    sets = materialize(texts.select("sig", "hs").join(wanted, "sig").dropDuplicates(["sig"]), "sets")
+def _alike(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes of which the sets reach the similarity. Sets are made again from the texts,
+    of the nodes of pairs only; v's is fetched first, so that a hub u meets rows that can be split."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = materialize(nodes.select("node", "first.k1", "first.k2").join(wanted, "node"), "wanted")
+    texts = keyed.select("k1", "k2", "text").join(_small(wanted), ["k1", "k2"]).select("node", "text")
+    sets = texts.mapInArrow(lambda it: shingle_sets.whole_sets(it, shingle), "node long, hs array<long>")
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
     both = F.size(F.array_intersect("a", "b"))
     return (
-        pairs.join(sets.select(F.col("sig").alias("u"), F.col("hs").alias("a")), "u")
-        .join(sets.select(F.col("sig").alias("v"), F.col("hs").alias("b")), "v")
+        pairs.join(sets.select(F.col("node").alias("v"), F.col("hs").alias("b")), "v")
+        .join(sets.select(F.col("node").alias("u"), F.col("hs").alias("a")), "u")
         .where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
     )
 
 
-def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY
-) -> DataFrame:
-    """One row per input row: doc_id, component_id.
-
-    Texts link if the Jaccard similarity of their sets of ``shingle``-word runs is ``similarity`` or
-    more, all pairs considered; component_id is the smallest doc_id that links reach. A text of fewer
-    words is one run; null, empty and blank texts link to one another only. Null ids and repeated rows
-    count as in ``near_duplicate_classes``.
-
-    Sets that agree are one node. Each node is first compared with one that is the least of many of its
-    prefix shingles, which joins most of a large group; then all pairs that share one and lie in different
-    components are. So a group of near copies isn't compared pair by pair.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_words(F.col(text_col)).alias("w"))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("w") - shingle, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(shingle)]),
-    )
-    hs = F.when(F.size("w") > 0, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
-    texts = materialize(rows.select("doc_id", hs.alias("hs")).select("doc_id", F.xxhash64("hs").alias("sig"), "hs"), "texts")
-    common = (
-        texts.where(F.pmod("sig", F.lit(ONE_IN)) == 0).select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(LISTED).collect()
-    )
-    last = np.array([r["h"] for r in common], np.int64)
-    postings = texts.select("sig", "hs").mapInArrow(lambda it: _prefixes(it, last, similarity), "h long, sig long, n long, place long")
+def _common(keyed: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes that many texts have, ascending, from one unlike text in ``ONE_IN``."""
+    some = keyed.where(F.pmod("k1", F.lit(ONE_IN)) == 0).select(F.xxhash64("text").alias("node"), "text")
+    sets = some.mapInArrow(lambda it: shingle_sets.whole_sets(it, shingle), "node long, hs array<long>").dropDuplicates(["node"])
+    found = sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(LISTED).collect()], np.int64).view(np.uint64))
+
+
+def _by_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) that the multi-index search links: nodes of one fingerprint with its least node, and
+    those least nodes along the links of the fingerprints."""
+    prints = nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("hub"))
+    prints = materialize(prints, "prints")
+    same = nodes.where("n > 0").join(prints, "fp").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    near = links(prints.select("fp"), RADIUS, SEGMENTS)
+    near = near.join(prints.select(F.col("fp").alias("u"), F.col("hub").alias("hu")), "u").join(prints.select(F.col("fp").alias("v"), F.col("hub").alias("hv")), "v")
+    return same.unionByName(near.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, doc_id, s1, s2 of every row; s1, s2, node, root and first row of every set)."""
+    k1, k2 = content_key(docs)
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    last = _common(keyed, shingle)
+    rows = materialize(
+        keyed.mapInArrow(
+            lambda it: shingle_sets.sketch(it, shingle, last, similarity),
+            "k1 long, k2 long, doc_id long, s1 long, s2 long, n int, fp long, prefix array<long>"), "sketch")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")  # the row that stands for its set
+    alike = rows.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
+    postings = nodes.select("node", "n", F.posexplode("prefix").alias("place", "h"))
     # written out, so that what joins it is dealt anew: a shingle that very many texts share is split
-    shared = materialize(postings.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("h", "lo"), "shared")
-    near = materialize(postings.join(shared, "h").distinct(), "near")
+    shared = materialize(postings.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h", "lo"), "shared")
+    near = materialize(postings.join(shared, "h"), "near")
     # leaving out a star costs nothing but comparisons: only likely ones, the likeliest of each node
-    likely = near.where("sig <> lo").groupBy("sig", "n", "lo").agg(F.count("*").alias("c")).where("20 * c >= n")
-    likely = likely.groupBy("sig").agg(F.max_by("lo", F.struct("c", "lo")).alias("lo"))
-    stars = materialize(_alike(likely.select(F.col("lo").alias("u"), F.col("sig").alias("v")), texts, similarity), "stars")
-    roots = components(stars).withColumnRenamed("node", "sig")
-    rooted = near.drop("lo").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    likely = near.where("node <> lo").groupBy("node", "n", "lo").agg(F.count("*").alias("c")).where("20 * c >= n")
+    likely = likely.groupBy("node").agg(F.max_by("lo", F.struct("c", "lo")).alias("lo")).select(F.col("lo").alias("u"), F.col("node").alias("v"))
+    first_links = materialize(_alike(_by_prints(nodes).unionByName(likely), nodes, keyed, shingle, similarity), "stars")
+    roots = components(first_links)
+    rooted = near.drop("lo").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
     open_ = materialize(rooted.join(mixed, "h", "left_semi"), "open")
-    a = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "place", "root")])
-    b = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "place", "root")])
+    a = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "root")])
+    b = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "root")])
     # two sets can share what their prefixes do, up to the last of it, and what comes after in both
     after = F.least(F.col("n_a") - F.max("place_a") - 1, F.col("n_b") - F.max("place_b") - 1)
     pairs = a.join(b, "h").where(
-        (F.col("sig_a") < F.col("sig_b")) & (F.col("root_a") != F.col("root_b"))
+        (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
         & (F.least("n_a", "n_b") + 1e-6 >= similarity * F.greatest("n_a", "n_b"))
-    ).groupBy("sig_a", "sig_b", "n_a", "n_b").agg((F.count("*") + after).alias("most")).where(
+    ).groupBy("node_a", "node_b", "n_a", "n_b").agg((F.count("*") + after).alias("most")).where(
         F.col("most") + 1e-6 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
-    ).select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v"))
-    more = _alike(pairs, texts, similarity)
-    joined = components(stars.unionByName(more)).withColumnRenamed("node", "sig")
-    nodes = texts.groupBy("sig").agg(F.min("doc_id").alias("least")).join(joined, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    nodes = materialize(nodes, "nodes")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(nodes.join(least, "root").select("sig", "component_id"), "classes")
-    return texts.select("doc_id", "sig").join(classes, "sig").select("doc_id", "component_id")
-
+    ).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    more = materialize(_alike(pairs, nodes, keyed, shingle, similarity), "more")
+    joined = components(first_links.unionByName(more)) if more.limit(1).count() else roots
+    nodes = nodes.select("node", "s1", "s2", "first").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("k1", "k2", "doc_id", "s1", "s2"), materialize(nodes, "classes")
 
-def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
-    """The documents with one row of each near-duplicate class: that of its smallest doc_id, once
-    where rows repeat it. Rows without a doc_id can't be told apart, and all stay."""
-    return _one_of_each(docs, near_duplicate_classes(docs, **kwargs), kwargs.get("id_col", "doc_id"))
 
+def similar_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row per input row: doc_id, component_id.
 
-def keep_one_similar(docs: DataFrame, **kwargs) -> DataFrame:
-    """As ``keep_one``, for the classes of ``similar_classes``."""
-    return _one_of_each(docs, similar_classes(docs, **kwargs), kwargs.get("id_col", "doc_id"))
-
+    Texts link if the Jaccard similarity of their sets of ``shingle``-word runs is ``similarity`` or
+    more, all pairs considered; component_id is the smallest doc_id that links reach. A text of fewer
+    words is one run; null, empty and blank texts link to one another only. Null ids and repeated rows
+    count as in ``near_duplicate_classes``.
 
-def _one_of_each(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    kept = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    one = docs.join(kept, F.col(key) == F.col("_kept"))
-    # only ids that rows repeat take another exchange
-    one = one.where("_rows = 1").unionByName(one.where("_rows > 1").dropDuplicates([key]))
-    return one.drop("_kept", "_rows").unionByName(docs.where(F.col(key).isNull()))
+    Sets that agree are one node. Nodes are first compared along the links of their fingerprints, and with
+    one node that is the least of many of their prefix shingles, which joins most of a large group; then all
+    pairs that share a prefix shingle and lie in different components are. So a group of near copies isn't
+    compared pair by pair.
+    """
+    rows, nodes = _classes(docs, id_col, text_col, shingle, similarity)
+    least = nodes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    of_set = materialize(nodes.join(least, "root").select("s1", "s2", "component_id"), "ids")
+    return rows.join(of_set, ["s1", "s2"]).select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class of ``similar_classes``: that of the smallest doc_id (rows without one come
+    last), of rows that share it the one with the least key of its content, once where it is repeated.
+    Rows are told apart by all their columns, never by their ids. Columns as they are."""
+    rows, nodes = _classes(docs, id_col, text_col, shingle, similarity)
+    kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    return _only(docs, rows.select("k1", "k2"), kept)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """As ``keep_one_similar``, for the classes of ``near_duplicate_classes``."""
+    k1, k2 = content_key(docs)
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("doc_id"), ascii_words(F.col(text_col)).alias("w"))
+    prints, roots = _prints(rows, ["k1", "k2", "doc_id"], shingle, radius, segments)
+    of_print = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first"))
+    kept = of_print.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    return _only(docs, prints.select("k1", "k2"), kept)
+
+
+def _only(docs: DataFrame, keys: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of ``docs``, whose rows have ``keys`` (k1, k2), one row of each key that is ``kept``."""
+    sign = lambda df, stays: df.select("k1", "k2", F.lit(stays).alias("stays"))
+    told = sign(keys, 0).unionByName(sign(kept, 1)).groupBy("k1", "k2").agg((F.count("*") - F.sum("stays")).alias("rows"), F.max("stays").alias("stays"))
+    # only rows that go, or are repeated, are looked up
+    told = materialize(told.where((F.col("stays") == 0) | (F.col("rows") > 1)), "told")
+    a, b, stays = fresh(docs, "k1", "k2", "stays")
+    marked = docs.withColumns(dict(zip((a, b), content_key(docs), strict=True)))
+    marked = marked.join(_small(told.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("stays").alias(stays))), [a, b], "left")
+    once = marked.where(F.col(stays) == 1).dropDuplicates([a, b])
+    return marked.where(F.col(stays).isNull()).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

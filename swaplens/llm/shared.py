@@ -15,10 +15,13 @@ from pyspark.sql.window import Window
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (tests, one machine) a temporary folder is chosen and set.
+    Only where that is unset and Spark runs on one machine a temporary folder is chosen and set; on a
+    cluster executors couldn't see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="swaplens-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,6 +37,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where a column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def content_key(df: DataFrame) -> list[Column]:
+    """Two longs, 128 bits, from all columns of a row: the row's own key, the same in every scan and
+    every rerun. Rows share it only if they agree in all columns, and so can stand for one another."""
+    plain = [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields]
+    nulls = [c.isNull() for c in plain]  # a hash passes over nulls
+    return [F.xxhash64(F.lit(salt), *nulls, *plain) for salt in (1, 2)]
+
+
+def repeated(df: DataFrame, times: str, *, block: int = 1024) -> DataFrame:
+    """Each row as often as the column ``times`` says, which goes; dealt anew between two steps, so that
+    a row with very many copies is spread over tasks."""
+    few, many = df.where(F.col(times) <= block), df.where(F.col(times) > block)
+    (part,) = fresh(df, "part")
+    starts = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / block))
+    many = many.withColumn(part, F.explode(starts)).repartition(part).withColumn(times, F.least(F.lit(block), F.col(times) - F.col(part) * block)).drop(part)
+    one = few.unionByName(many)
+    return one.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).drop(times)
+
+
 def worker_env() -> None:
     """Python workers are Spark's unit of parallelism; libraries start no threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -130,7 +130,7 @@ def chunk_table(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return own, start, n, np.minimum(before, start), after, ranges_digest(codes, first, last + 1)
 
 
-def _bytes(texts: pa.Array) -> list[bytes]:
+def text_bytes(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in pc.cast(texts, pa.binary()).to_pylist()]
 
 
@@ -141,7 +141,7 @@ def _chunk(batches):
     for batch in batches:
         for a, n in slices(batch.column(2), SLICE):
             rows = batch.slice(a, n)
-            own, start, words, before, after, digest = chunk_table(_bytes(rows.column(2)))
+            own, start, words, before, after, digest = chunk_table(text_bytes(rows.column(2)))
             at = start << 24 | words << 16 | before << 8 | after
             own = pa.array(own)
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +194,7 @@ def _windows(batches, size: int):
     for batch in batches:
         for a, n in slices(batch.column(3), SLICE):
             rows = batch.slice(a, n)
-            doc, codes = words_of(_bytes(rows.column(3)))
+            doc, codes = words_of(text_bytes(rows.column(3)))
             begin = np.searchsorted(doc, np.arange(n + 1))
             lists = rows.column(2)
             flat, own = lists.flatten(), np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))

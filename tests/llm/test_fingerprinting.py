@@ -6,9 +6,9 @@ import random
 import pytest
 import xxhash
 
-from swaplens.llm import fingerprints, hamming, near_dedup, simhash
+from swaplens.llm import fingerprints, hamming, near_dedup, shingle_sets, simhash
 
-from .helpers import awkward, components, empty, table, words
+from .helpers import PROSE, awkward, components, empty, table, words
 
 
 def plain_fp(text, size=3):
@@ -144,7 +144,7 @@ def test_the_stage_links_all_pairs_of_the_similarity(spark, small):
 def test_similar_texts_at_the_threshold_with_common_shingles(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "ONE_IN", 2)
     monkeypatch.setattr(near_dedup, "BROADCAST", 5)
-    monkeypatch.setattr(near_dedup, "AT_ONCE", 700)
+    monkeypatch.setattr(shingle_sets, "SLICE", 700)
     rng = random.Random(8)
     line, texts = [f"l{i}" for i in range(12)], {}
     for d in range(240):
@@ -161,3 +161,28 @@ def test_similar_texts_at_the_threshold_with_common_shingles(spark, monkeypatch)
     want = plain_similar({r.doc_id: r.text for r in odd.collect() if r.doc_id is not None})
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want.values())) and sum(r.doc_id is None for r in kept) == 1
     assert near_dedup.keep_one_similar(empty(spark)).count() == 0
+
+
+CLASHING = ["_kept", "_rows", "_id", "_copies", "_leaked", "k1", "k2", "stays", "node", "root"]
+
+
+def odd_ids(spark):
+    """Several rows without an id, ids that like and unlike texts share, repeated rows, names that clash."""
+    other, third = " ".join(f"o{i}" for i in range(80)), " ".join(f"t{i}" for i in range(80))
+    rows = [(None, PROSE), (None, PROSE + " tail"), (None, other), (None, third), (3, other), (3, "short of words here now"), (3, third), (4, third),
+            (5, PROSE), (5, PROSE), (5, other), (6, None), (6, ""), (None, None), (7, "only this one has these words")]
+    df = spark.createDataFrame([(d, t, "s", i % 2 if d is None else 0) for i, (d, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    return df.selectExpr("*", *[f"doc_id AS {c}" for c in CLASHING]).repartition(3)
+
+
+@pytest.mark.parametrize("keep", [near_dedup.keep_one, near_dedup.keep_one_similar])
+def test_one_row_of_each_class_stays_whatever_its_id(spark, keep):
+    docs = odd_ids(spark)
+    kept = keep(docs)
+    got = sorted(((r.doc_id, (r.text or "")[:8]) for r in kept.collect()), key=repr)
+    assert kept.columns == docs.columns and got == sorted([(5, PROSE[:8]), (3, "o0 o1 o2"), (3, "t0 t1 t2"), (3, "short of"), (6, ""), (7, "only thi")], key=repr)
+
+
+def test_rows_that_agree_in_all_columns_stay_once(spark):
+    docs = spark.createDataFrame([(1, PROSE)] * 3 + [(None, "a b c d e f")] * 2, "doc_id long, text string")
+    assert sorted((r.doc_id or 0 for r in near_dedup.keep_one_similar(docs).collect())) == [0, 1]

@@ -23,7 +23,7 @@ def test_stages_follow_their_operators(spark, small):
     good = {r.doc_id for r in quality.score_quality(docs, labels).collect() if r.predicted}
     assert kept.columns == docs.columns and rows(kept) == rows(docs.where(docs.doc_id.isin(list(good))))
     one = corpus_pipeline.materialize(stages["near-duplicate removal"](spark, kept, small), "test")
-    classes = near_dedup.near_duplicate_classes(kept).collect()
+    classes = near_dedup.similar_classes(kept).collect()
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {r.component_id for r in classes} and one.count() < kept.count()
     clean = corpus_pipeline.materialize(stages["benchmark decontamination"](spark, one, small), "test")
     leaked = {r.doc_id for r in decontamination.contaminated(one, benchmark).collect()}
