@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import content_key, fresh, materialize, repeated
 from .simhash import ascii_words
 
 #: Weights of the sources by code point, repeating; share of all sizes; most copies.
@@ -21,7 +21,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, n) -> the same with target: ``SHARE`` of all sizes by weight, at most
     ``MOST`` times the source's size, the excess reshared until none is above.
 
-    Works on one row per source. Each round settles every source that its share would overfill;
+    Works on one row per source, ranked in one window. Each round settles every source that its share would overfill;
     the rounds end when none is, at the latest when all are settled.
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -73,17 +73,17 @@ def _pivot(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> int:
 
 def _draw(seed: int, level: int) -> Column:
     """A uniform number of (0, 1) from a unit's key; the same in every rerun."""
-    return (F.pmod(F.xxhash64("unit", F.lit(seed), F.lit(level)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return (F.pmod(F.xxhash64("k1", "k2", F.lit(seed), F.lit(level)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-UNITS = "source string, unit long, size long, p double"
+UNITS = "source string, k1 long, k2 long, size long, p double, groups long"
 
 
 def _round_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["u", "unit"], ignore_index=True)
+    pdf = pdf.sort_values(["u", "k1", "k2"], ignore_index=True)
     p, size = pdf["p"].to_numpy(float).copy(), np.maximum(pdf["size"].to_numpy(float), 1e-12)
     _pivot(p, size, pdf["u2"].to_numpy(float))
-    return pdf.assign(p=p)[["source", "unit", "size", "p"]]
+    return pdf.assign(p=p)[["source", "k1", "k2", "size", "p", "groups"]]
 
 
 def mix(
@@ -96,32 +96,38 @@ def mix(
     rounding, in words, over groups of about ``LEAF`` documents; each group leaves one fractional
     unit at most, and a tree of ``FAN_IN`` combines those until a source has one, which a draw
     rounds. So a source misses its target by less than one document's size. Groups and draws
-    follow from keys, not from partitions, so reruns agree. Null texts have size 0 and are taken
-    as often as the fraction says, with 0 words; null is a source, last in order; repeated rows
-    are units of their own that differ by their count within (id, source, text).
+    follow from the content of rows, not from partitions or ids, so reruns agree. Null texts have size 0
+    and are taken as often as the fraction says, with 0 words; null is a source, last in order. Rows that
+    agree in all columns are one unit, whose copies are shared out evenly.
     """
-    return _copies(docs, id_col, text_col, source_col, seed).drop("text_hash")
+    units = _copies(docs, id_col, text_col, source_col, seed)
+    each = F.floor(F.col("all") / F.col("rows"))
+    more = F.col("all") - each * F.col("rows")
+    part = lambda times, copies: F.struct(times.alias("times"), copies.alias("copies"))
+    shares = units.withColumn("share", F.explode(F.array(part(F.col("rows") - more, each), part(more, each + 1)))).where("share.times > 0")
+    rows = materialize(shares.select(
+        "doc_id", "size", "source_size", "target", (F.col("share.copies") * F.col("size")).alias("taken"), "share.copies", "share.times"), "shares")
+    return repeated(rows, "times")
 
 
 def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """The rows of ``mix`` with the text's hash, which tells rows of one id and source apart."""
+    """k1, k2 (content), rows that agree in them, doc_id, size, source_size, target, all: their copies."""
+    k1, k2 = content_key(docs)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.size(ascii_words(F.col(text_col))).cast("long").alias("size"), F.xxhash64(text_col).alias("text_hash"),
+        k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        F.size(ascii_words(F.col(text_col))).cast("long").alias("size"),
     )
-    sized = materialize(rows, "sizes")
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy("size"))
+    sized = materialize(rows.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
     targets = source_targets(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+        sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
     )
     targets = materialize(targets, "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a third of the rows may share a source: what joins it is one row a source
     units = materialize(
-        sized.withColumn("unit", F.xxhash64("doc_id", "source", "text_hash", repeat))
-        .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("rate", F.round(rate, 12))
-        .select("doc_id", "source", "size", "source_size", "target", "n", "unit", "text_hash",
+        sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("rate", F.round(rate * F.col("rows"), 12))
+        .select("k1", "k2", "rows", "doc_id", "source", "size", "source_size", "target", "n",
                 F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p")),
         "units",
     )
@@ -129,31 +135,25 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     level, open_units, done = 0, units.where("p > 0 and size > 0").withColumn("groups", groups), []
     while True:
         dealt = open_units.select(
-            "source", "unit", "size", "p", "groups", F.pmod(F.xxhash64("unit", F.lit(level)), F.col("groups")).alias("g"),
+            "source", "k1", "k2", "size", "p", "groups", F.pmod(F.xxhash64("k1", "k2", F.lit(level)), F.col("groups")).alias("g"),
             _draw(seed, 2 * level).alias("u"), _draw(seed, 2 * level + 1).alias("u2"),
         )
-        rounded = materialize(
-            dealt.groupBy("source", "groups", "g").applyInPandas(
-                lambda pdf: _round_group(pdf).assign(groups=pdf["groups"].iloc[0]), UNITS + ", groups long"
-            ), "rounded"
-        )
+        rounded = materialize(dealt.groupBy("source", "groups", "g").applyInPandas(_round_group, UNITS), "rounded")
         is_open = (F.col("p") > 0) & (F.col("p") < 1)
+        final = F.when(is_open, (_draw(seed, -1) < F.col("p")).cast("double")).otherwise(F.col("p")).alias("extra")
         last = rounded.agg(F.max("groups").alias("g")).first()["g"] in (None, 1)
+        done.append((rounded if last else rounded.where(~is_open | (F.col("groups") == 1))).select("k1", "k2", final))
         if last:
-            final = F.when(is_open, (_draw(seed, -1) < F.col("p")).cast("double")).otherwise(F.col("p"))
-            done.append(rounded.select("unit", final.alias("extra")))
             break
-        done.append(rounded.where(~is_open | (F.col("groups") == 1)).select(
-            "unit", F.when(is_open, (_draw(seed, -1) < F.col("p")).cast("double")).otherwise(F.col("p")).alias("extra")))
         open_units = rounded.where(is_open & (F.col("groups") > 1)).withColumn(
             "groups", F.greatest(F.lit(1), F.ceil(F.col("groups") / FAN_IN)).cast("long"))
         level += 1
     extra = done[0]
     for more in done[1:]:
         extra = extra.unionByName(more)
-    copies = F.col("whole") + F.coalesce(F.col("extra"), F.when(F.col("size") == 0, (_draw(seed, -1) < F.col("p")).cast("double")).otherwise(0.0)).cast("long")
-    return units.join(extra, "unit", "left").select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "text_hash"
+    blank = F.when(F.col("size") == 0, (_draw(seed, -1) < F.col("p")).cast("double")).otherwise(0.0)
+    return units.join(extra, ["k1", "k2"], "left").select(
+        "k1", "k2", "rows", "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("extra"), blank).cast("long")).alias("all")
     )
 
 
@@ -162,24 +162,15 @@ def mixed_documents(
 ) -> DataFrame:
     """The documents as the mix takes them: each row as many times as its copies, columns unchanged.
 
-    Rows find their copies by (id, source, text hash), so rows that share an id, or have none, keep
-    their own. Units that agree in all three differ by one copy at most: the first of them, in any
-    order, take the one more.
+    Rows find their copies by the key of their content, so rows that share an id, or have none, keep
+    their own; rows that agree in all columns stand for one another.
     """
-    key = ["_id", "_source", "_hash"]
-    copies = _copies(docs, id_col, text_col, source_col, seed).groupBy(
-        F.col("doc_id").alias("_of_id"), F.col("source").alias("_of_source"), F.col("text_hash").alias("_of_hash")
-    ).agg(F.min("copies").alias("_copies"), F.sum("copies").alias("_all"), F.count("*").alias("_n"))
-    copies = copies.withColumn("_more", F.col("_all") - F.col("_n") * F.col("_copies")).where("_all > 0").drop("_all", "_n")
-    # written out, so that what joins it is dealt anew: a key that very many rows share is split
-    copies = materialize(copies, "copies")
-    rows = docs.withColumns({
-        "_id": F.col(id_col).cast("long"), "_source": F.col(source_col).cast("string"), "_hash": F.xxhash64(text_col),
-    })
-    same = [F.col(k).eqNullSafe(F.col("_of" + k)) for k in key]
-    taken = rows.join(copies, same[0] & same[1] & same[2]).drop("_of_id", "_of_source", "_of_hash")
-    # only rows that agree in the key and are taken unequally often take another exchange
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    unequal = taken.where("_more > 0").withColumn("_copies", F.col("_copies") + (place <= F.col("_more")).cast("long"))
-    taken = taken.where("_more = 0").unionByName(unequal).where("_copies > 0").drop(*key, "_more")
-    return taken.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies")
+    copies = materialize(_copies(docs, id_col, text_col, source_col, seed).where("all > 0").select("k1", "k2", "rows", "all"), "copies")
+    a, b, times = fresh(docs, "k1", "k2", "times")
+    keyed = docs.withColumns(dict(zip((a, b), content_key(docs), strict=True)))
+    taken = lambda some: keyed.join(some.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("all").alias(times)), [a, b])
+    # a row of its own is taken MOST times at most
+    out = taken(copies.where("rows = 1")).withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).drop(times)
+    if copies.where("rows > 1").limit(1).count():
+        out = out.unionByName(repeated(materialize(taken(copies.where("rows > 1")).dropDuplicates([a, b]), "repeated"), times))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,8 @@ import pytest
 
 from swaplens.llm import mixing, quality
 
+from swaplens.llm.shared import content_key
+
 from .helpers import awkward, empty, table, words
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -143,16 +145,16 @@ def test_mix_of_awkward_rows(spark):
 
 def test_rows_that_share_an_id_or_have_none_keep_their_own_copies(spark):
     rows = [(i % 7 or None, "w " * (3 + i % 40), "s" if i % 3 else "t", i) for i in range(300)]
-    rows += [(500, "same text", "u", i) for i in range(40)] + [(None, "no id", None, i) for i in range(20)]
+    rows += [(500, "same text", "u", 1000 + i) for i in range(40)] + [(None, "no id", None, 2000 + i) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, number long")
     want = Counter()
-    for r in mixing._copies(docs, "doc_id", "text", "source", 20).collect():
-        want[r.doc_id, r.source, r["size"]] += r.copies
+    number = docs.select("number", *[c.alias(k) for c, k in zip(content_key(docs), ("k1", "k2"), strict=True)])
+    for r in mixing._copies(docs, "doc_id", "text", "source", 20).join(number, ["k1", "k2"]).collect():
+        want[r.number, r["size"]] += r["all"]
     out = mixing.mixed_documents(docs)
     got = out.collect()
     assert out.columns == docs.columns and {tuple(r) for r in got} <= set(rows)
-    assert Counter((r.doc_id, r.source, len(words(r.text))) for r in got) == +want
-    assert max(Counter(r.number + 1000 * (r.doc_id == 500) + 2000 * (r.text == "no id") for r in got).values()) <= 2
+    assert Counter((r.number, len(words(r.text))) for r in got) == +want
     sizes, taken, most = Counter(), Counter(), Counter()
     for _, text, source, _ in rows:
         sizes[source] += len(words(text))
@@ -161,3 +163,23 @@ def test_rows_that_share_an_id_or_have_none_keep_their_own_copies(spark):
         taken[r.source] += len(words(r.text))
     target = plain_targets(dict(sizes))
     assert all(abs(taken[s] - target[s]) <= most[s] + 1 for s in target)
+
+
+def test_rows_without_an_id_and_rows_that_agree_in_all_columns(spark):
+    """What once multiplied: 10 rows without an id and one other; one row four times."""
+    many = spark.createDataFrame([(None, f"t {i}", "s") for i in range(10)] + [(1, "x y z", "s")], "doc_id long, text string, source string")
+    rows = many.selectExpr("*", "1 AS _id", "2 AS _copies", "3 AS k1", "4 AS times", "5 AS rows")
+    out = mixing.mixed_documents(rows)
+    assert out.columns == rows.columns and out.count() == sum(r.copies for r in mixing.mix(rows).collect())
+    assert max(Counter(r.text for r in out.collect()).values()) <= 2
+    same = spark.createDataFrame([(1, "x y z", "s")] * 4 + [(2, "a", "t")], "doc_id long, text string, source string")
+    mixed = mixing.mix(same).collect()
+    assert len(mixed) == 5 and all(r.taken <= 2 * r.size for r in mixed)
+    assert mixing.mixed_documents(same).count() == sum(r.copies for r in mixed)
+
+
+def test_very_many_copies_of_a_row(spark):
+    from swaplens.llm import shared
+
+    got = shared.repeated(spark.createDataFrame([(1, 5000), (2, 3), (3, 1024), (4, 0)], "part long, times long"), "times")
+    assert Counter(r.part for r in got.collect()) == {1: 5000, 2: 3, 3: 1024}
