@@ -92,6 +92,28 @@ def likeness(a, b):
     return both / (len(a) + len(b) - both)
 
 
+def best_window(grams, item):
+    """The greatest likeness of a window as long as the item, all windows tried; what they share is kept up."""
+    want, has, both, best, m = Counter(item), Counter(), 0, 0, len(item)
+    for k, g in enumerate(grams):
+        both += has[g] < want[g]
+        has[g] += 1
+        if k >= m:
+            old = grams[k - m]
+            has[old] -= 1
+            both -= has[old] < want[old]
+        if k >= m - 1:
+            best = max(best, both / (2 * m - both))
+    return best
+
+
+def test_the_plain_version_of_windows():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = [rng.randrange(9) for _ in range(rng.randrange(40))], [rng.randrange(9) for _ in range(1 + rng.randrange(9))]
+        assert math.isclose(best_window(a, b), max((likeness(a[k : k + len(b)], b) for k in range(len(a) - len(b) + 1)), default=0))
+
+
 def all_windows(docs, items, at_least=0.8):
     found = {}
     for d, text in docs:
@@ -103,7 +125,7 @@ def all_windows(docs, items, at_least=0.8):
             size = min(5, len(v))
             grams = lambda x, s=size: [tuple(x[k : k + s]) for k in range(len(x) - s + 1)]
             gi, gd = grams(v), grams(w)
-            best = max((likeness(gd[k : k + len(gi)], gi) for k in range(len(gd) - len(gi) + 1)), default=0)
+            best = best_window(gd, gi)
             if best >= at_least:
                 found[d, i] = max(best, found.get((d, i), 0))
     return found
@@ -175,3 +197,46 @@ def test_documents_shorter_than_an_item(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
     assert math.isclose(got[1000, 5], 51 / 56) and all(r.n_words == len(tokens(docs[-1][1])) for r in rows if r.doc_id == 1000)
     assert 1000 not in {r.doc_id for r in decontamination.without_contaminated(df, spark.createDataFrame(items, ITEMS)).collect()}
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    """Rows without an id, an id that clean and leaked texts share, names that clash."""
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(None, item + " more"), (None, "clean words here"), (None, None), (5, "before " + item), (5, "clean too"), (6, item), (6, item), (7, "q1 q2 q3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _leaked", "2 AS t1", "3 AS t2", "4 AS win")
+    items = spark.createDataFrame([(1, item), (2, item), (None, item)], ITEMS)
+    left = decontamination.without_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted((r.text or "" for r in left.collect())) == ["", "clean too", "clean words here", "q1 q2 q3"]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(d, i) for d in (None, 5, 6) for i in (None, 1, 2)}
+
+
+def test_windows_at_the_threshold_and_their_radius(spark):
+    """Every window of similarity 0.8 or more is found, also beyond the radius; most lie within it."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(rng.randrange(20, 90)))) for i in range(30)]
+    docs = []
+    for d in range(400):
+        w = items[d % 30][1].split()
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        docs.append((d, " ".join([f"n{rng.randrange(99)}" for _ in range(rng.randrange(30))] + w + ["tail"] * rng.randrange(4))))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    want = all_windows(docs, items)
+    rows = decontamination.contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want.keys()
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, radius=0).collect()} == want.keys()
+    assert sum(r.n_bits <= decontamination.RADIUS for r in rows) >= 0.97 * len(rows)
+
+
+def test_blocks_find_all_prints_within_the_radius(spark):
+    rng = random.Random(2)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rng.getrandbits(64) for _ in range(20)]
+    near = [(b, b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(17)))) for b in base for _ in range(20)]
+    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in near], "a long, b long")
+    from pyspark.sql import functions as F
+
+    asked = decontamination._block_values(F.col("a"), decontamination.RADIUS // decontamination.BLOCKS)
+    met = df.where(F.size(F.array_intersect(asked, decontamination._block_values(F.col("b"), 0))) > 0)
+    assert met.count() == len(near)
