@@ -12,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .tokenizing import batches as runs_of
 
 PASSAGE = 64
-#: Bounds of the fit: labelled documents, and passages of each (evenly spaced over the text).
-SAMPLE, SAMPLE_PASSAGES = 4000, 32
+#: Bounds of the fit: labelled documents, and bytes of their texts; all passages of each are learned from.
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 EMBED, GATE, EPOCHS, RATE, DECAY, SEED = 24, 12, 120, 0.03, 1e-4, 5
 THRESHOLD = 0.3
 
@@ -134,25 +135,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _features(batches, most: int):
+def _features(batches):
     for batch in batches:
-        out = []
-        for t in batch.column(1).to_pylist():
-            x, n = encode([(t or "").encode()])
-            keep = np.unique(np.linspace(0, n[0] - 1, min(most, int(n[0]))).astype(int))
-            out.append(x[keep].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "x"])
+        bags = [encode([(t or "").encode()])[0].tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], ["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict | None:
-    """The model, from at most ``sample`` labelled documents that are not held out: those with the
-    least hashes of their ids. None where no label is given."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, most_bytes: int) -> DataFrame:
+    """doc_id, label, text of the labelled documents that are learned from, one row an id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(label_col).cast("double").alias("label")).orderBy(F.xxhash64("doc_id")).limit(sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bags = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")  # at most ``sample`` rows
-    got = bags.mapInArrow(lambda it: _features(it, SAMPLE_PASSAGES), "doc_id long, label double, x binary").toPandas()
-    got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("label"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    h = F.xxhash64("text")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(h.alias("h"), F.octet_length("text").alias("bytes"))).alias("t"))
+    first = one.join(known, "doc_id").select("doc_id", "label", "t.h", "t.bytes").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over ``sample`` rows at most
+    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "label", "h")
+    rows = texts.withColumn("h", h).join(F.broadcast(chosen), ["doc_id", "h"])  # ``sample`` rows at most
+    return rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES,
+) -> dict | None:
+    """The model, from at most ``sample`` labelled documents that are not held out: those with the
+    least hashes of their ids, as many as have ``most_bytes`` bytes together; each with all its passages.
+    None where no document has a label."""
+    bags = _sample(docs, labels, id_col, text_col, label_col, sample, most_bytes)
+    got = bags.mapInArrow(_features, "doc_id long, label double, x binary").toPandas().sort_values("doc_id")
     if not len(got):
         return None
     x = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
