@@ -27,14 +27,14 @@ from .tokenizing import slices
 
 WINDOW, REACH, MIN_WORDS = 24, 3, 50
 #: Documents with open chunks up to which they are found by broadcast.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
 #: Bytes of text that a task works on at once, about, and bytes that it hashes at once.
 SLICE, BLOCK = 4 << 20, 1 << 19
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _ONE = np.uint64(1)
-#: Odd multiplier of polynomial digests, and its inverse modulo 2^64.
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Odd multipliers of polynomial digests, and their inverses modulo 2^64.
+_BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_BASE, _INVERSE = _BASES[0]
 _FAR = 1 << 40
 
 
@@ -62,10 +62,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[_ONE], np.full(max(n - 1, 0), base)]))[:n]
 
 
-def ranges_digest(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Digests of codes[first:last] for each pair: the same wherever the codes stand."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * _powers(_BASE, len(codes)), dtype=np.uint64)])
-    back = _powers(_INVERSE, len(codes) + 1)
+def ranges_digest(codes: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
+    """Digests of codes[first:last] for each pair, the same wherever the codes stand; there are two of them."""
+    base, inverse = _BASES[which]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * _powers(base, len(codes)), dtype=np.uint64)])
+    back = _powers(inverse, len(codes) + 1)
     return scramble((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
 
 
@@ -148,7 +149,7 @@ def _chunk(batches):
                 [rows.column(0).take(own), rows.column(1).take(own), pa.array(at, pa.int64()), pa.array(digest.view(np.int64))], ["doc_id", "part", "at", "h"])
 
 
-CANDIDATES = "doc_id long, part int, start int, n_words int, lo int, hi int, h long, chain_words int, chain long"
+CANDIDATES = "doc_id long, part int, start int, n_words int, lo int, hi int, h long, chain_words int, chain long, chain2 long"
 
 
 def _chains(batches, size: int):
@@ -179,14 +180,15 @@ def _chains(batches, size: int):
         upto = np.searchsorted(end + doc * _FAR, start + doc * _FAR + size)
         whole = upto <= final[run] if len(at) else new
         upto = np.where(whole, upto, np.arange(len(at)))
-        chain = np.where(whole, ranges_digest(h, np.arange(len(at)), upto + 1), h) if len(at) else h
+        chain, chain2 = (np.where(whole, ranges_digest(h, np.arange(len(at)), upto + 1, k), h) if len(at) else h for k in (0, 1))
         keep = hi - lo >= size
         at_doc = pa.array(doc[keep])
         chain_words = np.where(whole, end[upto] - start, 0) if len(at) else start
         ints = [pa.array(x[keep].astype(np.int32)) for x in (start, n, lo, hi, chain_words)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at_doc), batch.column(1).take(at_doc), *ints[:4], pa.array(h[keep].view(np.int64)), ints[4], pa.array(chain[keep].view(np.int64))],
-            ["doc_id", "part", "start", "n_words", "lo", "hi", "h", "chain_words", "chain"])
+            [batch.column(0).take(at_doc), batch.column(1).take(at_doc), *ints[:4], pa.array(h[keep].view(np.int64)), ints[4],
+             pa.array(chain[keep].view(np.int64)), pa.array(chain2[keep].view(np.int64))],
+            ["doc_id", "part", "start", "n_words", "lo", "hi", "h", "chain_words", "chain", "chain2"])
 
 
 def _windows(batches, size: int):
@@ -204,16 +206,20 @@ def _windows(batches, size: int):
             first = np.repeat(begin[own] + x, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
             first = np.unique(first)  # ranges overlap
             own = np.searchsorted(begin, first, "right") - 1
-            digest = ranges_digest(codes, first, first + size)
+            digests = [pa.array(ranges_digest(codes, first, first + size, k).view(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(own)), rows.column(1).take(pa.array(own)), pa.array((first - begin[own]).astype(np.int32)), pa.array(digest.view(np.int64))],
-                ["doc_id", "part", "start", "d"])
+                [rows.column(0).take(pa.array(own)), rows.column(1).take(pa.array(own)), pa.array((first - begin[own]).astype(np.int32)), *digests],
+                ["doc_id", "part", "start", "d", "d2"])
 
 
-def _shared(df: DataFrame, key: str) -> DataFrame:
-    """key, least and largest doc_id of the keys that more than one document has. Written out, so that
+def _shared(df: DataFrame, *key: str) -> DataFrame:
+    """key columns, least and largest doc_id of the keys that more than one document has. Written out, so that
     what joins it is dealt anew: a key that very many rows share is then split."""
-    return materialize(df.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "shared")
+    return materialize(df.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "shared")
+
+
+def _id(number: str):
+    return F.when(F.col(number).bitwiseAND(F.lit(1).cast("long")) == 0, F.shiftright(F.col(number), 1)).alias(number)
 
 
 def _other():
@@ -227,21 +233,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Every such passage is found; where chains of chunks confirm it, its ends are those of whole
     chunks, fewer than ``WINDOW + REACH`` words inside. ``min_words`` must be at least
     2 * WINDOW + REACH - 1, so that each passage holds a whole chunk. Words are runs other than white space, which itself isn't
-    compared. Digests of 64 bits stand for chunks and words. Null, empty and shorter texts have no
-    passage; rows that repeat a doc_id count as one document; null doc_ids are ignored; other columns
-    are not read. A document's own chunks, and no more, meet in one task.
+    compared. Digests of 128 bits stand for passages, of 64 bits for chunks and words, which only propose them. Null, empty and
+    shorter texts have no passage; rows that repeat a doc_id count as one document; rows without one are
+    documents told apart by their texts, reported with a null id; other columns are not read. A document's own chunks, and no more, meet in one task.
     """
     if min_words < 2 * WINDOW + REACH - 1:
         raise ValueError(f"min_words must be at least {2 * WINDOW + REACH - 1}")
     # part tells apart unlike texts under one doc_id
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text")).where("doc_id is not null")
+    # even numbers are ids, odd ones stand for texts without one
+    own = F.coalesce(F.shiftleft(F.col(id_col).cast("long"), 1), F.xxhash64(text_col).bitwiseOR(F.lit(1).cast("long")))
+    rows = docs.select(own.alias("doc_id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text"))
     chunks = materialize(rows.mapInArrow(_chunk, CHUNKS), "chunks")
     found = chunks.join(_shared(chunks, "h").select("h"), "h")
     per_text = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "h")).alias("chunks"))
     candidates = materialize(per_text.mapInArrow(lambda it: _chains(it, min_words), CANDIDATES), "candidates")
-    chains = _shared(candidates.where("chain_words > 0"), "chain").select("chain", "least", "most", F.lit(True).alias("known"))
+    chains = _shared(candidates.where("chain_words > 0"), "chain", "chain2").select("chain", "chain2", "least", "most", F.lit(True).alias("known"))
     in_text = Window.partitionBy("doc_id", "part").orderBy("start")
-    flagged = candidates.join(chains, "chain", "left").withColumn("known", F.coalesce(F.col("known") & (F.col("chain_words") > 0), F.lit(False)))
+    flagged = candidates.join(chains, ["chain", "chain2"], "left").withColumn("known", F.coalesce(F.col("known") & (F.col("chain_words") > 0), F.lit(False)))
     reach = F.max(F.when(F.col("known"), F.col("start") + F.col("chain_words"))).over(in_text.rowsBetween(Window.unboundedPreceding, 0))
     end = F.col("start") + F.col("n_words")
     flagged = materialize(
@@ -260,8 +268,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     windows = materialize(
         wanted.join(texts, ["doc_id", "part"]).select("doc_id", "part", "ranges", "text")
-        .mapInArrow(lambda it: _windows(it, min_words), "doc_id long, part int, start int, d long"), "windows")
-    settled = windows.join(_shared(windows, "d"), "d").select("doc_id", "part", "start", F.lit(min_words).alias("chain_words"), _other())
+        .mapInArrow(lambda it: _windows(it, min_words), "doc_id long, part int, start int, d long, d2 long"), "windows")
+    settled = windows.join(_shared(windows, "d", "d2"), ["d", "d2"]).select("doc_id", "part", "start", F.lit(min_words).alias("chain_words"), _other())
     # rows that repeat a document give the same stretches
     by_start = Window.partitionBy("doc_id", "part").orderBy("start", F.desc("chain_words"))
     end = F.col("start") + F.col("chain_words")
@@ -269,4 +277,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stretches = confirmed.unionByName(settled).withColumn("new", fresh).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return stretches.groupBy("doc_id", "part", "run").agg(
         F.min("start").cast("long").alias("start_word"), (F.max(end) - F.min("start")).cast("long").alias("n_words"), F.min_by("other_doc_id", "start").alias("other_doc_id")
-    ).select("doc_id", "start_word", "n_words", "other_doc_id")
+    ).select(_id("doc_id"), "start_word", "n_words", _id("other_doc_id"))

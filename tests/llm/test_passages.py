@@ -68,6 +68,9 @@ def test_passages_of_awkward_rows(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
     same = spark.createDataFrame([(1, PROSE), (1, PROSE)], "doc_id long, text string")
     assert substring_dedup.repeated_passages(same).count() == 0  # rows of one document
+    nameless = spark.createDataFrame([(None, PROSE), (None, PROSE + " more"), (-4, "x " + PROSE), (None, None), (None, "short")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.other_doc_id) for r in substring_dedup.repeated_passages(nameless).collect()), key=repr)
+    assert [g[0] for g in got] == [-4, None, None] and all(g[1] >= 94 for g in got)
     half = spark.createDataFrame([(1, PROSE), (2, " ".join(PROSE.split()[:49]))], "doc_id long, text string")
     assert substring_dedup.repeated_passages(half).count() == 0
 
