@@ -50,10 +50,9 @@ def fingerprint_table(
     it is null for other rows. A null text counts as empty; empty texts have fingerprint zero;
     null ids sort first, equal ids by a hash of their texts; a table of one row is its own next.
     """
-    spark = docs.sparkSession
-    n = ranges_wanted(spark, 2)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    n = ranges_wanted(rows, "text")
     n_chars = F.length("text").cast("long")
     cut = F.floor(n_chars / 4).cast("int")
     edited = F.concat(

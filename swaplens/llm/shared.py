@@ -130,6 +130,8 @@ def with_next(df: DataFrame, key: str, tie: str, take: list[str], n: int) -> Dat
         .withColumn("_s", F.col("_p.s"))
         .drop("_p")
     )
+    # a range is a task of its own
+    dealt = dealt.repartitionById(last + 1, F.col("_r"))
     w = Window.partitionBy("_r").orderBy("_s", F.col(key).asc_nulls_first(), tie)
     return (
         dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in take})
@@ -138,6 +140,8 @@ def with_next(df: DataFrame, key: str, tie: str, take: list[str], n: int) -> Dat
     )
 
 
-def ranges_wanted(spark: SparkSession, per_partition: int = 1) -> int:
-    """Ranges to cut a key into: the session's shuffle partitions, times ``per_partition``."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def ranges_wanted(df: DataFrame, text: str, most_bytes: int = 16 << 20) -> int:
+    """Ranges to cut a table into, so that one has about ``most_bytes`` of the column ``text``; as many as
+    shuffle partitions at least."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long")).alias("b")).first()["b"] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most_bytes))
