@@ -99,3 +99,33 @@ def test_encoding_by_words_is_the_whole_encoding(path, plain, kept, monkeypatch)
         ids, n = encoder.encode(pa.array(texts), 1 << 15, 256)
         want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_the_file_has_the_form_that_it_promises(spark, path, tmp_path):
+    """Row groups of a bounded size in order of ids, dictionary pages, page indexes; chosen documents are read alone."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 3000).selectExpr("id AS doc_id", "repeat(concat('w', id % 50, ' '), 40) AS text").repartition(4)
+    out = str(tmp_path / "form")
+    token_output.write_tokens(docs, out, path)
+    bounds = []
+    for file in Path(out).glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            assert group.total_byte_size <= token_output.ROW_GROUP * 2
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert ids.has_dictionary_page and any("DICTIONARY" in e for e in ids.encodings)
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            bounds.append((columns["doc_id"].statistics.min, columns["doc_id"].statistics.max))
+    bounds.sort()
+    assert len(bounds) >= 4 and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+    got = token_output.read_tokens(spark, out, [7, 2999, 5000])
+    assert [r.doc_id for r in got.collect()] == [7, 2999]
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "In(doc_id" in scan.replace("in (", "In(").replace("In (", "In(") or "PushedFilters: [In" in scan
+    whole = spark.read.parquet(out).orderBy("part", "ordinal").collect()
+    assert [r.doc_id for r in whole] == list(range(3000)) and {r.ordinal for r in whole if r.part == whole[0].part} == set(range(sum(r.part == whole[0].part for r in whole)))
