@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
+
 
 def escape(s: str) -> str:
     """Reversible: afterwards no control string ``<|`` and no lone backslash is left."""
@@ -313,7 +315,7 @@ def format_conversations(turns: DataFrame, template: str = CHAT) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", "role", "text").alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return grouped.mapInArrow(lambda it: _render(it, template), FORMATTED)
+    return grouped.transform(map_arrow, lambda it: _render(it, template), FORMATTED)
 
 
 def _parse(batches):
@@ -334,6 +336,7 @@ def _parse(batches):
 def read_back(formatted: DataFrame) -> DataFrame:
     """The turns and the text under the loss mask, parsed again from formatted text and unescaped:
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(
+    return formatted.select("conv_id", "formatted", "spans").transform(
+            map_arrow,
         _parse, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

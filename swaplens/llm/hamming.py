@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import map_arrow, materialize
 from .simhash import distance
 
 CHUNK = 1024
@@ -101,7 +101,7 @@ def links(fps: DataFrame, radius: int, segments: int) -> DataFrame:
     single = (F.size("a") == 1) & (F.size("b") == 1)
     near = distance(F.get(F.col("a"), 0), F.get(F.col("b"), 0)) <= radius
     pairs = pairs.where(~single | near)
-    return pairs.mapInArrow(lambda it: _forest(it, radius), "u long, v long")
+    return pairs.transform(map_arrow, lambda it: _forest(it, radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

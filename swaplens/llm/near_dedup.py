@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import shingle_sets
 from .hamming import components, links
-from .shared import content_key, fresh, materialize
+from .shared import content_key, fresh, map_arrow, materialize
 from .simhash import as_hex, ascii_words, fingerprints
 
 #: Five-word similarity from which documents are near duplicates for a stage of a pipeline.
@@ -65,12 +65,17 @@ def near_duplicate_classes(
 
 def _alike(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes of which the sets reach the similarity. Sets are made again from the texts,
-    of the nodes of pairs only; v's is fetched first, so that a hub u meets rows that can be split."""
-    pairs = materialize(pairs.distinct(), "pairs")
+    of the nodes of pairs only that their tallies don't rule out; v's is fetched first, so that a hub u meets
+    rows that can be split."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tally").alias(f"tally_{c}"))
+    most = F.aggregate(F.zip_with("tally_u", "tally_v", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    likely = pairs.distinct().join(of("v"), "v").join(of("u"), "u")
+    likely = likely.where(most + 1e-6 >= similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")))
+    pairs = materialize(likely.select("u", "v"), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = materialize(nodes.select("node", "first.k1", "first.k2").join(wanted, "node"), "wanted")
     texts = keyed.select("k1", "k2", "text").join(_small(wanted), ["k1", "k2"]).select("node", "text")
-    sets = texts.mapInArrow(lambda it: shingle_sets.whole_sets(it, shingle), "node long, hs array<long>")
+    sets = texts.transform(map_arrow, lambda it: shingle_sets.whole_sets(it, shingle), "node long, hs array<long>")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
     both = F.size(F.array_intersect("a", "b"))
     return (
@@ -83,7 +88,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int, s
 def _common(keyed: DataFrame, shingle: int) -> np.ndarray:
     """Hashes that many texts have, ascending, from one unlike text in ``ONE_IN``."""
     some = keyed.where(F.pmod("k1", F.lit(ONE_IN)) == 0).select(F.xxhash64("text").alias("node"), "text")
-    sets = some.mapInArrow(lambda it: shingle_sets.whole_sets(it, shingle), "node long, hs array<long>").dropDuplicates(["node"])
+    sets = some.transform(map_arrow, lambda it: shingle_sets.whole_sets(it, shingle), "node long, hs array<long>").dropDuplicates(["node"])
     found = sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(LISTED).collect()], np.int64).view(np.uint64))
 
@@ -105,11 +110,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     last = _common(keyed, shingle)
     rows = materialize(
-        keyed.mapInArrow(
+        keyed.transform(
+            map_arrow,
             lambda it: shingle_sets.sketch(it, shingle, last, similarity),
-            "k1 long, k2 long, doc_id long, s1 long, s2 long, n int, fp long, prefix array<long>"), "sketch")
+            "k1 long, k2 long, doc_id long, s1 long, s2 long, n int, fp long, prefix array<long>, tally array<int>"), "sketch")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")  # the row that stands for its set
-    alike = rows.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    alike = rows.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("tally").alias("tally"))
     nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("place", "h"))
     # written out, so that what joins it is dealt anew: a shingle that very many texts share is split

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import map_arrow
 from .tokenizing import batches as runs_of
 
 PASSAGE = 64
@@ -163,7 +164,7 @@ def train(
     least hashes of their ids, as many as have ``most_bytes`` bytes together; each with all its passages.
     None where no document has a label."""
     bags = _sample(docs, labels, id_col, text_col, label_col, sample, most_bytes)
-    got = bags.mapInArrow(_features, "doc_id long, label double, x binary").toPandas().sort_values("doc_id")
+    got = bags.transform(map_arrow, _features, "doc_id long, label double, x binary").toPandas().sort_values("doc_id")
     if not len(got):
         return None
     x = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
@@ -189,7 +190,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     model = train(docs, labels, id_col, text_col, **kwargs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = texts.mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
+    scored = texts.transform(map_arrow, lambda it: _score(it, model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -204,4 +205,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     without a shuffle."""
     model = train(docs, labels, id_col, text_col, **kwargs)
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _accept(it, model, at, threshold), docs.schema)
+    return docs.transform(map_arrow, lambda it: _accept(it, model, at, threshold), docs.schema)

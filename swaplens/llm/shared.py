@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +70,33 @@ def repeated(df: DataFrame, times: str, *, block: int = 1024) -> DataFrame:
     return one.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).drop(times)
 
 
+#: Bytes of an Arrow batch that a worker gets at once, at most (a longer row is a batch of its own).
+BATCH = 4 << 20
+
+
+def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches bounded by bytes, not only by rows; workers give memory back between them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).rstrip("b")) > BATCH:
+        df.sparkSession.conf.set(name, f"{BATCH}b")
+
+    def run(batches):
+        for number, batch in enumerate(work(batches)):
+            yield batch
+            if number % 8 == 7:
+                give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_env() -> None:
     """Python workers are Spark's unit of parallelism; libraries start no threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

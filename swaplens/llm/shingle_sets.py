@@ -11,6 +11,7 @@ from .tokenizing import slices
 
 #: Bytes of text that a worker cuts into shingles at once, about.
 SLICE = 1 << 20
+TALLIES = 256
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LONGS = pa.int64()
@@ -67,12 +68,19 @@ def prefix_of(values: np.ndarray, begins: np.ndarray, last: np.ndarray, similari
     return np.concatenate([[0], np.cumsum(length)]), values[order][keep]
 
 
+def tallies(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """How many hashes of each set fall in each of ``TALLIES`` buckets: sets share no more than their lesser counts."""
+    rows = len(begins) - 1
+    of = np.repeat(np.arange(rows), np.diff(begins))
+    return np.bincount(of * TALLIES + (values & np.uint64(TALLIES - 1)).astype(np.int64), minlength=rows * TALLIES).astype(np.int32)
+
+
 def _lists(begins: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def sketch(batches, size: int, last: np.ndarray, similarity: float):
-    """(k1, k2, doc_id, text) -> k1, k2, doc_id, s1, s2 (the set's identity), n, fp, prefix."""
+    """(k1, k2, doc_id, text) -> k1, k2, doc_id, s1, s2 (the set's identity), n, fp, prefix, tally."""
     for batch in batches:
         for a, rows in slices(batch.column(3), SLICE):
             part = batch.slice(a, rows)
@@ -80,8 +88,9 @@ def sketch(batches, size: int, last: np.ndarray, similarity: float):
             same = [_sums(scramble(h ^ np.uint64(salt)), begins).view(np.int64) for salt in (1, 2)]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:3], *(pa.array(s) for s in same), pa.array(np.diff(begins).astype(np.int32)),
-                 pa.array(prints(h, begins).view(np.int64)), _lists(*prefix_of(h, begins, last, similarity))],
-                ["k1", "k2", "doc_id", "s1", "s2", "n", "fp", "prefix"])
+                 pa.array(prints(h, begins).view(np.int64)), _lists(*prefix_of(h, begins, last, similarity)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * TALLIES), pa.array(tallies(h, begins)))],
+                ["k1", "k2", "doc_id", "s1", "s2", "n", "fp", "prefix", "tally"])
 
 
 def whole_sets(batches, size: int):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import map_arrow, materialize
 from .tokenizing import slices
 
 WINDOW, REACH, MIN_WORDS = 24, 3, 50
@@ -243,10 +243,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # even numbers are ids, odd ones stand for texts without one
     own = F.coalesce(F.shiftleft(F.col(id_col).cast("long"), 1), F.xxhash64(text_col).bitwiseOR(F.lit(1).cast("long")))
     rows = docs.select(own.alias("doc_id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text"))
-    chunks = materialize(rows.mapInArrow(_chunk, CHUNKS), "chunks")
+    chunks = materialize(rows.transform(map_arrow, _chunk, CHUNKS), "chunks")
     found = chunks.join(_shared(chunks, "h").select("h"), "h")
     per_text = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "h")).alias("chunks"))
-    candidates = materialize(per_text.mapInArrow(lambda it: _chains(it, min_words), CANDIDATES), "candidates")
+    candidates = materialize(per_text.transform(map_arrow, lambda it: _chains(it, min_words), CANDIDATES), "candidates")
     chains = _shared(candidates.where("chain_words > 0"), "chain", "chain2").select("chain", "chain2", "least", "most", F.lit(True).alias("known"))
     in_text = Window.partitionBy("doc_id", "part").orderBy("start")
     flagged = candidates.join(chains, ["chain", "chain2"], "left").withColumn("known", F.coalesce(F.col("known") & (F.col("chain_words") > 0), F.lit(False)))
@@ -268,7 +268,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     windows = materialize(
         wanted.join(texts, ["doc_id", "part"]).select("doc_id", "part", "ranges", "text")
-        .mapInArrow(lambda it: _windows(it, min_words), "doc_id long, part int, start int, d long, d2 long"), "windows")
+        .transform(map_arrow, lambda it: _windows(it, min_words), "doc_id long, part int, start int, d long, d2 long"), "windows")
     settled = windows.join(_shared(windows, "d", "d2"), ["d", "d2"]).select("doc_id", "part", "start", F.lit(min_words).alias("chain_words"), _other())
     # rows that repeat a document give the same stretches
     by_start = Window.partitionBy("doc_id", "part").orderBy("start", F.desc("chain_words"))

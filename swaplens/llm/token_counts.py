@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing, word_encoding
+from .shared import map_arrow
 
 #: Characters above which a text is encoded in pieces, and by which neighbouring pieces overlap.
 CHUNK, OVERLAP = 1 << 15, 256
@@ -44,5 +45,5 @@ def count_tokens(
         F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    counted = rows.mapInArrow(lambda it: _count(it, tokenizer, chunk, overlap), "doc_id long, n_bytes long, n_tokens long")
+    counted = rows.transform(map_arrow, lambda it: _count(it, tokenizer, chunk, overlap), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

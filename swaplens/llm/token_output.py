@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokenizing, word_encoding
-from .shared import range_bounds, range_index, ranges_wanted, shared_dir
+from .shared import map_arrow, range_bounds, range_index, ranges_wanted, shared_dir
 
 END = 0
 #: Bytes of a row group and of a page; a page index is written, so ids of few documents and
@@ -65,7 +65,7 @@ def write_tokens(
     dealt = rows.select(range_index(F.col("doc_id"), bounds).cast("int").alias("part"), "doc_id", "text")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     (
-        dealt.mapInArrow(lambda it: _encode(it, tokenizer, chunk, overlap), "part int, ordinal long, doc_id long, n_tokens long, ids array<int>")
+        dealt.transform(map_arrow, lambda it: _encode(it, tokenizer, chunk, overlap), "part int, ordinal long, doc_id long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd").option("parquet.enable.dictionary", "true")
         .option("parquet.block.size", str(ROW_GROUP)).option("parquet.page.size", str(PAGE))
         .parquet(path)
@@ -100,7 +100,7 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("t"))
     base = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("base"))
-    sums = files.select("part", "ordinal", "doc_id", "n_tokens", "ids").mapInArrow(_crc, "part int, ordinal long, doc_id long, n_tokens long, ids_crc32 long")
+    sums = files.select("part", "ordinal", "doc_id", "n_tokens", "ids").transform(map_arrow, _crc, "part int, ordinal long, doc_id long, n_tokens long, ids_crc32 long")
     within = Window.partitionBy("part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     return sums.join(_small(base), "part").select(
         "doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32"
