@@ -25,6 +25,8 @@ RADIUS, SEGMENTS = 3, 2
 #: Which shingles go last in the order: those that ``COMMON`` of one in ``ONE_IN`` texts have, at most
 #: ``LISTED``. Any order gives the same result; this one proposes fewer pairs.
 ONE_IN, COMMON, LISTED = 16, 8, 100_000
+#: Rows of a shingle, on average over rows, up to which all its pairs are taken.
+LARGE = 16
 #: Rows of two or three longs up to which a table is broadcast; beyond, it is joined by shuffling.
 BROADCAST = 200_000
 
@@ -93,6 +95,13 @@ def _common(keyed: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(LISTED).collect()], np.int64).view(np.uint64))
 
 
+def _likely(near: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a node v and that node lo with which it shares most; a pair left out costs nothing but
+    comparisons later, so only likely ones."""
+    some = near.groupBy("node", "n", "lo").agg(F.count("*").alias("c")).where("20 * c >= n")
+    return some.groupBy("node").agg(F.max_by("lo", F.struct("c", "lo")).alias("lo")).select(F.col("lo").alias("u"), F.col("node").alias("v"))
+
+
 def _by_prints(nodes: DataFrame) -> DataFrame:
     """Pairs (u, v) that the multi-index search links: nodes of one fingerprint with its least node, and
     those least nodes along the links of the fingerprints."""
@@ -121,26 +130,41 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     # written out, so that what joins it is dealt anew: a shingle that very many texts share is split
     shared = materialize(postings.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h", "lo"), "shared")
     near = materialize(postings.join(shared, "h"), "near")
-    # leaving out a star costs nothing but comparisons: only likely ones, the likeliest of each node
-    likely = near.where("node <> lo").groupBy("node", "n", "lo").agg(F.count("*").alias("c")).where("20 * c >= n")
-    likely = likely.groupBy("node").agg(F.max_by("lo", F.struct("c", "lo")).alias("lo")).select(F.col("lo").alias("u"), F.col("node").alias("v"))
-    first_links = materialize(_alike(_by_prints(nodes).unionByName(likely), nodes, keyed, shingle, similarity), "stars")
-    roots = components(first_links)
-    rooted = near.drop("lo").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    open_ = materialize(rooted.join(mixed, "h", "left_semi"), "open")
+    proposed = _by_prints(nodes).unionByName(_likely(near.where("node <> lo")))
+    found = materialize(_alike(proposed, nodes, keyed, shingle, similarity), "stars")
+    near, round_ = near.drop("lo"), 0
+    while True:
+        roots = components(found)
+        rooted = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        open_ = materialize(rooted.join(mixed, "h", "left_semi"), "open")
+        met = open_.groupBy("h").agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
+        if (met["pairs"] or 0) <= LARGE * (met["rows"] or 0):
+            break
+        # large groups are left: each of their nodes is compared with another one of another component first
+        round_ += 1
+        hubs = open_.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("lo"), F.col("root").alias("lo_root")), F.xxhash64("node", F.lit(round_))).alias("hub"))
+        stars = open_.join(materialize(hubs.select("h", "hub.*"), "hubs"), "h").where("root <> lo_root")
+        proposed = materialize(_likely(stars), "proposed")
+        more = materialize(_alike(proposed, nodes, keyed, shingle, similarity), "stars")
+        if 100 * more.count() < proposed.count():
+            break
+        found = found.unionByName(more)
     a = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "root")])
     b = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "root")])
-    # two sets can share what their prefixes do, up to the last of it, and what comes after in both
-    after = F.least(F.col("n_a") - F.max("place_a") - 1, F.col("n_b") - F.max("place_b") - 1)
+    # two sets can share what their prefixes do, up to the last of it, and what comes after in both; of what
+    # they share the first leaves enough after it
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+    left = lambda pa, pb: F.least(F.col("n_a") - pa - 1, F.col("n_b") - pb - 1)
     pairs = a.join(b, "h").where(
         (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
         & (F.least("n_a", "n_b") + 1e-6 >= similarity * F.greatest("n_a", "n_b"))
-    ).groupBy("node_a", "node_b", "n_a", "n_b").agg((F.count("*") + after).alias("most")).where(
-        F.col("most") + 1e-6 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+        & (left(F.col("place_a"), F.col("place_b")) + 1 + 1e-6 >= needed)
+    ).groupBy("node_a", "node_b", "n_a", "n_b").agg((F.count("*") + left(F.max("place_a"), F.max("place_b"))).alias("most")).where(
+        F.col("most") + 1e-6 >= needed
     ).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     more = materialize(_alike(pairs, nodes, keyed, shingle, similarity), "more")
-    joined = components(first_links.unionByName(more)) if more.limit(1).count() else roots
+    joined = components(found.unionByName(more)) if more.limit(1).count() else roots
     nodes = nodes.select("node", "s1", "s2", "first").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows.select("k1", "k2", "doc_id", "s1", "s2"), materialize(nodes, "classes")
 
@@ -156,8 +180,8 @@ def similar_classes(
     count as in ``near_duplicate_classes``.
 
     Sets that agree are one node. Nodes are first compared along the links of their fingerprints, and with
-    one node that is the least of many of their prefix shingles, which joins most of a large group; then all
-    pairs that share a prefix shingle and lie in different components are. So a group of near copies isn't
+    one node that is the least of many of their prefix shingles, which joins most of a large group, again with
+    other ones as long as large groups are left and that joins more; then all pairs that share a prefix shingle and lie in different components are. So a group of near copies isn't
     compared pair by pair.
     """
     rows, nodes = _classes(docs, id_col, text_col, shingle, similarity)
