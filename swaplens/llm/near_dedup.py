@@ -25,8 +25,8 @@ RADIUS, SEGMENTS = 3, 2
 #: Which shingles go last in the order: those that ``COMMON`` of one in ``ONE_IN`` texts have, at most
 #: ``LISTED``. Any order gives the same result; this one proposes fewer pairs.
 ONE_IN, COMMON, LISTED = 16, 8, 100_000
-#: Rows of a shingle, on average over rows, up to which all its pairs are taken.
-LARGE = 16
+#: Nodes that share a prefix shingle above which they are compared with more hubs before all their pairs are.
+LARGE = 256
 #: Rows of two or three longs up to which a table is broadcast; beyond, it is joined by shuffling.
 BROADCAST = 200_000
 
@@ -133,23 +133,24 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     proposed = _by_prints(nodes).unionByName(_likely(near.where("node <> lo")))
     found = materialize(_alike(proposed, nodes, keyed, shingle, similarity), "stars")
     near, round_ = near.drop("lo"), 0
-    while True:
-        roots = components(found)
-        rooted = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-        open_ = materialize(rooted.join(mixed, "h", "left_semi"), "open")
-        met = open_.groupBy("h").agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
-        if (met["pairs"] or 0) <= LARGE * (met["rows"] or 0):
-            break
-        # large groups are left: each of their nodes is compared with another one of another component first
+    # nodes of large groups are compared with other hubs first, while that joins more
+    sizes = near.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("h")
+    large = materialize(near.join(materialize(sizes, "large"), "h", "left_semi"), "large")
+    roots = components(found)
+    while large.limit(1).count():
         round_ += 1
-        hubs = open_.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("lo"), F.col("root").alias("lo_root")), F.xxhash64("node", F.lit(round_))).alias("hub"))
-        stars = open_.join(materialize(hubs.select("h", "hub.*"), "hubs"), "h").where("root <> lo_root")
+        rooted = materialize(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        hubs = rooted.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("lo"), F.col("root").alias("lo_root")), F.xxhash64("node", F.lit(round_))).alias("hub"))
+        stars = rooted.join(materialize(hubs.select("h", "hub.*"), "hubs"), "h").where("root <> lo_root")
         proposed = materialize(_likely(stars), "proposed")
         more = materialize(_alike(proposed, nodes, keyed, shingle, similarity), "stars")
-        if 100 * more.count() < proposed.count():
+        if 50 * more.count() <= proposed.count():
             break
         found = found.unionByName(more)
+        roots = components(found)
+    rooted = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    open_ = materialize(rooted.join(mixed, "h", "left_semi"), "open")
     a = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "root")])
     b = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "root")])
     # two sets can share what their prefixes do, up to the last of it, and what comes after in both; of what
