@@ -69,14 +69,21 @@ def test_configuration(tmp_path, monkeypatch):
         govern.load_config(tmp_path / "loop.json")
 
 
+def test_layers_lie_over_one_another():
+    under = govern.flat({"a": {"x": 1, "y": {"z": 2}}, "b": 3, "c": {"d": 4}})
+    over = govern.flat({"a": {"y": 5}, "b": {"e": 6}, "c": {}, "f": {}})
+    assert govern.nested(govern.overlay(under, over)) == {"a": {"x": 1, "y": 5}, "b": {"e": 6}, "c": {"d": 4}, "f": {}}
+    assert govern.frozen_differences({"a": {"x": 1}}, {"a": {"x": 2, "y": 3}}) == [("a.x", 2, 1), ("a.y", 3, None)]
+
+
 def test_protocol_hash_ignores_the_order_of_keys(tmp_path):
     assert govern.protocol_hash({"a": 1, "b": [1, 2]}) == govern.protocol_hash({"b": [1, 2], "a": 1}) != govern.protocol_hash({"a": 1, "b": [2, 1]})
     with pytest.raises(ValueError):
         govern.protocol_hash({"a": float("nan")})
-    govern.lock_protocol({"a": 1}, tmp_path / "lock")
-    govern.verify_protocol({"a": 1}, tmp_path / "lock")
-    with pytest.raises(govern.HeldOutLocked):
-        govern.verify_protocol({"a": 2}, tmp_path / "lock")
+    govern.lock_protocol({"a": 1}, tmp_path)
+    unlocked = "the protocol is not the locked one"
+    assert unlocked not in govern.obstacles(tmp_path, {"a": 1}, [], "f", {})
+    assert unlocked in govern.obstacles(tmp_path, {"a": 2}, [], "f", {})
 
 
 def test_held_out_data_stays_locked(spark, tmp_path):
@@ -86,7 +93,7 @@ def test_held_out_data_stays_locked(spark, tmp_path):
         with pytest.raises(govern.HeldOutLocked):
             ask(*args)
     locked()
-    digest = govern.lock_protocol(protocol, tmp_path / "protocol.sha256")
+    digest = govern.lock_protocol(protocol, tmp_path)
     locked()
     govern.save_json({"status": "unlocked", "protocol_hash": digest}, tmp_path / "unlock.json")
     locked()
