@@ -5,27 +5,45 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import present, uniform
 
-#: Pairs of a run up to which its codes are sent to tasks, each of which makes some draws.
-PACKED_PAIRS = 5_000_000
+#: Rows of (draw, identity, multiplier) up to which multipliers are made once and broadcast; beyond, each
+#: row makes its own. The numbers are the same.
+MULTIPLIERS = 1_000_000
+
+
+def _draws(draws: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+
+
+def _weighed(cells: DataFrame, roles: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """Each row of ``cells`` once a draw, with its weight ``_w``: the product over roles of exponential
+    multipliers that belong to (seed, draw, identity). Missing identities count as one."""
+    x = lambda c: -F.log(uniform(seed, F.col("draw"), F.col(c)))
+    spread = cells.select("*", _draws(draws))
+    ids = reduce(lambda u, v: u.unionByName(v), [cells.select(F.col(r).cast("string").alias("_id")) for r in roles]).distinct()
+    few = MULTIPLIERS // draws
+    if ids.limit(few + 1).count() > few:
+        return spread.withColumn("_w", reduce(lambda a, b: a * b, [x(r) for r in roles]))
+    table = ids.select("_id", _draws(draws)).select("_id", "draw", x("_id").alias("_x"))
+    for i, r in enumerate(roles):
+        own = F.broadcast(table.select(F.col("_id").alias(f"_id{i}"), F.col("draw").alias(f"_draw{i}"), F.col("_x").alias(f"_x{i}")))
+        spread = spread.join(own, F.col(r).cast("string").eqNullSafe(F.col(f"_id{i}")) & (F.col("draw") == F.col(f"_draw{i}")), "left").drop(f"_id{i}", f"_draw{i}")
+    weight = reduce(lambda a, b: a * b, [F.col(f"_x{i}") for i in range(len(roles))])
+    return spread.withColumn("_w", weight).drop(*[f"_x{i}" for i in range(len(roles))])
 
 
 def draw_means(pairs: DataFrame, value: str, roles: Sequence[str], by: Sequence[str], draws: int, seed: int) -> DataFrame:
     """One row per group and draw: the mean weighted by the product over roles of exponential
     multipliers. A multiplier belongs to (seed, draw, identity), so one identity has the same in
-    every role and group. Everything is an expression; sums combine before they are shuffled."""
-    weight = None
-    for role in roles:
-        w = -F.log(uniform(seed, F.col("draw"), F.col(role)))
-        weight = w if weight is None else weight * w
-    spread = pairs.select(*by, value, *dict.fromkeys(roles)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    g = spread.withColumn("_w", weight).groupBy(*by, "draw").agg(F.sum(F.col("_w") * F.col(value)).alias("s"), F.sum("_w").alias("w"))
+    every role and group. Pairs of the same identities are added up first, so the draws multiply
+    the distinct identities of a group and not its pairs; sums combine before they are shuffled."""
+    keys = list(dict.fromkeys([*by, *roles]))
+    cells = pairs.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    g = _weighed(cells, roles, draws, seed).groupBy(*by, "draw").agg(F.sum(F.col("_w") * F.col("_s")).alias("s"), F.sum(F.col("_w") * F.col("_n")).alias("w"))
     return g.select(*by, "draw", (F.col("s") / F.col("w")).alias("estimate"))
 
 
@@ -53,39 +71,6 @@ def grouped(pairs: DataFrame, value: str, roles: Sequence[str], groups: Sequence
     return j.withColumn("status", F.lit("available"))
 
 
-def grouped_packed(pairs: DataFrame, value: str, roles: Sequence[str], groups: Sequence[str], draws: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """BST-2 for many draws over one run of bounded size: codes of the pairs are broadcast once and
-    each task makes its share of the draws with NumPy. Its random numbers differ from those of
-    ``grouped``; runs above ``PACKED_PAIRS`` pairs take that instead."""
-    spark = pairs.sparkSession
-    rows = pairs.select(F.col(value).alias("v"), *[F.col(r).cast("string").alias(f"r{i}") for i, r in enumerate(roles)], F.concat_ws("|", *[F.col(g).cast("string") for g in groups]).alias("g"))
-    if rows.limit(PACKED_PAIRS + 1).count() > PACKED_PAIRS:
-        return grouped(pairs, value, roles, groups, (), draws, seed, confidence)
-    table = rows.orderBy("g", *[f"r{i}" for i in range(len(roles))], "v").toPandas()
-    if not len(table):
-        return spark.createDataFrame([("unavailable", 0)], "status string, n long")
-    ids, codes = np.unique(np.concatenate([table[f"r{i}"].to_numpy(str) for i in range(len(roles))]), return_inverse=True)
-    group, _ = pd.factorize(table["g"], sort=True)
-    packed = spark.sparkContext.broadcast((table["v"].to_numpy(float), np.split(codes, len(roles)), group, len(ids)))
-
-    def run(batches):
-        v, by_role, g, n_ids = packed.value
-        k = int(g.max()) + 1
-        for pdf in batches:
-            out = []
-            for d in pdf["id"]:
-                x = np.random.default_rng([seed, int(d)]).exponential(size=n_ids)
-                w = np.ones(len(v))
-                for c in by_role:
-                    w = w * x[c]
-                out.append(float(np.mean(np.bincount(g, w * v, k) / np.bincount(g, w, k))))
-            yield pd.DataFrame({"draw": pdf["id"], "estimate": out})
-
-    ci = _interval(spark.range(draws).mapInPandas(run, "draw long, estimate double"), [], confidence)
-    means = pairs.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(value).alias("m")).agg(F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.avg("m").alias("estimate"))
-    return means.crossJoin(ci).withColumn("status", F.lit("available"))
-
-
 def audit_intervals(pairs: DataFrame, expected: Sequence[tuple[int, int]] | None, draws: int, seed: int = 42, run_keys: Sequence[str] = ("source_split",)) -> DataFrame:
     """BST-3: global intervals of both metrics, over all pairs and in common support; unavailable
     where the directed pairs are not the expected ones. Draws are made once: both metrics and both
@@ -94,11 +79,12 @@ def audit_intervals(pairs: DataFrame, expected: Sequence[tuple[int, int]] | None
     groups, kinds, values = ["source_hospital", "target_hospital"], ("pair_weighted", "common_support"), ("hcs", "hce")
     inside = {"pair_weighted": F.lit(True), "common_support": F.col("common_support") if "common_support" in pairs.columns else F.lit(True)}
     pairs = pairs.select(*run_keys, *groups, *dict.fromkeys(roles), *[f"{m}_pair" for m in values], *present(pairs, ["common_support"]))
-    weight = reduce(lambda a, b: a * b, [-F.log(uniform(seed, F.col("draw"), F.col(r))) for r in roles])
-    spread = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", weight)
     part = lambda k, x: F.sum(F.when(inside[k], x))
-    sums = spread.groupBy(*run_keys, *groups, "draw").agg(
-        *[part(k, F.col("_w")).alias(f"w_{k}") for k in kinds], *[part(k, F.col("_w") * F.col(f"{m}_pair")).alias(f"{m}_{k}") for k in kinds for m in values])
+    cells = pairs.groupBy(*run_keys, *groups, *dict.fromkeys(roles)).agg(
+        *[part(k, F.lit(1)).alias(f"n_{k}") for k in kinds], *[part(k, F.col(f"{m}_pair")).alias(f"s_{m}_{k}") for k in kinds for m in values])
+    sums = _weighed(cells, roles, draws, seed).groupBy(*run_keys, *groups, "draw").agg(
+        *[F.sum(F.col("_w") * F.col(f"n_{k}")).alias(f"w_{k}") for k in kinds],
+        *[F.sum(F.col("_w") * F.col(f"s_{m}_{k}")).alias(f"{m}_{k}") for k in kinds for m in values])
     item = F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric"), (F.col(f"{m}_{k}") / F.col(f"w_{k}")).alias("e")) for k in kinds for m in values])).alias("i")
     by = [*run_keys, "summary_type", "metric"]
     each = sums.select(*run_keys, *groups, "draw", item).select(*run_keys, *groups, "draw", "i.*")

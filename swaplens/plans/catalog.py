@@ -27,7 +27,7 @@ TRIPLET = (
     "triplet_id, source_id, source_split, source_hospital, target_hospital, source_slide, source_patient, source_physical_id, label, within_donor, within_slide, "
     "within_physical_id, cross_donor, cross_slide, cross_physical_id, " + rounds("matching_distance_within", "matching_distance_cross", "matching_distance_pair", "matching_cost") + ", donor_index"
 )
-DRAWS = 50
+DRAWS = 2000
 
 
 def registered(sql: str | None = None) -> Callable[[Query], Query]:
@@ -453,10 +453,10 @@ def _quota(cells: str, keys: str, weight: str, total: str) -> str:
       FROM (SELECT *, round({weight} * {total} / sum({weight}) OVER (), 9) AS e FROM {cells}))"""
 
 
-@registered(_then(("trip",), f", el AS ({_ELIGIBLE}), cells AS (SELECT label, source_slide, count(*) AS n FROM el GROUP BY 1, 2), q AS {_quota('cells', 'label, source_slide', 'n', 'least(100, (SELECT sum(n) FROM cells))')}", f"""
+@registered(_then(("trip",), f", el AS ({_ELIGIBLE}), cells AS (SELECT label, source_slide, count(*) AS n FROM el GROUP BY 1, 2), q AS {_quota('cells', 'label, source_slide', 'n', 'least(10000, (SELECT sum(n) FROM cells))')}", f"""
     SELECT el.* FROM el JOIN q USING (label, source_slide) QUALIFY row_number() OVER (PARTITION BY label, source_slide ORDER BY {hashed('2026', 'source_id')}, source_id) <= quota"""))
 def subset_sample(spark, sf_dir):
-    return sampling.audit_subset(sampling.eligible_sources(b.matched(spark, sf_dir)[0], "val"), 100, 2026)
+    return sampling.audit_subset(sampling.eligible_sources(b.matched(spark, sf_dir)[0], "val"), 10000, 2026)
 
 
 @registered(_then(("z",), f", cells AS (SELECT hospital_id, label, count(*) AS available FROM z WHERE split = 'train' GROUP BY 1, 2), q AS {_quota('cells', 'hospital_id, label', 'available', '1000')}",
@@ -751,12 +751,18 @@ def robustness(spark, sf_dir):
     return rounded(metrics.directed(s, ["setting"]))
 
 
-_W = " * ".join(f"-ln({uniform('42', 'draw', c)})" for c in ("source_physical_id", "within_physical_id", "cross_physical_id"))
 ROLES = ["source_physical_id", "within_physical_id", "cross_physical_id"]
+#: Multipliers of all identities; pairs of the same identities added up; each of those weighed once a draw.
+_WEIGHED = f"""
+    , mult AS MATERIALIZED (SELECT id, draw, -ln({uniform('42', 'draw', 'id')}) AS x FROM ({' UNION '.join(f'SELECT {r} AS id FROM pm' for r in ROLES)}), range({DRAWS}) t(draw)),
+    cell AS (SELECT seed, target_hospital, {', '.join(ROLES)}, sum(hcs_pair) AS hcs_all, sum(hce_pair) AS hce_all, count(*) AS n_all,
+        sum(hcs_pair) FILTER (common_support) AS hcs_cs, sum(hce_pair) FILTER (common_support) AS hce_cs, count(*) FILTER (common_support) AS n_cs FROM pm GROUP BY ALL),
+    sums AS MATERIALIZED (SELECT seed, target_hospital, a.draw AS draw, {', '.join(f'sum(a.x * b.x * c.x * {v}_{k}) AS {v}_{k}' for k in ('all', 'cs') for v in ('hcs', 'hce', 'n'))}
+        FROM cell JOIN mult a ON a.id = {ROLES[0]} JOIN mult b ON b.id = {ROLES[1]} AND b.draw = a.draw JOIN mult c ON c.id = {ROLES[2]} AND c.draw = a.draw GROUP BY ALL)"""
 
 
-@registered(_then(("pm",), f"""
-    , draws AS (SELECT seed, target_hospital, draw, sum(w * hcs_pair) / sum(w) AS estimate FROM (SELECT *, {_W} AS w FROM pm, range({DRAWS}) t(draw)) GROUP BY ALL)""", """
+@registered(_then(("pm",), _WEIGHED + """
+    , draws AS (SELECT seed, target_hospital, draw, hcs_all / n_all AS estimate FROM sums)""", """
     SELECT p.seed, p.target_hospital, p.n, round(p.estimate, 6) AS estimate, draws, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, round(se, 6) AS standard_error, 'available' AS status
     FROM (SELECT seed, target_hospital, count(*) AS n, avg(hcs_pair) AS estimate FROM pm GROUP BY 1, 2) p
     JOIN (SELECT seed, target_hospital, count(*) AS draws, quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi, stddev_samp(estimate) AS se FROM draws GROUP BY 1, 2) d USING (seed, target_hospital)"""))
@@ -766,37 +772,29 @@ def bootstrap_directed(spark, sf_dir):
 
 
 _GROUPED = """
-    , inner_{m}_{k} AS (SELECT seed, target_hospital, draw, sum(w * {m}_pair) / sum(w) AS e FROM (SELECT *, {w} AS w FROM pm, range({n}) t(draw) WHERE {where}) GROUP BY ALL),
-    outer_{m}_{k} AS (SELECT seed, draw, avg(e) AS estimate FROM inner_{m}_{k} GROUP BY ALL)"""
+    , outer_{m}_{k} AS (SELECT seed, draw, avg({m}_{k} / n_{k}) AS estimate FROM sums WHERE n_{k} > 0 GROUP BY ALL)"""
 _GROUPED_ROWS = """
     SELECT p.seed, p.n, p.n_groups, round(p.estimate, 6) AS estimate, d.draws, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, round(se, 6) AS standard_error, 'available' AS status{tag}
     FROM (SELECT seed, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_groups, avg(m) AS estimate FROM (SELECT seed, target_hospital, count(*) AS n, avg({m}_pair) AS m FROM pm WHERE {where} GROUP BY 1, 2) GROUP BY 1) p
     JOIN (SELECT seed, count(*) AS draws, quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi, stddev_samp(estimate) AS se FROM outer_{m}_{k} GROUP BY 1) d USING (seed)"""
 
 
-@registered(_then(("pm",), _GROUPED.format(m="hcs", k="all", w=_W, n=DRAWS, where="TRUE"), _GROUPED_ROWS.format(m="hcs", k="all", where="TRUE", tag="")))
+@registered(_then(("pm",), _WEIGHED + _GROUPED.format(m="hcs", k="all"), _GROUPED_ROWS.format(m="hcs", k="all", where="TRUE", tag="")))
 def bootstrap_grouped(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).persist()  # read twice
     return rounded(bootstrap.grouped(pairs, "hcs_pair", ROLES, ["source_hospital", "target_hospital"], ["seed"], DRAWS))
 
 
-_KINDS = [("pair_weighted", "pw", "TRUE"), ("common_support", "cs", "common_support")]
+_KINDS = [("pair_weighted", "all", "TRUE"), ("common_support", "cs", "common_support")]
 
 
-@registered(_then(("pm",), "".join(_GROUPED.format(m=m, k=k, w=_W, n=DRAWS, where=where) for _, k, where in _KINDS for m in ("hcs", "hce")), " UNION ALL ".join(
+@registered(_then(("pm",), _WEIGHED + "".join(_GROUPED.format(m=m, k=k) for _, k, _ in _KINDS for m in ("hcs", "hce")), " UNION ALL ".join(
     _GROUPED_ROWS.format(m=m, k=k, where=where, tag=f", 'val' AS source_split, '{kind}' AS summary_type, '{m}' AS metric") for kind, k, where in _KINDS for m in ("hcs", "hce"))))
 def bootstrap_audit(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).persist()  # read three times
     return rounded(bootstrap.audit_intervals(pairs, b.EXPECTED_PAIRS, DRAWS, run_keys=("source_split", "seed")))
 
 
-@registered()
-def bootstrap_packed(spark, sf_dir):
-    """2000 draws of one run by NumPy; generator draws, so no SQL."""
-    one = _pairs(spark, sf_dir).where("seed = 42").persist()  # read three times
-    return bootstrap.grouped_packed(one, "hcs_pair", ROLES, ["source_hospital", "target_hospital"], 2000)
-
-
 @registered(_then(("dir",), "", f"SELECT {PAIR}, count(*) AS n_seeds, round(avg(hcs), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(hcs) ELSE 0 END, 6) AS std FROM dir GROUP BY ALL"))
 def seed_estimates(spark, sf_dir):
     return rounded(bootstrap.seed_estimates(_directed(spark, sf_dir), "hcs", ["source_split", "source_hospital", "target_hospital"]))

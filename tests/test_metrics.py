@@ -98,12 +98,18 @@ def test_bootstrap(spark):
     assert (one.estimate, one.n_groups, one.n) == (5.5, 2, 3) and one.ci_lower <= 5.5 <= one.ci_upper and one.standard_error > 0
     again = bootstrap.grouped(df.repartition(3), "v", roles, groups, draws=200).first()
     assert [again.estimate, again.ci_lower, again.ci_upper, again.standard_error] == pytest.approx([one.estimate, one.ci_lower, one.ci_upper, one.standard_error])
-    packed = bootstrap.grouped_packed(df, "v", roles, groups, draws=400).first()
-    assert packed.estimate == 5.5 and abs(packed.standard_error - one.standard_error) < 0.3
     same = bootstrap.crossed(df.where("source = 'a'").withColumn("v", F.lit(2.0)), "v", roles, [], draws=20).first()
     assert (same.estimate, same.ci_lower, same.ci_upper) == pytest.approx((2.0, 2.0, 2.0))
 
 
+def test_multipliers_are_the_same_made_once_or_by_every_row(spark, monkeypatch):
+    df = spark.createDataFrame([(1.0, "a", "b"), (4.0, "b", "a"), (7.0, "c", "a"), (7.0, "c", "a"), (2.0, "c", None), (None, "d", "e")], "v double, source string, within string")
+    of = lambda: {r.draw: r.estimate for r in bootstrap.draw_means(df, "v", ["source", "within"], [], 20, 3).collect()}
+    once = of()
+    monkeypatch.setattr(bootstrap, "MULTIPLIERS", 0)
+    assert of() == pytest.approx(once) and len(once) == 20 and len(set(once.values())) == 20
+
+
 def test_one_identity_has_one_weight_in_all_roles(spark):
     """With one identity everywhere the weight is the cube of its draw and cancels; with two the mean moves."""
     df = spark.createDataFrame([(1.0, "x", "x"), (5.0, "y", "y")], "v double, source string, within string")
