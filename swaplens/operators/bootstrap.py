@@ -15,20 +15,31 @@ from ..functions.columns import present, uniform
 MULTIPLIERS = 1_000_000
 
 
-def _draws(draws: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+#: Draws that a row is dealt out for at once.
+BLOCK = 100
+
+
+def _each_draw(df: DataFrame, draws: int) -> DataFrame:
+    """Each row once a draw. Few short rows become very many, so blocks of draws are dealt to all tasks
+    by a set count of partitions, which adaptive execution doesn't merge by their small size."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    starts = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK))).alias("_start")
+    dealt = df.select("*", starts).repartition(tasks, *df.columns, "_start")
+    within = F.sequence(F.col("_start"), F.least(F.col("_start") + BLOCK, F.lit(draws)) - 1)
+    return dealt.select(*df.columns, F.explode(within).alias("draw"))
 
 
 def _weighed(cells: DataFrame, roles: Sequence[str], draws: int, seed: int) -> DataFrame:
     """Each row of ``cells`` once a draw, with its weight ``_w``: the product over roles of exponential
     multipliers that belong to (seed, draw, identity). Missing identities count as one."""
     x = lambda c: -F.log(uniform(seed, F.col("draw"), F.col(c)))
-    spread = cells.select("*", _draws(draws))
+    spread = _each_draw(cells, draws)
     ids = reduce(lambda u, v: u.unionByName(v), [cells.select(F.col(r).cast("string").alias("_id")) for r in roles]).distinct()
     few = MULTIPLIERS // draws
     if ids.limit(few + 1).count() > few:
         return spread.withColumn("_w", reduce(lambda a, b: a * b, [x(r) for r in roles]))
-    table = ids.select("_id", _draws(draws)).select("_id", "draw", x("_id").alias("_x"))
+    table = _each_draw(ids, draws).select("_id", "draw", x("_id").alias("_x"))
     for i, r in enumerate(roles):
         own = F.broadcast(table.select(F.col("_id").alias(f"_id{i}"), F.col("draw").alias(f"_draw{i}"), F.col("_x").alias(f"_x{i}")))
         spread = spread.join(own, F.col(r).cast("string").eqNullSafe(F.col(f"_id{i}")) & (F.col("draw") == F.col(f"_draw{i}")), "left").drop(f"_id{i}", f"_draw{i}")
