@@ -27,6 +27,8 @@ RADIUS, SEGMENTS = 3, 2
 ONE_IN, COMMON, LISTED = 16, 8, 100_000
 #: Nodes that share a prefix shingle above which they are compared with more hubs before all their pairs are.
 LARGE = 256
+#: Hubs of such a group that its nodes are compared with at a time.
+HUBS = 16
 #: Rows of two or three longs up to which a table is broadcast; beyond, it is joined by shuffling.
 BROADCAST = 200_000
 
@@ -133,18 +135,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     proposed = _by_prints(nodes).unionByName(_likely(near.where("node <> lo")))
     found = materialize(_alike(proposed, nodes, keyed, shingle, similarity), "stars")
     near, round_ = near.drop("lo"), 0
-    # nodes of large groups are compared with other hubs first, while that joins more
-    sizes = near.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("h")
-    large = materialize(near.join(materialize(sizes, "large"), "h", "left_semi"), "large")
+    # nodes of large groups are compared with some of their most central nodes first, while that joins more
+    sizes = near.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > LARGE)
+    large = materialize(near.join(materialize(sizes, "sizes"), "h"), "large")
+    # the more of its set a node shares with large groups, the fewer shingles of its own keep others from it
+    central = large.groupBy("node", "n").agg((F.count("*") / F.col("n")).alias("share"), F.max(F.struct("c", "h"))["h"].alias("largest"))
+    central = materialize(central.where("20 * share >= 1").select("node", "share", "largest"), "central")
+    large = large.join(central, "node").join(central.select(F.col("largest").alias("h")).distinct(), "h", "left_semi")
+    large = materialize(large.select("node", "h", "share", (F.col("h") == F.col("largest")).alias("asks")), "large")
     roots = components(found)
     while large.limit(1).count():
         round_ += 1
         rooted = materialize(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        hubs = rooted.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("lo"), F.col("root").alias("lo_root")), F.xxhash64("node", F.lit(round_))).alias("hub"))
-        stars = rooted.join(materialize(hubs.select("h", "hub.*"), "hubs"), "h").where("root <> lo_root")
-        proposed = materialize(_likely(stars), "proposed")
+        drawn = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(HUBS))
+        best = F.max_by(F.struct(F.col("node").alias("lo"), F.col("root").alias("lo_root")), F.struct("share", "node"))
+        hubs = rooted.groupBy("h", drawn.alias("drawn")).agg(best.alias("hub"))
+        stars = rooted.where("asks").join(materialize(hubs.select("h", "hub.*"), "hubs"), "h").where("root <> lo_root")
+        proposed = materialize(stars.select(F.col("lo").alias("u"), F.col("node").alias("v")), "proposed")
         more = materialize(_alike(proposed, nodes, keyed, shingle, similarity), "stars")
-        if 50 * more.count() <= proposed.count():
+        asked, joined = (df.select("v").distinct().count() for df in (proposed, more))
+        if 50 * joined <= asked:
             break
         found = found.unionByName(more)
         roots = components(found)
@@ -181,8 +191,9 @@ def similar_classes(
     count as in ``near_duplicate_classes``.
 
     Sets that agree are one node. Nodes are first compared along the links of their fingerprints, and with
-    one node that is the least of many of their prefix shingles, which joins most of a large group, again with
-    other ones as long as large groups are left and that joins more; then all pairs that share a prefix shingle and lie in different components are. So a group of near copies isn't
+    one node that is the least of many of their prefix shingles, which joins most of a large group; those of
+    large groups again with ``HUBS`` of its most central nodes at a time, as long as that joins more. Then all
+    pairs that share a prefix shingle and lie in different components are. So a group of near copies isn't
     compared pair by pair.
     """
     rows, nodes = _classes(docs, id_col, text_col, shingle, similarity)
