@@ -27,7 +27,9 @@ def value_bucket(df: DataFrame, value: str) -> Column:
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first()["c"]  # n numbers
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(value))) + 1, F.lit(0))
+    bucket = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(value))) + 1, F.lit(0))
+    # plus 0, but not deterministic to the optimizer, which else infers a filter from the lambda in which it mixes up the sides of a self join
+    return bucket + F.floor(F.rand(0)).cast("int")
 
 
 def before(df: DataFrame, order: Sequence[Column | str], value: Column, bucket: Column, out: str, by: Sequence[str] = ()) -> DataFrame:
