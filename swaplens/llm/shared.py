@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,21 +13,29 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from pyspark.sql.window import Window
 
 
+#: Folders chosen where the session names none, by application.
+_CHOSEN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset and Spark runs on one machine a temporary folder is chosen and set; on a
-    cluster executors couldn't see it.
+    Only where that is unset and Spark runs in this one process a temporary folder is chosen, once for each
+    application; on a cluster executors couldn't see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="swaplens-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting can't be changed in a running session
+        if context.applicationId not in _CHOSEN:
+            _CHOSEN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="swaplens-shared-")
+        root = _CHOSEN[context.applicationId]
     return root.rstrip("/")
 
 
@@ -54,11 +63,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def content_key(df: DataFrame) -> list[Column]:
     """Two longs, 128 bits, from all columns of a row: the row's own key, the same in every scan and
     every rerun. Rows share it only if they agree in all columns, and so can stand for one another."""
-    plain = [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields]
-    nulls = [c.isNull() for c in plain]  # a hash passes over nulls
+    nulls = [F.col(f"`{f.name}`").isNull() for f in df.schema.fields]
+    plain = [_told(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     return [F.xxhash64(F.lit(salt), *nulls, *plain) for salt in (1, 2)]
 
 
+def _told(c: Column, kind: DataType) -> Column:
+    """The value for a hash: a hash passes over nulls, so within arrays and structs each value is told with whether it is there; maps,
+    which can't be hashed, become their entries in order of the keys' own text."""
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: F.struct(x.isNull().alias("n"), _told(x, kind.elementType).alias("v")))
+    if isinstance(kind, StructType):
+        return F.struct(*[F.struct(c[f.name].isNull().alias("n"), _told(c[f.name], f.dataType).alias("v")).alias(f"f{i}") for i, f in enumerate(kind.fields)]) if kind.fields else c
+    if isinstance(kind, MapType):
+        entry = lambda e: F.struct(_told(e["key"], kind.keyType).alias("k"), e["value"].isNull().alias("n"), _told(e["value"], kind.valueType).alias("v"))
+        return F.transform(F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"].cast("string") < b["key"].cast("string"), -1).when(a["key"].cast("string") > b["key"].cast("string"), 1).otherwise(0)), entry)
+    return c
+
+
 def repeated(df: DataFrame, times: str, *, block: int = 1024) -> DataFrame:
     """Each row as often as the column ``times`` says, which goes; dealt anew between two steps, so that
     a row with very many copies is spread over tasks."""
@@ -75,9 +97,11 @@ BATCH = 4 << 20
 
 
 def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` in batches bounded by bytes, not only by rows; workers give memory back between them."""
+    """``mapInArrow`` in batches bounded by bytes, not only by rows; workers give memory back between them.
+
+    Spark reads the bound from the session when the plan runs, so it is lowered there where it is larger, and stays so."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(name).rstrip("b")) > BATCH:
+    if _bytes(df.sparkSession.conf.get(name)) > BATCH:
         df.sparkSession.conf.set(name, f"{BATCH}b")
 
     def run(batches):
@@ -89,6 +113,12 @@ def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _bytes(setting: str) -> int:
+    """Bytes of a size as Spark's settings write it: a number, with b, k, m, g, t or p, and b after that."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)(?:i?b)?", setting.strip().lower()).groups()
+    return int(number) << 10 * "_kmgtp".index(unit or "_")
+
+
 def give_back() -> None:
     """Return freed memory of this process to the system, where it can."""
     pa.default_memory_pool().release_unused()
