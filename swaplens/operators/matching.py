@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import euclidean, hash_order, require_columns
+from . import cells
 from .features import z_columns
 
 
@@ -35,10 +36,6 @@ class Rules:
     calipers: tuple[tuple[str, float], ...] = ()
 
 
-#: Donors of one range of the projection, about, when groups are searched in ranges.
-RANGE = 4096
-#: Donors up to which a group is paired whole with its requests.
-WHOLE = 4 * RANGE
 HELD_OUT = ("val", "test")
 
 
@@ -59,55 +56,19 @@ def requests(sources: DataFrame, targets: Sequence[int]) -> DataFrame:
     return within.unionByName(cross.drop("target_hospital"))
 
 
-def nearest(
-    asked: DataFrame, bank: DataFrame, features: Sequence[str], k: int, by_string: bool = True, ranges: bool | None = None
-) -> DataFrame:
+def nearest(asked: DataFrame, bank: DataFrame, features: Sequence[str], k: int, by_string: bool = True, size: int = cells.SIZE) -> DataFrame:
     """KNN-1/2/5, JOIN-6, FLT-3: the k nearest eligible donors of each request, with rank.
 
-    Groups are (hospital, label, split); ties go by the donor id as text (``by_string``) or as it is.
-    The rank filter is pushed below the shuffle. With ``ranges`` large groups aren't paired whole:
-    donors are cut into ranges of a projection of length one (which never exceeds the distance), a
-    source first searches its own range, and then only ranges that its k-th distance reaches; the
-    result is the same. None: only if a group is larger than ``WHOLE`` donors.
-    """
+    Groups are (hospital, label, split); ties go by the donor id as text (``by_string``) or as it is. Donors are
+    searched in cells of about ``size``, see ``cells``; the result doesn't depend on it."""
     keys = ["d_hospital", "label", "d_split"]
-    if ranges is None:
-        largest = bank.groupBy("hospital_id", "label", "split").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        ranges = (largest or 0) > WHOLE
-    s = asked.select("source_id", "physical_id", "role", *keys, *[F.col(f"z_{c}").alias(f"s_z_{c}") for c in features])
+    s = asked.select("source_id", "physical_id", "role", *keys, *[F.col(f"z_{c}").cast("double").alias(f"s_z_{c}") for c in features])
     d = bank.select(
         F.col("hospital_id").alias("d_hospital"), "label", F.col("split").alias("d_split"), F.col("source_id").alias("donor_id"),
-        F.col("physical_id").alias("d_physical"), F.col("slide_id").alias("d_slide"), *[F.col(f"z_{c}").alias(f"d_z_{c}") for c in features],
+        F.col("physical_id").alias("d_physical"), F.col("slide_id").alias("d_slide"), *[F.col(f"z_{c}").cast("double").alias(f"d_z_{c}") for c in features],
     )
-    distance = euclidean(z_columns(features, "s_"), z_columns(features, "d_"))
-    eligible = (F.col("d_physical") != F.col("physical_id")) & (F.col("donor_id") != F.col("source_id"))
-    order = [F.col("distance"), F.col("donor_id").cast("string") if by_string else F.col("donor_id")]
-    w = Window.partitionBy("source_id", "role", "d_hospital").orderBy(*order)
-
-    def top(pairs: DataFrame) -> DataFrame:
-        return pairs.where(eligible).withColumn("distance", distance).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    if not ranges:
-        found = top(s.join(d, keys))
-    else:
-        length = float(len(features)) ** 0.5
-        on_line = lambda p: reduce(lambda a, b: a + b, z_columns(features, p)) / length
-        d = d.withColumn("line", on_line("d_"))
-        cuts = d.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.percentile_approx("line", F.array(*[F.lit(i / 256) for i in range(1, 256)])).alias("cuts")
-        ).withColumn("cuts", F.expr(f"filter(cuts, (x, i) -> i % greatest(1, int(256 * {RANGE} / n)) = 0)"))
-        place = lambda c, x: F.size(F.filter(c, lambda b: b <= x))
-        d = d.join(cuts, keys).withColumn("range", place(F.col("cuts"), F.col("line"))).drop("cuts", "n")
-        s = s.withColumn("s_line", on_line("s_")).join(cuts, keys)
-        near = top(s.withColumn("range", place(F.col("cuts"), F.col("s_line"))).drop("cuts", "n").join(d, [*keys, "range"]))
-        reach = near.groupBy("source_id", "role", "d_hospital").agg(F.count("*").alias("got"), F.max("distance").alias("kth"))
-        wide = s.join(reach, ["source_id", "role", "d_hospital"], "left")
-        full = F.coalesce(F.col("got") >= k, F.lit(False))
-        lo = F.when(full, place(F.col("cuts"), F.col("s_line") - F.col("kth") - 1e-6)).otherwise(0)
-        hi = F.when(full, place(F.col("cuts"), F.col("s_line") + F.col("kth") + 1e-6)).otherwise(F.size("cuts"))
-        spread = wide.withColumn("range", F.explode(F.sequence(lo, hi))).drop("cuts", "n", "got", "kth")
-        found = top(spread.join(d, [*keys, "range"]))
-    return found.select("source_id", "role", "d_hospital", "donor_id", "d_slide", "d_physical", "distance", "rank", *[f"d_z_{c}" for c in features])
+    tie = F.col("donor_id").cast("string") if by_string else F.col("donor_id")
+    return cells.nearest(s, d, keys, features, k, tie, size)
 
 
 def radius_join(asked: DataFrame, bank: DataFrame, features: Sequence[str], radius: float) -> DataFrame:
@@ -215,10 +176,10 @@ def ledger(sources: DataFrame, pools: DataFrame, chosen: DataFrame, rules: Rules
         F.when(reason.isNull(), "accepted").otherwise("excluded").alias("coverage_status"), reason.alias("exclusion_reason"))
 
 
-def match(sources: DataFrame, bank: DataFrame, features: Sequence[str], rules: Rules, targets: Sequence[int], ranges: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def match(sources: DataFrame, bank: DataFrame, features: Sequence[str], rules: Rules, targets: Sequence[int], size: int = cells.SIZE) -> tuple[DataFrame, DataFrame]:
     """Balanced matching without caps -> (triplets, ledger); with caps see ``allocator``."""
     require_columns(bank, ["source_id", "hospital_id", "label", "split", "physical_id", "slide_id"], "donor bank")
-    pools = nearest(requests(sources, targets), bank, features, rules.pool, ranges=ranges)
+    pools = nearest(requests(sources, targets), bank, features, rules.pool, size=size)
     chosen = greedy_pairs(pair_candidates(sources, pools, features, rules, targets), rules.k, rules.min_slides)
     full = Window.partitionBy("source_id", "target_hospital")
     whole = chosen.withColumn("_n", F.count("*").over(full)).where(F.col("_n") == rules.k).drop("_n")

@@ -181,9 +181,9 @@ def knn_pool(spark, sf_dir):
 
 @registered(_then(("pool",), "", "SELECT source_id, role, d_hospital, donor_id, round(distance, 6) AS distance, rank FROM pool WHERE rank <= 16"))
 def knn_pool_ranges(spark, sf_dir):
-    """The same pools, searched in ranges of a projection: for groups too large to be paired whole."""
+    """The same pools, searched in small cells: as groups of any size are."""
     z = b.bank(spark, sf_dir)
-    found = matching.nearest(matching.requests(b.audited(z), b.TARGETS), z, b.FEATURES, 16, ranges=True)
+    found = matching.nearest(matching.requests(b.audited(z), b.TARGETS), z, b.FEATURES, 16, size=32)
     return rounded(found.select("source_id", "role", "d_hospital", "donor_id", "distance", F.col("rank").cast("long").alias("rank")))
 
 

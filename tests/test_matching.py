@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from swaplens.operators import allocator, features, matching
+from swaplens.operators import cells, allocator, features, matching
 
 BANK = "source_id long, split string, hospital_id int, label int, slide_id string, patient_id string, physical_id string, f1 double, f2 double"
 FEATURES = ["f1", "f2"]
@@ -146,13 +146,50 @@ def test_the_pool_is_cut_before_the_threshold(spark):
     assert reasons[1, 0] == "distance_threshold" and reasons[1, 2] == "no_cross_candidate"
 
 
-def test_ranges_find_the_same_pools(spark, monkeypatch):
-    monkeypatch.setattr(matching, "RANGE", 4)
-    z = bank_of(spark, donors(200))
-    asked = matching.requests(z, (0, 1))
-    columns = ["source_id", "role", "d_hospital", "donor_id", "rank"]
-    a, b = (sorted(map(tuple, matching.nearest(asked, z, FEATURES, 5, ranges=r).select(columns).collect())) for r in (False, True))
-    assert a == b
+def plain_nearest(rows, asked, k, text):
+    """Every request against its whole group."""
+    out = set()
+    for a in asked:
+        group = [d for d in rows if (d.hospital_id, d.label, d.split) == (a.d_hospital, a.label, a.d_split)]
+        near = []
+        for d in group:
+            distance = math.sqrt((a.z_f1 - d.z_f1) ** 2 + (a.z_f2 - d.z_f2) ** 2)
+            if d.source_id != a.source_id and None not in (d.physical_id, a.physical_id) and d.physical_id != a.physical_id and math.isfinite(distance):
+                near.append((round(distance, 9), str(d.source_id) if text else d.source_id, d.source_id))
+        out |= {(a.source_id, a.role, a.d_hospital, d, rank + 1, distance) for rank, (distance, _, d) in enumerate(sorted(near)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 1024])
+def test_cells_of_any_size_find_the_nearest(spark, monkeypatch, size):
+    """Also with many equal vectors, ties, groups that are absent, missing identities and values that aren't finite."""
+    monkeypatch.setattr(cells, "CHUNK", 5)
+    rows = donors(150)
+    rows += [(1000 + i, "train", i % 2, i % 2, f"s{i}", None, f"same{i % 30}", 0.5, -0.25) for i in range(60)]
+    rows += [(2000, "train", 0, 0, "s", None, "p", 1.0, 0.0), (2001, "train", 1, 1, "s", None, "p", 40.0, -40.0), (2002, "val", 7, 0, "s", None, "q", 0.1, 0.1)]
+    z = bank_of(spark, rows)
+    z = z.withColumn("physical_id", F.when(F.col("source_id") % 41 != 0, F.col("physical_id"))).withColumn("z_f1", F.when(F.col("source_id") == 2000, F.lit(float("nan"))).otherwise(F.col("z_f1")))
+    asked = matching.requests(z, (0, 1, 5))
+    for text in (True, False):
+        got = {(r.source_id, r.role, r.d_hospital, r.donor_id, r.rank, r.distance) for r in matching.nearest(asked, z, FEATURES, 5, by_string=text, size=size).collect()}
+        assert got == plain_nearest(z.collect(), asked.collect(), 5, text)
+    assert matching.nearest(asked, z.limit(0), FEATURES, 5, size=size).count() == 0 == matching.nearest(asked.limit(0), z, FEATURES, 5, size=size).count()
+
+
+def test_cells_are_bounded_and_few_are_visited(spark):
+    """No block is larger than twice its size, even of one vector alone, and the tree leaves most pairs out."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, "train", 0, 0, "s", None, f"p{i}", rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(2000)] + [(5000 + i, "train", 0, 0, "s", None, f"q{i}", 3.0, 3.0) for i in range(900)]
+    z = bank_of(spark, rows)
+    d = z.selectExpr("hospital_id AS g", "source_id AS donor_id", "z_f1", "z_f2")
+    steps, placed = cells._tree(d, ["g"], ["z_f1", "z_f2"], 32)
+    dealt = cells._parts(placed, ["g", "cell"], 64, F.col("donor_id")).groupBy("cell", "part").count()
+    assert len(steps) >= 2 and dealt.agg(F.max("count")).first()[0] <= 130 and dealt.agg(F.sum("count")).first()[0] == 2900
+    asked = matching.requests(z.where("source_id < 40"), ())
+    found = matching.nearest(asked, z, FEATURES, 3, size=32).select("source_id", "donor_id", "rank").collect()
+    assert {(r.source_id, r.donor_id, r.rank) for r in found} == {(x[0], x[3], x[4]) for x in plain_nearest(z.collect(), asked.collect(), 3, True)}
 
 
 def test_standardizer(spark):
