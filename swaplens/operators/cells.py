@@ -84,11 +84,11 @@ def _near(width: int) -> Column:
     return F.col("reach").isNull() | (F.sqrt(reduce(lambda a, b: a + b, [g * g for g in gaps])) <= F.col("reach"))
 
 
-def _codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers that are equal where values are; -1 and -2 for null, which equals nothing."""
     encoded = pa.concat_arrays([a, b]).dictionary_encode().indices
-    codes = encoded.fill_null(-1).to_numpy(zero_copy_only=False)
-    left, right = codes[: len(a)], codes[len(a) :].copy()
+    numbers = encoded.fill_null(-1).to_numpy(zero_copy_only=False)
+    left, right = numbers[: len(a)], numbers[len(a) :].copy()
     right[right == -1] = -2
     return left, right
 
@@ -104,8 +104,8 @@ def _search(batches: Iterator, width: int, k: int, kept: Sequence[str], schema:
                 gap = asked.field(f"z{j}").to_numpy(zero_copy_only=False)[:, None] - donors.field(f"z{j}").to_numpy(zero_copy_only=False)[None, :]
                 total = gap * gap if j == 0 else total + gap * gap
             distance = np.sqrt(total)
-            own, theirs = _codes(donors.field("d_physical"), asked.field("physical_id"))
-            ids, sources = _codes(donors.field("donor_id"), asked.field("source_id"))
+            own, theirs = codes(donors.field("d_physical"), asked.field("physical_id"))
+            ids, sources = codes(donors.field("donor_id"), asked.field("source_id"))
             barred = (theirs[:, None] == own[None, :]) | (sources[:, None] == ids[None, :]) | (own == -1)[None, :] | (theirs == -2)[:, None] | np.isnan(distance)
             distance[barred] = np.inf
             reach = asked.field("kth").to_numpy(zero_copy_only=False).astype(float)

@@ -11,11 +11,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import euclidean, hash_order, require_columns
+from ..functions.stored import stored
 from . import cells
 from .features import z_columns
 
@@ -104,7 +107,11 @@ def pair_candidates(sources: DataFrame, pools: DataFrame, features: Sequence[str
         "source_id", *([F.col("d_hospital").alias("target_hospital")] if role == "cross" else []), F.col("donor_id").alias(f"{role}_donor"),
         F.col("d_slide").alias(f"{role}_slide"), F.col("d_physical").alias(f"{role}_physical_id"), F.col("distance").alias(f"matching_distance_{role}"),
         *[F.col(f"d_z_{c}").alias(f"{p}_z_{c}") for c in features])
-    pairs = side("cross", "c").join(side("within", "w"), "source_id")
+    return _priced(side("cross", "c").join(side("within", "w"), "source_id"), features, rules)
+
+
+def _priced(pairs: DataFrame, features: Sequence[str], rules: Rules) -> DataFrame:
+    """Pairs of donors that keep the thresholds, with the distance between them and their cost."""
     dw, dc = F.col("matching_distance_within"), F.col("matching_distance_cross")
     valid = (F.abs(dw - dc) <= rules.tau_balance) & (F.col("within_physical_id") != F.col("cross_physical_id"))
     for feature, limit in rules.calipers:
@@ -115,6 +122,45 @@ def pair_candidates(sources: DataFrame, pools: DataFrame, features: Sequence[str
         *[f"{p}_z_{c}" for p in "wc" for c in features])
 
 
+def cheap_candidates(pools: DataFrame, features: Sequence[str], rules: Rules) -> DataFrame:
+    """Of ``pair_candidates`` those that the uncapped choice of ``rules.k`` pairs without a demand on slides can take: of each within donor
+    its k cheapest, as k - 1 cross donors are taken at most before. The two pools of a source and target are one
+    row each, and their product is a matrix of one vectorised step; what is passed on is priced again by ``_priced``."""
+    near = pools.where(F.col("distance") <= rules.tau_distance)
+    z = [f"d_z_{c}" for c in features]
+    listed = F.collect_list(F.struct("donor_id", "d_slide", "d_physical", "distance", *z))  # at most rules.pool
+    within = near.where("role = 'within'").groupBy("source_id").agg(listed.alias("within"))
+    cross = near.where("role = 'cross'").groupBy("source_id", F.col("d_hospital").alias("target_hospital")).agg(listed.alias("cross"))
+    kinds = dict(pools.dtypes)
+    fields = [("donor", "donor_id"), ("slide", "d_slide"), ("physical_id", "d_physical")]
+    schema = [("source_id", kinds["source_id"]), ("target_hospital", kinds["d_hospital"])]
+    for role, p in (("cross", "c"), ("within", "w")):
+        schema += [(f"{role}_{n}", kinds[c]) for n, c in fields] + [(f"matching_distance_{role}", "double")] + [(f"{p}_{c[2:]}", "double") for c in z]
+    columns = [c for _, c in fields] + ["distance", *z]
+    margin = 4e-9 * (1 + rules.lambda_pair)  # more than what rounding to nine digits moves
+
+    def choose(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, c = batch.column("within")[i].values, batch.column("cross")[i].values
+                number = lambda x, name: x.field(name).to_numpy(zero_copy_only=False)
+                dw, dc = number(w, "distance")[:, None], number(c, "distance")[None, :]
+                own, theirs = cells.codes(w.field("d_physical"), c.field("d_physical"))
+                valid = (np.abs(dw - dc) <= rules.tau_balance) & (own[:, None] != theirs[None, :]) & (own != -1)[:, None] & (theirs != -2)[None, :]
+                for feature, limit in rules.calipers:
+                    valid &= np.abs(number(w, f"d_z_{feature}")[:, None] - number(c, f"d_z_{feature}")[None, :]) <= limit
+                apart = sum((number(w, name)[:, None] - number(c, name)[None, :]) ** 2 for name in z)
+                cost = np.where(valid, dw + dc + rules.lambda_balance * np.abs(dw - dc) + rules.lambda_pair * np.sqrt(apart), np.inf)
+                limit = np.partition(cost, rules.k - 1, axis=1)[:, rules.k - 1] if cost.shape[1] > rules.k else np.full(len(w), np.inf)
+                rows, at = np.nonzero((cost <= limit[:, None] + margin) & valid)
+                head = [pa.concat_arrays([batch.column(n).slice(i, 1)] * len(rows)) if len(rows) else batch.column(n).slice(0, 0) for n in ("source_id", "target_hospital")]
+                rest = [side.field(n).take(pa.array(take)) for side, take in ((c, at), (w, rows)) for n in columns]
+                yield pa.RecordBatch.from_arrays([*head, *rest], names=[n for n, _ in schema])
+
+    pairs = cross.join(within, "source_id").mapInArrow(choose, ", ".join(f"{n} {t}" for n, t in schema))
+    return _priced(pairs, features, rules)
+
+
 def _field(rows: Column, name: str) -> Column:
     return F.transform(rows, lambda r: r[name])
 
@@ -180,7 +226,9 @@ def match(sources: DataFrame, bank: DataFrame, features: Sequence[str], rules: R
     """Balanced matching without caps -> (triplets, ledger); with caps see ``allocator``."""
     require_columns(bank, ["source_id", "hospital_id", "label", "split", "physical_id", "slide_id"], "donor bank")
     pools = nearest(requests(sources, targets), bank, features, rules.pool, size=size)
-    chosen = greedy_pairs(pair_candidates(sources, pools, features, rules, targets), rules.k, rules.min_slides)
+    pools = stored(pools, "pools")
+    pairs = cheap_candidates(pools, features, rules) if rules.min_slides == 1 else pair_candidates(sources, pools, features, rules, targets)
+    chosen = greedy_pairs(pairs, rules.k, rules.min_slides)
     full = Window.partitionBy("source_id", "target_hospital")
     whole = chosen.withColumn("_n", F.count("*").over(full)).where(F.col("_n") == rules.k).drop("_n")
     return finish(whole, sources), ledger(sources, pools, chosen, rules, targets)

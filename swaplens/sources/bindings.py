@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import physical_cluster, uniform
+from ..functions.stored import stored
 from ..operators import features as standard
 from ..operators import matching
 
@@ -64,9 +65,9 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptors with z columns, fitted on the training split."""
+    """Descriptors with z columns, fitted on the training split. Written out, as all that follows reads them several times."""
     d = descriptors(spark, sf_dir)
-    return standard.transform(d, standard.fit_standardizer(d, FEATURES), FEATURES)
+    return stored(standard.transform(d, standard.fit_standardizer(d, FEATURES), FEATURES), "bank")
 
 
 def audited(z: DataFrame, split: str = "val") -> DataFrame:
