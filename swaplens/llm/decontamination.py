@@ -7,11 +7,11 @@ its seeds. Windows without a seed can't qualify and are not fingerprinted; every
 seed is. A document of n < m shingles is one window; it reaches t only if n >= t m and t m shingles are
 shared, so it holds one of the rarest m - ceil(t m) + 1, its seeds.
 
-Fingerprints are looked up in ``BLOCKS`` tables of 10 or 11 bits: of 64 bits that differ in ``RADIUS`` at
+Fingerprints are looked up in ``BLOCKS`` tables of 16 bits: of 64 bits that differ in ``RADIUS`` at
 most, one block differs in ``RADIUS // BLOCKS`` at most, so with the small Hamming balls of an item's
-blocks all windows within the radius are found. A radius decides no similarity (0.8 gives 9.7 bits on average,
-deviation 2.9; one window in a hundred at the threshold lies beyond), so windows that share a seed with an item and lie beyond
-are compared too. The exact similarity of whole windows decides all, and none is lost.
+blocks (137 of 65,536 values each) all windows within the radius are found, and of unlike prints fewer than one pair in a hundred
+meets. A radius decides no similarity (0.8 gives 9.7 bits on average, deviation 2.9), so windows that share a seed with an item and lie
+beyond are compared too. The exact similarity of whole windows decides all, and none is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .shared import fresh, materialize
 from .simhash import distance, vote
 
 WORDS, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 16, 6
+RADIUS, BLOCKS = 11, 4
 #: Rows of a few numbers up to which a table (of seeds, of texts found) is broadcast; beyond, it is joined by
 #: shuffling.
 BROADCAST = 200_000
@@ -93,11 +93,21 @@ def _block_values(fp: Column, patterns: int) -> Column:
     values = []
     for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         value = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) + F.lit(i << 32).cast("long")
-        near = F.array(*[F.lit(p).cast("long") for p in ball(hi - lo, patterns)])
-        values.append(F.transform(near, lambda p, v=value: v.bitwiseXOR(p)))
+        values.append(_around(value, ball(hi - lo, patterns)))
     return F.flatten(F.array(*values))
 
 
+def _around(value: Column, patterns: list[int]) -> Column:
+    # a lambda of one parameter: a second one would be the place in the array
+    return F.transform(F.array(*[F.lit(p).cast("long") for p in patterns]), lambda pattern: value.bitwiseXOR(pattern))
+
+
+def _meeting(printed: DataFrame, item_prints: DataFrame, radius: int) -> DataFrame:
+    """Windows (size, m, fp) and items (size, m, item_fp) of one length that share a block value, once for each."""
+    asked = item_prints.withColumn("block", F.explode(_block_values(F.col("item_fp"), radius // BLOCKS)))
+    return printed.withColumn("block", F.explode(_block_values(F.col("fp"), 0))).join(asked, ["size", "m", "block"])
+
+
 def _windows(docs: DataFrame, seeds: DataFrame, text_col: str, similarity: float) -> DataFrame:
     """Windows around seeds of unlike texts: t1, t2 (the text), size, m, start, win, c1, c2 (its identity)."""
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # WORDS values at most
@@ -147,11 +157,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     printed = materialize(vote(terms, own, "h").drop("n_terms"), "printed")
     of_item = ["i1", "i2", "size", "m"]
     item_prints = materialize(vote(unlike.select(*of_item, F.explode("hashes").alias("h")), of_item, "h").select(*of_item, F.col("fp").alias("item_fp")), "item_prints")
-    asked = item_prints.withColumn("block", F.explode(_block_values(F.col("item_fp"), radius // BLOCKS)))
-    near = (
-        printed.withColumn("block", F.explode(_block_values(F.col("fp"), 0)))
-        .join(asked, ["size", "m", "block"]).where(distance(F.col("fp"), F.col("item_fp")) <= radius).select(*own, "i1", "i2")
-    )
+    near = _meeting(printed, item_prints, radius).where(distance(F.col("fp"), F.col("item_fp")) <= radius).select(*own, "i1", "i2")
     beyond = terms.join(seeds.where("whole").select(*of_item, "h"), ["size", "m", "h"]).select(*own, "i1", "i2")
     shorter = terms.join(contents.where(F.size("win") < F.col("m")).select(*own), own, "left_semi")
     shorter = shorter.join(seeds.select(*of_item, "h"), ["size", "m", "h"]).select(*own, "i1", "i2")

@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import map_arrow
 from .tokenizing import batches as runs_of
@@ -150,8 +149,12 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     h = F.xxhash64("text")
     one = texts.groupBy("doc_id").agg(F.min(F.struct(h.alias("h"), F.octet_length("text").alias("bytes"))).alias("t"))
     first = one.join(known, "doc_id").select("doc_id", "label", "t.h", "t.bytes").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over ``sample`` rows at most
-    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "label", "h")
+    chosen, room = [], most_bytes
+    for r in first.collect():  # ``sample`` rows at most, in order
+        if r["bytes"] <= room:  # a text that doesn't fit is passed over, those after it are not
+            chosen.append((r["doc_id"], r["h"], r["label"]))
+            room -= r["bytes"]
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, label double")
     rows = texts.withColumn("h", h).join(F.broadcast(chosen), ["doc_id", "h"])  # ``sample`` rows at most
     return rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
 
@@ -161,8 +164,8 @@ def train(
     sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES,
 ) -> dict | None:
     """The model, from at most ``sample`` labelled documents that are not held out: those with the
-    least hashes of their ids, as many as have ``most_bytes`` bytes together; each with all its passages.
-    None where no document has a label."""
+    least hashes of their ids, passing over texts that don't fit into ``most_bytes`` bytes together; each with all its passages.
+    None where no document that fits has a label."""
     bags = _sample(docs, labels, id_col, text_col, label_col, sample, most_bytes)
     got = bags.transform(map_arrow, _features, "doc_id long, label double, x binary").toPandas().sort_values("doc_id")
     if not len(got):
@@ -202,7 +205,7 @@ def _accept(batches, model: dict | None, text: int, threshold: float):
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **kwargs) -> DataFrame:
     """The rows that the classifier accepts, each by its own text; columns as they are. One pass
-    without a shuffle."""
+    without a shuffle. A null text is judged as an empty one; without any usable label all rows stay; of no rows none."""
     model = train(docs, labels, id_col, text_col, **kwargs)
     at = docs.columns.index(text_col)
     return docs.transform(map_arrow, lambda it: _accept(it, model, at, threshold), docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import json
 import math
 import os
 import re
@@ -132,63 +133,71 @@ def worker_env() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most ``n`` ascending values of the integer column ``key`` that cut it into ranges of
-    about equal counts. The first is the minimum; all occur in the column. Only these values
-    reach the driver, and only the key column is read."""
-    n = max(1, n)
-    cuts = [i / n for i in range(n)]
-    accuracy = max(10_000, 20 * n)
-    row = df.where(F.col(key).isNotNull()).agg(
-        F.percentile_approx(key, cuts, accuracy).alias("p"), F.min(key).alias("lo")
-    ).first()
-    return sorted({row["lo"], *row["p"]}) if row["p"] else []
+#: Ranges that a table is cut into, at most: a sorted range is read as a stream, so it may be large.
+MOST_RANGES = 10_000
+#: Rows of the sample that bounds are taken from, for each range.
+SAMPLED = 20
 
 
-def range_index(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are <= key (0 for null): two short scans of about sqrt(len) values."""
-    if not bounds:
-        return F.lit(0)
+def range_bounds(df: DataFrame, key: str, tie: str, n: int) -> list[tuple]:
+    """At most ``n`` ascending (key, tie) that cut the rows, nulls first, into ranges of about equal counts. The first is the least; all
+    occur. They come from a sample by the hash of both, bounded by ``SAMPLED`` rows a range, so a key that very many
+    rows share is cut by its ties too."""
+    place = F.struct(F.col(key).cast("long").alias("k"), F.col(tie).cast("long").alias("t"))
+    told = df.agg(F.count("*").alias("n"), F.min(place).alias("least")).first()
+    if not told["n"]:
+        return []
+    every = max(1, told["n"] // (SAMPLED * n))
+    some = df.where(F.pmod(F.xxhash64(F.lit(9), key, tie), F.lit(every)) == 0).select(place.alias("p"), F.xxhash64(F.lit(8), key, tie).alias("h"))
+    rows = sorted(((r["p"]["k"], r["p"]["t"]) for r in some.orderBy("h").limit(2 * SAMPLED * n).collect()), key=_nulls_first)
+    cuts = [rows[len(rows) * i // n] for i in range(1, n)] if rows else []
+    return sorted({tuple(told["least"]), *cuts}, key=_nulls_first)
+
+
+def _nulls_first(pair: tuple) -> tuple:
+    return tuple((x is not None, x or 0) for x in pair)
+
+
+def range_index(key: Column, tie: Column, bounds: list[tuple]) -> tuple[Column, Column]:
+    """(How many bounds are <= (key, tie), the last of those): two short scans of about sqrt(len) values. The bounds are
+    one literal each for both scans, however many they are."""
+    kind = "struct<k:bigint,t:bigint>"
     step = max(1, math.isqrt(len(bounds)))
-    coarse = F.array(*[F.lit(b).cast("long") for b in bounds[::step]])
-    fine = F.array(*[
-        F.array(*[F.lit(b).cast("long") for b in bounds[i : i + step]])
-        for i in range(0, len(bounds), step)
-    ])
-    c = F.size(F.filter(coarse, lambda b: b <= key))
-    part = F.coalesce(F.get(fine, c - 1), F.array().cast("array<bigint>"))
-    index = F.greatest(c - 1, F.lit(0)) * step + F.size(F.filter(part, lambda b: b <= key))
-    return F.when(key.isNull(), F.lit(0)).otherwise(index)
+    told = lambda rows: "[" + ",".join(f'{{"k":{json.dumps(k)},"t":{json.dumps(t)}}}' for k, t in rows) + "]"
+    coarse = F.from_json(F.lit(told(bounds[::step])), f"array<{kind}>")
+    fine = F.from_json(F.lit("[" + ",".join(told(bounds[i : i + step]) for i in range(0, len(bounds), step)) + "]"), f"array<array<{kind}>>")
+    here = F.struct(key.cast("long").alias("k"), tie.cast("long").alias("t"))
+    c = F.size(F.filter(coarse, lambda b: b <= here))
+    part = F.coalesce(F.get(fine, c - 1), F.array().cast(f"array<{kind}>"))
+    d = F.size(F.filter(part, lambda b: b <= here))
+    return F.greatest(c - 1, F.lit(0)) * step + d, F.get(part, d - 1)
 
 
 def with_next(df: DataFrame, key: str, tie: str, take: list[str], n: int) -> DataFrame:
     """Add ``next_<c>`` for each column of ``take``: its value in the next row by (key, tie),
     nulls first; after the last row comes the first.
 
-    The rows are dealt into ``n`` ranges of the key, each sorted in one task. The first row of a
+    The rows are dealt into ``n`` ranges of (key, tie), each sorted in one task. The first row of a
     range is also dealt, as a sentinel, to the range before it (and the very first row to the
     last range), so one exchange is enough and no task sees more than its range.
     """
-    bounds = range_bounds(df, key, n)
-    has_null = df.where(F.col(key).isNull()).limit(1).count() > 0
+    bounds = range_bounds(df, key, tie, n)
     last = len(bounds)
-    here = range_index(F.col(key), bounds)
-    starts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    is_start = F.col(key).isNotNull() & F.coalesce(F.get(starts, F.col("_r") - 1) == F.col(key), F.lit(False))
-    is_first = F.col(key).isNull() if has_null else (F.col("_r") == (1 if bounds else 0)) & is_start
+    here, bound = range_index(F.col(key), F.col(tie), bounds)
+    is_start = F.coalesce(F.col("_b") == F.struct(F.col(key).cast("long").alias("k"), F.col(tie).cast("long").alias("t")), F.lit(False))
     place = lambda r, s: F.struct(F.lit(r).cast("int").alias("r") if isinstance(r, int) else r.cast("int").alias("r"), F.lit(s).alias("s"))
     none = F.lit(None).cast("struct<r:int,s:int>")
     copies = F.array(
         place(F.col("_r"), 0),
-        F.when(is_start & ((F.col("_r") > 1) | F.lit(has_null)), place(F.col("_r") - 1, 1)).otherwise(none),
-        F.when(is_first, place(last, 2)).otherwise(none),
+        F.when(is_start & (F.col("_r") > 1), place(F.col("_r") - 1, 1)).otherwise(none),
+        F.when(is_start & (F.col("_r") == 1), place(last, 2)).otherwise(none),
     )
     dealt = (
-        df.withColumn("_r", here)
+        df.withColumns({"_r": here, "_b": bound})
         .withColumn("_p", F.explode(F.filter(copies, lambda x: x.isNotNull())))
         .withColumn("_r", F.col("_p.r"))
         .withColumn("_s", F.col("_p.s"))
-        .drop("_p")
+        .drop("_p", "_b")
     )
     # a range is a task of its own
     dealt = dealt.repartitionById(last + 1, F.col("_r"))
@@ -202,6 +211,6 @@ def with_next(df: DataFrame, key: str, tie: str, take: list[str], n: int) -> Dat
 
 def ranges_wanted(df: DataFrame, text: str, most_bytes: int = 16 << 20) -> int:
     """Ranges to cut a table into, so that one has about ``most_bytes`` of the column ``text``; as many as
-    shuffle partitions at least."""
+    shuffle partitions at least, or ``MOST_RANGES`` at most."""
     total = df.agg(F.sum(F.octet_length(text).cast("long")).alias("b")).first()["b"] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most_bytes))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-total // most_bytes)))

@@ -135,7 +135,9 @@ def text_bytes(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in pc.cast(texts, pa.binary()).to_pylist()]
 
 
-CHUNKS = "doc_id long, part int, at long, h long"
+#: A document: an even number for its id, or else an odd one for a hash of its text, and which of its texts.
+DOC = "doc_id decimal(20,0), part long"
+CHUNKS = f"{DOC}, at long, h long"
 
 
 def _chunk(batches):
@@ -149,7 +151,7 @@ def _chunk(batches):
                 [rows.column(0).take(own), rows.column(1).take(own), pa.array(at, pa.int64()), pa.array(digest.view(np.int64))], ["doc_id", "part", "at", "h"])
 
 
-CANDIDATES = "doc_id long, part int, start int, n_words int, lo int, hi int, h long, chain_words int, chain long, chain2 long"
+CANDIDATES = f"{DOC}, start int, n_words int, lo int, hi int, h long, chain_words int, chain long, chain2 long"
 
 
 def _chains(batches, size: int):
@@ -219,7 +221,7 @@ def _shared(df: DataFrame, *key: str) -> DataFrame:
 
 
 def _id(number: str):
-    return F.when(F.col(number).bitwiseAND(F.lit(1).cast("long")) == 0, F.shiftright(F.col(number), 1)).alias(number)
+    return F.when(F.col(number) % 2 == 0, (F.col(number) / 2).cast("long")).alias(number)
 
 
 def _other():
@@ -239,10 +241,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if min_words < 2 * WINDOW + REACH - 1:
         raise ValueError(f"min_words must be at least {2 * WINDOW + REACH - 1}")
-    # part tells apart unlike texts under one doc_id
-    # even numbers are ids, odd ones stand for texts without one
-    own = F.coalesce(F.shiftleft(F.col(id_col).cast("long"), 1), F.xxhash64(text_col).bitwiseOR(F.lit(1).cast("long")))
-    rows = docs.select(own.alias("doc_id"), F.hash(text_col).alias("part"), F.col(text_col).alias("text"))
+    # part tells apart unlike texts under one doc_id, and with a second hash those without one
+    given = F.col(id_col).cast("long")
+    own = (F.coalesce(given, F.xxhash64(text_col)).cast("decimal(19,0)") * 2 + F.when(given.isNull(), 1).otherwise(0)).cast("decimal(20,0)")
+    rows = docs.select(own.alias("doc_id"), F.xxhash64(F.lit(2), text_col).alias("part"), F.col(text_col).alias("text"))
     chunks = materialize(rows.transform(map_arrow, _chunk, CHUNKS), "chunks")
     found = chunks.join(_shared(chunks, "h").select("h"), "h")
     per_text = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "h")).alias("chunks"))
@@ -268,7 +270,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     windows = materialize(
         wanted.join(texts, ["doc_id", "part"]).select("doc_id", "part", "ranges", "text")
-        .transform(map_arrow, lambda it: _windows(it, min_words), "doc_id long, part int, start int, d long, d2 long"), "windows")
+        .transform(map_arrow, lambda it: _windows(it, min_words), f"{DOC}, start int, d long, d2 long"), "windows")
     settled = windows.join(_shared(windows, "d", "d2"), ["d", "d2"]).select("doc_id", "part", "start", F.lit(min_words).alias("chain_words"), _other())
     # rows that repeat a document give the same stretches
     by_start = Window.partitionBy("doc_id", "part").orderBy("start", F.desc("chain_words"))

@@ -53,17 +53,18 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> None:
     """Write (part, ordinal, doc_id, n_tokens, ids) to ``path``: each part one file or more of one range of
-    doc_id, ascending within and across parts; ordinal counts the documents of a part from 0.
+    doc_id (and, where very many rows share one, of a hash of their texts), ascending within and across parts; ordinal counts the documents of a part from 0.
 
     Texts, which are shorter than their ids, are dealt by range before they are encoded, so
     nothing is shuffled afterwards. Ids are a list column, dictionary-encoded, in row groups and
     pages of set size with a page index.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = ranges_wanted(rows, "text")
-    bounds = range_bounds(rows, "doc_id", n)
-    dealt = rows.select(range_index(F.col("doc_id"), bounds).cast("int").alias("part"), "doc_id", "text")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    bounds = range_bounds(rows, "doc_id", "tie", ranges_wanted(rows, "text"))
+    part = range_index(F.col("doc_id"), F.col("tie"), bounds)[0].cast("int") if bounds else F.lit(0)
+    dealt = rows.select(part.alias("part"), "doc_id", "text", "tie").repartitionById(len(bounds) + 1, F.col("part"))
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie")
     (
         dealt.transform(map_arrow, lambda it: _encode(it, tokenizer, chunk, overlap), "part int, ordinal long, doc_id long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd").option("parquet.enable.dictionary", "true")
@@ -112,7 +113,7 @@ def round_trip(docs: DataFrame, tokenizer: str, **kwargs) -> DataFrame:
     start (ids of all documents before it), n_tokens (with the end id), ids_crc32.
 
     Null texts count as empty and have the end id alone; null doc_ids come first; rows that share
-    a doc_id stay, in order of their texts; an empty table gives an empty file.
+    a doc_id stay, in order of a hash of their texts; an empty table gives an empty file.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/swaplens-tokens-{uuid.uuid4().hex}"
