@@ -43,6 +43,17 @@ def before(df: DataFrame, order: Sequence[Column | str], value: Column, bucket:
     return summed.join(base, [*by, "_b"]).withColumn(out, F.col("_base") + F.col("_w")).drop("_b", "_v", "_w", "_base")
 
 
-def ranked(df: DataFrame, order: Sequence[Column | str], bucket: Column, out: str = "_r") -> DataFrame:
-    """Add the 0-based rank of each row in ``order``."""
-    return before(df, order, F.lit(1).cast("long"), bucket, out)
+def ranked(df: DataFrame, order: Sequence[Column | str], bucket: Column, out: str = "_r", by: Sequence[str] = ()) -> DataFrame:
+    """Add the 0-based rank of each row in ``order``, per group of ``by``."""
+    return before(df, order, F.lit(1).cast("long"), bucket, out, by)
+
+
+def least_from(df: DataFrame, order: Sequence[Column | str], value: Column, bucket: Column, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``out``: the least ``value`` among the row and those after it in ``order``, which must be total, per group of ``by``.
+    ``bucket`` must ascend with the order. A group is as many windows as it has buckets; these meet as one row each."""
+    placed = df.withColumn("_b", bucket).withColumn("_v", value)
+    lowest = placed.groupBy(*by, "_b").agg(F.min("_v").alias("_m"))
+    later = Window.partitionBy(*by).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    beyond = lowest.select(*by, "_b", F.min("_m").over(later).alias("_beyond"))
+    within = F.min("_v").over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return placed.withColumn("_w", within).join(beyond, [*by, "_b"]).withColumn(out, F.least("_w", "_beyond")).drop("_b", "_v", "_w", "_beyond")

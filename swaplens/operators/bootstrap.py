@@ -2,60 +2,94 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import present, uniform
-
-#: Rows of (draw, identity, multiplier) up to which multipliers are made once and broadcast; beyond, each
-#: row makes its own. The numbers are the same.
-MULTIPLIERS = 1_000_000
-
-
-#: Draws that a row is dealt out for at once.
-BLOCK = 100
-
-
-def _each_draw(df: DataFrame, draws: int) -> DataFrame:
-    """Each row once a draw. Few short rows become very many, so blocks of draws are dealt to all tasks
-    by a set count of partitions, which adaptive execution doesn't merge by their small size."""
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    starts = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK))).alias("_start")
-    dealt = df.select("*", starts).repartition(tasks, *df.columns, "_start")
-    within = F.sequence(F.col("_start"), F.least(F.col("_start") + BLOCK, F.lit(draws)) - 1)
-    return dealt.select(*df.columns, F.explode(within).alias("draw"))
-
-
-def _weighed(cells: DataFrame, roles: Sequence[str], draws: int, seed: int) -> DataFrame:
-    """Each row of ``cells`` once a draw, with its weight ``_w``: the product over roles of exponential
-    multipliers that belong to (seed, draw, identity). Missing identities count as one."""
-    x = lambda c: -F.log(uniform(seed, F.col("draw"), F.col(c)))
-    spread = _each_draw(cells, draws)
-    ids = reduce(lambda u, v: u.unionByName(v), [cells.select(F.col(r).cast("string").alias("_id")) for r in roles]).distinct()
-    few = MULTIPLIERS // draws
-    if ids.limit(few + 1).count() > few:
-        return spread.withColumn("_w", reduce(lambda a, b: a * b, [x(r) for r in roles]))
-    table = _each_draw(ids, draws).select("_id", "draw", x("_id").alias("_x"))
-    for i, r in enumerate(roles):
-        own = F.broadcast(table.select(F.col("_id").alias(f"_id{i}"), F.col("draw").alias(f"_draw{i}"), F.col("_x").alias(f"_x{i}")))
-        spread = spread.join(own, F.col(r).cast("string").eqNullSafe(F.col(f"_id{i}")) & (F.col("draw") == F.col(f"_draw{i}")), "left").drop(f"_id{i}", f"_draw{i}")
-    weight = reduce(lambda a, b: a * b, [F.col(f"_x{i}") for i in range(len(roles))])
-    return spread.withColumn("_w", weight).drop(*[f"_x{i}" for i in range(len(roles))])
+from ..functions.columns import present
+
+#: Rows that are weighed at once, and bytes of multipliers that a task keeps.
+ROWS, KEPT = 256, 64 << 20
+
+
+class _Multipliers:
+    """Exponential multipliers of identities, an array of draws each: those of (seed, draw, identity), the same in every role and
+    task. As many are kept as the bound on bytes allows."""
+
+    def __init__(self, draws: int, seed: int):
+        self.told = [f"{seed}|{draw}" for draw in range(draws)]
+        self.most = max(ROWS, KEPT // (8 * draws))
+        self.known: dict[str | None, np.ndarray] = {}
+
+    def of(self, identity: str | None) -> np.ndarray:
+        if identity not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            tail = "" if identity is None else f"|{identity}"
+            digits = b"".join(hashlib.md5((t + tail).encode()).digest()[:6] for t in self.told)
+            whole = np.frombuffer(digits, np.uint8).reshape(-1, 6).astype(np.int64) @ (1 << np.arange(40, -1, -8, dtype=np.int64))
+            self.known[identity] = -np.log((whole + 0.5) / float(1 << 48))
+        return self.known[identity]
+
+    def rows(self, identities: pa.Array) -> np.ndarray:
+        encoded = identities.dictionary_encode()
+        unlike = [self.of(i) for i in encoded.dictionary.to_pylist()]
+        index = encoded.indices.to_numpy(zero_copy_only=False) if not encoded.null_count else encoded.indices.fill_null(len(unlike)).to_numpy(zero_copy_only=False)
+        return np.stack([*unlike, *([self.of(None)] if encoded.null_count else [])])[index]
+
+
+def weighted_sums(cells: DataFrame, roles: Sequence[str], by: Sequence[str], values: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """One row per group of ``by`` and draw: the sum of each value, null as 0, weighted by the product over roles of exponential
+    multipliers that belong to (seed, draw, identity). Missing identities count as one.
+
+    A task multiplies blocks of rows by their draws as matrices and passes on one array of draws for each group that it
+    meets; these are added up element by element. So what is shuffled depends on tasks and groups, not on rows times draws."""
+    by, roles = list(by), list(dict.fromkeys(roles))
+    names = [f"_role{i}" for i in range(len(roles))]
+    plain = cells.select(*by, *[F.col(r).cast("string").alias(n) for r, n in zip(roles, names, strict=True)], *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    kinds = dict(plain.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"{v} array<double>" for v in values]])
+
+    def weigh(batches):
+        multipliers, at, total, head = _Multipliers(draws, seed), None, None, None
+
+        def told():
+            return pa.RecordBatch.from_arrays([*head, *[pa.array([t], pa.list_(pa.float64())) for t in total]], names=[*by, *values])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                weights = reduce(lambda a, b: a * b, [multipliers.rows(part.column(n)) for n in names])
+                numbers = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in values])
+                groups = list(zip(*[part.column(c).to_pylist() for c in by], strict=True)) if by else [()] * part.num_rows
+                edges = [0, *[i for i in range(1, len(groups)) if groups[i] != groups[i - 1]], len(groups)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if total is not None and groups[lo] != at:
+                        yield told()
+                        total = None
+                    if total is None:
+                        at, total, head = groups[lo], np.zeros((len(values), draws)), [part.column(c).slice(lo, 1) for c in by]
+                    total += numbers[:, lo:hi] @ weights[lo:hi]
+        if total is not None:
+            yield told()
+
+    sums = plain.sortWithinPartitions(*by, *names).mapInArrow(weigh, schema)
+    each = sums.select(*by, F.posexplode(F.arrays_zip(*values)).alias("draw", "_v"))
+    return each.groupBy(*by, "draw").agg(*[F.sum(F.col("_v")[v]).alias(v) for v in values])
 
 
 def draw_means(pairs: DataFrame, value: str, roles: Sequence[str], by: Sequence[str], draws: int, seed: int) -> DataFrame:
     """One row per group and draw: the mean weighted by the product over roles of exponential
-    multipliers. A multiplier belongs to (seed, draw, identity), so one identity has the same in
-    every role and group. Pairs of the same identities are added up first, so the draws multiply
-    the distinct identities of a group and not its pairs; sums combine before they are shuffled."""
+    multipliers, see ``weighted_sums``. Pairs of the same identities are added up first, so the draws weigh
+    the distinct identities of a group and not its pairs."""
     keys = list(dict.fromkeys([*by, *roles]))
     cells = pairs.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    g = _weighed(cells, roles, draws, seed).groupBy(*by, "draw").agg(F.sum(F.col("_w") * F.col("_s")).alias("s"), F.sum(F.col("_w") * F.col("_n")).alias("w"))
-    return g.select(*by, "draw", (F.col("s") / F.col("w")).alias("estimate"))
+    return weighted_sums(cells, roles, by, ["_s", "_n"], draws, seed).select(*by, "draw", (F.col("_s") / F.col("_n")).alias("estimate"))
 
 
 def _interval(df: DataFrame, by: Sequence[str], confidence: float) -> DataFrame:
@@ -87,26 +121,25 @@ def audit_intervals(pairs: DataFrame, expected: Sequence[tuple[int, int]] | None
     where the directed pairs are not the expected ones. Draws are made once: both metrics and both
     populations are sums over the same weights."""
     roles = [c for c in ("source_physical_id", "within_physical_id", "cross_physical_id") if c in pairs.columns] or ["source_id"]
-    groups, kinds, values = ["source_hospital", "target_hospital"], ("pair_weighted", "common_support"), ("hcs", "hce")
+    groups, kinds, metrics = ["source_hospital", "target_hospital"], ("pair_weighted", "common_support"), ("hcs", "hce")
     inside = {"pair_weighted": F.lit(True), "common_support": F.col("common_support") if "common_support" in pairs.columns else F.lit(True)}
-    pairs = pairs.select(*run_keys, *groups, *dict.fromkeys(roles), *[f"{m}_pair" for m in values], *present(pairs, ["common_support"]))
+    pairs = pairs.select(*run_keys, *groups, *dict.fromkeys(roles), *[f"{m}_pair" for m in metrics], *present(pairs, ["common_support"]))
     part = lambda k, x: F.sum(F.when(inside[k], x))
     cells = pairs.groupBy(*run_keys, *groups, *dict.fromkeys(roles)).agg(
-        *[part(k, F.lit(1)).alias(f"n_{k}") for k in kinds], *[part(k, F.col(f"{m}_pair")).alias(f"s_{m}_{k}") for k in kinds for m in values])
-    sums = _weighed(cells, roles, draws, seed).groupBy(*run_keys, *groups, "draw").agg(
-        *[F.sum(F.col("_w") * F.col(f"n_{k}")).alias(f"w_{k}") for k in kinds],
-        *[F.sum(F.col("_w") * F.col(f"s_{m}_{k}")).alias(f"{m}_{k}") for k in kinds for m in values])
-    item = F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric"), (F.col(f"{m}_{k}") / F.col(f"w_{k}")).alias("e")) for k in kinds for m in values])).alias("i")
+        *[part(k, F.lit(1)).alias(f"n_{k}") for k in kinds], *[part(k, F.col(f"{m}_pair")).alias(f"s_{m}_{k}") for k in kinds for m in metrics])
+    values = [*[f"n_{k}" for k in kinds], *[f"s_{m}_{k}" for k in kinds for m in metrics]]
+    sums = weighted_sums(cells, roles, [*run_keys, *groups], values, draws, seed)
+    item = F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric"), F.try_divide(F.col(f"s_{m}_{k}"), F.col(f"n_{k}")).alias("e")) for k in kinds for m in metrics])).alias("i")
     by = [*run_keys, "summary_type", "metric"]
     each = sums.select(*run_keys, *groups, "draw", item).select(*run_keys, *groups, "draw", "i.*")
     ci = _interval(each.groupBy(*by, "draw").agg(F.avg("e").alias("estimate")), by, 0.95)
-    told = F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric"), inside[k].alias("ok"), F.col(f"{m}_pair").alias("v")) for k in kinds for m in values])).alias("i")
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric"), inside[k].alias("ok"), F.col(f"{m}_pair").alias("v")) for k in kinds for m in metrics])).alias("i")
     means = pairs.select(*run_keys, *groups, told).select(*run_keys, *groups, "i.*").where("ok").groupBy(*by, *groups).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
     want = F.array(*[F.lit(x) for x in sorted(f"{s}>{t}" for s, t in expected or ())]).cast("array<string>")
     points = means.groupBy(*by).agg(
         F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.avg("m").alias("estimate"), F.array_sort(F.collect_set(F.concat_ws(">", *groups))).alias("_seen"))  # few pairs
     fits = F.lit(True) if expected is None else F.col("_seen") == want
-    all_runs = pairs.select(*run_keys).distinct().select(*run_keys, F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric")) for k in kinds for m in values])).alias("i"))
+    all_runs = pairs.select(*run_keys).distinct().select(*run_keys, F.explode(F.array(*[F.struct(F.lit(k).alias("summary_type"), F.lit(m).alias("metric")) for k in kinds for m in metrics])).alias("i"))
     good = points.where(fits).drop("_seen").join(ci, by)
     return all_runs.select(*run_keys, "i.*").join(good, by, "left").withColumn("status", F.when(F.col("estimate").isNull(), "unavailable").otherwise("available"))
 

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import euclidean, hash_order, require_columns
+from ..functions.columns import euclidean, hash_order, require_columns, uniform
+from ..functions.ordering import hash_bucket, ranked
 from ..functions.stored import stored
 from . import cells
 from .features import z_columns
@@ -273,16 +274,50 @@ def reuse_capacity(sources: DataFrame, bank: DataFrame, targets: Mapping[str, Se
     return hospital.unionByName(total).withColumn("feasible", F.col("required_donor_uses") <= F.col("available_donor_uses"))
 
 
+#: Rounds of the permutation that sources draw by.
+FEISTEL = 4
+
+
+def keyed_permutation(j: Column, width: Column, *key: Column | str | int) -> Column:
+    """The place of ``j`` in a permutation of 0 .. 4^width - 1 that the key chooses: a Feistel network whose round functions are
+    hash numbers. Places of different j are different."""
+    side = F.pow(F.lit(2), width).cast("long")
+    left, right = F.floor(j / side).cast("long"), (j % side).cast("long")
+    for round_ in range(FEISTEL):
+        left, right = right, left.bitwiseXOR(F.floor(uniform(*key, round_, right) * side).cast("long"))
+    return left * side + right
+
+
 def random_pairs(sources: DataFrame, bank: DataFrame, targets: Sequence[int], k: int, seed: int) -> DataFrame:
-    """LAD-1: k random donors of each role without replacement, by the hash of seed, source, donor
-    and role; only full sets stay. The rank filter is pushed below the shuffle."""
+    """LAD-1: k random donors of each role without replacement; only full sets stay.
+
+    Donors are numbered once in each group, in hash order. A request draws numbers j = 0, 1, 2, ... and meets the donors at
+    the places that its own permutation gives them; places beyond the group, its own id and its own identity are drawn over.
+    Few rounds of equality joins on (group, place), each over twice the draws of the one before for those requests that still
+    lack donors, end at the latest when a group is exhausted. So rows are linear in requests, whatever a group's size."""
     keys = ["d_hospital", "label", "d_split"]
     d = bank.select(F.col("hospital_id").alias("d_hospital"), "label", F.col("split").alias("d_split"), F.col("source_id").alias("donor_id"), F.col("physical_id").alias("d_physical"))
-    s = requests(sources, targets).select("source_id", "physical_id", "split", "hospital_id", "role", *keys)
-    pairs = s.join(d, keys).where((F.col("d_physical") != F.col("physical_id")) & (F.col("donor_id") != F.col("source_id")))
-    order = hash_order(seed, F.col("source_id"), F.col("donor_id"), F.col("role"))
-    w = Window.partitionBy("source_id", "role", "d_hospital").orderBy(order, "donor_id")
-    drawn = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    d = ranked(d.withColumn("_h", hash_order(seed, F.col("donor_id"))), ["_h", "donor_id"], hash_bucket(F.col("_h")), "place", keys).drop("_h")
+    d = stored(d, "numbered")
+    width = F.floor((F.length(F.bin(F.col("n") - 1)) + 1) / 2).cast("int")
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("width", width)
+    asked = requests(sources, targets).select("source_id", "physical_id", "role", *keys).join(sizes, keys).withColumn("last", F.pow(F.lit(4), F.col("width")).cast("long") - 1)
+    request = ["source_id", "role", "d_hospital"]
+    open_, done, start, draws = stored(asked, "asked"), None, 0, 8 * k
+    while True:
+        j = F.sequence(F.lit(start).cast("long"), F.least(F.lit(start + draws - 1).cast("long"), F.col("last")))
+        place = keyed_permutation(F.col("j"), F.col("width"), seed, F.col("source_id"), F.col("role"), F.col("d_hospital"))
+        drawn = open_.select("*", F.explode(j).alias("j")).withColumn("place", place).where(F.col("place") < F.col("n"))
+        good = (F.col("d_physical") != F.col("physical_id")) & (F.col("donor_id") != F.col("source_id"))
+        found = stored(drawn.join(d, [*keys, "place"]).where(good).select(*request, "donor_id", "j"), "drawn")
+        done = found if done is None else done.unionByName(found)
+        start, draws = start + draws, 2 * draws
+        served = done.groupBy(*request).agg(F.count("*").alias("got")).where(F.col("got") >= k)
+        open_ = stored(open_.where(F.col("last") >= start).join(served, request, "left_anti"), "asked")
+        if open_.isEmpty():
+            break
+    w = Window.partitionBy(*request).orderBy("j")
+    drawn = done.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return _paired(drawn, sources, targets, k, [])
 
 

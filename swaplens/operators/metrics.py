@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import present, require_columns
-from ..functions.ordering import before, value_bucket
+from ..functions.ordering import before, least_from, ranked, value_bucket
 
 KEYS = ["source_id", "source_split", "source_hospital", "target_hospital"]
 RUN = ["source_split", "seed", "backbone"]
@@ -124,13 +123,16 @@ def common_support(sources: DataFrame, metric: str, expected: dict[int, set[int]
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "id", by: Sequence[str] = ("family",)) -> DataFrame:
     """FDR-1: adjusted p-values within each family: running minimum, from the largest down, of
-    p * n / rank. p outside 0..1 raises. ``key`` orders equal p-values."""
+    p * n / rank. p outside 0..1 raises. Equal p-values get equal results, whatever the order that ``key`` gives them.
+
+    Ranks and minima come from buckets of p-values, so a family may be of any size."""
     x = F.when((F.col(p) < 0) | (F.col(p) > 1) | F.isnan(p), F.raise_error(F.lit("p-values must lie in [0, 1]")).cast("double")).otherwise(F.col(p))
-    w = Window.partitionBy(*by)
-    up = w.orderBy(F.col(p), F.col(key))
-    ranked = df.withColumn("_q", x * F.count("*").over(w) / F.row_number().over(up))
-    q = F.min("_q").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return ranked.withColumn("q", F.least(q, F.lit(1.0))).drop("_q")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    counted = df.join(sizes, list(by)) if by else df.crossJoin(F.broadcast(sizes))  # one row
+    order = [F.col(p), F.col(key)]
+    placed = ranked(counted.withColumn("_p", value_bucket(df, p)), order, F.col("_p"), by=by).withColumn("_q", x * F.col("_n") / (F.col("_r") + 1))
+    # from here on in the order of the ranks, as rows may agree in both
+    return least_from(placed, [F.col(p), F.col("_r")], F.col("_q"), F.col("_p"), "q", by).withColumn("q", F.least("q", F.lit(1.0))).select(*df.columns, "q")
 
 
 def performance(df: DataFrame, label: str = "label", logit: str = "logit", by: Sequence[str] = ()) -> DataFrame:

@@ -60,20 +60,13 @@ def cell_quotas(bank: DataFrame, n: int) -> DataFrame:
 def permuted(df: DataFrame, value: str, seed: int, key: str = "source_id", strata: Sequence[str] = ()) -> DataFrame:
     """PRM-1: adds permuted_<value>, the values of each stratum in hash order; counts are kept.
 
-    With no stratum, or a very large one, ranks come from ranges instead of one window: see
-    ``permuted_wide``."""
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    a = df.withColumn("_r", F.row_number().over(w.orderBy(key)))
-    b = df.select(*strata, F.col(value).alias(f"permuted_{value}"), F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key)).alias("_r"))
-    return a.join(b, [*strata, "_r"]).drop("_r")
-
-
-def permuted_wide(df: DataFrame, value: str, seed: int, key: str = "source_id") -> DataFrame:
-    """PRM-1 without strata for tables of any size: rows meet by their ranks in both orders."""
-    a = ranked(df, [key], value_bucket(df, key))
-    other = df.select(F.col(value).alias(f"permuted_{value}"), hash_order(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
-    b = ranked(other, ["_h", "_k"], hash_bucket(F.col("_h")))
-    return a.join(b.drop("_h", "_k"), "_r").drop("_r")
+    Rows meet by their ranks in both orders, by the numeric ``key`` and by its hash. Ranks come from buckets, so a
+    stratum, or a table without strata, may be of any size."""
+    strata = list(strata)
+    a = ranked(df, [key], value_bucket(df, key), by=strata)
+    other = df.select(*strata, F.col(value).alias(f"permuted_{value}"), hash_order(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
+    b = ranked(other, ["_h", "_k"], hash_bucket(F.col("_h")), by=strata)
+    return a.join(b.drop("_h", "_k"), [*strata, "_r"]).drop("_r")
 
 
 def corner_cue(images: DataFrame, strength: float, side: int, roi: int, cue: int, seed: int, low: float = 0.0, high: float = 255.0) -> DataFrame:

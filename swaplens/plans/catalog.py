@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.stored import stored
 from ..operators import aggregation, allocator, arrays, bootstrap, diagnostics, features, imaging, matching, metadata, metrics, sampling, scoring
 from ..sources import bindings as b
 from ..sources import tables
@@ -269,19 +270,35 @@ def match_capped_ledger(spark, sf_dir):
     return allocator.match_capped(b.audited(z), z, b.FEATURES, CAPPED, b.TARGETS)[1]
 
 
-def _side(role: str, order: str) -> str:
-    return f"(SELECT *, row_number() OVER (PARTITION BY source_id, d_hospital ORDER BY {order}) AS k FROM near WHERE role = '{role}' QUALIFY k <= 3)"
+def _side(role: str, order: str, table: str = "near") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY source_id, d_hospital ORDER BY {order}) AS k FROM {table} WHERE role = '{role}' QUALIFY k <= 3)"
 
 
-def _paired(order_w: str, order_c: str, extra: str = "") -> str:
-    return _then(("near",), "", f"""
+def _paired(order_w: str, order_c: str, extra: str = "", more: str = "", table: str = "near") -> str:
+    return _then(("near",), more, f"""
         SELECT w.source_id, s.split AS source_split, s.hospital_id AS source_hospital, c.d_hospital AS target_hospital, s.label, w.donor_id AS within_donor, c.donor_id AS cross_donor{extra},
           CAST(w.k - 1 AS INTEGER) AS donor_index
-        FROM {_side('within', order_w)} w JOIN {_side('cross', order_c)} c ON w.source_id = c.source_id AND w.k = c.k JOIN z s ON s.source_id = w.source_id
+        FROM {_side('within', order_w, table)} w JOIN {_side('cross', order_c, table)} c ON w.source_id = c.source_id AND w.k = c.k JOIN z s ON s.source_id = w.source_id
         QUALIFY count(*) OVER (PARTITION BY w.source_id, c.d_hospital) = 3""")
 
 
-@registered(_paired(hashed("2026", "source_id", "donor_id", "role") + ", donor_id", hashed("2026", "source_id", "donor_id", "role") + ", donor_id"))
+def _feistel_sql() -> str:
+    """The draw at which a request meets the donor at ``place``: the permutation of its key read backwards."""
+    steps = ["SELECT *, place // side AS l, place % side AS r FROM placed"]
+    for round_ in reversed(range(matching.FEISTEL)):
+        f = uniform("2026", "source_id", "role", "d_hospital", str(round_), "l")
+        steps.append(f"SELECT * REPLACE (xor(r, CAST(floor({f} * side) AS BIGINT)) AS l, l AS r) FROM ({steps[-1]})")
+    return steps[-1]
+
+
+_DRAWN = f"""
+    , numbered AS (SELECT source_id AS donor_id, hospital_id AS d_hospital, label, split AS d_split, row_number() OVER (PARTITION BY hospital_id, label, split ORDER BY {hashed('2026', 'source_id')}, source_id) - 1 AS place,
+      CAST(pow(2, (length(bin(count(*) OVER (PARTITION BY hospital_id, label, split) - 1)) + 1) // 2) AS BIGINT) AS side FROM z),
+    placed AS (SELECT source_id, role, d_hospital, donor_id, place, side FROM near JOIN numbered USING (d_hospital, donor_id)),
+    drawn AS MATERIALIZED (SELECT *, l * side + r AS j FROM ({_feistel_sql()}))"""
+
+
+@registered(_paired("j", "j", more=_DRAWN, table="drawn"))
 def match_random(spark, sf_dir):
     z = b.bank(spark, sf_dir)
     return matching.random_pairs(b.audited(z), z, b.TARGETS, 3, 2026)
@@ -767,7 +784,7 @@ _WEIGHED = f"""
     FROM (SELECT seed, target_hospital, count(*) AS n, avg(hcs_pair) AS estimate FROM pm GROUP BY 1, 2) p
     JOIN (SELECT seed, target_hospital, count(*) AS draws, quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi, stddev_samp(estimate) AS se FROM draws GROUP BY 1, 2) d USING (seed, target_hospital)"""))
 def bootstrap_directed(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).persist()  # read twice
+    pairs = stored(_pairs(spark, sf_dir), "pairs")  # read twice
     return rounded(bootstrap.crossed(pairs, "hcs_pair", ROLES, ["seed", "target_hospital"], DRAWS, confidence=0.95))
 
 
@@ -781,7 +798,7 @@ _GROUPED_ROWS = """
 
 @registered(_then(("pm",), _WEIGHED + _GROUPED.format(m="hcs", k="all"), _GROUPED_ROWS.format(m="hcs", k="all", where="TRUE", tag="")))
 def bootstrap_grouped(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).persist()  # read twice
+    pairs = stored(_pairs(spark, sf_dir), "pairs")  # read twice
     return rounded(bootstrap.grouped(pairs, "hcs_pair", ROLES, ["source_hospital", "target_hospital"], ["seed"], DRAWS))
 
 
@@ -791,7 +808,7 @@ _KINDS = [("pair_weighted", "all", "TRUE"), ("common_support", "cs", "common_sup
 @registered(_then(("pm",), _WEIGHED + "".join(_GROUPED.format(m=m, k=k) for _, k, _ in _KINDS for m in ("hcs", "hce")), " UNION ALL ".join(
     _GROUPED_ROWS.format(m=m, k=k, where=where, tag=f", 'val' AS source_split, '{kind}' AS summary_type, '{m}' AS metric") for kind, k, where in _KINDS for m in ("hcs", "hce"))))
 def bootstrap_audit(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).persist()  # read three times
+    pairs = stored(_pairs(spark, sf_dir), "pairs")  # read three times
     return rounded(bootstrap.audit_intervals(pairs, b.EXPECTED_PAIRS, DRAWS, run_keys=("source_split", "seed")))
 
 
@@ -803,11 +820,11 @@ def seed_estimates(spark, sf_dir):
 @registered("""
     WITH t AS (SELECT l_shipdate AS f, l_orderkey * 10 + l_linenumber AS id, (l_extendedprice * 100) % 10000 / 10000 AS p FROM lineitem),
     r AS (SELECT f, id, p, p * count(*) OVER (PARTITION BY f) / row_number() OVER (PARTITION BY f ORDER BY p, id) AS q FROM t)
-    SELECT CAST(f AS VARCHAR) AS family, id, round(p, 6) AS p, round(least(min(q) OVER (PARTITION BY f ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r""")
+    SELECT CAST(f AS VARCHAR) AS family, id, round(p, 6) AS p, round(least(min(q) OVER (PARTITION BY f ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) + 1e-9, 6) AS q FROM r""")
 def false_discovery(spark, sf_dir):
     l = b.table(spark, sf_dir, "lineitem")
     p = l.select(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("family"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ((F.col("l_extendedprice") * 100) % 10000 / 10000).alias("p"))
-    return rounded(metrics.benjamini_hochberg(p))
+    return rounded(metrics.benjamini_hochberg(p).withColumn("q", F.col("q") + 1e-9))  # many end exactly in a half at the seventh digit
 
 
 @registered("""

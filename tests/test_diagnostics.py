@@ -1,5 +1,6 @@
 """Diagnostics, sampling, metadata and experiment aggregation: known answers."""
 
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def test_audit_subset(spark):
 
 def test_permutations_keep_counts(spark):
     df = spark.createDataFrame([(i, i % 3, i * i) for i in range(60)], "source_id long, k int, v long")
-    for out in (sampling.permuted(df, "v", 3, strata=["k"]), sampling.permuted_wide(df, "v", 3)):
+    for out in (sampling.permuted(df, "v", 3, strata=["k"]), sampling.permuted(df, "v", 3)):
         rows = out.collect()
         assert sorted(r.v for r in rows) == sorted(r.permuted_v for r in rows) == [i * i for i in range(60)]
         assert any(r.v != r.permuted_v for r in rows) and all(r.v == r.source_id**2 for r in rows)
@@ -104,6 +105,29 @@ def test_permutations_keep_counts(spark):
         assert sorted(r.v for r in inside) == sorted(r.permuted_v for r in inside)
 
 
+def test_permutations_of_a_hot_stratum_follow_the_hash(spark):
+    """The i-th row by key gets the value of the i-th by hash, in each stratum, one of which holds most rows."""
+    rows = [(i * 7 % 500, 0 if i % 5 else i % 3, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "source_id long, k int, v long").repartition(6)
+    order = lambda i: (hashlib.md5(f"3|{i}".encode()).hexdigest(), i)
+    want = {}
+    for k in (0, 1, 2):
+        own = [(i, v) for i, g, v in rows if g == k]
+        values = [v for _, v in sorted(own, key=lambda x: order(x[0]))]
+        want |= dict(zip(sorted(i for i, _ in own), values, strict=True))
+    assert {r.source_id: r.permuted_v for r in sampling.permuted(df, "v", 3, strata=["k"]).collect()} == want
+
+
+def test_least_of_what_follows(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, i % 2, rng.randrange(1000)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, g int, v long").repartition(5)
+    got = ordering.least_from(df, ["k"], F.col("v"), ordering.value_bucket(df, "k"), "m", ["g"]).collect()
+    assert len(got) == 120 and all(r.m == min(v for k, g, v in rows if g == r.g and k >= r.k) for r in got)
+
+
 def test_ranks_and_running_totals_over_a_whole_table(spark):
     rows = [(i * 37 % 100, i * 37 % 100 % 3) for i in range(100)]
     df = spark.createDataFrame(rows, "k long, g int").repartition(7)

@@ -211,6 +211,28 @@ def test_random_pairs_are_deterministic_and_eligible(spark):
         assert by[w].hospital_id == 1 and by[c].hospital_id == t and by[w].label == by[c].label == label and by[w].physical_id != by[s].physical_id != by[c].physical_id
 
 
+def test_keyed_permutations_hold_every_place_once(spark):
+    for width in (1, 2, 4):
+        df = spark.range(4**width).select(F.col("id").alias("j"), F.lit(width).alias("w"))
+        places = [sorted(r[0] for r in df.select(matching.keyed_permutation(F.col("j"), F.col("w"), 7, F.lit(key))).collect()) for key in (1, 2)]
+        assert places == [list(range(4**width))] * 2
+    orders = {tuple(r[0] for r in df.orderBy("j").select(matching.keyed_permutation(F.col("j"), F.col("w"), 7, F.lit(key))).collect()) for key in range(5)}
+    assert len(orders) == 5
+
+
+def test_random_pairs_exhaust_small_groups_and_are_even(spark):
+    """Groups with just enough eligible donors serve everybody, those with fewer nobody; no donor is drawn twice or far more often than others."""
+    rows = [(i, "train", 0, 0, "s", None, "own" if i < 40 else f"d{i}", 0.0, 0.0) for i in range(43)]  # 40 sources that bar each other, 3 donors
+    rows += [(100 + i, "train", 1, 0, "s", None, f"e{i}", 0.0, 0.0) for i in range(50)] + [(200 + i, "train", 2, 0, "s", None, f"f{i}", 0.0, 0.0) for i in range(2)]
+    z = bank_of(spark, rows)
+    got = matching.random_pairs(z.where("source_id < 40"), z, (1, 2), 3, 7).collect()
+    assert {r.target_hospital for r in got} == {1} and len(got) == 40 * 3
+    for s in range(40):
+        assert {r.within_donor for r in got if r.source_id == s} == {40, 41, 42} and len({r.cross_donor for r in got if r.source_id == s}) == 3
+    used = Counter(r.cross_donor for r in got)
+    assert len(used) > 35 and max(used.values()) < 10
+
+
 def test_unknown_levels_never_look_like_success(spark):
     assert matching.level_status(spark, 6, [], ["stain"]).first().status == "unavailable"
     assert matching.level_status(spark, 5, ["x"], ["x"]).first().status == "not_implemented"

@@ -1,5 +1,6 @@
 """Metrics, roll-ups, bootstrap: known answers and fail-closed cases."""
 
+import hashlib
 import math
 
 import pytest
@@ -81,6 +82,30 @@ def test_benjamini_hochberg(spark):
         metrics.benjamini_hochberg(df.union(spark.createDataFrame([(9, "f", 1.5)], "id long, family string, p double"))).collect()
 
 
+def test_one_large_family_with_ties_and_buckets(spark):
+    """Against the definition, in more buckets than one, with repeated values and keys."""
+    import random
+
+    rng = random.Random(4)
+    ps = [rng.choice([0.0, 1.0, 0.5, round(rng.random(), 2), rng.random() ** 3]) for _ in range(700)]
+    rows = [(i // 2, f, p) for f, part in (("one", ps), ("two", ps[:9]), ("three", [0.3])) for i, p in enumerate(part)]
+    df = spark.createDataFrame(rows, "id long, family string, p double").repartition(5)
+    want = {}
+    for f in ("one", "two", "three"):
+        own = sorted(p for _, g, p in rows if g == f)
+        least, q = 1.0, {}
+        for rank in range(len(own), 0, -1):
+            least = min(least, own[rank - 1] * len(own) / rank)
+            q[own[rank - 1]] = least
+        want[f] = q
+    got = metrics.benjamini_hochberg(df).collect()
+    assert len(got) == len(rows) and all(r.q == pytest.approx(want[r.family][r.p]) for r in got)
+    windows = metrics.benjamini_hochberg(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_b" in line.split("windowspecdefinition(")[1] for line in windows.split("\n") if "Window [" in line)  # none over a family alone
+    alone = metrics.benjamini_hochberg(df.where("family = 'two'").drop("family"), by=()).collect()
+    assert sorted(r.q for r in alone) == pytest.approx(sorted(want["two"][p] for p in ps[:9]))
+
+
 def test_performance(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 0.5), (0, 0.5), (0, -1.0)], "label int, logit double")
     r = metrics.performance(df).first()
@@ -102,12 +127,36 @@ def test_bootstrap(spark):
     assert (same.estimate, same.ci_lower, same.ci_upper) == pytest.approx((2.0, 2.0, 2.0))
 
 
-def test_multipliers_are_the_same_made_once_or_by_every_row(spark, monkeypatch):
-    df = spark.createDataFrame([(1.0, "a", "b"), (4.0, "b", "a"), (7.0, "c", "a"), (7.0, "c", "a"), (2.0, "c", None), (None, "d", "e")], "v double, source string, within string")
-    of = lambda: {r.draw: r.estimate for r in bootstrap.draw_means(df, "v", ["source", "within"], [], 20, 3).collect()}
-    once = of()
-    monkeypatch.setattr(bootstrap, "MULTIPLIERS", 0)
-    assert of() == pytest.approx(once) and len(once) == 20 and len(set(once.values())) == 20
+def plain_multiplier(seed, draw, identity):
+    told = "|".join(str(x) for x in (seed, draw, identity) if x is not None)
+    return -math.log((int(hashlib.md5(told.encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+
+
+@pytest.mark.parametrize("rows,kept", [(256, 64 << 20), (2, 1)])
+def test_weighted_sums_are_those_of_every_row_and_draw(spark, monkeypatch, rows, kept):
+    """In any blocks, also where multipliers have to be made again, with missing identities and values and several groups."""
+    monkeypatch.setattr(bootstrap, "ROWS", rows)
+    monkeypatch.setattr(bootstrap, "KEPT", kept)
+    data = [(1.0, "a", "b", 0), (4.0, "b", "a", 1), (7.0, "c", "a", 0), (7.0, "c", "a", 0), (2.0, "c", None, 1), (None, "d", "e", 1), (3.0, None, None, None)]
+    df = spark.createDataFrame(data, "v double, source string, within string, g int").repartition(3)
+    got = {(r.g, r.draw): r.v for r in bootstrap.weighted_sums(df, ["source", "within"], ["g"], ["v"], 9, 3).collect()}
+    want = {}
+    for v, a, b, g in data:
+        for draw in range(9):
+            want[g, draw] = want.get((g, draw), 0) + (v or 0) * plain_multiplier(3, draw, a) * plain_multiplier(3, draw, b)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    whole = {r.draw: r.v for r in bootstrap.weighted_sums(df, ["source", "within"], [], ["v"], 9, 3).collect()}
+    assert whole == {d: pytest.approx(sum(want[g, d] for g in (0, 1, None))) for d in range(9)}
+    assert bootstrap.weighted_sums(df.limit(0), ["source"], ["g"], ["v"], 9, 3).count() == 0
+
+
+def test_what_the_bootstrap_shuffles_does_not_grow_with_rows_times_draws(spark):
+    """One array a task and group; the rows that are exploded are those of tasks, groups and draws."""
+    df = spark.range(3000).selectExpr("CAST(id AS DOUBLE) AS v", "CAST(id % 50 AS STRING) AS source", "CAST(id % 2 AS INT) AS g").repartition(4)
+    sums = bootstrap.weighted_sums(df, ["source"], ["g"], ["v"], 40, 1)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.index("MapInArrow") > plan.index("Generate posexplode")  # exploded after, not before
+    assert sums.count() == 80
 
 
 def test_one_identity_has_one_weight_in_all_roles(spark):
