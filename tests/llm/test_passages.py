@@ -236,10 +236,24 @@ def test_blocks_find_all_prints_within_the_radius(spark):
     rng = random.Random(2)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     base = [rng.getrandbits(64) for _ in range(20)]
-    near = [(b, b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(17)))) for b in base for _ in range(20)]
+    near = [(b, b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(decontamination.RADIUS + 1)))) for b in base for _ in range(20)]
     df = spark.createDataFrame([(signed(a), signed(b)) for a, b in near], "a long, b long")
     from pyspark.sql import functions as F
 
     asked = decontamination._block_values(F.col("a"), decontamination.RADIUS // decontamination.BLOCKS)
     met = df.where(F.size(F.array_intersect(asked, decontamination._block_values(F.col("b"), 0))) > 0)
     assert met.count() == len(near)
+
+
+def test_unlike_prints_do_not_meet(spark):
+    """Block values are those of the print; of unrelated prints of one length fewer than two pairs in a hundred meet."""
+    from pyspark.sql import functions as F
+
+    known = spark.createDataFrame([(0,), (-77,), (0x123456789ABCDEF,)], "fp long").select("fp", decontamination._block_values(F.col("fp"), 0).alias("v")).collect()
+    for r in known:
+        assert r.v == [((r.fp & (1 << 64) - 1) >> 16 * i & 0xFFFF) + (i << 32) for i in range(4)]
+    assert len(spark.range(1).select(decontamination._block_values(F.lit(5).cast("long"), 2).alias("v")).first().v) == 4 * 137
+    rng = random.Random(6)
+    prints = lambda n, name: spark.createDataFrame([(5, 40, rng.getrandbits(63)) for _ in range(n)], f"size int, m int, {name} long")
+    met = decontamination._meeting(prints(600, "fp"), prints(100, "item_fp"), decontamination.RADIUS)
+    assert met.count() <= 0.02 * 600 * 100

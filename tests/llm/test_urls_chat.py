@@ -49,7 +49,7 @@ def test_precedence_of_rules(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_agrees(spark, small, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     df = queries.queries()[name](spark, small)
     found = con.execute(queries.oracle_sql()[name])
