@@ -96,3 +96,30 @@ def assemble(populations: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     what is exploratory is never read as confirmatory."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
         df.withColumns({"population": F.lit(name), "analysis_class": F.lit(kind)}) for name, (df, kind) in populations.items()])
+
+
+def population_tables(settings: Mapping[str, Mapping[str, DataFrame]], population: str) -> dict[str, DataFrame]:
+    """AGG-5: setting -> table name -> table becomes table name -> union over settings, each row with its setting and population.
+    Settings may lack tables, and tables of one name columns."""
+    names = list(dict.fromkeys(n for tables in settings.values() for n in tables))
+    return {n: combine({s: tables[n] for s, tables in settings.items() if n in tables}, "setting").withColumn("population", F.lit(population)) for n in names}
+
+
+def individual_seeds(directed: Mapping[str, DataFrame], population: str, metrics: Sequence[str] = ("hcs", "hce")) -> DataFrame:
+    """AGG-5: the directed tables of the settings as one row per setting, seed, directed pair and metric."""
+    keys = ["setting", "source_split", "backbone", "seed", "source_hospital", "target_hospital", "n_sources"]
+    item = F.explode(F.array(*[F.struct(F.lit(f"directed_{m}").alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("m")
+    return combine(directed, "setting").select(*keys, item).select(*keys, "m.*").withColumn("population", F.lit(population))
+
+
+def robustness_by_seed(runs: DataFrame, expected: DataFrame, population: str, backbone: str) -> DataFrame:
+    """AGG-5: robustness summaries of the expected (setting, seed) under their population and architecture. Runs that weren't
+    expected are left out; an expected one without a summary is a row that says ``missing``."""
+    found = expected.select("setting", "seed").distinct().join(runs.withColumn("_there", F.lit(True)), ["setting", "seed"], "left")
+    return found.withColumn("status", F.when(F.col("_there").isNull(), "missing").otherwise("available")).drop("_there").withColumns(
+        {"population": F.lit(population), "backbone": F.lit(backbone)})
+
+
+def matching_results(tables: Mapping[str, DataFrame], population: str, protocol_hash: str | None = None) -> DataFrame:
+    """AGG-5: balance, balance by feature, coverage and common support of a matching in one table, each row with the table it is from."""
+    return combine(tables, "source_table").withColumns({"population": F.lit(population), "protocol_hash": F.lit(protocol_hash).cast("string")})

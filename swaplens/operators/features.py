@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import euclidean, require_columns
 
@@ -21,6 +22,21 @@ def fit_standardizer(df: DataFrame, features: Sequence[str], split: str = "train
     return one.select(F.explode(F.array(*[F.col(c) for c in features])).alias("f")).select("f.*")
 
 
+def validated(standardizer: DataFrame, features: Sequence[str]) -> DataFrame:
+    """STD-3: a standardizer that was read or handed over, held to one finite mean and one finite scale of 0 or more for each of the
+    features, and to these features alone; else raises. A row a feature, so it is checked in one group."""
+    require_columns(standardizer, ["feature", "mean", "scale"], "standardizer")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    whole = Window.partitionBy()
+    fault = (
+        F.when(~F.coalesce(F.col("feature").isin(*features), F.lit(False)), F.concat(F.lit("standardizer has an unknown feature: "), F.coalesce("feature", F.lit("null"))))
+        .when(F.count("*").over(Window.partitionBy("feature")) > 1, F.concat(F.lit("standardizer repeats the feature "), F.col("feature")))
+        .when(F.count("*").over(whole) != len(set(features)), F.lit("standardizer lacks features"))
+        .when(~finite("mean") | ~finite("scale") | (F.col("scale") < 0), F.concat(F.lit("standardizer has an invalid mean or scale of "), F.col("feature"))))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("scale"))
+    return standardizer.withColumn("_scale", checked).select("feature", "mean", F.col("_scale").alias("scale"))
+
+
 def transform(df: DataFrame, standardizer: DataFrame, features: Sequence[str], digits: int = 9) -> DataFrame:
     """STD-2, DST-3: z_<feature> = (x - mean) / scale, with 1 for a scale of 0. The standardizer
     is pivoted into one row and joined to all."""

@@ -6,6 +6,7 @@ compared. Those without SQL need state or kernels; tests hold them against brute
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..functions.stored import stored
-from ..operators import aggregation, allocator, arrays, bootstrap, diagnostics, features, imaging, matching, metadata, metrics, sampling, scoring
+from ..functions.stored import shared_dir, stored
+from ..operators import aggregation, allocator, arrays, bootstrap, diagnostics, features, imaging, joins, matching, merging, metadata, metrics, sampling, scoring
 from ..sources import bindings as b
-from ..sources import tables
+from ..sources import shards, tables
 from .sqltext import Z, distance, hashed, rounds, uniform, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,13 +82,13 @@ HOSPITALS = {"train": [0, 3, 4], "id_val": [0, 3, 4], "val": [1], "test": [2]}
 
 
 @registered(_then(("meta",), """
-    , checks AS (SELECT 'row_count' AS "check", count(*) = 1500 AS passed FROM meta UNION ALL SELECT 'slide_count', count(DISTINCT slide_id) = 25 FROM meta
+    , checks AS (SELECT 'row_count' AS "check", count(*) = (SELECT count(*) FROM customer) AS passed FROM meta UNION ALL SELECT 'slide_count', count(DISTINCT slide_id) = 25 FROM meta
       UNION ALL SELECT 'hospitals_' || split, CASE split WHEN 'val' THEN h = [1] WHEN 'test' THEN h = [2] ELSE h = [0, 3, 4] END
         FROM (SELECT split, list_sort(list(DISTINCT hospital_id)) AS h FROM meta GROUP BY 1)
       UNION ALL SELECT 'physical_id_in_one_hospital', max(n) = 1 FROM (SELECT count(DISTINCT hospital_id) AS n FROM meta GROUP BY physical_id))""",
     "SELECT * FROM checks UNION ALL SELECT 'overall', bool_and(passed) FROM checks"))
 def meta_integrity(spark, sf_dir):
-    return metadata.integrity(b.metadata(spark, sf_dir), 1500, 25, HOSPITALS)
+    return metadata.integrity(b.metadata(spark, sf_dir), b.table(spark, sf_dir, "customer").count(), 25, HOSPITALS)
 
 
 @registered("""
@@ -115,6 +116,84 @@ def source_rows_by_id(spark, sf_dir):
     return tables.rows_by_id(b.metadata(spark, sf_dir), wanted)
 
 
+@registered(with_("meta", then="SELECT m.* FROM meta m WHERE m.source_id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"))
+def source_kept_ids(spark, sf_dir):
+    """FLT-2: each once, unlike SRC-4."""
+    wanted = b.table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("source_id"))
+    return tables.kept_ids(b.metadata(spark, sf_dir), wanted)
+
+
+@registered("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey IN (3, 7, 11) AND c_acctbal > 1000")
+def source_dataset(spark, sf_dir):
+    """SRC-6: customers through the data source of audited tables; both comparisons are pushed to it."""
+    found = shards.load_dataset(spark, f"{sf_dir}/customer.parquet", "shards")
+    return found.where(F.col("c_nationkey").isin(3, 7, 11) & (F.col("c_acctbal") > 1000)).select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+
+
+@registered(with_("meta", then="SELECT source_id, split, hospital_id, label FROM meta"))
+def source_table_csv(spark, sf_dir):
+    """SRC-1, SRC-7, SNK-1: metadata written as CSV to the shared folder, read back and made canonical."""
+    path = f"{shared_dir(spark)}/swaplens-metadata-{uuid.uuid4().hex}.csv"
+    raw = b.raw_metadata(spark, sf_dir)
+    tables.save_table(raw, path)
+    return metadata.canonicalize(tables.read_table(spark, path, raw.schema)).select("source_id", "split", "hospital_id", "label")
+
+
+@registered("""
+    SELECT vec_id AS id, CAST(3 + vec_id % 3 AS INTEGER) AS n_points, floor(embedding[1]::DOUBLE * 1000) AS x, floor(embedding[2]::DOUBLE * 1000) AS y FROM embeddings WHERE vec_id % 7 <> 0""")
+def source_polygons(spark, sf_dir):
+    """SRC-9: annotation files written from the vectors, a thousand in each; every seventh has too few points to be a polygon."""
+    e = b.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000)).alias("v"))
+    n = F.when(F.col("vec_id") % 7 == 0, 2).otherwise(3 + F.col("vec_id") % 3).cast("int")
+    point = lambda i: F.format_string('<Coordinate Order="%d" X="%d" Y="%d" />', i, F.get("v", 2 * i), F.get("v", 2 * i + 1))
+    row = F.concat(F.format_string('<Annotation Name="%d"><Coordinates>', "vec_id"), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), point), ""), F.lit("</Coordinates></Annotation>"))
+    files = e.groupBy(F.floor(F.col("vec_id") / 1000).alias("file")).agg(F.concat(F.lit("<Annotations>"), F.array_join(F.collect_list(row), ""), F.lit("</Annotations>")).alias("value"))
+    path = f"{shared_dir(spark)}/swaplens-polygons-{uuid.uuid4().hex}"
+    files.write.partitionBy("file").text(path)
+    found, first = tables.read_polygons(spark, path), F.get("polygon", F.lit(0))
+    return found.select(F.col("name").cast("long").alias("id"), F.size("polygon").alias("n_points"), first["x"].alias("x"), first["y"].alias("y"))
+
+
+_PATHS = """SELECT page_id, path FROM (SELECT page_id, list_extract(['audits', 'Figures', 'figures', '/p0/./', 'raw', ''], CAST(page_id % 6 + 1 AS INTEGER)) || '/' ||
+    list_extract(['final', 'WSI', 'wild\\s', 'x'], CAST(page_id % 4 + 1 AS INTEGER)) || '//p' || page_id || list_extract(['.csv', '.PNG', '.tar.xml', ''], CAST(page_id % 9 % 4 + 1 AS INTEGER)) AS path FROM pages)"""
+
+
+@registered(f"""
+    WITH p AS ({_PATHS}), q AS (SELECT *, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x NOT IN ('', '.')) AS parts FROM p),
+    r AS (SELECT *, CASE WHEN parts[1] NOT IN ({', '.join(f"'{x}'" for x in tables.TOP_LEVEL)}) THEN 'outside the layout'
+      WHEN list_has_any(list_transform(parts, lambda x: lower(x)), [{', '.join(f"'{x}'" for x in tables.FORBIDDEN_PARTS)}]) THEN 'source data'
+      WHEN regexp_matches(lower(path), '[^.](\.png|\.xml)$') AND NOT (parts[1] = 'figures' AND parts[2] = 'final') THEN 'not a final figure' END AS reason FROM q)
+    SELECT page_id, path, reason, CASE WHEN reason IS NULL THEN array_to_string(parts, '/') END AS artifact_path FROM r""")
+def artifact_policy(spark, sf_dir):
+    """SNK-3: paths made of page numbers, against the layout of artifacts."""
+    k = F.col("page_id")
+    pick = lambda items, i: F.get(F.array(*[F.lit(x) for x in items]), i.cast("int"))
+    path = F.concat(
+        pick(["audits", "Figures", "figures", "/p0/./", "raw", ""], k % 6), F.lit("/"), pick(["final", "WSI", "wild\\s", "x"], k % 4), F.lit("//p"), k.cast("string"),
+        pick([".csv", ".PNG", ".tar.xml", ""], k % 9 % 4))
+    return tables.artifact_paths(b.table(spark, sf_dir, "pages").select("page_id", path.alias("path")))
+
+
+@registered("""
+    SELECT coalesce(c_custkey, o) AS source_id, CASE WHEN o IS NULL THEN 'right' ELSE 'left' END AS missing_side
+    FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT DISTINCT o_custkey AS o FROM orders WHERE o_totalprice > 300000) ON c_custkey = o WHERE c_custkey IS NULL OR o IS NULL""")
+def join_unmatched(spark, sf_dir):
+    """JOIN-2: customers in credit and customers with large orders: whom only one side has."""
+    a = b.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("source_id"))
+    large = b.table(spark, sf_dir, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("source_id")).agg(F.max("o_totalprice").alias("price"))
+    return joins.unmatched(a, large, ["source_id"])
+
+
+@registered("""
+    SELECT c_custkey AS source_id, c_acctbal, n_orders, round(price, 6) AS price FROM customer
+    JOIN (SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS price FROM orders WHERE o_totalprice > 300000 GROUP BY 1) ON c_custkey = o_custkey""")
+def join_one_to_one(spark, sf_dir):
+    """JOIN-2: customers with their large orders."""
+    a = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), "c_acctbal")
+    large = b.table(spark, sf_dir, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("source_id")).agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("price"))
+    return joins.one_to_one(a, large, ["source_id"]).withColumn("price", F.round("price", 6))
+
+
 _MANIFEST = """
     , manifest AS (SELECT 'slide_' || n_nationkey AS k, 'patient_' || n_nationkey || '_node_' || (n_nationkey % 3) || s AS w
       FROM nation, (VALUES (''), ('_b')) v(s) WHERE n_nationkey % 6 <> 5 AND (s = '' OR n_nationkey % 6 = 0)),
@@ -455,6 +534,39 @@ def gate_preflight(spark, sf_dir):
     return rounded(found, 5)
 
 
+def _with_test(sql: str) -> str:
+    """The steps with sources of both audited splits."""
+    return sql.replace("split = 'val'", "split IN ('val', 'test')")
+
+
+def _merged(spark, sf_dir) -> dict[str, DataFrame]:
+    """The diagnostics of the matching of ``val`` with that of ``test`` merged into it."""
+    z = b.bank(spark, sf_dir)
+    parts = []
+    for split in ("val", "test"):
+        triplets, ledger = matching.match(b.audited(z, split), z, b.FEATURES, matching.Rules(), b.TARGETS)
+        parts.append(merging.Matching(stored(triplets, "triplets"), stored(ledger, "ledger")))
+    return merging.recomputed(merging.merged(*parts), z, b.FEATURES, features.validated(features.fit_standardizer(z, b.FEATURES), b.FEATURES))
+
+
+@registered(_with_test(_then(("ledger",), "", _COVERAGE)))
+def merged_coverage(spark, sf_dir):
+    """MRG-1: directed coverage after the merge."""
+    return rounded(_merged(spark, sf_dir)["directed_coverage"])
+
+
+@registered(_with_test(_then(("trip", "support", "uses", "z", "fit"), f"""
+    , checks AS (SELECT 'directed_coverage' AS "check", min(coverage) AS observed, 0.9::DOUBLE AS threshold, min(coverage) >= 0.9 AS passed FROM ({_COVERAGE}) WHERE source_split = 'test'
+    UNION ALL SELECT 'common_support_coverage', min(c), 0.9, min(c) >= 0.9 FROM (SELECT source_hospital, avg(CAST(s AS INTEGER)) AS c FROM (
+      SELECT source_hospital, source_id, bool_and(common_support) AS s FROM support WHERE source_split = 'test' GROUP BY 1, 2) GROUP BY 1)
+    UNION ALL SELECT 'per_feature_abs_smd', max(abs(paired_smd)), 0.1, max(abs(paired_smd)) <= 0.1 FROM ({_FEATURE_BALANCE}) WHERE source_split = 'test'
+    UNION ALL SELECT 'donor_reuse_cap', max(t), 20, max(t) <= 20 FROM (SELECT count(*) AS t FROM uses GROUP BY donor_id, slide))""",
+    "SELECT \"check\", round(observed, 5) AS observed, threshold, passed FROM checks UNION ALL SELECT 'overall', NULL, NULL, bool_and(passed) FROM checks")))
+def merge_check(spark, sf_dir):
+    """MRG-1: what the merged matching must keep."""
+    return rounded(merging.final_check(_merged(spark, sf_dir)), 5)
+
+
 # --- sampling and controls ----------------------------------------------------------------------
 
 _ELIGIBLE = "SELECT DISTINCT source_id, source_split, source_hospital, source_slide, source_physical_id, label FROM trip WHERE source_split = 'val'"
@@ -476,6 +588,13 @@ def subset_sample(spark, sf_dir):
     return sampling.audit_subset(sampling.eligible_sources(b.matched(spark, sf_dir)[0], "val"), 10000, 2026)
 
 
+@registered(_then(("trip",), f", el AS ({_ELIGIBLE}), cells AS (SELECT label, source_slide, count(*) AS n FROM el GROUP BY 1, 2), q AS {_quota('cells', 'label, source_slide', 'n', 'least(100, (SELECT sum(n) FROM cells))')}", f"""
+    SELECT el.* FROM el JOIN q USING (label, source_slide) QUALIFY row_number() OVER (PARTITION BY label, source_slide ORDER BY {hashed('2026', 'source_id')}, source_id) <= quota"""))
+def subset_sample_small(spark, sf_dir):
+    """SUB-2 where there are more sources than wanted: quotas and the draw decide."""
+    return sampling.audit_subset(sampling.eligible_sources(b.matched(spark, sf_dir)[0], "val"), 100, 2026)
+
+
 @registered(_then(("z",), f", cells AS (SELECT hospital_id, label, count(*) AS available FROM z WHERE split = 'train' GROUP BY 1, 2), q AS {_quota('cells', 'hospital_id, label', 'available', '1000')}",
                   "SELECT hospital_id, label, available, quota FROM q"))
 def quota_cells(spark, sf_dir):
@@ -493,7 +612,7 @@ def permuted_in_strata(spark, sf_dir):
 @registered(_then(("meta",), f""", a AS (SELECT source_id, label, row_number() OVER (ORDER BY source_id) AS r FROM meta),
     p AS (SELECT label AS permuted_label, row_number() OVER (ORDER BY {hashed('7', 'source_id')}, source_id) AS r FROM meta)""", "SELECT source_id, label, permuted_label FROM a JOIN p USING (r)"))
 def permuted_all(spark, sf_dir):
-    return sampling.permuted_wide(b.metadata(spark, sf_dir).select("source_id", "label"), "label", 7)
+    return sampling.permuted(b.metadata(spark, sf_dir).select("source_id", "label"), "label", 7)
 
 
 @registered(_then(("img",), "", f"""
@@ -918,6 +1037,48 @@ def assembled(spark, sf_dir):
         "hospital1": (d.select("seed", "target_hospital", "hcs"), "primary"), "hospital2": (d.select("seed", "target_hospital", "hce"), "post-hoc exploratory")}))
 
 
+@registered(_then(("dir",), "", """
+    SELECT setting, source_split, backbone, seed, source_hospital, target_hospital, n_sources, metric, round(v, 6) AS value, 'hospital1' AS population
+    FROM (SELECT *, 'directed_hcs' AS metric, hcs AS v FROM dir UNION ALL SELECT *, 'directed_hce', hce FROM dir), (VALUES ('primary'), ('roi_only')) s(setting) WHERE setting = 'primary' OR seed = 42"""))
+def individual_seeds(spark, sf_dir):
+    """AGG-5: directed results of each seed under their settings."""
+    d = _directed(spark, sf_dir)
+    return rounded(aggregation.individual_seeds({"primary": d, "roi_only": d.where("seed = 42")}, "hospital1"))
+
+
+@registered(_then(("dir",), "", """
+    SELECT setting, seed, status, source_split, source_hospital, target_hospital, n_sources, round(hcs, 6) AS hcs, 'hospital1' AS population, 'linear' AS backbone
+    FROM (SELECT e.setting, e.seed, CASE WHEN d.seed IS NULL THEN 'missing' ELSE 'available' END AS status, source_split, source_hospital, target_hospital, n_sources, hcs
+      FROM (SELECT * FROM (VALUES ('jpeg'), ('roi_shift')) s(setting), (VALUES (11), (42), (7)) r(seed)) e LEFT JOIN dir d ON d.seed = e.seed)"""))
+def robustness_by_seed(spark, sf_dir):
+    """AGG-5: the same directed table under two settings; seed 7 was never run, seed 101 not expected."""
+    runs = aggregation.combine({s: _directed(spark, sf_dir).drop("backbone") for s in ("jpeg", "roi_shift")}, "setting")
+    expected = b.with_seeds(b.table(spark, sf_dir, "region").select(F.explode(F.array(F.lit("jpeg"), F.lit("roi_shift"))).alias("setting")), (11, 42, 7))
+    found = aggregation.robustness_by_seed(runs, expected, "hospital1", "linear")
+    return rounded(found.select("setting", "seed", "status", "source_split", "source_hospital", "target_hospital", "n_sources", "hcs", "population", "backbone"))
+
+
+@registered(" UNION ALL BY NAME ".join(f"SELECT *, '{n}' AS source_table, 'hospital1' AS population, 'p0' AS protocol_hash FROM ({_SQL[q]})" for n, q in (
+    ("matching_balance", "balance_distances"), ("feature_balance", "balance_features"), ("directed_coverage", "coverage_directed"), ("common_support_coverage", "coverage_common_support"))))
+def matching_results(spark, sf_dir):
+    """AGG-5: the tables of one matching in one."""
+    z = b.bank(spark, sf_dir)
+    t, l = (stored(x, "matched") for x in matching.match(b.audited(z), z, b.FEATURES, matching.Rules(), b.TARGETS))
+    support = diagnostics.annotate_common_support(l)
+    return rounded(aggregation.matching_results({
+        "matching_balance": diagnostics.balance_summary(t), "feature_balance": diagnostics.feature_balance(t, z, b.FEATURES, features.fit_standardizer(z, b.FEATURES)),
+        "directed_coverage": diagnostics.directed_coverage(l), "common_support_coverage": diagnostics.common_support_coverage(support)}, "hospital1", "p0"))
+
+
+@registered(_then(("dir",), "", """
+    SELECT setting, round(hcs_pair_weighted, 6) AS hcs_pair_weighted, seed, 'hospital1' AS population
+    FROM (SELECT seed, avg(hcs) AS hcs_pair_weighted FROM dir GROUP BY 1), (VALUES ('primary'), ('roi_only')) s(setting) WHERE setting = 'primary' OR seed <> 101"""))
+def population_global(spark, sf_dir):
+    """AGG-5: the global table of a population over its settings, one of which lacks a seed."""
+    d = metrics.pair_weighted(_directed(spark, sf_dir), "hcs", b.EXPECTED_PAIRS).select("seed", "hcs_pair_weighted")
+    return rounded(aggregation.population_tables({"primary": {"global_hcs": d}, "roi_only": {"global_hcs": d.where("seed <> 101")}}, "hospital1")["global_hcs"])
+
+
 @registered("SELECT page_id, lower(split_part(split_part(url, '://', 2), '/', 1)) AS host, length(html) AS bytes, sha256(html) AS sha256 FROM pages")
 def content_manifest(spark, sf_dir):
     """SNK-3's digests over a table of contents."""

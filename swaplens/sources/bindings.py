@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import physical_cluster, uniform
 from ..functions.stored import stored
 from ..operators import features as standard
-from ..operators import matching
+from ..operators import joins, matching
 
 ROI_FEATURES = ["n_orders", "price_mean"]
 CONTEXT_FEATURES = ["price_std", "open_share"]
@@ -61,13 +61,13 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").cast("double").alias("n_orders"), F.avg("o_totalprice").alias("price_mean"),
         F.stddev_pop("o_totalprice").alias("price_std"), F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("open_share"),
     )
-    return metadata(spark, sf_dir).join(per, "source_id")
+    return joins.one_to_one(metadata(spark, sf_dir), per, ["source_id"])
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors with z columns, fitted on the training split. Written out, as all that follows reads them several times."""
     d = descriptors(spark, sf_dir)
-    return stored(standard.transform(d, standard.fit_standardizer(d, FEATURES), FEATURES), "bank")
+    return stored(standard.transform(d, standard.validated(standard.fit_standardizer(d, FEATURES), FEATURES), FEATURES), "bank")
 
 
 def audited(z: DataFrame, split: str = "val") -> DataFrame:

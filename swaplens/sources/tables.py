@@ -59,6 +59,11 @@ def rows_by_id(df: DataFrame, wanted: DataFrame, key: str = "source_id") -> Data
     return wanted.select(key).join(df, key)
 
 
+def kept_ids(df: DataFrame, wanted: DataFrame, key: str = "source_id") -> DataFrame:
+    """Rows whose id is wanted (FLT-2), each once, however often it is asked for; a null id is nobody's."""
+    return df.join(wanted.select(key), key, "left_semi")
+
+
 def decode_split(df: DataFrame, names: DataFrame, code: str = "split_code") -> DataFrame:
     """Split code -> name by a small dimension (code, split) (SRC-5)."""
     return df.join(F.broadcast(names), code, "left").drop(code)
@@ -100,3 +105,27 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
         .when(F.col("sha256") != F.col("actual_sha256"), "sha256")
     )
     return joined.withColumn("reason", reason).where("reason is not null").select("path", "reason")
+
+
+#: Where artifacts may lie, parts of a path that would hold source data, and the suffixes of images
+#: and annotations, which belong to final figures only.
+TOP_LEVEL = ("README.md", "MANIFEST.json", "protocol", "p0", "subsets", "checkpoints", "predictions", "audits", "aggregate", "figures", "logs")
+FORBIDDEN_PARTS = ("camelyon17", "wsi", "xml_annotations", "raw", "wilds")
+IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".svs", ".xml")
+FIGURES = ("figures", "final")
+
+
+def artifact_paths(df: DataFrame, path: str = "path") -> DataFrame:
+    """Adds ``artifact_path`` (with single forward slashes, none in front; null if the policy forbids it) and ``reason`` (null if
+    allowed): outside the layout, source data, or an image that is no final figure (SNK-3)."""
+    parts = F.filter(F.split(F.translate(F.coalesce(F.col(path), F.lit("")), "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    last = F.lower(F.coalesce(F.get(F.col("_parts"), F.size("_parts") - 1), F.lit("")))
+    suffix = F.regexp_extract(last, r"[^.](\.[^.]+)$", 1)
+    final = (F.get(F.col("_parts"), F.lit(0)) == FIGURES[0]) & (F.get(F.col("_parts"), F.lit(1)) == FIGURES[1])
+    lowered = F.transform("_parts", lambda x: F.lower(x))
+    reason = (
+        F.when(~F.coalesce(F.get(F.col("_parts"), F.lit(0)).isin(*TOP_LEVEL), F.lit(False)), "outside the layout")
+        .when(F.arrays_overlap(lowered, F.array(*[F.lit(x) for x in FORBIDDEN_PARTS])), "source data")
+        .when(suffix.isin(*IMAGE_SUFFIXES) & ~F.coalesce(final, F.lit(False)), "not a final figure"))
+    named = df.withColumn("_parts", parts).withColumn("reason", reason)
+    return named.withColumn("artifact_path", F.when(F.col("reason").isNull(), F.array_join("_parts", "/"))).drop("_parts")
