@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,22 +94,64 @@ def roi_metrics(source: Column, composite: Column, side: int, roi: int) -> dict[
     }
 
 
-def boundary_jump(pixels: Column, side: int, roi: int, buffer: int = 0) -> Column:
-    """QA-2 in part: absolute difference of the means just inside and just outside the protected
-    square (the outer ring has no corners: neighbours are those along the axes)."""
+def _seam(side: int, roi: int, buffer: int, ring: int) -> tuple[list[int], list[int]]:
+    """Pixels up to ``ring`` steps along the axes outside the protected square, and those of the square from which as many steps lead
+    out of it (or of the image)."""
+    if ring < 1:
+        raise ValueError("a seam is at least one pixel wide")
     a, b = roi_bounds(side, roi, buffer)
+    steps = lambda x: max(a - x, x - (b - 1), 0)
+    outer, inner = [], []
+    for i in range(side * side):
+        row, col = divmod(i, side)
+        if steps(row) == steps(col) == 0:
+            if min(row - a, b - 1 - row, col - a, b - 1 - col) < ring:
+                inner.append(i)
+        elif steps(row) + steps(col) <= ring:
+            outer.append(i)
+    return outer, inner
+
+
+def _mean(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda total, x: total + x) / F.size(xs)
+
 
-    def ring(i: Column) -> Column:
-        row, col = F.floor(i / side), i % side
-        near = lambda x, lo, hi: (x >= lo) & (x < hi)
-        return (near(row, a, b) & near(col, a - 1, b + 1)) | (near(row, a - 1, b + 1) & near(col, a, b))
-
-    inside = lambda i: is_protected(i, side, roi, buffer)
-    core = lambda i: (F.floor(i / side) >= a + 1) & (F.floor(i / side) < b - 1) & ((i % side) >= a + 1) & ((i % side) < b - 1)
-    outer = F.filter(pixels, lambda v, i: ring(i) & ~inside(i))
-    inner = F.filter(pixels, lambda v, i: inside(i) & ~core(i))
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
-    return F.when((F.size(outer) > 0) & (F.size(inner) > 0), F.abs(mean(inner) - mean(outer))).otherwise(0.0)
+def _pixels(places: Sequence[int], value) -> Column:
+    """``value`` of each of the pixel numbers, which are few and known beforehand."""
+    return F.transform(F.array(*[F.lit(i) for i in places]).cast("array<int>"), value)
+
+
+def gradient(pixels: Column, i: Column, side: int) -> Column:
+    """QA-2: the gradient's magnitude at pixel number ``i``: differences across the pixel along both axes, smoothed by 1, 2, 1
+    along the other, by index arithmetic; beyond the edges the image is reflected."""
+    row, col = F.floor(i / side), i % side
+    within = lambda x: F.greatest(F.least(x, F.lit(side - 1)), F.lit(0))  # noqa: E731  what lies one step out is the edge itself
+    at = lambda dy, dx: F.get(pixels, (within(row + dy) * side + within(col + dx)).cast("int"))
+    across = (at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)) / 8
+    down = (at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)) / 8
+    return F.sqrt((across * across + down * down) / 2)
+
+
+def boundary_jump(pixels: Column, side: int, roi: int, buffer: int = 0, ring: int = 1) -> Column:
+    """QA-2: absolute difference of the means just inside and just outside the protected
+    square (the outer ring has no corners: neighbours are those along the axes); 0 where there is no outside."""
+    outer, inner = _seam(side, roi, buffer, ring)
+    if not outer or not inner:
+        return F.lit(0.0)
+    value = lambda i: F.get(pixels, i)
+    return F.abs(_mean(_pixels(inner, value)) - _mean(_pixels(outer, value)))
+
+
+def seam_metrics(images: DataFrame, side: int, roi: int, buffer: int = 0, ring: int = 1, column: str = "pixels") -> DataFrame:
+    """QA-2 of each one-channel image: source_id, seam_gradient (mean just outside the protected square), the jump across it, and
+    edge_magnitude (mean gradient on both sides); 0 where there is no outside. An image of another size, or without
+    pixels, has nulls."""
+    outer, inner = _seam(side, roi, buffer, ring)
+    px = F.when(F.size(column) == side * side, F.col(column))
+    mean = lambda places: _mean(_pixels(places, lambda i: gradient(px, i, side))) if places else F.when(px.isNotNull(), 0.0)
+    jump = boundary_jump(px, side, roi, buffer, ring)
+    return images.select(
+        "source_id", mean(outer).alias("seam_gradient"), F.when(px.isNotNull(), jump).alias("cross_boundary_intensity_jump"), mean([*inner, *outer]).alias("edge_magnitude"))
 
 
 def mask_of(pixels: Column, threshold: float = 0.0) -> Column:

@@ -1,4 +1,4 @@
-"""Image kernels that expressions can't state: morphology, components, gradients, polygons.
+"""Image kernels that expressions can't state: morphology, components, polygons.
 
 Each kernel is a small NumPy function of one image; Spark maps them over Arrow batches, one image at
 a time, without a shuffle. Components follow 8-neighbourhoods; perimeters weigh border pixels by
@@ -166,29 +166,6 @@ def protected(h: int, w: int, roi: int, buffer: int = 0) -> np.ndarray:
     return mask
 
 
-def sobel(gray: np.ndarray) -> np.ndarray:
-    """Gradient magnitude, edges reflected; 3 x 3 weights sum to one a side."""
-    p = np.pad(gray, 1, mode="symmetric")
-    smooth_x, smooth_y = (p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]) / 4, (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
-    gy, gx = (smooth_x[2:] - smooth_x[:-2]) / 2, (smooth_y[:, 2:] - smooth_y[:, :-2]) / 2
-    return np.sqrt((gx * gx + gy * gy) / 2)
-
-
-def seam(gray: np.ndarray, roi: int, buffer: int = 0, ring: int = 1) -> dict[str, float]:
-    """QA-2: gradient just outside the protected square, jump across it, gradient at both sides."""
-    inside = protected(*gray.shape, roi, buffer)
-    cross = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
-    wide, core = inside, inside
-    for _ in range(ring):
-        wide, core = dilate(wide, cross), erode(core, cross, False)
-    outer, inner, g = wide & ~inside, inside & ~core, sobel(gray)
-    return {
-        "seam_gradient": float(g[outer].mean()) if outer.any() else 0.0,
-        "cross_boundary_intensity_jump": float(abs(gray[inner].mean() - gray[outer].mean())) if inner.any() and outer.any() else 0.0,
-        "edge_magnitude": float(g[inner | outer].mean()) if (inner | outer).any() else 0.0,
-    }
-
-
 def rasterize(polygons: Sequence[Sequence[Mapping[str, float]]], origin: tuple[float, float], size: int, scale: float = 1.0,
               orientation: str = "identity", reference: str = "top_left") -> np.ndarray:
     """LES-1: pixels whose place lies in a polygon by the even-odd rule, or on its border."""
@@ -244,12 +221,6 @@ def mask_descriptors(masks: DataFrame, side: int, column: str = "mask") -> DataF
     return _mapped(masks, column, lambda v: descriptor(np.array(v, bool).reshape(side, side)), DESCRIPTORS)
 
 
-def seam_metrics(images: DataFrame, side: int, roi: int, buffer: int = 0, column: str = "pixels") -> DataFrame:
-    """QA-2 of each one-channel image."""
-    names = ["seam_gradient", "cross_boundary_intensity_jump", "edge_magnitude"]
-    return _mapped(images, column, lambda v: seam(np.array(v, float).reshape(side, side), roi, buffer), names)
-
-
 def tissue_masks(images: DataFrame, side: int, settings: Mapping | None = None, column: str = "pixels") -> DataFrame:
     """MSK-1: source_id, mask; pixels are side x side x 3 values."""
     def run(batches):

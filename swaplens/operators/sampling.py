@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import hash_order, present, require_columns, uniform
 from ..functions.ordering import hash_bucket, ranked, value_bucket
+from ..functions.stored import stored
 
 ELIGIBLE = ["source_id", "source_split", "source_hospital", "source_slide", "source_physical_id", "label"]
 
@@ -83,36 +84,67 @@ def corner_cue(images: DataFrame, strength: float, side: int, roi: int, cue: int
     return images.withColumn("planted", planted).withColumn("pixels", F.when(F.col("planted"), with_cue).otherwise(F.col("pixels")))
 
 
-def independent_assignments(sources: DataFrame, bank: DataFrame, seed: int, cap: int, rounds: int = 64) -> DataFrame:
-    """ASG-1: a donor for each source, whatever its label: no donor more than ``cap`` times, never
-    the source itself or its physical identity. Raises if sources outnumber the places.
+#: Partners that a clash is offered in the first round of exchanges.
+OFFERED = 16
+
 
-    Places (donor, copy) and sources are put in hash order and meet by rank. Where a meeting is not
-    allowed, those sources and places are shuffled among themselves, spare places included, until
-    all are served; each round is one join. What then still clashes raises.
-    """
+def independent_assignments(sources: DataFrame, bank: DataFrame, seed: int, cap: int) -> DataFrame:
+    """ASG-1: a donor for each source, whatever its label: no donor more than ``cap`` times, never
+    the source itself or its physical identity. Raises if sources outnumber the places, or if nothing can serve all.
+
+    Places (donor, copy) and sources are put in hash order and meet by rank. A source s whose place p isn't allowed then
+    exchanges it: with a source t at q, if s may have q and t may have p, or with an unused place. If all can be served, each
+    clash has such a partner: without one, all places outside its identity would be held by its own identity's other sources. In a round
+    clashes get disjoint runs of partners in hash order, as many each as there are partners to go round at most, and take the first that
+    fits; a round is an equality join no longer than the list of partners, and its result is written. A round without
+    any success offers all partners to one clash, which then is settled or shows that nothing can be."""
     require_columns(sources, ["source_id", "label", "hospital_id", "physical_id"], "sources")
     require_columns(bank, ["source_id", "label", "hospital_id", "physical_id", "slide_id"], "donor bank")
-    n_sources, n_places = sources.count(), bank.count() * cap
-    if n_sources > n_places:
-        raise ValueError("donor reuse capacity is insufficient")
     places = bank.select(
         F.col("source_id").alias("donor_source_id"), F.col("label").alias("donor_label"), F.col("hospital_id").alias("donor_hospital"),
         F.col("slide_id").alias("donor_slide"), F.col("physical_id").alias("donor_physical_id"), F.explode(F.sequence(F.lit(1), F.lit(cap))).alias("copy"))
     asked = sources.select("source_id", F.col("label").alias("source_label"), F.col("hospital_id").alias("source_hospital"), F.col("physical_id").alias("source_physical_id"))
-    allowed = (F.col("donor_source_id") != F.col("source_id")) & (F.col("donor_physical_id") != F.col("source_physical_id"))
-    done = None
-    for round_ in range(rounds):
-        s = _hash_ranked(asked, hash_order(seed, round_, "source", F.col("source_id")), ["source_id"])
-        p = _hash_ranked(places, hash_order(seed, round_, "place", F.col("donor_source_id"), F.col("copy")), ["donor_source_id", "copy"])
-        met = s.join(p, "_r", "left").withColumn("_ok", F.coalesce(allowed, F.lit(False))).persist()  # read by this round and those after
-        good = met.where("_ok").drop("_ok", "_r")
-        done = good if done is None else done.unionByName(good)
-        asked = met.where("NOT _ok").select(*asked.columns)
-        if asked.isEmpty():
-            return done.drop("copy", "source_physical_id")
-        places = places.join(done.select("donor_source_id", "copy"), ["donor_source_id", "copy"], "left_anti")
-    raise ValueError("no independent context donor remained for some sources")
+    who, where = asked.columns, places.columns
+
+    def allowed(s: str, p: str) -> Column:
+        fits = (F.col(f"{p}donor_source_id") != F.col(f"{s}source_id")) & (F.col(f"{p}donor_physical_id") != F.col(f"{s}source_physical_id"))
+        return F.col(f"{s}source_id").isNull() | F.coalesce(fits, F.lit(False))  # nobody may have any place
+
+    s = _hash_ranked(asked, hash_order(seed, "source", F.col("source_id")), ["source_id"])
+    p = _hash_ranked(places, hash_order(seed, "place", F.col("donor_source_id"), F.col("copy")), ["donor_source_id", "copy"])
+    met = stored(s.join(p, "_r", "full").drop("_r"), "met")  # a row for each place, nobody at those that are left
+    if not met.where("donor_source_id IS NULL").isEmpty():
+        raise ValueError("donor reuse capacity is insufficient")
+    round_, offered, alone = 0, OFFERED, False
+    while True:
+        met = met.withColumn("_ok", allowed("", ""))
+        bad = met.where("NOT _ok").drop("_ok")
+        m = bad.count()
+        if not m:
+            return met.where("source_id IS NOT NULL").drop("_ok", "copy", "source_physical_id")
+        good = met.where("_ok").drop("_ok")
+        n = good.count()
+        m = 1 if alone else min(m, n)
+        each = n if alone else max(1, min(offered, n // max(m, 1)))
+        clashes = _hash_ranked(bad, hash_order(seed, round_, "clash", F.col("source_id")), ["source_id"]).where(F.col("_r") < m)
+        partners = _hash_ranked(good, hash_order(seed, round_, "partner", F.col("donor_source_id"), F.col("copy")), ["donor_source_id", "copy"])
+        partners = partners.withColumn("_at", F.col("_r")).withColumn("_r", F.floor(F.col("_at") / each)).where(F.col("_r") < m)
+        partners = partners.select("_r", "_at", *[F.col(c).alias(f"t_{c}") for c in who + where])
+        fitting = clashes.join(partners, "_r").where(allowed("", "t_") & allowed("t_", ""))
+        whole = F.struct("_at", *who, *where, *[f"t_{c}" for c in who + where])
+        pairs = stored(fitting.groupBy("_r").agg(F.min_by(whole, "_at").alias("x")).select("x.*"), "exchanges")
+        if pairs.isEmpty():
+            if alone:
+                raise ValueError("no independent context donor remained for some sources")
+            alone = True
+        else:
+            alone = False
+            one = F.struct(*who, *[F.col(f"t_{c}").alias(c) for c in where])
+            other = F.struct(*[F.col(f"t_{c}").alias(c) for c in who], *where)
+            changed = pairs.select(F.explode(F.array(one, other)).alias("x")).select("x.*")
+            kept = met.drop("_ok").join(changed.select("donor_source_id", "copy"), ["donor_source_id", "copy"], "left_anti")
+            met = stored(kept.unionByName(changed), "met")
+        met, round_, offered = met.drop("_ok"), round_ + 1, 2 * offered
 
 
 def _hash_ranked(df: DataFrame, order: Column, ties: Sequence[str]) -> DataFrame:

@@ -628,6 +628,22 @@ def context_assignments(spark, sf_dir):
     return sampling.independent_assignments(b.audited(z), z.where("split = 'train'"), 11, 2)
 
 
+@registered(_then(("z",), "", """
+    SELECT label AS source_label, count(*) AS n_sources, count(*) AS n_assigned, TRUE AS once, TRUE AS independent, TRUE AS within_cap, TRUE AS from_bank FROM z WHERE split = 'val' GROUP BY 1"""))
+def context_invariants(spark, sf_dir):
+    """ASG-1: what must hold of any assignment, checked by joins with the tables it was made from."""
+    z = b.bank(spark, sf_dir)
+    made = stored(sampling.independent_assignments(b.audited(z), z.where("split = 'train'"), 11, 2), "assignments")
+    uses = made.groupBy("donor_source_id").agg(F.count("*").alias("uses"))
+    own = b.audited(z).select("source_id", F.col("label").alias("source_label"), F.col("physical_id").alias("own"))
+    donors = z.where("split = 'train'").select(F.col("source_id").alias("donor_source_id"), F.col("physical_id").alias("theirs"))
+    got = own.join(made.drop("source_label"), "source_id", "left").join(uses, "donor_source_id", "left").join(donors, "donor_source_id", "left")
+    return got.groupBy("source_label").agg(
+        F.count_distinct("source_id").alias("n_sources"), F.count("donor_source_id").alias("n_assigned"), (F.count("*") == F.count_distinct("source_id")).alias("once"),
+        F.bool_and((F.col("own") != F.col("theirs")) & (F.col("source_id") != F.col("donor_source_id"))).alias("independent"), F.bool_and(F.col("uses") <= 2).alias("within_cap"),
+        F.bool_and(F.col("theirs").isNotNull()).alias("from_bank"))
+
+
 @registered()
 def context_diagnostics(spark, sf_dir):
     return sampling.assignment_diagnostics(context_assignments(spark, sf_dir))
@@ -724,9 +740,24 @@ def mask_descriptors(spark, sf_dir):
     return imaging.mask_descriptors(b.images(spark, sf_dir).withColumn("mask", arrays.mask_of(F.col("pixels"))), b.SIDE)
 
 
-@registered()
+def _at(dy: int, dx: int) -> str:
+    """The pixel beside 1-based pixel i of an 8 x 8 image, edges reflected."""
+    return f"px[least(greatest((i - 1) // 8 + {dy}, 0), 7) * 8 + least(greatest((i - 1) % 8 + {dx}, 0), 7) + 1]"
+
+
+_GRADIENT = (
+    f"sqrt((pow(({_at(-1, 1)} + 2 * {_at(0, 1)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(0, -1)} - {_at(1, -1)}) / 8, 2) + "
+    f"pow(({_at(1, -1)} + 2 * {_at(1, 0)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(-1, 0)} - {_at(-1, 1)}) / 8, 2)) / 2)")
+
+
+@registered(_then(("img",), f"""
+    , g AS (SELECT source_id, i, px[i] AS v, {_GRADIENT} AS g, {_in('i', 1, 7)} AND NOT {_in('i', 2, 6)} AS inner_, NOT {_in('i', 1, 7)} AND ((i - 1) // 8 BETWEEN 1 AND 6 OR (i - 1) % 8 BETWEEN 1 AND 6) AS outer_
+      FROM img, range(1, 65) r(i))""", """
+    SELECT source_id, round(avg(g) FILTER (outer_), 6) AS seam_gradient, round(abs(avg(v) FILTER (inner_) - avg(v) FILTER (outer_)), 6) AS cross_boundary_intensity_jump,
+      round(avg(g) FILTER (inner_ OR outer_), 6) AS edge_magnitude FROM g GROUP BY 1"""))
 def image_seams(spark, sf_dir):
-    return imaging.seam_metrics(b.images(spark, sf_dir), b.SIDE, b.ROI, 1)
+    """QA-2 around the protected square and one pixel more."""
+    return rounded(arrays.seam_metrics(b.images(spark, sf_dir), b.SIDE, b.ROI, 1))
 
 
 def _colour(spark, sf_dir) -> DataFrame:

@@ -155,7 +155,27 @@ def test_context_assignments(spark):
     with pytest.raises(ValueError, match="capacity"):
         sampling.independent_assignments(bank, bank.limit(3), 11, 2)
     with pytest.raises(ValueError, match="no independent"):
-        sampling.independent_assignments(bank.limit(1), bank.where("physical_id = 'p0'"), 11, 2, rounds=3)
+        sampling.independent_assignments(bank.limit(1), bank.where("physical_id = 'p0'"), 11, 2)
+
+
+@pytest.mark.parametrize("offered", [1, 16])
+def test_tight_assignments_are_found_by_exchanges(spark, monkeypatch, offered):
+    """One identity holds half of all sources and no place is to spare: all of its sources must have places of the others and the reverse."""
+    monkeypatch.setattr(sampling, "OFFERED", offered)
+    rows = [(i, 0, 0, "hot" if i < 40 else f"p{i}", f"s{i}") for i in range(80)]
+    bank = spark.createDataFrame(rows, BANK)
+    for seed in (1, 2):
+        got = sampling.independent_assignments(bank, bank, seed, 1).collect()
+        assert sorted(r.source_id for r in got) == sorted(r.donor_source_id for r in got) == list(range(80))
+        assert all((r.source_id < 40) == (r.donor_source_id >= 40) for r in got)
+    # one more of the identity, and nothing can serve all
+    more = bank.union(spark.createDataFrame([(99, 0, 0, "hot", "s")], BANK))
+    with pytest.raises(ValueError, match="no independent"):
+        sampling.independent_assignments(more, more, 1, 1)
+    # a missing identity can't be told from the donor's
+    with pytest.raises(ValueError, match="no independent"):
+        sampling.independent_assignments(bank.limit(1).withColumn("physical_id", F.lit(None).cast("string")), bank, 1, 1)
+    assert sampling.independent_assignments(bank.limit(0), bank, 1, 1).count() == 0
 
 
 # --- metadata -------------------------------------------------------------------------------------------

@@ -121,20 +121,45 @@ def test_tissue_masks(spark):
     assert np.abs(same.astype(int) - image).max() <= 12 and imaging.hed_scaled(image, 1.3).dtype == np.uint8
 
 
-def test_seams():
-    flat = imaging.seam(np.ones((16, 16)), 4)
-    assert flat == {"seam_gradient": 0.0, "cross_boundary_intensity_jump": 0.0, "edge_magnitude": 0.0}
-    step = np.zeros((16, 16))
-    step[6:10, 6:10] = 8.0
-    assert imaging.seam(step, 4)["cross_boundary_intensity_jump"] == 8.0 and imaging.seam(step, 4)["seam_gradient"] > 0
-
-
-def test_the_jump_is_the_kernels(spark):
-    df = images(spark, 3)
-    for buffer in (0, 1):
-        a = {r.source_id: r.j for r in df.select("source_id", arrays.boundary_jump(F.col("pixels"), SIDE, ROI, buffer).alias("j")).collect()}
-        b = {r.source_id: r.cross_boundary_intensity_jump for r in imaging.seam_metrics(df, SIDE, ROI, buffer).collect()}
-        assert a == pytest.approx(b)
+def plain_seam(px, side, roi, buffer, ring):
+    """By padded arrays and repeated growth."""
+    image, a = np.array(px).reshape(side, side), (side - roi) // 2
+    inside = np.zeros((side, side), bool)
+    inside[max(0, a - buffer) : a + roi + buffer, max(0, a - buffer) : a + roi + buffer] = True
+
+    def grown(mask):
+        p = np.pad(mask, 1)
+        return p[1:-1, 1:-1] | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
+
+    wide, beyond = inside, np.pad(~inside, 1, constant_values=True)
+    for _ in range(ring):
+        wide, beyond = grown(wide), grown(beyond)
+    outer, inner = wide & ~inside, inside & beyond[1:-1, 1:-1]
+    p = np.pad(image, 1, mode="symmetric")
+    g = np.zeros_like(image)
+    for y in range(side):
+        for x in range(side):
+            n = p[y : y + 3, x : x + 3]
+            g[y, x] = math.sqrt(((n[:, 2] - n[:, 0]) @ [1, 2, 1] / 8) ** 2 / 2 + ((n[2] - n[0]) @ [1, 2, 1] / 8) ** 2 / 2)
+    if not outer.any():
+        return 0.0, 0.0, g[inner].mean() if inner.any() else 0.0
+    return g[outer].mean(), abs(image[inner].mean() - image[outer].mean()) if inner.any() else 0.0, g[inner | outer].mean()
+
+
+@pytest.mark.parametrize("buffer,ring", [(0, 1), (1, 1), (1, 2), (2, 1), (9, 1), (0, 3)])
+def test_seams_are_those_of_padded_arrays(spark, buffer, ring):
+    """Also where the square reaches the edges or is the whole image."""
+    df = images(spark, 4)
+    names = ["seam_gradient", "cross_boundary_intensity_jump", "edge_magnitude"]
+    got = {r.source_id: [r[n] for n in names] for r in arrays.seam_metrics(df, SIDE, ROI, buffer, ring).collect()}
+    assert got == {r.source_id: pytest.approx(plain_seam(r.pixels, SIDE, ROI, buffer, ring)) for r in df.collect()}
+
+
+def test_seams_of_odd_images(spark):
+    df = spark.createDataFrame([(1, None), (2, [1.0]), (3, [])], "source_id long, pixels array<double>")
+    assert {tuple(r)[1:] for r in arrays.seam_metrics(df, SIDE, ROI).collect()} == {(None, None, None)}
+    with pytest.raises(ValueError):
+        arrays.seam_metrics(df, SIDE, ROI, ring=0)
 
 
 def test_lesions(spark):
