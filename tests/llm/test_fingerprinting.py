@@ -186,3 +186,76 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark, keep):
 def test_rows_that_agree_in_all_columns_stay_once(spark):
     docs = spark.createDataFrame([(1, PROSE)] * 3 + [(None, "a b c d e f")] * 2, "doc_id long, text string")
     assert sorted((r.doc_id or 0 for r in near_dedup.keep_one_similar(docs).collect())) == [0, 1]
+
+
+def test_large_groups_meet_hubs_first(spark, monkeypatch):
+    """With few members to a large group and two hubs at a time the rounds of hubs run, and the classes are those of all pairs: also for
+    members that reach no hub, chains of similar texts, and groups that only share a line."""
+    monkeypatch.setattr(near_dedup, "LARGE", 4)
+    monkeypatch.setattr(near_dedup, "HUBS", 2)
+    monkeypatch.setattr(near_dedup, "ONE_IN", 2)
+    rng = random.Random(3)
+    line, texts = [f"l{i}" for i in range(10)], {}
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(50)]
+        for member in range(18):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(999)}"
+            texts[len(texts)] = " ".join(line + w)
+    chain = [f"c{i}" for i in range(60)]
+    for step in range(15):
+        chain = [*chain[1:], f"d{step}"]
+        texts[len(texts)] = " ".join(chain)
+    for alone in range(20):
+        texts[len(texts)] = " ".join(line + [f"a{alone}x{i}" for i in range(40)])
+    rounds = []
+    materialize = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: rounds.append(name) or materialize(df, name))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_classes(docs).collect()} == plain_similar(texts)
+    assert len(rounds) > 8
+
+
+def test_row_keys_tell_nulls_inside_values_and_take_maps(spark):
+    rows = [(1, [None, 1], (None, 2), {"a": 1}), (1, [1, None], (None, 2), {"a": 1}), (1, [1], (None, 2), {"a": 1}), (1, [None, 1], (2, None), {"a": 1}),
+            (1, [None, 1], (None, 2), {"a": None}), (1, [None, 1], None, {"a": 1}), (1, None, (None, 2), {"a": 1}), (1, [None, 1], (None, 2), None), (1, [], (None, 2), {})]
+    kind = "k int, tags array<int>, s struct<x:int,y:int>, m map<string,int>"
+    df = spark.createDataFrame(rows, kind).selectExpr("*", "struct(m AS inner, tags AS t) AS deep")
+    from swaplens.llm.shared import content_key
+
+    keys = [tuple(r) for r in df.select(*content_key(df)).collect()]
+    assert len(set(keys)) == len(rows)
+    again = [tuple(r) for r in df.union(df).select(*content_key(df)).collect()]
+    assert set(again) == set(keys)
+    # the same entries in another order are the same map
+    two = [tuple(r) for r in spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1)").transform(lambda d: d.select(*content_key(d))).collect()]
+    assert two[0] == two[1]
+
+
+def test_sizes_as_settings_write_them():
+    from swaplens.llm import shared
+
+    assert [shared._bytes(x) for x in ("64m", "4194304b", "10", "1g", "2kb", "-1", "3MiB")] == [64 << 20, 4 << 20, 10, 1 << 30, 2 << 10, -1, 3 << 20]
+
+
+def test_ranges_cut_hot_keys_by_their_ties(spark):
+    """Null and repeated keys are several ranges; bounds are values that occur, the first the least; thousands are planned at once."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from swaplens.llm import shared
+
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.when(F.col("id") % 4 == 1, F.lit(7).cast("long")).otherwise(F.col("id"))).alias("k"), F.xxhash64("id").alias("t"))
+    bounds = shared.range_bounds(df, "k", "t", 40)
+    rows = sorted(((r.k, r.t) for r in df.collect()), key=shared._nulls_first)
+    assert bounds[0] == rows[0] and set(bounds) <= set(rows) and 30 <= len(bounds) <= 40 and sum(k is None for k, _ in bounds) >= 5
+    index = {(r.k, r.t): r.i for r in df.select("k", "t", shared.range_index(F.col("k"), F.col("t"), bounds)[0].alias("i")).collect()}
+    order = [index[r] for r in rows]
+    assert order == sorted(order) and set(order) == set(range(1, len(bounds) + 1)) and max(order.count(i) for i in set(order)) < 350
+    many = [(i, -i) for i in range(10_000)]
+    began = time.time()
+    big = spark.range(3).select(shared.range_index(F.col("id") * 4000, F.lit(0), many)[0].alias("i"))
+    big._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 5 and [r.i for r in big.collect()] == [1, 4001, 8001]

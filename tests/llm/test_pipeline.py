@@ -46,7 +46,7 @@ def test_pipeline_of_an_empty_table(spark, small):
 
 def test_one_query_for_each_operator():
     names = set(queries.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op5_document_fingerprints", "op10_benchmark_decontamination"])

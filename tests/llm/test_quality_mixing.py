@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from swaplens.llm import mixing, quality
 
@@ -183,3 +184,17 @@ def test_very_many_copies_of_a_row(spark):
 
     got = shared.repeated(spark.createDataFrame([(1, 5000), (2, 3), (3, 1024), (4, 0)], "part long, times long"), "times")
     assert Counter(r.part for r in got.collect()) == {1: 5000, 2: 3, 3: 1024}
+
+
+def test_a_text_that_does_not_fit_switches_nothing_off(spark, small):
+    """Longer than the bound, wherever it stands in the order: it is passed over, those after it are learned from."""
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    usable = labels.where(~quality.held_out(F.col("doc_id"))).select("doc_id")
+    first = docs.join(usable, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("very long "), 30_000)).otherwise(F.col("text")))
+    bound = 250_000
+    known = {r.doc_id for r in quality._sample(long, labels, "doc_id", "text", "quality", 3000, bound).collect()}
+    assert first not in known and len(known) > 20
+    assert sum(len(r.text.encode()) for r in long.where(F.col("doc_id").isin(*known)).collect()) <= bound
+    assert quality.train(long, labels, most_bytes=bound) is not None
+    assert quality.train(long, labels, most_bytes=0) is None
