@@ -135,8 +135,8 @@ def text_bytes(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in pc.cast(texts, pa.binary()).to_pylist()]
 
 
-#: A document: an even number for its id, or else an odd one for a hash of its text, and which of its texts.
-DOC = "doc_id decimal(20,0), part long"
+#: A document: its id, or else a hash of its text, and which of these and which of its texts.
+DOC = "doc_id long, part long"
 CHUNKS = f"{DOC}, at long, h long"
 
 
@@ -214,18 +214,27 @@ def _windows(batches, size: int):
                 ["doc_id", "part", "start", "d", "d2"])
 
 
-def _shared(df: DataFrame, *key: str) -> DataFrame:
-    """key columns, least and largest doc_id of the keys that more than one document has. Written out, so that
-    what joins it is dealt anew: a key that very many rows share is then split."""
-    return materialize(df.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "shared")
+def _given():
+    return F.col("part") % 2 == 0
+
 
+#: Of a key that several documents have, two of them.
+TWO = ["least", "least_given", "most", "most_given"]
 
-def _id(number: str):
-    return F.when(F.col(number) % 2 == 0, (F.col(number) / 2).cast("long")).alias(number)
+
+def _shared(df: DataFrame, *key: str) -> DataFrame:
+    """key columns, and two documents (``TWO``) of the keys that more than one has: those with ids before those without, by number. Written
+    out, so that what joins it is dealt anew: a key that very many rows share is then split."""
+    ends = [f(F.when(c, F.col("doc_id"))).alias(n) for n, f, c in (("_a", F.min, _given()), ("_b", F.max, _given()), ("_c", F.min, ~_given()), ("_d", F.max, ~_given()))]
+    several = F.when(F.col("_a").isNull(), F.col("_c") < F.col("_d")).otherwise(F.col("_c").isNotNull() | (F.col("_a") < F.col("_b")))
+    two = [F.coalesce("_a", "_c").alias("least"), F.col("_a").isNotNull().alias("least_given"), F.coalesce("_d", "_b").alias("most"), F.col("_d").isNull().alias("most_given")]
+    return materialize(df.groupBy(*key).agg(*ends).where(several).select(*key, *two), "shared")
 
 
 def _other():
-    return F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other_doc_id")
+    """The id, null if there is none, of the one of the two that the row's document isn't."""
+    first = (F.col("doc_id") == F.col("least")) & (_given() == F.col("least_given"))
+    return F.when(first, F.when(F.col("most_given"), F.col("most"))).otherwise(F.when(F.col("least_given"), F.col("least"))).alias("other_doc_id")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -241,22 +250,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if min_words < 2 * WINDOW + REACH - 1:
         raise ValueError(f"min_words must be at least {2 * WINDOW + REACH - 1}")
-    # part tells apart unlike texts under one doc_id, and with a second hash those without one
+    # part tells apart unlike texts under one doc_id; it is even where there is an id, else odd and doc_id a hash of the text
     given = F.col(id_col).cast("long")
-    own = (F.coalesce(given, F.xxhash64(text_col)).cast("decimal(19,0)") * 2 + F.when(given.isNull(), 1).otherwise(0)).cast("decimal(20,0)")
-    rows = docs.select(own.alias("doc_id"), F.xxhash64(F.lit(2), text_col).alias("part"), F.col(text_col).alias("text"))
+    part = F.xxhash64(F.lit(2), text_col).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(given.isNull().cast("long"))
+    rows = docs.select(F.coalesce(given, F.xxhash64(text_col)).alias("doc_id"), part.alias("part"), F.col(text_col).alias("text"))
     chunks = materialize(rows.transform(map_arrow, _chunk, CHUNKS), "chunks")
     found = chunks.join(_shared(chunks, "h").select("h"), "h")
     per_text = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("at", "h")).alias("chunks"))
     candidates = materialize(per_text.transform(map_arrow, lambda it: _chains(it, min_words), CANDIDATES), "candidates")
-    chains = _shared(candidates.where("chain_words > 0"), "chain", "chain2").select("chain", "chain2", "least", "most", F.lit(True).alias("known"))
+    chains = _shared(candidates.where("chain_words > 0"), "chain", "chain2").select("chain", "chain2", *TWO, F.lit(True).alias("known"))
     in_text = Window.partitionBy("doc_id", "part").orderBy("start")
     flagged = candidates.join(chains, ["chain", "chain2"], "left").withColumn("known", F.coalesce(F.col("known") & (F.col("chain_words") > 0), F.lit(False)))
     reach = F.max(F.when(F.col("known"), F.col("start") + F.col("chain_words"))).over(in_text.rowsBetween(Window.unboundedPreceding, 0))
     end = F.col("start") + F.col("n_words")
     flagged = materialize(
         flagged.select(
-            "doc_id", "part", "start", "chain_words", "known", "least", "most", "h", (F.coalesce(reach, F.lit(0)) < end).alias("open"),
+            "doc_id", "part", "start", "chain_words", "known", *TWO, "h", (F.coalesce(reach, F.lit(0)) < end).alias("open"),
             F.greatest(F.col("lo"), end - min_words, F.lit(0)).alias("a"), F.least(F.col("start"), F.col("hi") - min_words).alias("b")),
         "flagged")
     confirmed = flagged.where("known").select("doc_id", "part", "start", "chain_words", _other())
@@ -267,7 +276,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("doc_id").distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    texts = rows.join(F.broadcast(ids), "doc_id", "left_semi") if small else rows  # a shuffle to leave some out would move all
     windows = materialize(
         wanted.join(texts, ["doc_id", "part"]).select("doc_id", "part", "ranges", "text")
         .transform(map_arrow, lambda it: _windows(it, min_words), f"{DOC}, start int, d long, d2 long"), "windows")
@@ -279,4 +288,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stretches = confirmed.unionByName(settled).withColumn("new", fresh).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return stretches.groupBy("doc_id", "part", "run").agg(
         F.min("start").cast("long").alias("start_word"), (F.max(end) - F.min("start")).cast("long").alias("n_words"), F.min_by("other_doc_id", "start").alias("other_doc_id")
-    ).select(_id("doc_id"), "start_word", "n_words", _id("other_doc_id"))
+    ).select(F.when(_given(), F.col("doc_id")).alias("doc_id"), "start_word", "n_words", "other_doc_id")

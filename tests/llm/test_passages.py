@@ -257,3 +257,20 @@ def test_unlike_prints_do_not_meet(spark):
     prints = lambda n, name: spark.createDataFrame([(5, 40, rng.getrandbits(63)) for _ in range(n)], f"size int, m int, {name} long")
     met = decontamination._meeting(prints(600, "fp"), prints(100, "item_fp"), decontamination.RADIUS)
     assert met.count() <= 0.02 * 600 * 100
+
+
+def test_passages_of_ids_of_any_size(spark):
+    """The largest and smallest ids, ids that only differ in their highest bits, texts without an id, unlike texts under one id."""
+    shared = " ".join(f"s{i * 31 % 997}" for i in range(80))
+    text = lambda n: " ".join(f"u{n}x{k}" for k in range(30)) + " " + shared + " " + " ".join(f"v{n}x{k}" for k in range(30))
+    ids = [2**62 + 5, 5 - 2**62, 5, 2**63 - 1, -(2**63), None, None]
+    docs = spark.createDataFrame([(i, text(n)) for n, i in enumerate(ids)] + [(5, "another text under five")], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(docs).collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted(ids, key=repr)
+    for r in rows:
+        assert r.start_word <= 30 + 26 and r.start_word + r.n_words >= 110 - 26
+        assert r.other_doc_id is None or r.other_doc_id in ids and r.other_doc_id != r.doc_id
+    # two texts without an id have each other, and say so by no id
+    alone = substring_dedup.repeated_passages(docs.where("doc_id IS NULL")).collect()
+    assert [(r.doc_id, r.other_doc_id) for r in alone] == [(None, None)] * 2
+    assert substring_dedup.repeated_passages(docs.where("doc_id = 5")).count() == 0
