@@ -45,7 +45,7 @@ def combine(tables: Mapping[str, DataFrame], tag: str = "summary_type") -> DataF
 def completed_only(table: DataFrame, ledger: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """AGG-2: rows of runs that count."""
     good = ledger.where("status = 'completed'").select(*keys).distinct()
-    return table.join(F.broadcast(good), list(keys), "left_semi")  # one row a run
+    return table.join(good, list(keys), "left_semi")
 
 
 def stamped(table: DataFrame, ledger: DataFrame, protocol_hash: str | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def feature_balance(triplets: DataFrame, descriptors: DataFrame, features: Seque
         F.count("*").alias("n_pairs"), F.avg("w").alias("within_mean"), F.avg("c").alias("cross_mean"),
         F.percentile("w", 0.5).alias("within_median"), F.percentile("c", 0.5).alias("cross_median"),
         F.avg(F.col("c") - F.col("w")).alias("paired_mean_difference"), F.bool_and(F.col("w") == F.col("c")).alias("_equal"))
-    j = g.join(F.broadcast(standardizer.select("feature", F.col("scale").alias("train_scale"))), "feature")
+    j = g.join(standardizer.select("feature", F.col("scale").alias("train_scale")), "feature")
     smd = F.when(F.col("train_scale") > 0, F.col("paired_mean_difference") / F.col("train_scale")).when(F.col("_equal"), 0.0)
     status = F.when(F.col("train_scale") > 0, "estimable").when(F.col("_equal"), "zero_train_scale_equal_values").otherwise("non_estimable_zero_train_scale")
     return j.withColumn("paired_smd", smd).withColumn("paired_smd_status", status).drop("_equal")

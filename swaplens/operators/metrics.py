@@ -26,9 +26,9 @@ def fit_normalizer(logits: DataFrame, column: str = "logit", q_min: float = 1e-3
 
 
 def normalize(df: DataFrame, normalizer: DataFrame, columns: Sequence[str] = LOGITS, by: Sequence[str] = ()) -> DataFrame:
-    """NRM-2: normalized_<column> = (x - median) / scale; the normalizer is a few rows."""
-    n = F.broadcast(normalizer.withColumnsRenamed({"median": "_median", "scale": "_scale"}))
-    j = df.join(n, list(by)) if by else df.crossJoin(n)
+    """NRM-2: normalized_<column> = (x - median) / scale; without ``by`` the normalizer is one row."""
+    n = normalizer.withColumnsRenamed({"median": "_median", "scale": "_scale"})
+    j = df.join(n, list(by)) if by else df.crossJoin(F.broadcast(n))  # one row
     return j.withColumns({f"normalized_{c}": (F.col(c) - F.col("_median")) / F.col("_scale") for c in columns}).drop("_median", "_scale")
 
 

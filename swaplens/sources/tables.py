@@ -66,7 +66,7 @@ def kept_ids(df: DataFrame, wanted: DataFrame, key: str = "source_id") -> DataFr
 
 def decode_split(df: DataFrame, names: DataFrame, code: str = "split_code") -> DataFrame:
     """Split code -> name by a small dimension (code, split) (SRC-5)."""
-    return df.join(F.broadcast(names), code, "left").drop(code)
+    return df.join(names, code, "left").drop(code)
 
 
 def discover_files(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataFrame:

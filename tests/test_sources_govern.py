@@ -107,3 +107,12 @@ def test_held_out_data_stays_locked(spark, tmp_path):
     locked()
     df = spark.createDataFrame([("val",), ("test",)], "split string")
     assert [r.split for r in govern.readable(df).collect()] == ["val"] and govern.readable(df, True).count() == 2
+
+
+def test_a_stage_without_a_fingerprint_is_stale(tmp_path):
+    out = tmp_path / "out"
+    out.write_text("x")
+    govern.record_stage(tmp_path, "s", "f", [str(out)])
+    assert govern.stage_done(tmp_path, "s", "f") and not govern.stage_done(tmp_path, "s", "g")
+    (tmp_path / "s.json").write_text('{"status": "completed", "outputs": ["%s"]}' % out)
+    assert not govern.stage_done(tmp_path, "s", "f")
