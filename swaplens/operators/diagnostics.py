@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -190,3 +190,32 @@ def preflight(
     overall = table.agg(F.bool_and("passed").alias("passed")).select(
         F.lit("overall").alias("check"), F.lit(None).cast("double").alias("observed"), F.lit(None).cast("double").alias("threshold"), "passed")
     return table.unionByName(overall)
+
+
+CHECKS = "check string, observed double, threshold double, passed boolean"
+
+
+def required_files(required: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+    """GATE-2: a check for each required file, passed where it was found. Files of size 0 (if ``found`` has ``bytes``) don't count; nothing
+    required is one failed check, as nothing would have been looked at."""
+    there = found.where(F.col("bytes") > 0) if "bytes" in found.columns else found
+    j = required.select(key).distinct().join(there.select(key).distinct().withColumn("_there", F.lit(1.0)), key, "left")
+    rows = j.select(F.concat(F.lit("required_file:"), F.coalesce(F.col(key), F.lit("null"))).alias("check"), F.coalesce("_there", F.lit(0.0)).alias("observed"), F.lit(1.0).alias("threshold"))
+    none = required.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("required_files").alias("check"), F.lit(0.0).alias("observed"), F.lit(1.0).alias("threshold"))
+    return rows.unionByName(none).withColumn("passed", F.col("observed") >= F.col("threshold"))
+
+
+def recorded_state(spark, locked_hash: str | None, protocol_hash: str | None, commit: str | None, dirty: bool | None, markers: Mapping[str, str | None] | None = None) -> DataFrame:
+    """GATE-2: that the protocol is the locked one, the commit known and clean, and each marker (of tests, of the data's integrity) says that
+    it passed. What isn't known fails."""
+    rows = [("protocol_hash", bool(locked_hash) and locked_hash == protocol_hash), ("git_clean", bool(commit) and dirty is False)]
+    rows += [(name, str(said or "").lower() in ("pass", "passed")) for name, said in (markers or {}).items()]
+    return spark.createDataFrame([(n, float(ok), 1.0, bool(ok)) for n, ok in rows], CHECKS)
+
+
+def gated(*tables: DataFrame) -> DataFrame:
+    """GATE-2: checks of several tables in one, without their own ``overall`` rows, and one ``overall`` for all; no check at all fails."""
+    rows = reduce(lambda a, b: a.unionByName(b), [t.where("check <> 'overall'") for t in tables])
+    overall = rows.agg(F.coalesce(F.bool_and(F.coalesce("passed", F.lit(False))), F.lit(False)).alias("passed")).select(
+        F.lit("overall").alias("check"), F.lit(None).cast("double").alias("observed"), F.lit(None).cast("double").alias("threshold"), "passed")
+    return rows.unionByName(overall)

@@ -534,6 +534,20 @@ def gate_preflight(spark, sf_dir):
     return rounded(found, 5)
 
 
+@registered(f"""WITH wanted AS (SELECT '/slides/Patient_' || n_nationkey || '_Node_' || (n_nationkey % 3) || '.' || kind AS path FROM nation, (VALUES ('tif'), ('xml')) v(kind)) {_FILES}
+    , checks AS (SELECT 'required_file:' || w.path AS "check", CASE WHEN f.path IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS observed, 1.0::DOUBLE AS threshold, f.path IS NOT NULL AS passed
+      FROM wanted w LEFT JOIN files f ON f.path = w.path
+      UNION ALL SELECT * FROM (VALUES ('protocol_hash', 1.0::DOUBLE, 1.0::DOUBLE, TRUE), ('git_clean', 0.0, 1.0, FALSE), ('unit_tests', 1.0, 1.0, TRUE)) v("check", observed, threshold, passed))
+    SELECT * FROM checks UNION ALL SELECT 'overall', NULL, NULL, FALSE""")
+def gate_files(spark, sf_dir):
+    """GATE-2's other checks: files of all slides, of which some are absent, the protocol's hash, a commit that isn't clean, a marker of tests."""
+    n = b.table(spark, sf_dir, "nation")
+    stem = F.format_string("/slides/Patient_%d_Node_%d", F.col("n_nationkey"), F.col("n_nationkey") % 3)
+    wanted = n.select(F.explode(F.array(F.concat(stem, F.lit(".tif")), F.concat(stem, F.lit(".xml")))).alias("path"))
+    state = diagnostics.recorded_state(spark, "h0", "h0", "c0", True, {"unit_tests": "PASS"})
+    return diagnostics.gated(diagnostics.required_files(wanted, b.files(spark, sf_dir)), state)
+
+
 def _with_test(sql: str) -> str:
     """The steps with sources of both audited splits."""
     return sql.replace("split = 'val'", "split IN ('val', 'test')")

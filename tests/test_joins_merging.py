@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swaplens.functions import stored as storing
-from swaplens.operators import aggregation, features, joins, merging
+from swaplens.operators import aggregation, diagnostics, features, joins, merging
 from swaplens.sources import shards, tables
 
 
@@ -134,3 +134,18 @@ def test_ids_that_are_kept(spark):
 def test_stored_tables(spark):
     df = spark.createDataFrame([(1, [1, None])], "a int, b array<int>")
     assert storing.stored(df, "x").collect() == df.collect() and storing.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_gates_of_files_and_states(spark):
+    want = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "path string")
+    found = spark.createDataFrame([("a", 3), ("b", 0), ("z", 1)], "path string, bytes long")
+    got = {r.check: r.passed for r in diagnostics.required_files(want, found).collect()}
+    assert got == {"required_file:a": True, "required_file:b": False, "required_file:c": False}
+    assert [r.passed for r in diagnostics.required_files(want.limit(0), found).collect()] == [False]
+    good = diagnostics.recorded_state(spark, "h", "h", "c", False, {"unit_tests": "PASS", "roi_tests": "passed"})
+    assert {r.check for r in good.collect() if r.passed} == {"protocol_hash", "git_clean", "unit_tests", "roi_tests"}
+    for state in (("h", "g", "c", False), (None, None, "c", False), ("h", "h", None, False), ("h", "h", "c", None), ("h", "h", "c", True)):
+        assert not all(r.passed for r in diagnostics.recorded_state(spark, *state).collect())
+    told = lambda *t: {r.check: r.passed for r in diagnostics.gated(*t).collect()}["overall"]
+    files = diagnostics.required_files(want.where("path = 'a'"), found)
+    assert told(files, good) and told(diagnostics.gated(files), good) and not told(diagnostics.required_files(want, found), good) and not told(good.limit(0))
