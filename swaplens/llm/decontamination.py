@@ -207,7 +207,8 @@ def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, radius: int = RADIUS
 ) -> DataFrame:
     """The rows in whose text no benchmark item is found, each judged by its own text, whatever its id;
-    columns as they are."""
+    columns as they are. Rows with a null, empty or wordless text stay, all rows do if the benchmark has no words, repeated
+    rows stay as often as they come, and an empty table stays empty."""
     found, _ = _found(docs, benchmark, text_col, item_col, similarity, radius)
     a, b = fresh(docs, "t1", "t2")
     t1, t2 = _identity(F.coalesce(F.col(text_col), F.lit("")))
