@@ -6,6 +6,7 @@ compared. Those without SQL need state or kernels; tests hold them against brute
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -162,7 +163,7 @@ _PATHS = """SELECT page_id, path FROM (SELECT page_id, list_extract(['audits', '
     WITH p AS ({_PATHS}), q AS (SELECT *, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x NOT IN ('', '.')) AS parts FROM p),
     r AS (SELECT *, CASE WHEN parts[1] NOT IN ({', '.join(f"'{x}'" for x in tables.TOP_LEVEL)}) THEN 'outside the layout'
       WHEN list_has_any(list_transform(parts, lambda x: lower(x)), [{', '.join(f"'{x}'" for x in tables.FORBIDDEN_PARTS)}]) THEN 'source data'
-      WHEN regexp_matches(lower(path), '[^.](\.png|\.xml)$') AND NOT (parts[1] = 'figures' AND parts[2] = 'final') THEN 'not a final figure' END AS reason FROM q)
+      WHEN regexp_matches(lower(path), '[^.](\\.png|\\.xml)$') AND NOT (parts[1] = 'figures' AND parts[2] = 'final') THEN 'not a final figure' END AS reason FROM q)
     SELECT page_id, path, reason, CASE WHEN reason IS NULL THEN array_to_string(parts, '/') END AS artifact_path FROM r""")
 def artifact_policy(spark, sf_dir):
     """SNK-3: paths made of page numbers, against the layout of artifacts."""
@@ -749,9 +750,44 @@ def mask_shares(spark, sf_dir):
     return rounded(masks.select("source_id", *[x.alias(n) for n, x in arrays.mask_shares(F.col("mask"), b.SIDE).items()]))
 
 
-@registered()
+def _beside(a: str, dy: int, dx: int, side: int, outside: str) -> str:
+    """List ``a`` at 1-based pixel i moved by (dy, dx)."""
+    return f"CASE WHEN (i - 1) // {side} + {dy} BETWEEN 0 AND {side - 1} AND (i - 1) % {side} + {dx} BETWEEN 0 AND {side - 1} THEN {a}[i + {dy * side + dx}] ELSE {outside} END"
+
+
+def _labelled(of: str, name: str, side: int, near) -> str:
+    """(id, m) to (id, l): each pixel of a mask takes the largest number near it until no list changes."""
+    spread = ", ".join(_beside("l", y, x, side, "0") for y, x in near)
+    return f"""
+    , {name}_p AS (SELECT id, list_transform(m, lambda v, i: CASE WHEN v THEN i ELSE 0 END) AS l, FALSE AS same FROM {of}
+      UNION ALL SELECT id, n, n = l FROM (SELECT id, l, list_transform(l, lambda v, i: CASE WHEN v = 0 THEN 0 ELSE greatest(v, {spread}) END) AS n FROM {name}_p WHERE NOT same)),
+    {name} AS (SELECT id, l FROM {name}_p WHERE same)"""
+
+
+def _recursive(steps: tuple[str, ...], more: str, query: str) -> str:
+    return _then(steps, more, query).replace("WITH", "WITH RECURSIVE", 1)
+
+
+_ALL_NEAR = [*imaging.AXES, *imaging.CORNERS]
+_SIX = lambda x, name: f"round({x}, 6) AS {name}"
+_CODE = f"1 + 2 * ({' + '.join(_beside('b', y, x, 8, '0') for y, x in imaging.AXES)}) + 10 * ({' + '.join(_beside('b', y, x, 8, '0') for y, x in imaging.CORNERS)})"
+
+
+@registered(_recursive(("img",), f"""
+    , msk AS (SELECT source_id AS id, list_transform(px, lambda v: v > 0) AS m FROM img)""" + _labelled("msk", "lab", 8, _ALL_NEAR) + f"""
+    , cell AS (SELECT id, i // 8 AS y, i % 8 AS x, l[i + 1] AS k FROM lab, range(64) t(i) WHERE l[i + 1] > 0),
+    part AS (SELECT id, count(*) AS n, var_pop(y) + 1.0 / 12 AS yy, var_pop(x) + 1.0 / 12 AS xx, covar_pop(x, y) AS xy FROM cell GROUP BY id, k),
+    ell AS (SELECT id, n, (yy + xx) / 2 AS c, sqrt((yy - xx) * (yy - xx) + 4 * xy * xy) / 2 AS h FROM part),
+    areas AS (SELECT id, count(*) AS parts, sum(n) AS a, avg(n) AS mean, stddev_pop(n) AS sd, max(n) AS most, sum(n * sqrt(greatest(0, 1 - (c - h) / (c + h)))) / sum(n) AS ecc FROM ell GROUP BY id),
+    rim AS (SELECT id, list_transform(m, lambda v, i: CASE WHEN v AND NOT ({' AND '.join(_beside('m', y, x, 8, 'FALSE') for y, x in imaging.AXES)}) THEN 1 ELSE 0 END) AS b FROM msk),
+    len AS (SELECT id, list_sum(list_transform(b, lambda v, i: CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE CASE {_CODE} {' '.join(f'WHEN {k} THEN {w!r}::DOUBLE' for k, w in imaging.WEIGHTS.items())} ELSE 0.0 END END)) AS rim FROM rim),
+    shares AS (SELECT source_id, round(count(*) FILTER (v > 0) / 64.0, 6) AS tissue_fraction, round(coalesce(avg(i % 8) FILTER (v > 0) / 8, -1), 6) AS centroid_x, round(coalesce(avg(i // 8) FILTER (v > 0) / 8, -1), 6) AS centroid_y,
+      CAST(count(*) FILTER (v > 0) = 0 AS DOUBLE) AS empty_mask, {_SHARES} FROM (SELECT source_id, i, px[i + 1] AS v FROM img, range(64) t(i)) GROUP BY 1)""", f"""
+    SELECT shares.*, coalesce(parts, 0)::DOUBLE AS component_count, {_SIX('coalesce(mean, 0) / 64', 'area_mean')}, {_SIX('coalesce(sd, 0) / 64', 'area_std')}, {_SIX('coalesce(most, 0)::DOUBLE / 64', 'area_max')},
+      {_SIX('rim / 32', 'normalized_perimeter')}, {_SIX('4 * pi() * coalesce(a, 0) / greatest(rim * rim, 1)', 'compactness')}, {_SIX('coalesce(ecc, -1)', 'eccentricity')}
+    FROM shares JOIN len ON len.id = source_id LEFT JOIN areas ON areas.id = source_id"""))
 def mask_descriptors(spark, sf_dir):
-    return imaging.mask_descriptors(b.images(spark, sf_dir).withColumn("mask", arrays.mask_of(F.col("pixels"))), b.SIDE)
+    return rounded(imaging.mask_descriptors(b.images(spark, sf_dir).withColumn("mask", arrays.mask_of(F.col("pixels"))), b.SIDE))
 
 
 def _at(dy: int, dx: int) -> str:
@@ -780,14 +816,61 @@ def _colour(spark, sf_dir) -> DataFrame:
     return b.images(spark, sf_dir).select("source_id", F.flatten(F.transform(scaled, lambda v: F.array(v, v * v, 1 - v))).alias("pixels"))
 
 
-@registered()
+_COLOURS = """
+    , colour AS (SELECT source_id, list_transform(s, lambda v: v) AS r, list_transform(s, lambda v: v * v) AS g, list_transform(s, lambda v: 1 - v) AS b
+      FROM (SELECT source_id, list_transform(px, lambda v: least(greatest(v * 0.2 + 0.5, 0.0), 1.0)) AS s FROM img))"""
+
+
+def _median(c: str) -> str:
+    return f"list_transform({c}, lambda v, i: list_sort([{', '.join(_at(y, x).replace('px[', f'{c}[') + '::FLOAT' for y in (-1, 0, 1) for x in (-1, 0, 1))}])[5]) AS {c}"
+
+
+def _big(m: str) -> str:
+    return f"list_transform(l, lambda v: {m}(v > 0 AND len(list_filter(l, lambda w: w = v)) >= 3))"
+
+
+def _tissue(settings: list[tuple[float, float]]) -> str:
+    """MSK-1 of each (least saturation, largest value), numbered from 0 in id = source_id * 4 + number."""
+    rows = ", ".join(f"({k}, {lo}::FLOAT, {hi}::FLOAT)" for k, (lo, hi) in enumerate(settings))
+    around = [(0, 0), *imaging.AXES]
+    return _COLOURS + f"""
+    , smooth AS (SELECT source_id, {', '.join(_median(c) for c in 'rgb')} FROM colour),
+    spans AS (SELECT source_id, list_transform(r, lambda v, i: greatest(v, g[i], b[i])) AS hi, list_transform(r, lambda v, i: least(v, g[i], b[i])) AS lo FROM smooth),
+    cut AS (SELECT source_id * 4 + k AS id, list_transform(hi, lambda v, i: (CASE WHEN v > 0 THEN (v - lo[i]) / v ELSE 0::FLOAT END) >= s_min AND v <= v_max) AS m FROM spans, (VALUES {rows}) t(k, s_min, v_max)),
+    wide AS (SELECT id, list_transform(m, lambda v, i: {' OR '.join(_beside('m', y, x, 8, 'FALSE') for y, x in around)}) AS m FROM cut),
+    closed AS (SELECT id, list_transform(m, lambda v, i: {' AND '.join(_beside('m', y, x, 8, 'TRUE') for y, x in around)}) AS m FROM wide)""" + _labelled("closed", "things", 8, imaging.AXES) + f"""
+    , kept AS (SELECT id, {_big('NOT ')} AS m FROM things)""" + _labelled("kept", "holes", 8, imaging.AXES) + f"""
+    , tissue AS (SELECT id, {_big('NOT ')} AS m FROM holes)"""
+
+
+@registered(_recursive(("img",), _tissue([(0.05, 0.95)]), "SELECT id // 4 AS source_id, m AS mask FROM tissue"))
 def tissue_masks(spark, sf_dir):
     return imaging.tissue_masks(_colour(spark, sf_dir), b.SIDE, {"min_object_size": 3})
 
 
-@registered()
+@registered(_recursive(("img",), _tissue([(0.05, 0.95), (0.2, 0.95), (0.05, 0.8)]) + """
+    , pairs AS (SELECT f.id // 4 AS source_id, o.id % 4 - 1 AS perturbation, len(list_filter(f.m, lambda v: v)) AS a, len(list_filter(o.m, lambda v: v)) AS c, len(list_filter(list_zip(f.m, o.m), lambda p: p[1] AND p[2])) AS n
+      FROM tissue f JOIN tissue o ON o.id // 4 = f.id // 4 AND f.id % 4 = 0 AND o.id % 4 > 0)""", """
+    SELECT source_id, perturbation::INTEGER AS perturbation, round(2 * n / greatest(a + c, 1), 6) AS dice, round(n / greatest(a + c - n, 1), 6) AS jaccard FROM pairs"""))
 def mask_stability(spark, sf_dir):
-    return imaging.mask_stability(_colour(spark, sf_dir), b.SIDE, {"min_object_size": 3}, [{"saturation_min": 0.2}, {"value_max": 0.8}])
+    return rounded(imaging.mask_stability(_colour(spark, sf_dir), b.SIDE, {"min_object_size": 3}, [{"saturation_min": 0.2}, {"value_max": 0.8}]))
+
+
+def _stains(h: float, e: float) -> str:
+    """MSK-4 in steps of one list a pixel: densities, stains, colours."""
+    apart, dark = np.linalg.inv(np.array(imaging.STAINS)).tolist(), math.log(1e-6)
+    product = lambda a, m, k: " + ".join(f"{a}[{j + 1}] * ({m[j][k]!r}::DOUBLE)" for j in range(3))
+    return _COLOURS + f"""
+    , density AS (SELECT source_id, i, [ln(greatest(r[i], 1e-6)) / ({dark!r}::DOUBLE), ln(greatest(g[i], 1e-6)) / ({dark!r}::DOUBLE), ln(greatest(b[i], 1e-6)) / ({dark!r}::DOUBLE)] AS d FROM colour, range(1, 65) t(i)),
+    stain AS (SELECT source_id, i, [{', '.join(f"greatest({product('d', apart, k)}, 0) * {scale}::DOUBLE" for k, scale in enumerate((h, e, 1.0)))}] AS h FROM density),
+    back AS (SELECT source_id, i, unnest([{', '.join(f"round(least(exp(({product('h', imaging.STAINS, k)}) * ({dark!r}::DOUBLE)), 1.0), 6)" for k in range(3))}]) AS v, unnest([0, 1, 2]) AS k FROM stain)"""
+
+
+@registered(_then(("img",), _stains(1.3, 0.8), "SELECT source_id, list(v ORDER BY i, k) AS pixels FROM back GROUP BY 1"))
+def stains_scaled(spark, sf_dir):
+    """MSK-4: more hematoxylin, less eosin."""
+    made = imaging.stains_scaled(_colour(spark, sf_dir), 1.3, 0.8)
+    return made.withColumn("pixels", F.transform("pixels", lambda v: F.round(v, 6)))
 
 
 def _lesions(spark, sf_dir) -> DataFrame:
@@ -798,15 +881,33 @@ def _lesions(spark, sf_dir) -> DataFrame:
     return imaging.lesion_masks(m, polygons, 16)
 
 
-@registered()
+#: Every pixel of every patch against the four sides of its slide's polygon.
+_LESIONS = """
+    , side AS (SELECT 'slide_' || n_nationkey AS slide, x0 + n_nationkey % 5 AS x0, y0, x1 + n_nationkey % 5 AS x1, y1 FROM nation,
+      (VALUES (10.0::DOUBLE, 10.0::DOUBLE, 30.0::DOUBLE, 10.0::DOUBLE), (30, 10, 30, 25), (30, 25, 10, 25), (10, 25, 10, 10)) t(x0, y0, x1, y1)),
+    spot AS (SELECT source_id, label, slide_id, i, source_id % 40 + i % 16 AS x, source_id % 30 + i // 16 AS y FROM meta, range(256) t(i)),
+    hit AS (SELECT source_id, label, i, coalesce(bool_or(abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) < 1e-9 AND y BETWEEN least(y0, y1) AND greatest(y0, y1) AND x BETWEEN least(x0, x1) AND greatest(x0, x1)), FALSE)
+        OR count(*) FILTER (y0 <> y1 AND (y0 > y) <> (y1 > y) AND x < x0 + (y - y0) * (x1 - x0) / (y1 - y0)) % 2 = 1 AS v
+      FROM spot LEFT JOIN side ON slide = slide_id GROUP BY ALL)"""
+_INNER = "i // 16 BETWEEN 6 AND 9 AND i % 16 BETWEEN 6 AND 9"
+
+
+@registered(_recursive(("meta",), _LESIONS + f"""
+    , out_ AS (SELECT source_id AS id, list(v AND NOT ({_INNER}) ORDER BY i) AS m FROM hit GROUP BY 1)""" + _labelled("out_", "lab", 16, _ALL_NEAR) + """
+    , sizes AS (SELECT id, max(n) AS most FROM (SELECT id, k, count(*) AS n FROM (SELECT id, unnest(l) AS k FROM lab) WHERE k > 0 GROUP BY ALL) GROUP BY 1),
+    far AS (SELECT id, count(*) FILTER (m[i + 1]) AS n, min(sqrt(pow(greatest(6 - i // 16, i // 16 - 9, 0), 2) + pow(greatest(6 - i % 16, i % 16 - 9, 0), 2))) FILTER (m[i + 1]) AS d FROM out_, range(256) t(i) GROUP BY 1)""", """
+    SELECT far.id AS source_id, (n > 0)::DOUBLE AS peripheral_presence, round(n / 256.0, 6) AS peripheral_fraction, round(d, 6) AS peripheral_distance,
+      coalesce(most, 0)::DOUBLE AS peripheral_largest_component, round(n / 240.0, 6) AS transplanted_area_fraction FROM far LEFT JOIN sizes ON sizes.id = far.id"""))
 def lesion_features(spark, sf_dir):
-    return imaging.lesion_features(_lesions(spark, sf_dir), 16, 4)
+    return rounded(imaging.lesion_features(_lesions(spark, sf_dir), 16, 4))
 
 
-@registered()
+@registered(_then(("meta",), _LESIONS + f"""
+    , ok AS (SELECT (bool_or(v AND {_INNER})::INTEGER = label)::INTEGER AS ok FROM hit GROUP BY source_id, label)""", """
+    SELECT CASE WHEN count(*) = 0 THEN 'unavailable' WHEN avg(ok) >= 0.99 THEN 'validated' ELSE 'failed' END AS status, round(avg(ok), 6) AS agreement, count(*) AS n, 0.99::DOUBLE AS threshold FROM ok"""))
 def lesion_alignment(spark, sf_dir):
     labels = b.metadata(spark, sf_dir).select("source_id", "label")
-    return arrays.alignment(_lesions(spark, sf_dir).join(labels, "source_id"), 16, 4)
+    return rounded(arrays.alignment(_lesions(spark, sf_dir).join(labels, "source_id"), 16, 4))
 
 
 def linear_model(images: np.ndarray) -> np.ndarray:

@@ -61,27 +61,6 @@ def test_cue(spark):
             sampling.corner_cue(df, bad[0], SIDE, ROI, bad[1], 1)
 
 
-def test_descriptors_of_shapes(spark):
-    empty, square = np.zeros((96, 96), bool), np.zeros((96, 96), bool)
-    square[24:72, 24:72] = True
-    two = np.zeros((96, 96), bool)
-    two[:10, :20], two[50:60, 90:] = True, True
-    d = imaging.descriptor(empty)
-    assert d["empty_mask"] == 1 and d["centroid_x"] == d["eccentricity"] == -1 and all(map(math.isfinite, d.values()))
-    d = imaging.descriptor(square)
-    assert d["tissue_fraction"] == 0.25 and d["component_count"] == 1 and d["eccentricity"] == 0 and d["quadrant_0"] == 0.25
-    assert imaging.perimeter(square) == 4 * 47 and d["grid_4"] == 1.0
-    d = imaging.descriptor(two)
-    assert d["component_count"] == 2 and d["area_max"] == 200 / 9216 and d["eccentricity"] > 0.8
-    df = spark.createDataFrame([(1, two.ravel().tolist()), (2, empty.ravel().tolist())], "source_id long, mask array<boolean>")
-    got = {r.source_id: r for r in imaging.mask_descriptors(df, 96).collect()}
-    shares = {r.source_id: r for r in df.select("source_id", *[c.alias(n) for n, c in arrays.mask_shares(F.col("mask"), 96).items()]).collect()}
-    for i, mask in ((1, two), (2, empty)):
-        want = imaging.descriptor(mask)
-        assert {k: got[i][k] for k in want} == want
-        assert all(shares[i][k] == pytest.approx(want[k]) for k in shares[i].asDict() if k != "source_id")
-
-
 def flood(mask, diagonal):
     near = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y or x) and (diagonal or not (y and x))]
     out, n = np.zeros(mask.shape, int), 0
@@ -97,28 +76,140 @@ def flood(mask, diagonal):
     return out
 
 
+MASKS = "source_id long, mask array<boolean>"
+
+
+def as_masks(spark, masks):
+    return spark.createDataFrame([(i, m.ravel().tolist()) for i, m in enumerate(masks)], MASKS)
+
+
+def noise(n=9, side=SIDE, seed=3):
+    """Empty, full, and everything between; the last is a spiral, whose arms meet late."""
+    rng = np.random.default_rng(seed)
+    spiral, (y, x), (dy, dx), lines = np.zeros((side, side), bool), (0, -1), (0, 1), [side, *[k for k in range(side - 1, 0, -2) for _ in "12"]]
+    for steps in lines:
+        for _ in range(steps):
+            y, x = y + dy, x + dx
+            spiral[y, x] = True
+        dy, dx = dx, -dy
+    return [*[rng.random((side, side)) < k / (n - 1) for k in range(n)], spiral]
+
+
 @pytest.mark.parametrize("diagonal", [True, False])
-def test_components(diagonal):
-    rng = np.random.default_rng(3)
-    for share in (0.1, 0.4, 0.6, 0.9):
-        mask = rng.random((25, 31)) < share
-        assert np.array_equal(imaging.label_components(mask, diagonal), flood(mask, diagonal))
+def test_components(spark, diagonal):
+    masks = noise()
+    for r in as_masks(spark, masks).select("source_id", imaging.components(F.col("mask"), SIDE, diagonal).alias("labels")).collect():
+        pairs = set(zip(flood(masks[r.source_id], diagonal).ravel().tolist(), r.labels, strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and all((a == 0) == (b == 0) for a, b in pairs)
+
+
+def plain_perimeter(mask):
+    p = np.pad(mask, 2)
+    rim = {(y, x) for y, x in np.argwhere(p) if not all(p[y + a, x + b] for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))}
+    total = 0.0
+    for y, x in rim:
+        straight = sum((y + a, x + b) in rim for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+        across = sum((y + a, x + b) in rim for a in (-1, 1) for b in (-1, 1))
+        # two along the axes: straight on; two across: a slope; one of each: between them
+        total += {(2, 0): 1, (2, 1): 1, (2, 2): 1, (3, 0): 1, (3, 1): 1, (3, 2): 1, (0, 2): 2**0.5, (1, 3): 2**0.5, (1, 1): (1 + 2**0.5) / 2, (1, 2): (1 + 2**0.5) / 2}.get((straight, across), 0)
+    return total
+
+
+def plain_descriptor(mask):
+    labels, n, side = flood(mask, True), mask.size, len(mask)
+    parts = [np.argwhere(labels == k + 1) for k in range(labels.max())]
+    sizes, area, rim = [len(q) for q in parts], int(mask.sum()), plain_perimeter(mask)
+    axes = [np.linalg.eigvalsh(np.cov(q.T.astype(float), bias=True) + np.eye(2) / 12) for q in parts]
+    return {
+        "component_count": len(parts), "area_mean": np.mean(sizes) / n if parts else 0, "area_std": np.std(sizes) / n if parts else 0, "area_max": max(sizes, default=0) / n,
+        "normalized_perimeter": rim / (4 * side), "compactness": 4 * math.pi * area / max(rim * rim, 1), "tissue_fraction": area / n,
+        "eccentricity": sum(math.sqrt(max(0, 1 - lo / hi)) * k for (lo, hi), k in zip(axes, sizes, strict=True)) / area if parts else -1,
+        "centroid_x": np.argwhere(mask)[:, 1].mean() / side if parts else -1, "centroid_y": np.argwhere(mask)[:, 0].mean() / side if parts else -1,
+    }
+
+
+def test_descriptors_of_noise(spark):
+    masks = noise()
+    for r in imaging.mask_descriptors(as_masks(spark, masks), SIDE).collect():
+        want = plain_descriptor(masks[r.source_id])
+        assert {k: r[k] for k in want} == pytest.approx(want, abs=1e-7)
+
+
+def test_descriptors_of_shapes(spark):
+    empty, square, two = (np.zeros((96, 96), bool) for _ in range(3))
+    square[24:72, 24:72] = True
+    two[:10, :20], two[50:60, 90:] = True, True
+    e, s, t = sorted(imaging.mask_descriptors(as_masks(spark, [empty, square, two]), 96).collect())
+    assert len(e) == 25 and e.empty_mask == 1 and e.centroid_x == e.eccentricity == -1 and all(map(math.isfinite, e))
+    assert s.tissue_fraction == 0.25 and s.component_count == 1 and s.eccentricity == pytest.approx(0, abs=1e-7) and s.quadrant_0 == 0.25
+    assert s.normalized_perimeter == 4 * 47 / 384 and s.grid_4 == 1.0
+    assert t.component_count == 2 and t.area_max == 200 / 9216 and t.eccentricity > 0.8
+
+
+def test_odd_masks(spark):
+    """Missing, too short, with a missing value: nulls, nulls, and a pixel outside."""
+    df = spark.createDataFrame([(1, None), (2, [True]), (3, [True, None, False, None])], MASKS)
+    got = {r.source_id: (r.component_count, r.tissue_fraction) for r in imaging.mask_descriptors(df, 2).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (1.0, 0.25)}
+    assert [r.peripheral_presence for r in imaging.lesion_features(df, 2, 1).orderBy("source_id").collect()] == [None, None, 0.0]
+    px = spark.createDataFrame([(1, None), (2, [1.0]), (3, [0.5, None, 0.1]), (4, [0.9, 0.1, 0.2])], "source_id long, pixels array<double>")
+    one = {"min_object_size": 1, "median_size": 1}
+    assert [r.mask for r in imaging.tissue_masks(px, 1, one).orderBy("source_id").collect()] == [None, None, None, [True]]
+    assert {(r.source_id, r.dice) for r in imaging.mask_stability(px, 1, one, [{}]).collect()} == {(1, None), (2, None), (3, None), (4, 1.0)}
+    assert [r.pixels is None for r in imaging.stains_scaled(px).orderBy("source_id").collect()] == [True, True, True, False]
+    assert imaging.tissue_masks(px.limit(0), 1).count() == imaging.mask_descriptors(df.limit(0), 2).count() == 0
+    with pytest.raises(ValueError):
+        imaging.tissue_masks(px, 1, {"median_size": 2})
+
+
+def plain_tissue(image, saturation, value, least):
+    side, near = len(image), ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))
+    p = np.pad(np.float32(image), ((1, 1), (1, 1), (0, 0)), mode="edge") / np.float32(255 if image.max() > 1 else 1)
+    mask = np.zeros((side, side), bool)
+    for y in range(side):
+        for x in range(side):
+            c = np.sort(p[y : y + 3, x : x + 3].reshape(9, 3), axis=0)[4]
+            mask[y, x] = c.max() <= np.float32(value) and (c.max() > 0 and (c.max() - c.min()) / c.max() or np.float32(0)) >= np.float32(saturation)
+    grown = np.array([[any(0 <= y + a < side and 0 <= x + b < side and mask[y + a, x + b] for a, b in near) for x in range(side)] for y in range(side)])
+    mask = np.array([[all(not (0 <= y + a < side and 0 <= x + b < side) or grown[y + a, x + b] for a, b in near) for x in range(side)] for y in range(side)])
+    for _ in "things", "holes":
+        labels = flood(mask, False)
+        mask = ~(mask & (np.bincount(labels.ravel())[labels] >= least))
+    return mask
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_tissue_masks_of_noise(spark, whole):
+    rng = np.random.default_rng(5)
+    pictures = [rng.integers(0, 256, (SIDE, SIDE, 3)) if whole else np.clip(rng.random((SIDE, SIDE, 3)) * 0.3 + rng.random((SIDE, SIDE, 1)), 0, 1) for _ in range(5)]
+    df = spark.createDataFrame([(i, p.astype(float).ravel().tolist()) for i, p in enumerate(pictures)], "source_id long, pixels array<double>")
+    base, changes = {"min_object_size": 3}, [{"saturation_min": 0.4}, {"value_max": 0.7, "min_object_size": 5}]
+    want = [[plain_tissue(p, *v) for v in ((0.05, 0.95, 3), (0.4, 0.95, 3), (0.05, 0.7, 5))] for p in pictures]
+    assert all(np.array_equal(r.mask, want[r.source_id][0].ravel()) for r in imaging.tissue_masks(df, SIDE, base).collect())
+    for r in imaging.mask_stability(df, SIDE, base, changes).collect():
+        a, b = want[r.source_id][0], want[r.source_id][r.perturbation + 1]
+        assert (r.dice, r.jaccard) == (2 * (a & b).sum() / max(a.sum() + b.sum(), 1), (a & b).sum() / max((a | b).sum(), 1))
 
 
 def test_tissue_masks(spark):
     image = np.full((16, 16, 3), 255, np.uint8)
     image[4:12, 4:12] = (200, 60, 120)
-    mask = imaging.tissue_mask(image)
-    assert mask[5:11, 5:11].all() and not mask[:3].any() and imaging.overlap(mask, mask) == (1.0, 1.0)
-    assert imaging.overlap(mask & False, mask & False) == (0.0, 0.0)
-    with pytest.raises(ValueError):
-        imaging.tissue_mask(np.zeros((4, 4)))
     df = spark.createDataFrame([(1, image.ravel().astype(float).tolist())], "source_id long, pixels array<double>")
-    assert np.array_equal(np.array(imaging.tissue_masks(df, 16).first().mask), mask.ravel())
+    mask = np.array(imaging.tissue_masks(df, 16).first().mask).reshape(16, 16)
+    assert mask[5:11, 5:11].all() and not mask[:3].any()
     rows = imaging.mask_stability(df, 16, {}, [{}, {"value_max": 0.1}]).orderBy("perturbation").collect()
-    assert (rows[0].dice, rows[1].dice) == (1.0, 0.0)
-    same = imaging.hed_scaled(image)
-    assert np.abs(same.astype(int) - image).max() <= 12 and imaging.hed_scaled(image, 1.3).dtype == np.uint8
+    assert [(r.dice, r.jaccard) for r in rows] == [(1.0, 1.0), (0.0, 0.0)]
+
+
+def test_stains(spark):
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 256, (30, 3)).astype(float)
+    df = spark.createDataFrame([(1, values.ravel().tolist())], "source_id long, pixels array<double>")
+    dark, stains = np.log(1e-6), np.array(imaging.STAINS)
+    hed = np.maximum(np.linalg.solve(stains.T, (np.log(np.maximum(values / 255, 1e-6)) / dark).T).T, 0) * [1.3, 0.8, 1]
+    want = np.clip(np.exp(hed @ stains * dark), 0, 1)
+    assert np.allclose(imaging.stains_scaled(df, 1.3, 0.8).first().pixels, want.ravel())
+    assert np.abs(np.array(imaging.stains_scaled(df, 1.3, 0.8, whole=True).first().pixels) - want.ravel() * 255).max() <= 0.5 + 1e-9
 
 
 def plain_seam(px, side, roi, buffer, ring):
@@ -162,21 +253,60 @@ def test_seams_of_odd_images(spark):
         arrays.seam_metrics(df, SIDE, ROI, ring=0)
 
 
+def in_polygon(points, x, y):
+    """By the winding of the angles; on the border also inside."""
+    turn = 0.0
+    for (x0, y0), (x1, y1) in zip(points, points[1:] + points[:1], strict=True):
+        a, b = (x0 - x, y0 - y), (x1 - x, y1 - y)
+        cross, dot = a[0] * b[1] - a[1] * b[0], a[0] * b[0] + a[1] * b[1]
+        if abs(cross) < 1e-9 and dot <= 0:
+            return True
+        turn += math.atan2(cross, dot)
+    return abs(turn) > 1
+
+
+def test_rasters_of_polygons(spark):
+    """Triangles, also beyond the edges and of no height, several on one slide, at a scale."""
+    rng = np.random.default_rng(8)
+    shapes = [("s", [tuple(map(float, q)) for q in rng.integers(-10, 30, (3, 2))]) for _ in range(3)] + [("t", [(2.0, 3.0), (9.0, 3.0), (4.0, 3.0)]), ("t", [(5.0, 5.0), (9.0, 5.0), (9.0, 11.0), (5.0, 11.0)])]
+    polygons = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in q]) for k, q in shapes], "slide string, polygon array<struct<x:double,y:double>>")
+    patches = [(1, "s", 0.0, 0.0), (2, "s", 5.0, -3.0), (3, "t", 1.0, 2.0), (4, None, 0.0, 0.0)]
+    df = spark.createDataFrame(patches, "source_id long, slide string, x double, y double")
+    for scale in (1.0, 2.0):
+        got = {r.source_id: r.mask for r in imaging.lesion_masks(df, polygons, 8, scale).collect()}
+        for i, slide, px, py in patches:
+            assert got[i] == [any(k == slide and in_polygon(q, px + c * scale, py + r * scale) for k, q in shapes) for r in range(8) for c in range(8)]
+
+
+def plain_lesion(mask, roi, buffer):
+    side, a, b = len(mask), (len(mask) - roi) // 2 - buffer, (len(mask) + roi) // 2 + buffer
+    inside = np.zeros_like(mask)
+    inside[a:b, a:b] = True
+    out = mask & ~inside
+    sizes = np.bincount(flood(out, True).ravel())[1:]
+    gaps = [min(math.hypot(y - p, x - q) for p in range(a, b) for q in range(a, b)) for y, x in np.argwhere(out)]
+    return [float(out.any()), out.sum() / side**2, min(gaps, default=None), float(max(sizes, default=0)), out.sum() / (~inside).sum()]
+
+
+@pytest.mark.parametrize("buffer", [0, 1])
+def test_lesions_of_noise(spark, buffer):
+    masks = noise()
+    for r in imaging.lesion_features(as_masks(spark, masks), SIDE, 4, buffer).collect():
+        assert list(r)[1:] == pytest.approx(plain_lesion(masks[r.source_id], 4, buffer))
+
+
 def test_lesions(spark):
     square = [{"x": 100.0, "y": 200.0}, {"x": 110.0, "y": 200.0}, {"x": 110.0, "y": 210.0}, {"x": 100.0, "y": 210.0}]
-    mask = imaging.rasterize([square], (100.0, 200.0), 32)
-    assert mask[:11, :11].all() and mask.sum() == 121
-    found = imaging.lesion(mask, 8)
-    assert found["peripheral_presence"] == 1 and found["peripheral_largest_component"] == 121 and found["peripheral_distance"] == pytest.approx(math.hypot(2, 2))
-    assert imaging.lesion(mask & False, 8)["peripheral_distance"] == math.inf
-    for bad in ({"orientation": "x"}, {"reference": "x"}, {"scale": 0}):
-        with pytest.raises(ValueError):
-            imaging.rasterize([square], (0, 0), 8, **bad)
     polygons = spark.createDataFrame([("s", square)], "slide string, polygon array<struct<x:double,y:double>>")
     patches = spark.createDataFrame([(1, "s", 100.0, 200.0), (2, "s", 900.0, 0.0), (3, "t", 100.0, 200.0)], "source_id long, slide string, x double, y double")
+    for bad in ({"orientation": "x"}, {"reference": "x"}, {"scale": 0}):
+        with pytest.raises(ValueError):
+            imaging.lesion_masks(patches, polygons, 8, **bad)
     masks = imaging.lesion_masks(patches, polygons, 32)
     assert {r.source_id: sum(r.mask) for r in masks.collect()} == {1: 121, 2: 0, 3: 0}
-    assert {r.source_id: r.peripheral_distance is None for r in imaging.lesion_features(masks, 32, 8).collect()} == {1: False, 2: True, 3: True}
+    found = {r.source_id: r for r in imaging.lesion_features(masks, 32, 8).collect()}
+    assert (found[1].peripheral_presence, found[1].peripheral_largest_component, found[1].peripheral_distance) == (1, 121, pytest.approx(math.hypot(2, 2)))
+    assert found[2].peripheral_distance is None and found[3].peripheral_distance is None
     labelled = masks.withColumn("label", F.lit(0))
     assert arrays.alignment(labelled, 32, 8).first().status == "validated"
     assert arrays.alignment(labelled.withColumn("label", F.lit(1)), 32, 8).first().status == "failed"
