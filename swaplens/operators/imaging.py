@@ -127,17 +127,19 @@ def _clipped(v: Column, kind: str) -> Column:
 
 
 def _smoothed(pixels: Column, side: int, size: int) -> Column:
-    """The median over ``size`` x ``size`` pixels of each of three channels, edges repeated."""
+    """The median over ``size`` x ``size`` pixels of each of three channels, edges repeated: the image is widened first, so that a
+    window's pixels lie at fixed steps from its first."""
     if size % 2 == 0:
         raise ValueError("a median needs an odd size")
-    r = range(-(size // 2), size // 2 + 1)
-    within = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(side - 1))
-
-    def middle(p: Column, j: Column) -> Column:
-        col, row = F.floor(j / 3).cast("int") % side, F.floor(j / (3 * side)).cast("int")
-        return F.get(F.sort_array(F.array(*[F.get(p, (within(row + y) * side + within(col + x)) * 3 + j % 3) for y in r for x in r])), F.lit(size * size // 2))
-
-    return let(pixels, lambda p: F.transform(p, lambda v, j: middle(p, j)))
+    r, wide = size // 2, side + size - 1
+    within = lambda x: F.least(F.greatest(x - r, F.lit(0)), F.lit(side - 1))
+    row = lambda j, w: F.floor(j / (3 * w)).cast("int")
+    source = lambda j: (within(row(j, wide)) * side + within(F.floor(j / 3).cast("int") % wide)) * 3 + j % 3
+    widened = lambda p: F.transform(F.sequence(F.lit(0), F.lit(3 * wide * wide - 1)), lambda j: F.get(p, source(j)))
+    window = lambda q, first: F.array(*[F.get(q, first + 3 * (y * wide + x)) for y in range(size) for x in range(size)])
+    middle = lambda q, first: F.get(F.sort_array(window(q, first)), F.lit(size * size // 2))
+    of = lambda p, q: F.transform(p, lambda v, j: let(j + row(j, side) * (6 * r), lambda first: middle(q, first)))
+    return let(pixels, lambda p: F.when(p.isNotNull(), let(widened(p), lambda q: of(p, q))))
 
 
 def _steps(side: int, settings: Mapping | None) -> list[Callable[[Column], Column]]:
