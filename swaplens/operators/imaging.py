@@ -331,7 +331,10 @@ def lesion_masks(patches: DataFrame, polygons: DataFrame, size: int, scale: floa
     reach = float(size * scale)
     p = patches.select("source_id", F.col("slide").alias("of"), F.col("x").alias("px"), F.col("y").alias("py"))
     meets = (F.col("of") == F.col("slide")) & (F.col("x_lo") <= F.col("px") + reach) & (F.col("x_hi") >= F.col("px")) & (F.col("y_lo") <= F.col("py") + reach) & (F.col("y_hi") >= F.col("py"))
-    grouped = p.join(box, meets, "left").groupBy("source_id", "px", "py").agg(F.collect_list("polygon").alias("polygons"))
+    # a row is short, but its mask is dear: the tasks of a stated number aren't merged by their bytes
+    tasks = int(patches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = p.join(box, meets, "left").repartition(tasks, "source_id", "px", "py")
+    grouped = met.groupBy("source_id", "px", "py").agg(F.collect_list("polygon").alias("polygons"))
     return grouped.select(F.col("source_id").cast("long").alias("source_id"), rasterized(F.col("polygons"), F.col("px"), F.col("py"), size, scale).alias("mask"))
 
 
