@@ -1,8 +1,8 @@
 """Images as row-major arrays of doubles: regions, masks, transplants, checks, descriptors.
 
 Everything here is an expression over one row: nothing is exploded unless a statistic needs it, and
-no row leaves the JVM. Images are ``side`` x ``side`` with one channel; other shapes go through the
-kernels of ``imaging``.
+no row leaves the JVM. Images are ``side`` x ``side`` with one channel; ``imaging`` has what looks
+beyond one pixel, and colours.
 """
 
 from __future__ import annotations
