@@ -58,6 +58,13 @@ def euclidean(a: Sequence[Column], b: Sequence[Column], digits: int | None = 9)
     return d if digits is None else F.round(d, digits)
 
 
+def signed_round(x: Column, digits: int = 6) -> Column:
+    """``x`` rounded, where a negative number that rounds to zero stays a negative zero, as IEEE and SQL engines have it;
+    Spark's own rounding goes through decimals, which have one zero. In arrays the two are told apart."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison across engines; other columns as they are."""
     return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded
+from ..functions.columns import rounded, signed_round
 from ..functions.stored import shared_dir, stored
 from ..operators import aggregation, allocator, arrays, bootstrap, diagnostics, features, imaging, joins, matching, merging, metadata, metrics, sampling, scoring
 from ..sources import bindings as b
@@ -707,7 +707,7 @@ def _composites(spark, sf_dir) -> DataFrame:
 
 @registered(_then(("imgp",), _ALPHA, "SELECT source_id, list(round(v, 6) ORDER BY i) AS composite FROM mixed GROUP BY 1"))
 def image_transplant(spark, sf_dir):
-    return _composites(spark, sf_dir).select("source_id", F.transform("composite", lambda v: F.round(v, 6)).alias("composite"))
+    return _composites(spark, sf_dir).select("source_id", F.transform("composite", lambda v: signed_round(v)).alias("composite"))
 
 
 @registered(_then(("imgp",), _ALPHA, """

@@ -338,3 +338,12 @@ def test_inference(spark):
     odd = t.union(spark.createDataFrame([("t3", 0, 1, 2, "test")], TRIPLETS))
     with pytest.raises(Exception, match="inconsistent"):
         scoring.infer(odd, df, weigh, SIDE, ROI).collect()
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    from swaplens.functions.columns import signed_round
+
+    xs = [-1e-8, 1e-8, -0.0, 0.0, -0.25, 0.1234565, -5e-7, None]
+    got = spark.createDataFrame([(xs,)], "x array<double>").select(F.transform("x", lambda v: signed_round(v)).alias("y")).first().y
+    assert got[:7] == [0.0, 0.0, 0.0, 0.0, -0.25, 0.123457, -1e-6] and got[7] is None
+    assert [math.copysign(1, v) for v in got[:4]] == [-1, 1, -1, 1]
