@@ -238,3 +238,14 @@ def test_unknown_levels_never_look_like_success(spark):
     assert matching.level_status(spark, 5, ["x"], ["x"]).first().status == "not_implemented"
     with pytest.raises(ValueError):
         matching.level_status(spark, 4, [], [])
+
+
+def test_alike_donors_leave_few_pairs_and_the_same_choice(spark):
+    """Copies tie in all their pairs: of 40 x 40 few may leave the matrix, and the choice is still the sequential one."""
+    same = lambda first, hospital, x: [(first + i, "train", hospital, 1, f"s{i % 3}", None, f"{hospital}-{i % 7}", x, 0.0) for i in range(40)]
+    rows = [(1, "train", 1, 1, "s", None, "own", 0.0, 0.0), *same(100, 1, 0.25), *same(200, 0, -0.25)]
+    z, rules = bank_of(spark, rows), matching.Rules(k=3, pool=64)
+    one = z.where("source_id = 1")
+    units = matching.unit_candidates(matching.nearest(matching.requests(one, (0,)), z, FEATURES, rules.pool), FEATURES, rules, (0,)).collect()
+    assert [(u.source_id, u.target_hospital, u.n_w, u.n_c) for u in units] == [(1, 0, 40, 40)] and 3 <= len(units[0].pairs) <= 36
+    check(spark, rows, rules, False)
