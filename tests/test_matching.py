@@ -249,3 +249,38 @@ def test_alike_donors_leave_few_pairs_and_the_same_choice(spark):
     units = matching.unit_candidates(matching.nearest(matching.requests(one, (0,)), z, FEATURES, rules.pool), FEATURES, rules, (0,)).collect()
     assert [(u.source_id, u.target_hospital, u.n_w, u.n_c) for u in units] == [(1, 0, 40, 40)] and 3 <= len(units[0].pairs) <= 36
     check(spark, rows, rules, False)
+
+
+def test_a_chunk_passes_on_few_rows_and_every_request_is_bounded(spark, monkeypatch):
+    """Copies in many blocks: what leaves the search is k rows a request, not k of each block; and where a cell
+    holds fewer than k donors the cells above bound a request, so that it doesn't meet the whole group."""
+    monkeypatch.setattr(cells, "CHUNK", 8)
+    rng = random.Random(9)
+    points = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(60)]
+    rows = [(100 * i + c, "train", 0, 0, "s", None, f"p{i}-{c}", x, y) for i, (x, y) in enumerate(points) for c in range(30)]
+    z = bank_of(spark, rows)
+    asked = matching.requests(z.where("source_id % 100 < 3"), ())
+    s, d = matching._grouped(asked, z, FEATURES)
+    index = cells._Index(s, d, matching.GROUP, FEATURES, F.col("donor_id").cast("string"), 8)
+    bounded = index.bounded(16)
+    assert bounded.count() == 180 and bounded.where("kth IS NULL").count() == 0
+    chunks = index.chunks(bounded, index.size_up())
+    visits = index.reached(chunks)
+    found = index.met(chunks, visits, lambda b, t: cells._search(b, 2, 16, t), "source_id", "role", "d_hospital", "donor_id", "distance")
+    assert found.count() == 180 * 16
+    assert visits.count() < chunks.count() * index.blocks.count() / 2
+    got = {(r.source_id, r.donor_id, r.rank) for r in matching.nearest(asked, z, FEATURES, 16, size=8).select("source_id", "donor_id", "rank").collect()}
+    assert got == {(x[0], x[3], x[4]) for x in plain_nearest(z.collect(), asked.collect(), 16, True)}
+
+
+def test_all_within_a_radius_are_found_whatever_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CHUNK", 5)
+    monkeypatch.setattr(cells, "OUT", 7)
+    rows = donors(150) + [(1000 + i, "train", i % 2, i % 2, f"s{i}", None, f"same{i % 30}", 0.5, -0.25) for i in range(60)]
+    z = bank_of(spark, rows)
+    asked = matching.requests(z, (0, 1, 5))
+    s, d = matching._grouped(asked, z, FEATURES)
+    want = {(x[0], x[1], x[2], x[3], x[5]) for x in plain_nearest(z.collect(), asked.collect(), 10_000, True) if x[5] <= 0.75}
+    for size in (1, 7, 1024):
+        got = cells.within(s, d, matching.GROUP, FEATURES, 0.75, F.col("donor_id"), size).collect()
+        assert len(got) == len(want) and {(r.source_id, r.role, r.d_hospital, r.donor_id, r.distance) for r in got} == want
