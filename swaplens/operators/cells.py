@@ -35,6 +35,8 @@ FAN = 64
 MARGIN = 2e-9
 #: Donors that a chunk remembers before it forgets those that it found no longer near.
 ROOM = 8192
+#: Requests of a chunk where all donors within a radius are asked for, at most: fewer chunks carry fewer copies of blocks.
+WIDE = 4096
 #: Rows of an output batch.
 OUT = 1 << 17
 
@@ -262,8 +264,8 @@ def _around_requests(batches: Iterator, width: int, schema: pa.Schema) -> Iterat
             points, reach = _points(asked, width), _floats(asked.field("kth")) + MARGIN
             continue
         donors, low, high = block
-        active = np.flatnonzero(_gaps(points, low[None, :], high[None, :])[:, 0] <= reach)
-        if len(active):
+        near = np.flatnonzero(_gaps(points, low[None, :], high[None, :])[:, 0] <= reach)
+        for active in np.split(near, range(CHUNK, len(near), CHUNK)):
             distance = _apart(donors, whole.take(pa.array(active)), width)
             rows, at = np.nonzero(distance <= reach[active][:, None])
             for first in range(0, len(rows), OUT):
@@ -286,31 +288,32 @@ class _Index:
         for level, step in enumerate(steps):
             home = _down(home, step, keys, own[level % self.width])
         self.home = home.select(*self.cell, "source_id", "role", "physical_id", *[F.col(c).alias(z) for c, z in zip(own, self.z, strict=True)])
-        each = F.struct(tie.alias("tie"), "donor_id", "d_physical", "d_slide", *[F.col(c).alias(z) for c, z in zip(columns, self.z, strict=True)])
+        told = [c for c in ("donor_id", "d_physical", "d_slide") if c in donors.columns]
+        each = F.struct(tie.alias("tie"), *told, *[F.col(c).alias(z) for c, z in zip(columns, self.z, strict=True)])
         blocks = _parts(placed, self.cell, 2 * size, F.col("donor_id")).groupBy(*self.cell, "part").agg(*_box(columns, "low", "high"), F.sort_array(F.collect_list(each)).alias("donors"))
         self.blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
         kinds = {c: asked.schema[c].dataType.simpleString() for c in ("source_id", "role", "d_hospital")}
-        kinds |= {c: donors.schema[c].dataType.simpleString() for c in ("donor_id", "d_slide", "d_physical")}
+        kinds |= {c: donors.schema[c].dataType.simpleString() for c in told}
         self.kinds = kinds | {c: "double" for c in ("distance", "kth", "gap", *self.z)} | {"chunk": "long", "block": "long"}
         self.spread = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def above(self, up: int) -> Column:
         return F.floor(F.col("cell") / FAN**up).cast("long")
 
-    def chunks(self, rows: DataFrame, up: int) -> DataFrame:
-        """Requests with ``kth`` of a cell, ``up`` levels above their own, as rows of at most about ``CHUNK``; those without a bound apart."""
+    def chunks(self, rows: DataFrame, up: int, most: int) -> DataFrame:
+        """Requests with ``kth`` of a cell, ``up`` levels above their own, as rows of at most about ``most``; those without a bound apart."""
         by = [*self.cell, "free"]
-        placed = _parts(rows.withColumns({"cell": self.above(up), "free": F.col("kth").isNull()}), by, CHUNK, F.struct("source_id", "role"))
+        placed = _parts(rows.withColumns({"cell": self.above(up), "free": F.col("kth").isNull()}), by, most, F.struct("source_id", "role"))
         asked = F.collect_list(F.struct("source_id", "role", "physical_id", *self.z, "kth")).alias("asked")
         reach = (F.max("kth") + MARGIN).alias("reach")
         grouped = placed.groupBy(*by, "part").agg(asked, *_box(self.z, "c_low", "c_high"), reach).drop("part", "free")
         return stored(grouped.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
-    def size_up(self) -> int:
-        """How many levels up the requests of a cell are a chunk on average, at most."""
+    def size_up(self, most: int) -> int:
+        """How many levels up the requests of a cell are ``most`` on average, at most."""
         counts = self.home.groupBy(*self.cell).agg(F.count("*").alias("n"))
         told = counts.agg(F.sum("n").alias("n"), *[F.count_distinct(*self.keys, self.above(up)).alias(f"c{up}") for up in range(self.levels + 1)]).first()
-        return max([0, *[up for up in range(self.levels + 1) if told["n"] and told["n"] <= CHUNK * told[f"c{up}"]]])
+        return max([0, *[up for up in range(self.levels + 1) if told["n"] and told["n"] <= most * told[f"c{up}"]]])
 
     def reached(self, chunks: DataFrame) -> DataFrame:
         """(chunk, block, gap) of the blocks that a request of the chunk reaches."""
@@ -353,7 +356,7 @@ class _Index:
         home = stored(self.home, "home") if self.levels else self.home
         open_, known = home, None
         for up in range(self.levels):
-            chunks = self.chunks(open_.select("*", none), up)
+            chunks = self.chunks(open_.select("*", none), up, CHUNK)
             kth = stored(self.met(chunks, self.under(chunks, up), lambda b, s: _bounds(b, width, k, s), *request, "kth"), "kth")
             known = kth if known is None else known.unionByName(kth)
             open_ = stored(open_.join(kth, request, "left_anti"), "unbounded")
@@ -371,7 +374,7 @@ def nearest(asked: DataFrame, donors: DataFrame, keys: Sequence[str], features:
     keys), donor columns, distance, rank. A null or non-finite feature or a null physical id is nobody's neighbour."""
     index = _Index(asked, donors, keys, features, tie, size)
     width = index.width
-    chunks = index.chunks(index.bounded(k), index.size_up())
+    chunks = index.chunks(index.bounded(k), index.size_up(CHUNK), CHUNK)
     kept = ["source_id", "role", "donor_id", "d_slide", "d_physical", "distance", *index.z, "d_hospital"]
     found = index.met(chunks, index.reached(chunks), lambda b, s: _search(b, width, k, s), *kept)
     own = Window.partitionBy("source_id", "role", "d_hospital").orderBy("distance", tie)
@@ -382,8 +385,8 @@ def nearest(asked: DataFrame, donors: DataFrame, keys: Sequence[str], features:
 
 def within(asked: DataFrame, donors: DataFrame, keys: Sequence[str], features: Sequence[str], radius: float, tie: Column, size: int = SIZE) -> DataFrame:
     """Tables as in ``nearest`` -> source_id, role, d_hospital, donor_id, distance of all donors within the radius."""
-    index = _Index(asked, donors, keys, features, tie, size)
+    index = _Index(asked, donors.drop("d_slide"), keys, features, tie, size)
     width = index.width
-    chunks = index.chunks(index.home.withColumn("kth", F.lit(float(radius))), index.size_up())
+    chunks = index.chunks(index.home.withColumn("kth", F.lit(float(radius))), index.size_up(WIDE), WIDE)
     found = index.met(chunks, index.reached(chunks), lambda b, s: _around_requests(b, width, s), "source_id", "role", "d_hospital", "donor_id", "distance")
     return found.withColumn("distance", F.round("distance", 9)).where(F.col("distance") <= radius)

@@ -264,7 +264,7 @@ def test_a_chunk_passes_on_few_rows_and_every_request_is_bounded(spark, monkeypa
     index = cells._Index(s, d, matching.GROUP, FEATURES, F.col("donor_id").cast("string"), 8)
     bounded = index.bounded(16)
     assert bounded.count() == 180 and bounded.where("kth IS NULL").count() == 0
-    chunks = index.chunks(bounded, index.size_up())
+    chunks = index.chunks(bounded, index.size_up(8), 8)
     visits = index.reached(chunks)
     found = index.met(chunks, visits, lambda b, t: cells._search(b, 2, 16, t), "source_id", "role", "d_hospital", "donor_id", "distance")
     assert found.count() == 180 * 16
@@ -274,8 +274,7 @@ def test_a_chunk_passes_on_few_rows_and_every_request_is_bounded(spark, monkeypa
 
 
 def test_all_within_a_radius_are_found_whatever_the_cells(spark, monkeypatch):
-    monkeypatch.setattr(cells, "CHUNK", 5)
-    monkeypatch.setattr(cells, "OUT", 7)
+    monkeypatch.setattr(cells, "WIDE", 5)
     rows = donors(150) + [(1000 + i, "train", i % 2, i % 2, f"s{i}", None, f"same{i % 30}", 0.5, -0.25) for i in range(60)]
     z = bank_of(spark, rows)
     asked = matching.requests(z, (0, 1, 5))
