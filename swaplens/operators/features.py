@@ -52,8 +52,18 @@ def z_columns(features: Sequence[str], prefix: str = "") -> list:
     return [F.col(f"{prefix}z_{c}") for c in features]
 
 
+#: Sources of a group that meet its candidates in one task, about.
+PART = 1024
+
+
 def pair_distances(sources: DataFrame, candidates: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """DST-1: each source with each candidate that agrees in ``keys``: source_id, donor_id, distance."""
+    """DST-1: each source with each candidate that agrees in ``keys``: source_id, donor_id, distance. The sources of a large group are dealt
+    to parts, each of which meets all candidates of the group, so that a group is many tasks."""
     s = sources.select("source_id", *keys, *[F.col(f"z_{c}").alias(f"s_z_{c}") for c in features])
     d = candidates.select(F.col("source_id").alias("donor_id"), *keys, *[F.col(f"z_{c}").alias(f"d_z_{c}") for c in features])
-    return s.join(d, list(keys)).select("source_id", "donor_id", euclidean(z_columns(features, "s_"), z_columns(features, "d_")).alias("distance"))
+    parts = s.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    spread, by = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "_part"]
+    s = s.join(parts, list(keys)).withColumn("_part", F.pmod(F.xxhash64("source_id"), F.col("_parts")).cast("int")).drop("_parts")
+    d = d.join(parts, list(keys)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    met = s.repartition(spread, *by).join(d.repartition(spread, *by), by)
+    return met.select("source_id", "donor_id", euclidean(z_columns(features, "s_"), z_columns(features, "d_")).alias("distance"))
