@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from ..functions.stored import stored
 
 #: Donors of a cell, about, and requests of a chunk, at most.
-SIZE, CHUNK = 1024, 512
+SIZE, CHUNK = 1024, 2048
 #: Parts that one level cuts a cell into, at most.
 FAN = 64
 #: Distances are compared after rounding to nine digits.

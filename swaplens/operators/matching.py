@@ -101,12 +101,16 @@ def group_sizes(bank: DataFrame, saturated: DataFrame | None = None) -> DataFram
 def pair_candidates(sources: DataFrame, pools: DataFrame, features: Sequence[str], rules: Rules, targets: Sequence[int]) -> DataFrame:
     """PAIR-1, JOIN-8: pairs of a within and a cross donor of a source and target that keep the
     thresholds, with cost. Both pools hold ``rules.pool`` rows a source, so the product is bounded."""
-    near = pools.where(F.col("distance") <= rules.tau_distance)
-    side = lambda role, p: near.where(F.col("role") == role).select(
-        "source_id", *([F.col("d_hospital").alias("target_hospital")] if role == "cross" else []), F.col("donor_id").alias(f"{role}_donor"),
-        F.col("d_slide").alias(f"{role}_slide"), F.col("d_physical").alias(f"{role}_physical_id"), F.col("distance").alias(f"matching_distance_{role}"),
-        *[F.col(f"d_z_{c}").alias(f"{p}_z_{c}") for c in features])
-    return _priced(side("cross", "c").join(side("within", "w"), "source_id"), features, rules)
+    kept = ["donor_id", "d_slide", "d_physical", "distance", *[f"d_z_{c}" for c in features]]
+    # the pools of a source are one row that is read once; a join of two sides would search for each of them
+    listed = F.collect_list(F.struct("role", "d_hospital", *kept)).alias("pool")
+    one = pools.where((F.col("distance") <= rules.tau_distance) & F.col("source_id").isNotNull()).groupBy("source_id").agg(listed)
+    of = lambda role: F.filter("pool", lambda p: p["role"] == role)
+    both = one.select("source_id", of("within").alias("w"), of("cross").alias("c")).select("source_id", "c", F.explode("w").alias("w")).select("source_id", "w", F.explode("c").alias("c"))
+    side = lambda role, p: [
+        F.col(f"{p}.donor_id").alias(f"{role}_donor"), F.col(f"{p}.d_slide").alias(f"{role}_slide"), F.col(f"{p}.d_physical").alias(f"{role}_physical_id"),
+        F.col(f"{p}.distance").alias(f"matching_distance_{role}"), *[F.col(f"{p}.d_z_{c}").alias(f"{p}_z_{c}") for c in features]]
+    return _priced(both.select("source_id", F.col("c.d_hospital").alias("target_hospital"), *side("cross", "c"), *side("within", "w")), features, rules)
 
 
 def _priced(pairs: DataFrame, features: Sequence[str], rules: Rules) -> DataFrame:

@@ -283,3 +283,26 @@ def test_all_within_a_radius_are_found_whatever_the_cells(spark, monkeypatch):
     for size in (1, 7, 1024):
         got = cells.within(s, d, matching.GROUP, FEATURES, 0.75, F.col("donor_id"), size).collect()
         assert len(got) == len(want) and {(r.source_id, r.role, r.d_hospital, r.donor_id, r.distance) for r in got} == want
+
+
+def test_pairs_search_pools_once(spark):
+    """Pairs of a within and a cross donor come from one reading of the pools."""
+    z, rules = bank_of(spark, ROWS), matching.Rules(pool=4, tau_distance=99.0, tau_balance=99.0)
+    one = z.where("hospital_id = 1")
+    pools = matching.nearest(matching.requests(one, (0, 2)), z, FEATURES, rules.pool)
+    pairs = matching.pair_candidates(one, pools, FEATURES, rules, (0, 2))
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == pools._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    rows = pools.collect()
+    want = {(w.source_id, c.d_hospital, w.donor_id, c.donor_id) for w in rows for c in rows if (w.role, c.role, w.source_id) == ("within", "cross", c.source_id) and w.d_physical != c.d_physical}
+    got = [(r.source_id, r.target_hospital, r.within_donor, r.cross_donor) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_pairs_of_a_large_group_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(features, "PART", 3)
+    z = bank_of(spark, ROWS).withColumn("label", F.when(F.col("source_id") % 9 != 0, F.lit(1)))
+    found = features.pair_distances(z.where("source_id <= 30"), z, ["label"], FEATURES)
+    got = [(r.source_id, r.donor_id) for r in found.collect()]
+    known = [r.source_id for r in z.where("label = 1").collect()]
+    assert sorted(got) == sorted((s, d) for s in known if s <= 30 for d in known)
+    assert found.rdd.mapPartitions(lambda rows: [len(list(rows))]).filter(lambda n: n > 0).count() > 1
