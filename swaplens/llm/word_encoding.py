@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -73,8 +75,7 @@ class WordEncoder:
         """Encode new words, a few hundred a call, one on each line. Words are marked in front:
         line break, carriage return at the start of a text, vertical tab for a sign that follows a word,
         nothing for a space before."""
-        told = [("\n" if w[0] == "\n" else "", w[1:]) if w[:1] in ("\n", "\r", "\v") else (" ", w) for w in words]
-        pieces = [w if before != " " else " " + w for before, w in told]
+        pieces = [w[1:] if w[0] in "\n\r\v" else " " + w for w in words]
         runs = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
         ids = [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False)]
         # a line break stays in front of each word, and goes where the word has none
@@ -83,7 +84,7 @@ class WordEncoder:
         if len(starts) != len(words):
             raise ValueError("words must not hold line breaks")
         keep = np.ones(len(flat), bool)
-        keep[starts[[before != "\n" for before, _ in told]]] = False
+        keep[starts[[w[0] != "\n" for w in words]]] = False
         lengths = np.add.reduceat(keep, starts)
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, flat[keep]])
@@ -103,10 +104,12 @@ class WordEncoder:
         if len(self.place) > KEPT:
             self.forget()
         distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            self.learn(new)
-        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        # one lookup a word; new ones are learned in their order, so their places are known
+        places = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self.learn([distinct[i] for i in new.tolist()])
         self.met[places] = np.minimum(self.met[places] + 1, 2)
         ids, lengths = _gather(self.flat, self.ends, places[words.indices.to_numpy()])
         return ids, np.add.reduceat(lengths, lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py())

@@ -101,6 +101,34 @@ def test_encoding_by_words_is_the_whole_encoding(path, plain, kept, monkeypatch)
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_each_distinct_word_is_looked_up_once(path, plain):
+    import pyarrow as pa
+
+    class Counted(dict):
+        lookups = 0
+
+        def __contains__(self, word):
+            Counted.lookups += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            Counted.lookups += 1
+            return super().__getitem__(word)
+
+        def get(self, word, other=None):
+            Counted.lookups += 1
+            return super().get(word, other)
+
+    encoder = word_encoding.WordEncoder(path)
+    encoder.place = Counted()
+    for words in (["one", "two", "three"], ["two", "four", "one", "five"]):  # all new; known and new ones
+        text = " ".join(words)
+        ids, n = encoder.encode(pa.array([text]), 1 << 15, 256)
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+    # a first word is one of its own, as it has no space before it
+    assert Counted.lookups == 3 + 4
+
+
 def test_the_file_has_the_form_that_it_promises(spark, path, tmp_path):
     """Row groups of a bounded size in order of ids, dictionary pages, page indexes; chosen documents are read alone."""
     from pathlib import Path
