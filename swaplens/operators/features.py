@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import euclidean, require_columns
+from ..functions.ordering import ranked
+from ..functions.stored import stored
 
 
 def fit_standardizer(df: DataFrame, features: Sequence[str], split: str = "train") -> DataFrame:
@@ -52,18 +54,29 @@ def z_columns(features: Sequence[str], prefix: str = "") -> list:
     return [F.col(f"{prefix}z_{c}") for c in features]
 
 
-#: Sources of a group that meet its candidates in one task, about.
-PART = 1024
+#: Rows of a group in one block, at most.
+PART = 2048
+
+
+def _blocks(rows: DataFrame, keys: Sequence[str], features: Sequence[str], key: str, number: str, out: str) -> DataFrame:
+    """The rows of each group in blocks of ``PART``, each one row: keys, number of the block, rows in order of the vector. Equal vectors lie next to
+    each other, however many blocks they fill."""
+    z, side = z_columns(features), key[0]  # s or d
+    placed = ranked(rows.withColumn("_h", F.xxhash64(*z)), ["_h", key], F.shiftright("_h", 52), "_place", keys)
+    one = F.struct(*[F.col(f"z_{c}").alias(f"{side}_z_{c}") for c in features], key)
+    return stored(placed.groupBy(*keys, F.floor(F.col("_place") / PART).cast("int").alias(number)).agg(F.sort_array(F.collect_list(one)).alias(out)), "blocks")
 
 
 def pair_distances(sources: DataFrame, candidates: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """DST-1: each source with each candidate that agrees in ``keys``: source_id, donor_id, distance. The sources of a large group are dealt
-    to parts, each of which meets all candidates of the group, so that a group is many tasks."""
-    s = sources.select("source_id", *keys, *[F.col(f"z_{c}").alias(f"s_z_{c}") for c in features])
-    d = candidates.select(F.col("source_id").alias("donor_id"), *keys, *[F.col(f"z_{c}").alias(f"d_z_{c}") for c in features])
-    parts = s.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    """DST-1: each source with each candidate that agrees in ``keys``: source_id, donor_id, distance. The sources of a large group are cut into
+    blocks, each of which meets all candidates of the group, so that a group is many tasks, and what a candidate meets at once is one block.
+    Candidates with equal vectors come one after another: written out, all columns repeat at short distance and take few bytes."""
+    s = sources.select("source_id", *keys, *[f"z_{c}" for c in features])
+    d = candidates.withColumnRenamed("source_id", "donor_id").join(s.select(*keys).distinct(), list(keys), "left_semi").select("donor_id", *keys, *[f"z_{c}" for c in features])
+    own, others = _blocks(s, keys, features, "source_id", "_part", "_own"), _blocks(d, keys, features, "donor_id", "_block", "_others")
     spread, by = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "_part"]
-    s = s.join(parts, list(keys)).withColumn("_part", F.pmod(F.xxhash64("source_id"), F.col("_parts")).cast("int")).drop("_parts")
-    d = d.join(parts, list(keys)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    met = s.repartition(spread, *by).join(d.repartition(spread, *by), by)
-    return met.select("source_id", "donor_id", euclidean(z_columns(features, "s_"), z_columns(features, "d_")).alias("distance"))
+    parts = own.groupBy(*keys).agg(F.count("*").cast("int").alias("_parts"))
+    d = others.join(parts, list(keys)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).repartition(spread, *by).select(*by, F.inline("_others"))
+    met = d.join(own.repartition(spread, *by).hint("merge"), by)  # files of blocks look small enough to be broadcast, but aren't
+    pairs = met.select("donor_id", *[f"d_z_{c}" for c in features], F.inline("_own"))
+    return pairs.select("source_id", "donor_id", euclidean(z_columns(features, "s_"), z_columns(features, "d_")).alias("distance"))

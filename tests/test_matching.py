@@ -306,3 +306,16 @@ def test_pairs_of_a_large_group_are_many_tasks(spark, monkeypatch):
     known = [r.source_id for r in z.where("label = 1").collect()]
     assert sorted(got) == sorted((s, d) for s in known if s <= 30 for d in known)
     assert found.rdd.mapPartitions(lambda rows: [len(list(rows))]).filter(lambda n: n > 0).count() > 1
+
+
+def test_pairs_come_by_candidate_and_equal_vectors_lie_together(spark, monkeypatch):
+    monkeypatch.setattr(features, "PART", 16)
+    rows = [(i, "train", 0, 1 if i < 64 else None, "s", None, f"p{i}", float(i % 4), float(i % 2)) for i in range(70)]
+    z = bank_of(spark, rows)
+    parts = features.pair_distances(z, z, ["slide_id", "label"], FEATURES).rdd.mapPartitions(lambda it: [[tuple(r) for r in it]]).collect()
+    got = {(s, d): x for part in parts for s, d, x in part}
+    assert sum(map(len, parts)) == len(got) == 64 * 64
+    scale = {r.source_id: [r[f"z_{c}"] for c in FEATURES] for r in z.where("label = 1").collect()}
+    assert all(abs(x - math.dist(scale[s], scale[d])) < 1e-8 for (s, d), x in got.items())
+    # a candidate meets a block of 16 sources, which are alike here, as 16 of each vector are
+    assert sum(a[1:] != b[1:] for part in parts for a, b in zip(part, part[1:], strict=False)) < 64 * 64 / 16
