@@ -118,6 +118,14 @@ def test_infeasible_caps_raise_before_matching(spark):
         allocator.match_capped(z.where("hospital_id = 1"), z, FEATURES, matching.Rules(k=3, donor_cap=1), (0, 2))
 
 
+def test_infeasible_caps_are_told_with_their_figures(spark):
+    z = bank_of(spark, ROWS)  # 20 of each hospital
+    with pytest.raises(ValueError) as error:
+        allocator.match_capped(z.where("hospital_id = 1"), z, FEATURES, matching.Rules(k=3, donor_cap=1), (0, 2))
+    told = str(error.value).split("before matching: ")[1].split("; ")
+    assert sorted(told) == ["global:None requires 240, capacity 60", "hospital:0 requires 60, capacity 20", "hospital:1 requires 120, capacity 20", "hospital:2 requires 60, capacity 20"]
+
+
 def test_prior_uses_count_against_the_caps(spark):
     z = bank_of(spark, ROWS)
     s = z.where("hospital_id = 1")
