@@ -112,6 +112,23 @@ def test_lists_grow_until_pools_are_full(spark):
     check(spark, donors(420, hospitals=(0, 1, 2)), matching.Rules(k=1, pool=70, donor_cap=2, tau_distance=99.0), True)
 
 
+def test_short_lists_are_made_longer_alone(spark, monkeypatch):
+    looked = []
+    keep = allocator.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        looked.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(allocator, "stored", counted)
+    monkeypatch.setattr(allocator, "LIST", 4)
+    check(spark, ROWS, matching.Rules(k=1, pool=3, donor_cap=3, tau_distance=99.0), True)
+    rows = lambda *names: [n for name, n in looked if name in names]
+    assert sum(rows("longer")) > 0 and len(rows("lists")) == 1
+    assert sum(rows("pools")) == sum(rows("units", "again"))
+
+
 def test_infeasible_caps_raise_before_matching(spark):
     z = bank_of(spark, ROWS)
     with pytest.raises(ValueError, match="infeasible"):
